@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing, sharding
 
-QUERIES = {"op5_line_dedup": line_dedup.op5_line_dedup}
+QUERIES = {"op4_mixing": mixing.op4_mixing, "op5_line_dedup": line_dedup.op5_line_dedup, "op10_sharding": sharding.op10_sharding}
 ORACLES = {"op5_line_dedup": line_dedup.ORACLE}
