@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding
+from . import line_dedup, mixing, quality, sharding
 
-QUERIES = {"op4_mixing": mixing.op4_mixing, "op5_line_dedup": line_dedup.op5_line_dedup, "op10_sharding": sharding.op10_sharding}
+QUERIES = {"op2_quality": quality.op2_quality, "op4_mixing": mixing.op4_mixing, "op5_line_dedup": line_dedup.op5_line_dedup, "op10_sharding": sharding.op10_sharding}
 ORACLES = {"op5_line_dedup": line_dedup.ORACLE}
