@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, table, words
@@ -29,21 +29,22 @@ THRESHOLD = -0.2
 SENT_IDS = 4_000_000
 
 
-def buckets(text: Column, n: int = BUCKETS) -> Column:
-    """The hashed uni- and bigrams of a text, as an array of bucket numbers."""
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    # a bigram's hash comes from its two words' hashes
-    pairs = F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(n)).cast("int"))
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with _grams: for each token its hash and that of its bigram with the next one (the last: with none).
+
+    In two columns, so that each is worked out once; Spark repeats a nested expression at every use.
+    """
+    tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))
+    docs = docs.withColumn("_tokens", F.transform(tokens, lambda t: F.xxhash64(t)))
+    return docs.withColumn("_pairs", F.transform("_tokens", lambda h, i: F.xxhash64(h, F.get("_tokens", i + 1))))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[float]:
     """The log of trusted over raw probability for each bucket, over all of docs."""
     ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("_good", F.lit(1))
     ids = F.broadcast(ids) if ids.limit(SENT_IDS + 1).count() <= SENT_IDS else ids
-    seen = docs.select("doc_id", "text").join(ids, "doc_id", "left").select(F.explode(buckets(F.col("text"), n)).alias("b"), F.coalesce("_good", F.lit(0)).alias("good"))
-    counts = seen.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
+    seen = hashed(docs.select("doc_id", "text").join(ids, "doc_id", "left")).select(F.explode(F.concat("_tokens", "_pairs")).alias("h"), F.coalesce("_good", F.lit(0)).alias("good"))
+    counts = seen.groupBy(F.pmod("h", F.lit(n)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
     rows = counts.collect()  # n rows at most
     raw, good = sum(r.raw for r in rows), sum(r.good for r in rows)
     out = [0.0] * n
@@ -54,12 +55,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[fl
     return out
 
 
-def ratio(text: Column, ratios: list[float]) -> Column:
-    """The length-normalised log-likelihood ratio of a text."""
+def with_ratio(docs: DataFrame, ratios: list[float]) -> DataFrame:
+    """docs with llr, the length-normalised log-likelihood ratio of the text."""
     known = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folds to one literal
-    grams = buckets(text, len(ratios))
-    summed = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(known, b))
-    return F.when(F.size(grams) == 0, 0.0).otherwise(summed / F.size(grams))
+    of = lambda h: F.get(known, F.pmod(h, F.lit(len(ratios))).cast("int"))
+    docs = hashed(docs)
+    docs = docs.withColumn("_each", F.zip_with("_tokens", "_pairs", lambda a, b: of(a) + of(b)))
+    mean = F.aggregate("_each", F.lit(0.0), lambda acc, x: acc + x) / (2 * F.size("_each"))
+    return docs.withColumn("llr", F.when(F.size("_each") == 0, 0.0).otherwise(mean)).drop("_tokens", "_pairs", "_each")
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -87,7 +90,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the base columns, llr and kept."""
-    out = base_columns(docs).withColumn("llr", ratio(F.col("text"), log_ratios(docs, trusted)))
+    out = with_ratio(base_columns(docs), log_ratios(docs, trusted))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
