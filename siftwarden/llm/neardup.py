@@ -14,8 +14,8 @@ is what links reach.
    components merge after each round, so a group of n near copies costs about n verifications and not n * n.
 4. Adaptive depth: where neighbours, at whatever depth they met, have put a region into one component,
    it is finished.  Regions with more components go down to the least depth: all their pairs of
-   different components are candidates, none is capped.  (While these pairs are many, each class is first tried
-   with one of them, which merges more, as long as that helps.)
+   different components are candidates, none is capped.  In a large region these are not told one by one: its rows
+   meet in bounded blocks, where products of incidence matrices give every pair's exact overlap.
 
 Nulls and edges: a text without words is linked with nothing; a null doc_id is linked with nothing and kept;
 rows that repeat a doc_id with the same text are copies of each other, with another text each stands for
@@ -37,8 +37,10 @@ from .hashing import U, goes, mix, ngram_hashes, word_hashes
 
 SHINGLE = 5
 ORDERS, DEPTH = 32, 4
-#: Rounds over neighbours; and how many pairs a class may have in the last round before more merging is tried.
-ROUNDS, MANY = 3, 16
+#: Rounds over neighbours.
+ROUNDS = 3
+#: Rows of a region whose pairs are told one by one; rows and shingles of a block in larger regions.
+SMALL, BLOCK, BLOCK_SHINGLES = 16, 512, 1 << 20
 _MUL = (mix(np.arange(1, ORDERS * DEPTH + 1, dtype=U)) | U(1)).astype(np.uint32)
 _ADD = mix(np.arange(1001, 1001 + ORDERS * DEPTH, dtype=U)).astype(np.uint32)
 #: Bits of the filter that picks the texts to read again for verification; of a fixed size.
@@ -219,18 +221,74 @@ def _picked(pairs: DataFrame) -> DataFrame:
     return one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _crossing(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
-    """Pairs of different components within regions (a < b, sizes fit), and a bound on their number."""
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of regions with more than one component: tree, p, id, n, comp, m (rows) and blocks."""
     rows = members.join(labels.withColumnRenamed("id", "a"), "a").select("tree", "p", F.col("a").alias("id"), "n", "comp")
-    per = rows.groupBy("tree", "p", "comp").agg(F.count(F.lit(1)).alias("m"))
-    mixed = per.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own")).where("k > 1")
-    bound = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-    per = written(per.join(mixed.select("tree", "p"), ["tree", "p"], "left_semi").drop("m"), "mixed")
-    rows = rows.join(per, ["tree", "p", "comp"], "left_semi")
-    two = per.join(per.withColumnRenamed("comp", "other"), ["tree", "p"]).where("comp < other")
-    pairs = two.join(rows, ["tree", "p", "comp"]).withColumnsRenamed({"id": "i", "n": "n_i"})
-    pairs = pairs.join(rows.withColumnsRenamed({"comp": "other", "id": "j", "n": "n_j"}), ["tree", "p", "other"]).where(_fits("n_i", "n_j"))
-    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), int(bound)
+    per = rows.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    per = per.select("tree", "p", "m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    return written(rows.join(per, ["tree", "p"]), "mixed")
+
+
+def _small_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of different components in regions of up to SMALL rows."""
+    rows = mixed.where(F.col("m") <= SMALL).drop("m", "blocks")
+    pairs = rows.join(rows.withColumnsRenamed({"id": "j", "n": "n_j", "comp": "other"}), ["tree", "p"]).where((F.col("comp") < F.col("other")) & _fits("n", "n_j"))
+    return pairs.select(F.least("id", "j").alias("a"), F.greatest("id", "j").alias("b")).distinct()
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share: a product of incidence matrices, some columns at a time."""
+    kinds, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    column = np.cumsum(many > 1) - 1  # a shingle of one set only is shared with none
+    shared = many[at] > 1
+    row, column = row[shared], column[at[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [k, k + 4096])
+        part = np.zeros((len(sets), min(4096, int(column[-1]) + 1 - k)), np.float32)
+        part[row[a:b], column[a:b] - k] = 1
+        out += part @ part.T
+    return out
+
+
+def _block_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that put together all components which any link joins, in regions of more than SMALL rows.
+
+    A region's rows fall by hash into blocks of about BLOCK rows and BLOCK_SHINGLES shingles; each two blocks
+    meet in one group, where all pairs are compared exactly by one product, and only links that
+    join components are given out: fewer than the group has rows.
+    """
+    rows = mixed.where(F.col("m") > SMALL).join(sets, "id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tree", "p", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "comp", "shingles")
+
+    def link(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), U) for x in group["shingles"].combine_chunks()]
+        ids, size = group["id"].to_numpy(), np.array([len(s) for s in sets])
+        comp = np.unique(group["comp"].to_numpy(), return_inverse=True)[1]
+        both = _overlaps(sets)
+        hit = 4 * both >= 3 * (size[:, None] + size[None, :] - both)
+        a, b = np.nonzero(np.triu(hit & (both > 0) & (comp[:, None] != comp[None, :]), 1))
+        up, out = list(range(comp.max() + 1)), []
+
+        def top(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = top(int(comp[x])), top(int(comp[y]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((x, y))
+        x, y = (np.array([o[k] for o in out], np.int64) for k in (0, 1))
+        return pa.table({"a": ids[x], "b": ids[y]})
+
+    return rows.groupBy("tree", "p", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -272,11 +330,11 @@ def components(docs: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if not settle(_picked(_with_components(untested(pairs), labels))):
             break
-    rest, bound = _crossing(members, labels)
-    while bound > MANY * max(1, labels.count()) and settle(_picked(_with_components(untested(rest), labels))):
-        rest, bound = _crossing(members, labels)
-    if bound:
-        settle(untested(rest))
+    mixed = _mixed(members, labels)
+    small = verified(untested(_small_pairs(mixed)), sets).where("is_link").select("a", "b")
+    links = written(small.unionByName(_block_links(mixed, sets)), "links")
+    if not links.isEmpty():
+        labels = relabel(labels, links)
     labels = labels.where("id <> comp").withColumnsRenamed({"id": "_id", "comp": "_comp"})
     by_set = classes.select("set_hash", F.col("id").alias("_id")).join(labels, "_id", "left").select("set_hash", F.coalesce("_comp", "_id").alias("_comp"))
     out = told.drop("signature").join(by_set, "set_hash", "left")
