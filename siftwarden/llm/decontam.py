@@ -89,13 +89,13 @@ class Index:
         return out
 
 
-def with_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs with hits, an array of (item_id, n_item, n_shared); items: item_id, text."""
+def with_hits(docs: DataFrame, items: DataFrame, name: str = "hits") -> DataFrame:
+    """docs with the column `name`, an array of (item_id, n_item, n_shared); items: item_id, text."""
     made = written(sketched(items), "items")
     kind = f"array<struct<item_id:{dict(items.dtypes)['item_id']},n_item:int,n_shared:int>>"
     if (made.agg(F.sum("n")).first()[0] or 0) > SENT_SHINGLES:
-        found = joined(docs.select("doc_id", "text"), made).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_item", "n_shared")).alias("hits"))
-        return docs.join(found, "doc_id", "left").withColumn("hits", F.coalesce("hits", F.expr(f"cast(array() as {kind})")))
+        found = joined(docs.select("doc_id", "text"), made).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_item", "n_shared")).alias(name))
+        return docs.join(found, "doc_id", "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {kind})")))
     sent = docs.sparkSession.sparkContext.broadcast(Index(made.orderBy("item_id").collect()))
 
     @F.arrow_udf(kind)
@@ -103,7 +103,7 @@ def with_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
         hits = [[dict(zip(("item_id", "n_item", "n_shared"), x)) for x in sent.value.search(s)] for s in shingle_sets(texts, SHINGLE)]
         return pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int32()), ("n_shared", pa.int32())])))
 
-    return docs.withColumn("hits", search("text"))
+    return docs.withColumn(name, search("text"))
 
 
 def joined(docs: DataFrame, made: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import id_bucket, table
 from .hashing import U, goes, mix, word_hashes, word_spans
 
-TRAIN_ROWS = {0: 4_000, 1: 2_500}
+TRAIN_ROWS = {0: 3_000, 1: 2_000}
 TRAIN_CHARS = 200_000
 WINDOW, STEP = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
@@ -206,7 +206,7 @@ class Network:
     def set_odds(self, texts: list[str], label: np.ndarray) -> None:
         """The embeddings' first coordinates, which training leaves alone."""
         if len(set(label.tolist())) == 2:
-            self.p["word"][:, 0], self.p["char"][:, 0] = _log_odds(_tokens(texts), label)
+            self.p["word"][:, 0], self.p["char"][:, 0] = _log_odds(texts, label)
 
     def step(self, gradients: dict, moments: dict, turn: int) -> None:
         """Adam; embeddings in use only, as pairs of rows and their gradients."""
@@ -224,24 +224,16 @@ class Network:
             self.p[name][rows] -= RATE * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
 
 
-def _log_odds(t: Tokens, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _log_odds(texts: list[str], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By row of either embedding: how much likelier toxic texts are to have it, drawn back by PRIOR documents."""
-    text = np.repeat(np.arange(len(label)), np.diff(t.of))
-    part = np.array([max(1, (label == 0).sum()), max(1, (label == 1).sum())])
-    out = []
-    for rows, which in ((WORD_ROWS, 0), (CHAR_ROWS, 1)):
-        pairs = np.unique(text * len(t.word) + t.kind)
-        doc, kind = pairs // len(t.word), pairs % len(t.word)
-        if which:
-            n = t.gram_n[kind]
-            gram = t.gram[np.repeat(t.gram_at[kind], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            seen = np.unique(np.repeat(doc, n) * rows + gram)
-        else:
-            seen = np.unique(doc * rows + t.word[kind])
-        rate = np.stack([np.bincount((seen % rows)[label[seen // rows] == k], minlength=rows) / part[k] for k in (0, 1)])
-        back = PRIOR / part.min()
-        out.append(np.log((rate[1] + back) / (rate[0] + back)).astype(np.float32))
-    return out[0], out[1]
+    seen = [np.zeros((2, WORD_ROWS)), np.zeros((2, CHAR_ROWS))]
+    for k in range(len(texts)):
+        t = _tokens(texts[k : k + 1])
+        seen[0][label[k], np.unique(t.word)] += 1
+        seen[1][label[k], np.unique(t.gram)] += 1
+    part = np.array([[max(1, (label == k).sum())] for k in (0, 1)])
+    back = PRIOR / part.min()
+    return tuple(np.log((x[1] + back) / (x[0] + back)).astype(np.float32) for x in (n / part for n in seen))
 
 
 def _tokens(texts: list[str]) -> Tokens:
@@ -293,8 +285,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAIN_ROWS)
     return train([r.text for r in got], np.array([r.toxic for r in got], np.int64), rate), rate
 
 
-def scored(docs: DataFrame, model: tuple[Network | None, float]) -> DataFrame:
-    """docs with score, from the whole text."""
+def scored(docs: DataFrame, model: tuple[Network | None, float], name: str = "score") -> DataFrame:
+    """docs with the score of the whole text, in a column of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -306,7 +298,7 @@ def scored(docs: DataFrame, model: tuple[Network | None, float]) -> DataFrame:
                 out[row:end] = net.scores(Tokens(data, at))
             yield pa.array(out)
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(name, score("text"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
