@@ -28,8 +28,8 @@ def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.rate_limited(_events(spark, sf_dir), "user_id", _micros(), ["event_id"], 2, 21_600).select("event_id", "user_id", "n_hits", "allowed")
 
 
-@query(f"""WITH h AS (SELECT event_id, epoch_us(ts) AS at, {WINDOW} AS n, min(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS oldest FROM events)
-  SELECT event_id, CAST(greatest(1, floor((oldest + 21600000000 - at) / 1000000) + 1) AS BIGINT) AS retry_after FROM h WHERE n > 2""")
+@query(f"""WITH h AS (SELECT event_id, epoch_us(ts) AS us, {WINDOW} AS n, min(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS oldest FROM events)
+  SELECT event_id, CAST(greatest(1, floor((oldest + 21600000000 - us) / 1000000) + 1) AS BIGINT) AS retry_after FROM h WHERE n > 2""")
 def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.rate_limited(_events(spark, sf_dir), "user_id", _micros(), ["event_id"], 2, 21_600).where("not allowed").select("event_id", "retry_after")
 
