@@ -69,8 +69,33 @@ def skipped(path: Column, size: Column, is_manifest: Column, ignore: tuple[str,
     return out.when(~glob(path, include), "not-included") if include else out
 
 
+def _hidden(root: str) -> list[str]:
+    """Files that Spark's readers pass over, since they or a folder of theirs start with . or _; excluded folders aren't entered."""
+    out = []
+    for top, dirs, names in os.walk(root):
+        dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS and not d.startswith(".git"))
+        inner = os.path.relpath(top, root).split(os.sep)
+        odd = any(x[0] in "._" and x != "." for x in inner)
+        out += [os.path.join(top, n) for n in sorted(names) if odd or n[0] in "._"]
+    return out
+
+
+def _read_hidden(spark: SparkSession, root: str) -> DataFrame:
+    """Their rows, read by tasks from a file system that all machines mount."""
+
+    @F.udf("binary")
+    def content(path: str) -> bytes:
+        with open(path, "rb") as f:
+            return f.read()
+
+    paths = spark.createDataFrame([(p, os.path.getsize(p)) for p in _hidden(root)], "path string, length long")
+    return paths.withColumn("content", F.when(F.col("length") <= MAX_BYTES, content("path")))
+
+
 def read_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if "://" not in root:
+        raw = raw.select("path", "length", "content").unionByName(_read_hidden(spark, os.path.realpath(root)))
     top = os.path.realpath(root).rstrip("/") if "://" not in root else root.rstrip("/")
     df = raw.withColumn("rel_path", F.regexp_replace("path", r"^file:/+", "/")).withColumn("rel_path", F.substring("rel_path", len(top) + 2, 100_000))
     df = classified(df.select("rel_path", F.col("length").alias("size_bytes"), "content"))
