@@ -6,7 +6,8 @@ those that `trusted` names; each bucket's log ratio of the two smoothed multinom
 document's n-grams and divided by their number.  A document is kept if that is at least THRESHOLD (a
 constant, so the verdict depends on no sample or quantile) and the base rules pass.
 
-All of it is DataFrame functions; the BUCKETS log ratios are a literal in the scoring plan.
+All of it is DataFrame functions; the BUCKETS log ratios are a literal in the scoring plan.  Write the result
+before filtering on its columns: Spark would copy their nested expressions into the filter.
 
 Nulls and edges: a null text has no words and fails the base rules; a text without n-grams has ratio 0;
 without trusted documents all ratios are 0; repeated rows are counted and scored each; trusted ids that
