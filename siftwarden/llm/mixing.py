@@ -29,6 +29,8 @@ from .common import n_words, table, written
 
 MAX_COPIES = 3
 BLOCK = 64
+#: Up to so many sources, what is known of each goes to all workers (under 100 MB); of more, it meets the documents in a shuffle.
+SENT_SOURCES = 1_000_000
 SEED = 20
 
 
@@ -85,8 +87,9 @@ def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source)."""
     slim = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     goal = written(targets(slim), "targets").withColumnRenamed("source", "_source")
+    sent = F.broadcast if goal.count() <= SENT_SOURCES else lambda df: df
     # a null source is a source, so it must meet itself
-    wanted = slim.join(goal, F.col("source").eqNullSafe(F.col("_source")))
+    wanted = slim.join(sent(goal), F.col("source").eqNullSafe(F.col("_source")))
     base = F.floor("copies").cast("int")
     x = F.when(F.col("size") > 0, F.col("copies") - base).otherwise(0.0)
     items = wanted.select("size", F.xxhash64("doc_id", "source_no", "size").alias("tie"), "doc_id", "source_no", base.alias("base"), x.alias("x"))
@@ -100,7 +103,7 @@ def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     while most and (reach < most or level == 0):
         reach *= block
         blocks = F.ceil(F.col("_n") / F.lit(reach))
-        dealt = live.join(many, "source_no").groupBy("source_no", F.pmod(F.xxhash64(F.lit(level), "tie"), blocks).alias("_block"))
+        dealt = live.join(sent(many), "source_no").groupBy("source_no", F.pmod(F.xxhash64(F.lit(level), "tie"), blocks).alias("_block"))
         folded = dealt.agg(F.sort_array(F.collect_list(F.struct(*fields)), False).alias("items")).select(_fold(level, item).alias("f"))
         folded = written(folded.select("f.open", "f.done"), f"fold{level}")
         ended.append(folded.select(F.inline("done")))
@@ -111,7 +114,7 @@ def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     for more in ended[1:]:
         out = out.unionByName(more)
     copies = (F.col("base") + F.col("x")).cast("long")
-    return out.join(goal.select("source_no", "source_size", "target"), "source_no").select(
+    return out.join(sent(goal.select("source_no", "source_size", "target")), "source_no").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "source_no"
     )
 
