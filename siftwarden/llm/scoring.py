@@ -221,7 +221,10 @@ def fit(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQ
         if (room := room - r.many) < 0:
             break
         least = r.n
-    common = words.where(F.col("n") >= least).toPandas() if least <= EXACT else pd.DataFrame({"h": [], "n": []})
+    if room < 0 and least > EXACT and r.n == EXACT:
+        # more than `frequent` words are beyond EXACT: those commoner than the next one after so many
+        least = 1 + words.where(F.col("n") >= EXACT).select("n").orderBy(F.desc("n")).limit(frequent + 1).agg(F.min("n")).first()[0]
+    common = words.where(F.col("n") >= least).toPandas()
     h = common.h.to_numpy(np.int64).view(U)
     order = np.argsort(h)
     model = Model(bits, cutoff, (h[order], common.n.to_numpy(np.int64)[order]), totals[0] or 0, totals[1], totals[3] or 0, low_tokens)

@@ -152,6 +152,19 @@ def test_scoring_base_against_brute_force(spark):
         assert got == want
 
 
+def test_scoring_base_of_words_beyond_exact(spark):
+    c = collections.Counter({"a": scoring.EXACT + 3, "b": scoring.EXACT + 2, "c": scoring.EXACT + 1, "d": 2, "</s>": 2})
+    docs = table(spark, [(1, "a " * c["a"] + "b " * c["b"] + "c " * c["c"] + "d d", "s"), (2, "", "s")]).select("doc_id", "text")
+    asked = table(spark, [(3, "a b c d x", "s")]).select("doc_id", "text")
+    n, v = sum(c.values()), len(c)
+    want = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ["a", "b", "c", "d", "x", "</s>"])
+    for frequent in (0, 1, 2, 3, 10):
+        model, rare = scoring.fit(docs, frequent=frequent)
+        assert len(model.frequent[0]) == min(frequent, v)
+        r = scoring.score(asked, model, rare).first()
+        assert r.n_known == 5 and abs(r.base_score - want) < 1e-6
+
+
 def test_filter_gives_levels_back():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 1 << 62, 20_000).astype(np.uint64)
