@@ -5,7 +5,7 @@ start before it), combined in each task and summed by Spark under 63-bit hashes
 from bigrams.  Counts are exact and cover all training texts.
 
 Model: counts are quantised to edges, the whole numbers next above powers of BASE.  An n-gram's level is
-how many edges, from 1 for words and from `cutoff` for bigrams, its count c has reached; the filter holds
+how many edges its count c has reached; the filter holds all n-grams, those seen once too, as
 (n-gram, 1) to (n-gram, level).  Probing levels from 1 until one misses gives the level back, and so the
 edges low <= c <= high about c.  With L the sum of low over all words and V their number,
 
@@ -14,9 +14,10 @@ edges low <= c <= high about c.  With L the sum of low over all words and V thei
 
 Low over high keeps the sum over w at 1 at most.  `score` is the sum of log10 p over a text's words and its end.
 
-The filter is cut into segments by hash, each built by one task, and sent to all workers.  Its size is the
-model's capacity, FILTER_BYTES at most: the cutoff is 2, or the least count above that with which
-the held n-grams fit, as in any pruned n-gram model.
+The filter is cut into segments by hash, each built by one task; their number follows the counts.  Up to
+FILTER_BYTES they are sent to all workers.  A larger filter stays a table of segments: texts are cut into
+runs, the distinct n-grams of each run go to the ranges of segments that they fall in, are probed there one range
+at a time, and the levels meet the run again, with the same scores.
 
 The base score needs exact counts.  The FREQUENT commonest words, a fixed number, go to the workers with
 their counts; the other words of each text meet the exact table in a join.
@@ -28,12 +29,13 @@ an empty table gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +44,13 @@ from .hashing import U, goes, mix, word_hashes
 
 BASE = 1.3
 WEIGHT = 0.5
-CUTOFF = 2
 BITS = 14
 PROBES = 6
 SEGMENT = 1 << 21
+#: Up to so many bytes the filter is sent to all workers.
 FILTER_BYTES = 128 << 20
+#: Segments of a larger filter that are probed at a time, 4 MB.
+RANGE = 16
 FREQUENT = 200_000
 #: Tokens that a task counts before it passes counts on.
 HELD = 3 << 19
@@ -103,8 +107,10 @@ _MARK_BITS, _MARK_MASK = _marks()
 class Filter:
     """A Bloom filter whose entries set PROBES bits of one 64-bit word, and levels of n-grams by probing."""
 
-    def __init__(self, words: np.ndarray):
-        self.words, self.segments = words, len(words) * 64 // SEGMENT
+    def __init__(self, words: np.ndarray, segments: int | None = None, first: int = 0):
+        """words: the bits of all segments, or those from segment `first` on."""
+        self.words, self.first = words, first
+        self.segments = len(words) * 64 // SEGMENT if segments is None else segments
 
     @staticmethod
     def _at(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +135,7 @@ class Filter:
             return out
         live = np.arange(len(h)) if most is None else np.flatnonzero(most > 0)
         h = h[live]
-        base = (h >> U(1)) % U(self.segments) * U(SEGMENT // 64)
+        base = ((h >> U(1)) % U(self.segments) - U(self.first)) * U(SEGMENT // 64)
         base, level = base.astype(np.int64), 0
         while len(live):
             level += 1
@@ -149,15 +155,20 @@ EDGES = np.unique(np.ceil(BASE ** np.arange(150) - 1e-9))
 
 
 class Model:
-    """What scoring needs: the filter, the commonest words' counts, and the totals."""
+    """What scoring needs: the filter, the commonest words' counts, and the totals.
 
-    def __init__(self, bits: np.ndarray, cutoff: int, frequent: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, texts: int, low_tokens: float):
-        self.filter, self.frequent = Filter(bits), frequent
+    apart: the segments (segment, bits) of a filter too large to send; `filter` is empty then.
+    """
+
+    def __init__(self, bits: np.ndarray, segments: int, apart: DataFrame | None, frequent: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, texts: int, low_tokens: float):
+        self.filter, self.segments, self.apart, self.frequent = Filter(bits), segments, apart, frequent
         self.tokens, self.distinct, self.texts, self.low_tokens = tokens, distinct, texts, low_tokens
-        self.skipped = int(np.searchsorted(EDGES, cutoff))  # edges below the bigrams' cutoff
 
-    def log_p(self, tokens: np.ndarray, pairs: np.ndarray, first: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """log10 p of each token; level: the tokens' own."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"apart": None}  # a table isn't sent
+
+    def log_p(self, tokens: np.ndarray, pairs: np.ndarray, first: np.ndarray, level: np.ndarray, held: np.ndarray | None = None) -> np.ndarray:
+        """log10 p of each token; level: the tokens' own; held: the bigrams', where they have been looked up."""
         low = np.concatenate([[0.0], EDGES])
         p0 = (low[level] + 1) / (self.low_tokens + self.distinct + 1)
         before = np.concatenate([[0], level[:-1]])
@@ -167,8 +178,8 @@ class Model:
         most = level.copy()
         most[1:] = np.minimum(level[1:], level[:-1])
         most[first] = level[first]
-        held = self.filter.level(pairs, most - self.skipped)
-        both = np.where(held > 0, EDGES[held + self.skipped - 1], 0.0)
+        held = self.filter.level(pairs, most) if held is None else np.minimum(held, most)
+        both = np.where(held > 0, EDGES[held - 1], 0.0)
         p = WEIGHT * np.minimum(both / np.maximum(seen, 1.0), 1.0) + (1 - WEIGHT) * p0
         return np.log10(np.where(seen > 0, p, p0))
 
@@ -184,37 +195,38 @@ def _reached(n: Column) -> Column:
     return F.when(n < EXACT, F.get(F.split(F.lit(known), ",").cast("array<int>"), n.cast("int"))).otherwise(large)
 
 
+def _settled(made: DataFrame) -> DataFrame:
+    """made, a written table; Spark deletes the shuffle files of finished plans once these are collected."""
+    gc.collect()
+    made.sparkSession.sparkContext._jvm.System.gc()
+    return made
+
+
 def fit(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
     """The model of texts `train` (text), and the exact counts of its words (h, n)."""
-    counts = count_ngrams(train).where(f"h % 2 = 0 or n >= {CUTOFF}")
-    counts = written(counts, "ngrams")
+    counts = _settled(written(count_ngrams(train), "ngrams"))
     words = counts.where("h % 2 = 0")
     above = F.when(F.col("n") >= EXACT, F.element_at(F.filter(F.array(*(F.lit(float(x)) for x in EDGES)), lambda x: x <= F.col("n")), -1))
     totals = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(above), F.sum(F.when(F.col("h") == int(_END.astype(np.int64)), F.col("n")))).first()
     # 2 * EXACT rows at most, whatever the corpus
     sizes = counts.groupBy((F.col("h") % 2 == 0).alias("word"), F.least("n", F.lit(EXACT)).alias("n")).agg(F.count(F.lit(1)).alias("many")).collect()
     low_tokens = sum(EDGES[np.searchsorted(EDGES, r.n, "right") - 1] * r.many for r in sizes if r.word and r.n < EXACT) + (totals[2] or 0.0)
-    cutoff = CUTOFF
-
-    def entries() -> int:
-        """Filter entries with this cutoff; large counts as if they were the largest."""
-        top = lambda r: len(EDGES) if r.n == EXACT else int(np.searchsorted(EDGES, r.n, "right"))
-        return sum(r.many * max(0, top(r) - (0 if r.word else int(np.searchsorted(EDGES, cutoff)))) for r in sizes)
-
-    while entries() * BITS / 8 > filter_bytes and cutoff < EXACT:
-        cutoff = int(EDGES[np.searchsorted(EDGES, cutoff) + 1])
-    level = _reached(F.col("n")) - F.when(F.col("h") % 2 == 0, 0).otherwise(int(np.searchsorted(EDGES, cutoff)))
-    held = counts.select("h", level.alias("level")).where("level > 0")
-    segments = -(-entries() * BITS // SEGMENT)
+    # large counts as if they were the largest
+    entries = sum(r.many * (len(EDGES) if r.n == EXACT else int(np.searchsorted(EDGES, r.n, "right"))) for r in sizes)
+    segments = -(-entries * BITS // SEGMENT)
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         bits = Filter.segment(part.h.to_numpy(np.int64).view(U), part.level.to_numpy(np.int64))
         return pd.DataFrame({"segment": [part.segment.iloc[0]], "bits": [bits]})
 
-    bits = np.zeros(segments * SEGMENT // 64, U)
-    if segments:
-        place = F.shiftrightunsigned("h", 1) % F.lit(segments)
-        for r in held.select("h", "level", place.alias("segment")).groupBy("segment").applyInPandas(build, "segment long, bits binary").toLocalIterator():
+    place = F.shiftrightunsigned("h", 1) % F.lit(max(segments, 1))
+    built = counts.select("h", _reached(F.col("n")).alias("level"), place.alias("segment")).groupBy("segment").applyInPandas(build, "segment long, bits binary")
+    bits, apart = np.zeros(0, U), None
+    if segments * SEGMENT // 8 > filter_bytes:
+        apart = _settled(written(built, "segments"))
+    elif segments:
+        bits = np.zeros(segments * SEGMENT // 64, U)
+        for r in built.toLocalIterator():
             bits[r.segment * SEGMENT // 64 : (r.segment + 1) * SEGMENT // 64] = np.frombuffer(r.bits, U)
     least, room = EXACT + 1, frequent
     for r in sorted((r for r in sizes if r.word), key=lambda r: -r.n):
@@ -227,50 +239,139 @@ def fit(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQ
     common = words.where(F.col("n") >= least).toPandas()
     h = common.h.to_numpy(np.int64).view(U)
     order = np.argsort(h)
-    model = Model(bits, cutoff, (h[order], common.n.to_numpy(np.int64)[order]), totals[0] or 0, totals[1], totals[3] or 0, low_tokens)
+    model = Model(bits, segments, apart, (h[order], common.n.to_numpy(np.int64)[order]), totals[0] or 0, totals[1], totals[3] or 0, low_tokens)
     return model, words.where(F.col("n") < least)
 
 
+def _told(m: Model, batch: pa.RecordBatch, keep: list[str], uid: int, look: Callable) -> pa.RecordBatch:
+    """What the model tells of the texts of a batch; look: from the n-grams of a run to levels of its tokens and bigrams."""
+    known_h, known_n = m.frequent
+    log_all = np.log10(m.tokens + m.distinct + 1)
+    n_tokens, n_known = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+    base, total = np.zeros(len(batch)), np.zeros(len(batch))
+    rest_h: list[np.ndarray] = []
+    rest_at = [np.zeros(1, np.int64)]
+    for row, end, tokens, pairs, first in sequences(batch["text"]):
+        kinds, at = np.unique(tokens, return_inverse=True)
+        level, held = look(kinds, pairs)
+        total[row:end] = np.add.reduceat(m.log_p(tokens, pairs, first, level[at], held), first)
+        n_tokens[row:end] = np.diff(first, append=len(tokens))
+        if len(known_h):
+            near = np.minimum(np.searchsorted(known_h, kinds), len(known_h) - 1)
+            found = known_h[near] == kinds
+            n = np.where(found, known_n[near], 0)[at]
+            found = found[at]
+        else:
+            n, found = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        base[row:end] = np.add.reduceat(np.where(found, np.log10(n + 1) - log_all, 0.0), first)
+        n_known[row:end] = np.add.reduceat((found & (n > 0)).astype(np.int64), first)
+        rest_h.append(tokens[~found])
+        rest_at.append(np.add.reduceat((~found).astype(np.int64), first))
+    flat = np.concatenate([*rest_h, np.zeros(0, U)]).view(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(rest_at)).astype(np.int32)), pa.array(flat))
+    out = [pa.array(np.arange(uid, uid + len(batch))), pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(total), lists]
+    return pa.RecordBatch.from_arrays([batch[c] for c in keep] + out, names=[*keep, "_uid", "n_tokens", "n_known", "base_score", "score", "_rest"])
+
+
+def _by_range(ngrams: np.ndarray, segments: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams in order of the range of segments they fall in, these ranges, and where each begins, with one end more."""
+    kinds = np.unique(ngrams)
+    of = ((kinds >> U(1)) % U(segments) // U(width)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    parts, at = np.unique(of[order], return_index=True)
+    return kinds[order], parts, np.append(at, len(kinds))
+
+
+def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], schema: str) -> DataFrame:
+    """As _told for all docs, where the filter is a table."""
+    segments, width, names = model.segments, RANGE, ["part", "run", "data"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each run, in one value; a run's number is the _uid of its first row."""
+        uid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for row, end, _, _ in goes(batch["text"]):
+                texts = pa.BufferOutputStream()
+                with pa.ipc.new_stream(texts, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                    to.write_batch(batch.slice(row, end - row))
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([uid + row], pa.int64()), pa.array([texts.getvalue().to_pybytes()], pa.binary())], names)
+            uid += len(batch)
+
+    def grams(texts: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([x for _, _, tokens, pairs, _ in sequences(texts["text"]) for x in (tokens, pairs)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-grams of each run, by range."""
+        for batch in batches:
+            for run, data in zip(batch["run"].to_pylist(), batch["data"]):
+                kinds, parts, at = _by_range(np.concatenate([grams(x) for x in pa.ipc.open_stream(data.as_buffer())]), segments, width)
+                data = [kinds[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([run] * len(data), pa.int64()), pa.array(data, pa.binary())], names)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The levels of the n-grams of each part and run; a range's segments (run < 0) come before them."""
+        here, bits = None, np.zeros(0, U)
+        for batch in batches:
+            out = []
+            for part, run, data in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), batch["data"]):
+                if part != here:
+                    here, bits = part, np.zeros(width * SEGMENT // 64, U)
+                values = np.frombuffer(data.as_buffer(), U)
+                if run < 0:
+                    at = (-1 - run - part * width) * (SEGMENT // 64)
+                    bits[at : at + SEGMENT // 64] = values
+                else:
+                    out.append((part, run, Filter(bits, segments, part * width).level(values).astype(np.uint8).tobytes()))
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A run's texts come first, then its levels by range."""
+        texts, uid, levels = None, 0, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if texts is None:
+                return
+            for batch in pa.ipc.open_stream(texts):
+                kinds = _by_range(grams(batch), segments, width)[0]
+                level = np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
+                order = np.argsort(kinds)
+                kinds, level = kinds[order], level[order]
+                of = lambda h: level[np.searchsorted(kinds, h)]
+                yield _told(sent.value, batch, keep, uid, lambda words, pairs: (of(words), of(pairs)))
+
+        for batch in batches:
+            for part, run, data in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), batch["data"]):
+                if part < 0:
+                    yield from done()
+                    texts, uid, levels = data.as_py(), run, []
+                else:
+                    levels.append(data.as_py())
+        yield from done()
+
+    kind = "part long, run long, data binary"
+    runs = written(docs.mapInArrow(cut, kind), "runs")
+    held = model.apart.select(F.floor(F.col("segment") / width).alias("part"), (-1 - F.col("segment")).alias("run"), F.col("bits").alias("data"))
+    found = held.unionByName(runs.mapInArrow(ask, kind)).repartition("part").sortWithinPartitions("part", "run").mapInArrow(probe, kind)
+    found = _settled(written(found, "found"))
+    return runs.unionByName(found).repartition("run").sortWithinPartitions("run", "part").mapInArrow(finish, schema)
+
+
 def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with n_tokens, n_known, train_tokens, base_score and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        known_h, known_n = m.frequent
-        log_all = np.log10(m.tokens + m.distinct + 1)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n_tokens, n_known = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            base, total = np.zeros(len(batch)), np.zeros(len(batch))
-            rest_h: list[np.ndarray] = []
-            rest_at = [np.zeros(1, np.int64)]
-            for row, end, tokens, pairs, first in sequences(batch["text"]):
-                kinds, at = np.unique(tokens, return_inverse=True)
-                total[row:end] = np.add.reduceat(m.log_p(tokens, pairs, first, m.filter.level(kinds)[at]), first)
-                n_tokens[row:end] = np.diff(first, append=len(tokens))
-                if len(known_h):
-                    near = np.minimum(np.searchsorted(known_h, kinds), len(known_h) - 1)
-                    found = known_h[near] == kinds
-                    n = np.where(found, known_n[near], 0)[at]
-                    found = found[at]
-                else:
-                    n, found = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-                base[row:end] = np.add.reduceat(np.where(found, np.log10(n + 1) - log_all, 0.0), first)
-                n_known[row:end] = np.add.reduceat((found & (n > 0)).astype(np.int64), first)
-                rest_h.append(tokens[~found])
-                rest_at.append(np.add.reduceat((~found).astype(np.int64), first))
-            flat = np.concatenate([*rest_h, np.zeros(0, U)]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(rest_at)).astype(np.int32)), pa.array(flat))
-            ids = pa.array(np.arange(uid, uid + len(batch)))
+            yield _told(sent.value, batch, keep, uid, lambda words, pairs: (sent.value.filter.level(words), None))
             uid += len(batch)
-            out = [ids, pa.array(n_tokens), pa.array(n_known), pa.array(base), pa.array(total), lists]
-            yield pa.RecordBatch.from_arrays([batch[c] for c in keep] + out, names=[*keep, "_uid", "n_tokens", "n_known", "base_score", "score", "_rest"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema = f"{kinds}, _uid long, n_tokens long, n_known long, base_score double, score double, _rest array<long>"
     # written, since _uid must not change between the two uses
-    told = written(docs.mapInArrow(run, f"{kinds}, _uid long, n_tokens long, n_known long, base_score double, score double, _rest array<long>"), "scored")
+    told = written(docs.mapInArrow(run, schema) if model.apart is None else _apart(docs, model, sent, keep, schema), "scored")
     log_all = float(np.log10(model.tokens + model.distinct + 1))
     rest = told.select("_uid", F.explode("_rest").alias("h")).groupBy("_uid", "h").agg(F.count(F.lit(1)).alias("m"))
     rest = rest.join(rare, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))

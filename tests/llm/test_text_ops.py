@@ -191,6 +191,24 @@ def test_scoring_of_odd_tables(spark):
     assert (r.n_tokens, r.n_known, r.base_score, r.score) == (1, 0, 0.0, 0.0)
 
 
+def test_scoring_holds_all_bigrams_whatever_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "RANGE", 2)
+    rows = odd_rows() + [(70 + k, f"only{k} here{k} once{k} " + " ".join(f"{k}-{i}" for i in range(150)), "s") for k in range(2_000)]
+    docs = table(spark, rows).select("doc_id", "text")
+    got = []
+    for size in (scoring.FILTER_BYTES, 1 << 10):
+        model, rare = scoring.fit(docs.where("doc_id is not null"), filter_bytes=size, frequent=7)
+        assert (model.apart is None) == (size == scoring.FILTER_BYTES) and model.segments > 3
+        got.append(collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in scoring.score(docs, model, rare).collect()))
+    assert got[0] == got[1] and sum(got[0].values()) == len(rows)
+    # a bigram that was seen once, after a word that was: half its share of the word, and half the word's own
+    model, rare = scoring.fit(docs.where("doc_id is not null"))
+    r = scoring.score(table(spark, [(1, "only5 here5 once5", "s")]).select("doc_id", "text"), model, rare).first()
+    p0 = 2 / (model.low_tokens + model.distinct + 1)
+    assert r.score > 2 * math.log10(0.5 + p0 / 2) + 2 * math.log10(p0 / 2) - 1e-6
+    assert scoring.score(docs.limit(0), model, rare).count() == 0
+
+
 @here
 def test_model_beats_base(spark):
     t = scoring.op6_scoring(spark, SF).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
