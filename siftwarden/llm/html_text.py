@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
+# A quote opens a value only just after `=`; one that never closes is a part of the value.
+_ATTR = r"(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++|(?=>)))?+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_ATTR})*+)>", re.S)
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_HIDES = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|\S*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_EACH = re.compile(_ATTR, re.S)
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -35,6 +39,24 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("optio
 WALLS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 
 
+def _hides(attributes: str) -> bool:
+    """Whether there is an attribute `hidden`, or one `style` that hides; the first of a name counts."""
+    seen = {}
+    for m in _EACH.finditer(attributes):
+        name, _, value = m[0][1:].partition("=")
+        value = value.strip()
+        seen.setdefault((m[0][0] + name).strip().lower(), value[1:-1] if len(value) > 1 and value[0] in "\"'" and value[0] == value[-1] else value)
+    if "hidden" in seen:
+        return True
+    rules = {}
+    for rule in _COMMENT.sub("", unescape(seen.get("style", ""))).lower().split(";"):
+        name, _, value = rule.partition(":")
+        value, important, _ = value.partition("!")
+        if important or not rules.get(name.strip(), ("", ""))[1]:
+            rules[name.strip()] = (value.strip(), important)
+    return rules.get("display", ("",))[0] == "none" or rules.get("visibility", ("",))[0] == "hidden"
+
+
 class Node:
     __slots__ = ("tag", "hidden", "children", "parent")
 
@@ -72,7 +94,7 @@ def tree(html: str) -> Node:
             at = _close(at, ("p",), ("td", "th", "li", "div", "button", "table"))
         if tag in ENDS:
             at = _close(at, ENDS[tag], WALLS.get(tag, ("table",)))
-        node = Node(tag, tag in UNSEEN or bool(m[3]) and _HIDES.search(m[3]) is not None, at)
+        node = Node(tag, tag in UNSEEN or _MAY_HIDE.search(m[3]) is not None and _hides(m[3]), at)
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, pos)

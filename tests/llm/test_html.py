@@ -22,6 +22,18 @@ def test_layout(html, text):
     assert render(html) == text
 
 
+QUOTES = [
+    ('<section title="the hidden garden">a</section>', "a"), ('<div class="a hidden b">a</div>', "a"), ("<p data-x='x hidden y'>a", "a"), ("<p title=don't>Hello world</p><p>can't lose</p>", "Hello world\n\ncan't lose"),
+    ('<table><tr><td width=10">Price 42</td><td class="x">b</td></table>', "Price 42 | b"), ('<p title="a > b">c', "c"), ('<p title="open>a', "a"), ("<p a=>b", "b"), ('<p data-style="display:none">a', "a"), ('<p title="style=display:none">a', "a"),
+    ('<p x="1"hidden>no</p>yes', "yes"), ("<p HIDDEN=''>no</p>yes", "yes"), ('<p style = "color:red; DISPLAY : none !important">no</p>yes', "yes"), ("<p style=visibility:hidden>no</p>yes", "yes"), ('<p style="display:none;display:block">a', "a"), ("<p =hidden>a", "a"), ("a<hr hidden/>b", "ab"),
+]
+
+
+@pytest.mark.parametrize("html,text", QUOTES)
+def test_quotes_and_hiding(html, text):
+    assert render(html).strip() == text
+
+
 def test_deep_and_long():
     assert render("<div>" * 50_000 + "x") == "x"
     assert len(render("<p>" + "word " * 200_000)) == 999_999
