@@ -91,11 +91,14 @@ class Index:
 
 def with_hits(docs: DataFrame, items: DataFrame, name: str = "hits") -> DataFrame:
     """docs with the column `name`, an array of (item_id, n_item, n_shared); items: item_id, text."""
-    made = written(sketched(items), "items")
+    made = written(sketched(items).withColumn("item", F.monotonically_increasing_id()), "items")
     kind = f"array<struct<item_id:{dict(items.dtypes)['item_id']},n_item:int,n_shared:int>>"
     if (made.agg(F.sum("n")).first()[0] or 0) > SENT_SHINGLES:
-        found = joined(docs.select("doc_id", "text"), made).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n_item", "n_shared")).alias(name))
-        return docs.join(found, "doc_id", "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {kind})")))
+        # rows are told apart by keys of their own, written so that they stay: ids may be null or repeat
+        docs = written(docs.withColumn("_doc", F.monotonically_increasing_id()), "keyed")
+        found = joined(docs.select(F.col("_doc").alias("doc"), "text"), made).join(made.select("item", "item_id"), "item")
+        found = found.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("item_id", "n_item", "n_shared"))).alias(name))
+        return docs.join(found, "_doc", "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {kind})"))).drop("_doc")
     sent = docs.sparkSession.sparkContext.broadcast(Index(made.orderBy("item_id").collect()))
 
     @F.arrow_udf(kind)
@@ -107,22 +110,21 @@ def with_hits(docs: DataFrame, items: DataFrame, name: str = "hits") -> DataFram
 
 
 def joined(docs: DataFrame, made: DataFrame) -> DataFrame:
-    """The same pairs by joins, for items too many to send: doc_id, item_id, n_item, n_shared."""
+    """The same pairs by joins, for items too many to send: doc, item, n_item, n_shared; docs: doc, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = pa.array([s.view(np.int64) for s in shingle_sets(batch["text"], SHINGLE)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["doc"], lists], ["doc", "shingles"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.mapInArrow(run, f"doc_id {kind}, shingles array<long>").select("doc_id", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
+    rows = docs.mapInArrow(run, "doc long, shingles array<long>").select("doc", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
     part = made.groupBy("part").agg(F.min("n").alias("least"))
-    heads = made.join(part, "part").select("item_id", "n", F.ceil(F.col("least") * SHARE[0] / SHARE[1]).alias("fits"), F.explode("sketch").alias("h"))
-    near = rows.join(heads, "h").where("fits <= size").select("doc_id", "item_id").distinct()
-    full = made.select("item_id", F.col("n").alias("n_item"), F.explode("shingles").alias("h"))
+    heads = made.join(part, "part").select("item", "n", F.ceil(F.col("least") * SHARE[0] / SHARE[1]).alias("fits"), F.explode("sketch").alias("h"))
+    near = rows.join(heads, "h").where("fits <= size").select("doc", "item").distinct()
+    full = made.select("item", F.col("n").alias("n_item"), F.explode("shingles").alias("h"))
     # a candidate's item shingles meet the document's: a row for each shingle of the item, not for each of the document
-    held = near.join(full, "item_id").join(rows.select("doc_id", "h").distinct(), ["doc_id", "h"])
-    held = held.groupBy("doc_id", "item_id", "n_item").agg(F.count_distinct("h").cast("int").alias("n_shared"))
+    held = near.join(full, "item").join(rows.select("doc", "h").distinct(), ["doc", "h"])
+    held = held.groupBy("doc", "item", "n_item").agg(F.count_distinct("h").cast("int").alias("n_shared"))
     return held.where(f"n_shared * {SHARE[1]} >= n_item * {SHARE[0]}")
 
 

@@ -227,6 +227,17 @@ def test_decontamination_against_brute_force(spark, monkeypatch, sent):
     assert found.count() == len(docs)
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_decontamination_of_null_and_repeated_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(decontam, "SENT_SHINGLES", sent)
+    items = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "h i j k l m n"), (None, "o p q r s t u")]
+    docs = [(None, "x a b c d e f g"), (None, "nothing in it"), (7, "a b c d e f g x"), (7, "clean text of the same id"), (7, "h i j k l m n"), (8, "o p q r s t u"), (9, "a b c d e h i j k l")]
+    found = decontam.with_hits(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted(((r.text, r.doc_id, [tuple(h) for h in r.hits]) for r in found.collect()), key=str)
+    hits = {0: [(1, 3, 3)] * 2, 2: [(1, 3, 3)] * 2, 4: [(1, 3, 3)], 5: [(None, 3, 3)]}
+    assert got == sorted(((t, i, hits.get(k, [])) for k, (i, t) in enumerate(docs)), key=str)
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, items = bench_rows()
     none = spark.createDataFrame([], "item_id long, text string")
