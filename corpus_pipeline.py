@@ -21,15 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, and of rows that repeat a doc_id, one stays."""
-    found = neardup.components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """Of each group of linked documents, and of rows that repeat a doc_id and text, one stays."""
+    found = written(neardup.classed(docs).select("doc_id", F.col("text_hash").alias("_text"), "kept"), "found")
+    keys = ["doc_id", "_text"]
+    again = found.where("doc_id is not null and kept").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    kept = docs.withColumn("_text", neardup.text_hash()).join(found.where("not kept").select(*keys).distinct(), keys, "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, keys, "left_semi").dropDuplicates(keys)
+        kept = kept.join(again, keys, "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or mor
 is what links reach.
 
 1. Each text gets its set's hash and a signature of ORDERS * DEPTH MinHash values.  Equal sets are one
-   class from here on, whatever their number, under its smallest doc_id.
+   class from here on, whatever their number, numbered in the order of their smallest doc_id and set hash.
 2. The forest: ORDERS sorted orders of the classes, each by its own sequence of signature values (DEPTH of
    its own, then DEPTH of the next order's).  Rows are sorted over the whole cluster by range, so that an order's
    region, the classes that share a prefix, may span tasks.  Neighbours in an order, those with the longest
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -47,6 +47,11 @@ _ADD = mix(np.arange(1001, 1001 + ORDERS * DEPTH, dtype=U)).astype(np.uint32)
 PICK_BITS = 1 << 24
 
 
+def text_hash() -> Column:
+    """With the doc_id, what tells rows of different texts apart."""
+    return F.xxhash64("text")
+
+
 def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, shingles, where each text's begin, with one end more), repeats included."""
     for row, end, data, at in goes(column):
@@ -86,8 +91,13 @@ def signatures(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_hash(sets: list[np.ndarray]) -> np.ndarray:
+    h = np.array([np.sum(mix(s), dtype=U) for s in sets], U)
+    return mix(h + np.array([len(s) for s in sets], U)).view(np.int64)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash and signature (null where there are no shingles)."""
+    """doc_id, text_hash, n_shingles, set_hash and signature (null where there are no shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,15 +106,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = _distinct(flat, off)
                 size = np.array([len(s) for s in sets])
                 n.append(size)
-                h = np.array([np.sum(mix(s), dtype=U) for s in sets], U)
-                keys.append(mix(h + size.astype(U)))
+                keys.append(_set_hash(sets))
                 rows = iter(signatures(flat, off))
                 marks += [next(rows).tobytes() if k else None for k in size]
-            n_, keys_ = np.concatenate([*n, np.zeros(0, int)]), np.concatenate([*keys, np.zeros(0, U)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_.astype(np.int64)), pa.array(keys_.view(np.int64)), pa.array(marks, pa.binary())], ["doc_id", "n_shingles", "set_hash", "signature"])
+            n_, keys_ = np.concatenate([*n, np.zeros(0, int)]), np.concatenate([*keys, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n_.astype(np.int64)), pa.array(keys_), pa.array(marks, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_hash", "signature"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash long, signature binary")
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, set_hash long, signature binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -164,9 +173,12 @@ def _fits(a: str, b: str):
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and set, as sorted bytes, of the documents in ids.  Of the others, a filter of fixed size spares most."""
-    place = F.pmod(F.xxhash64(F.col("id")), F.lit(PICK_BITS))
+def _sets_of(docs: DataFrame, ids: DataFrame, again: DataFrame) -> DataFrame:
+    """id and set, as sorted bytes, of the classes in ids (id, doc_id, text_hash).  Of other documents, a filter of fixed size spares most.
+
+    again: doc_id and text_hash of rows that repeat both, of which one is read.
+    """
+    place = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PICK_BITS))
     rows = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     # a bucket is 4 KB and there are PICK_BITS / 32768 of them
     size = 1 << 12
@@ -182,12 +194,17 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for _, _, flat, off in _sets(batch["text"]) for s in _distinct(flat, off)]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets = [s for _, _, flat, off in _sets(batch["text"]) for s in _distinct(flat, off)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "text_hash", "shingles"])
 
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(PICK_BITS))
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_hash()), F.lit(PICK_BITS))
     some = docs.where("doc_id is not null").where(picked(F.bitmap_bucket_number(at), F.bitmap_bit_position(at)))
-    return written(some.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, shingles binary").join(ids, "id", "left_semi"), "sets")
+    some = some.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    if not again.isEmpty():
+        once = some.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+        some = some.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(once)
+    made = some.mapInArrow(run, "doc_id long, text_hash long, shingles binary")
+    return written(made.join(ids, ["doc_id", "text_hash"]).select("id", "shingles"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -291,12 +308,17 @@ def _block_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("tree", "p", "i", "j").applyInArrow(link, "a long, b long")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+def classed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and kept for each row of docs (doc_id, text).
+
+    Of each component one doc_id and text_hash is kept, with all rows that repeat both; what is linked with nothing is kept.
+    """
     spark = docs.sparkSession
     told = written(sketches(docs), "sketches")
     some = told.where("n_shingles > 0 and doc_id is not null")
-    classes = written(some.groupBy("set_hash").agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
+    classes = some.groupBy("set_hash").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "text_hash")).alias("head"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    # numbers in this order make the smallest id of a component that of its smallest doc_id
+    classes = written(classes.select("set_hash", "head.*", "n", "signature").orderBy("doc_id", "set_hash").withColumn("id", F.monotonically_increasing_id()), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = written(neighbours(forest(classes.select("id", "n", "signature")), parts), "neighbours")
     ends = near.where("kind = 2").select("tree", "p", "q", F.col("a").alias("id"), F.col("n_a").alias("n"))
@@ -310,7 +332,8 @@ def components(docs: DataFrame) -> DataFrame:
         members = members.unionByName(over.select("tree", "p", F.col(end[0]).alias("a"), F.col(end[1]).alias("n")))
     members = written(members.distinct(), "members")
     labels = written(members.select(F.col("a").alias("id")).distinct().withColumn("comp", F.col("id")), "labels")
-    sets = _sets_of(docs, labels.select("id"))
+    again = written(some.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
+    sets = _sets_of(docs, classes.select("id", "doc_id", "text_hash").join(labels.select("id"), "id", "left_semi"), again)
     tested = None
 
     def untested(some: DataFrame) -> DataFrame:
@@ -335,10 +358,18 @@ def components(docs: DataFrame) -> DataFrame:
     links = written(small.unionByName(_block_links(mixed, sets)), "links")
     if not links.isEmpty():
         labels = relabel(labels, links)
-    labels = labels.where("id <> comp").withColumnsRenamed({"id": "_id", "comp": "_comp"})
-    by_set = classes.select("set_hash", F.col("id").alias("_id")).join(labels, "_id", "left").select("set_hash", F.coalesce("_comp", "_id").alias("_comp"))
+    heads = classes.select(F.col("id").alias("comp"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"))
+    labels = labels.where("id <> comp").join(heads, "comp").select("id", "_doc", "_text")
+    by_set = classes.join(labels, "id", "left").select("set_hash", F.coalesce("_doc", "doc_id").alias("_doc"), F.coalesce("_text", "text_hash").alias("_text"), F.col("_doc").isNull().alias("_first"))
     out = told.drop("signature").join(by_set, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id"))).alias("component_id"))
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    kept = ~linked | (F.col("_first") & (F.col("doc_id") == F.col("_doc")) & (F.col("text_hash") == F.col("_text")))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(linked, F.col("_doc")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
+    return classed(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,3 +49,13 @@ def test_odd_rows(spark):
     assert P.shard(spark, docs, SF).count() == 4
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies_of_repeated_ids(spark):
+    text = lambda c, n=12: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b")), (2, text("c")), (2, text("c")), (3, text("c")), (3, text("d")), (4, text("e", 60)), (4, text("f")), (5, text("e", 59)), (5, text("f").upper()), (6, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 11) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, text("a")), (1, text("b")), (2, text("c")), (3, text("d")), (4, text("e", 60)), (4, text("f")), (6, None), (6, "")], key=str)
+    comps = {(r.doc_id, r.component_id) for r in neardup.components(docs).collect()}
+    assert comps == {(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 4), (5, 4), (6, 6)}
