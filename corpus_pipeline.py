@@ -39,10 +39,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: 0 to 3.  Rows that repeat a doc_id: as often as one of them."""
-    known = docs.where("doc_id is not null")
-    copies = mixing.taken_words(known).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    taken = known.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    """Each document as many times as the mix takes it: 0 to 3.  Rows that repeat a doc_id and text: as often as one of them."""
+    # a doc_id may repeat with another text, which is drawn for itself
+    known = docs.where("doc_id is not null").withColumn("_key", F.struct("doc_id", neardup.text_hash().alias("text_hash")))
+    copies = mixing.taken_words(known.select(F.col("_key").alias("doc_id"), "source", "text"))
+    copies = copies.groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = known.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

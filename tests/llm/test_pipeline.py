@@ -59,3 +59,11 @@ def test_near_copies_of_repeated_ids(spark):
     assert got == sorted([(1, text("a")), (1, text("b")), (2, text("c")), (3, text("d")), (4, text("e", 60)), (4, text("f")), (6, None), (6, "")], key=str)
     comps = {(r.doc_id, r.component_id) for r in neardup.components(docs).collect()}
     assert comps == {(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 4), (5, 4), (6, 6)}
+
+
+def test_mixing_of_repeated_ids(spark):
+    # a has two thirds of the words and wants one: one or none of each text, whether or not another text has the id
+    rows = [(k % 40, f"{k} " + "w " * 9, "en", "abb"[k % 3 == 0], 11) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.mix_sources(spark, docs, SF).collect()
+    assert abs(len(got) - 600) <= 2 and abs(sum(r.source == "a" for r in got) - 200) <= 1
