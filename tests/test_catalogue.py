@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -41,3 +44,15 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["source", "n_findings", "risk_score", "grade"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("gone", [["siftwarden/llm", "tests/llm"], ["siftwarden/llm", "tests/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_entry_without_corpus_operators(tmp_path, gone):
+    top = Path(__file__).resolve().parents[1]
+    shutil.copytree(top, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", *(Path(g).name for g in gone)))
+    told = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len([n for n in q if n == 'pipeline' or n.startswith('op')]), len(q))"
+    run = subprocess.run([sys.executable, "-c", told], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
+    corpus, all_ = map(int, run.stdout.split())
+    assert corpus == (10 if gone == ["corpus_pipeline.py"] and (top / "siftwarden/llm").exists() else 0)
+    assert all_ - corpus == len(catalogue.QUERIES)
