@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs: DataFrame, needed: list[str], results: list[str]) -> tuple[DataFrame, Callable[[DataFrame, list[str]], DataFrame]]:
+    """docs with `needed` and all other columns in one, so that no name of theirs meets one that an operator makes;
+    and what takes them out again beside the operator's results.  A column with a result's name gives way to it."""
+    box = "__box"
+    others = [f for f in docs.schema if f.name not in needed and f.name not in results]
+
+    def opened(df: DataFrame, made: list[str]) -> DataFrame:
+        first = [c for c in needed if c in df.columns and c not in made]
+        return df.select(*first, *(F.col(box)[k].alias(f.name) for k, f in zip(map("c{}".format, range(len(others))), others)), *made)
+
+    inner = [F.struct(*(F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(others))).alias(box)] if others else []
+    return docs.select(*needed, *inner), opened
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text, as an array; null text: none."""
     inner = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE))

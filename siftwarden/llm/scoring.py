@@ -1,30 +1,33 @@
-"""Operator 6, LM scoring: a bigram model in a log-frequency Bloom filter.
+"""Operator 6, LM scoring: a trigram model in a log-frequency Bloom filter.
 
-Counting: uni- and bigrams of the training texts (ASCII-lower-cased words, an end after each text, a
-start before it), combined in each task and summed by Spark under 63-bit hashes whose last bit tells uni-
-from bigrams.  Counts are exact and cover all training texts.
+Counting: words, bigrams and trigrams of all training texts (ASCII-lower-cased words, an end after each text, a
+start before it).  Each task counts its own texts and passes sorted codes and counts on, as one value for each
+range of codes; a range meets in one task, which sums it exactly.  Words are told apart by 64 bits, bigrams
+and trigrams by 46; the number of ranges follows the bytes of the texts, so a range's size does not.
 
 Model: counts are quantised to edges, the whole numbers next above powers of BASE.  An n-gram's level is
 how many edges its count c has reached; the filter holds all n-grams, those seen once too, as
 (n-gram, 1) to (n-gram, level).  Probing levels from 1 until one misses gives the level back, and so the
 edges low <= c <= high about c.  With L the sum of low over all words and V their number,
 
-    p0(w) = (low(w) + 1) / (L + V + 1)
-    p(w | v) = WEIGHT * low(v w) / high(v) + (1 - WEIGHT) * p0(w),   or p0(w) where v isn't held.
+    p1(w) = (low(w) + 1) / (L + V + 1)
+    p2(w | v) = WEIGHT * max(low(v w) - DISCOUNT, 0) / high(v) + (1 - WEIGHT) * p1(w),   or p1(w) where v isn't held
+    p3(w | u v) = WEIGHT * max(low(u v w) - DISCOUNT, 0) / high(u v) + (1 - WEIGHT) * p2(w | v),   or p2 where u v isn't held.
 
-Low over high keeps the sum over w at 1 at most.  `score` is the sum of log10 p over a text's words and its end.
+Low over high keeps the sums over w at 1 at most; the discount keeps what a text itself adds to the counts from
+telling most about it.  `score` is the sum of log10 p3 over a text's words and its end.
 
-The filter is cut into segments by hash, each built by one task; their number follows the counts.  Up to
-FILTER_BYTES they are sent to all workers.  A larger filter stays a table of segments: texts are cut into
-runs, the distinct n-grams of each run go to the ranges of segments that they fall in, are probed there one range
-at a time, and the levels meet the run again, with the same scores.
+The filter has a segment for each range, built where the range is summed.  Up to FILTER_BYTES they are sent to all
+workers.  A larger filter stays a table of segments: texts are cut into runs, the distinct n-grams of each run go
+to the ranges that they fall in, are probed there, and the levels meet the run again, with the same scores.
 
 The base score needs exact counts.  The FREQUENT commonest words, a fixed number, go to the workers with
 their counts; the other words of each text meet the exact table in a join.
 
 Nulls and edges: a null text is an empty one, one end; rows with a null doc_id are scored but not learnt
 from; repeated rows are learnt from and scored each; without training texts every probability is 1 (log 0);
-an empty table gives none.
+very long texts are taken whole (a text's own words and n-grams must fit its task: some 100 bytes for each of its words);
+columns of docs stay, but one named as a result column gives way to it; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,66 +36,148 @@ import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, table, written
-from .hashing import U, goes, mix, word_hashes
+from .common import boxed, id_bucket, table, written
+from .hashing import U, goes, mix, utf8, word_hashes
 
 BASE = 1.3
-WEIGHT = 0.5
+WEIGHT, DISCOUNT = 0.6, 0.75
 BITS = 14
 PROBES = 6
-SEGMENT = 1 << 21
 #: Up to so many bytes the filter is sent to all workers.
-FILTER_BYTES = 128 << 20
-#: Segments of a larger filter that are probed at a time, 4 MB.
-RANGE = 16
+FILTER_BYTES = 64 << 20
+#: Bytes of text whose n-grams make a range on average; a range is summed, and probed, by one task.
+RANGE_BYTES = 8 << 20
+#: Bytes of text that ask for their n-grams together where the filter is a table.
+RUN_BYTES = 8 << 20
 FREQUENT = 200_000
 #: Tokens that a task counts before it passes counts on.
 HELD = 3 << 19
-_END, _START = mix(np.array([101, 102], U)) & ~U(1)
-_LEFT, _RIGHT = mix(np.array([103, 104], U)) | U(1)
+#: Bits of a code; the last two tell words, bigrams and trigrams apart.
+CODE = 48
+_END, _START = mix(np.array([101, 102], U))
+_LEFT, _RIGHT, _LEFT3, _RIGHT3 = mix(np.array([103, 104, 105, 106], U)) | U(1)
 
 
-def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, tokens, bigrams, where each text's tokens begin), hashed, for runs of texts."""
+def code(h: np.ndarray, kind: int) -> np.ndarray:
+    return h >> U(64 - CODE) & ~U(3) | U(kind)
+
+
+def range_of(codes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range that a code falls in; rises with the code."""
+    return ((codes >> U(CODE - 32)) * U(ranges) >> U(32)).astype(np.int64)
+
+
+def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, words, bigram codes, trigram codes, where each text's words begin) for runs of texts.
+
+    A value for each word; a text's first word ends no trigram, and the value there means nothing.
+    """
     for row, end, data, at in goes(column):
         h, of = word_hashes(data, at)
         ends = of[1:] + np.arange(1, end - row + 1)  # behind each text's words
         inner = np.ones(len(h) + end - row, bool)
         inner[ends - 1] = False
         tokens = np.empty(len(inner), U)
-        tokens[inner] = h & ~U(1)
+        tokens[inner] = h
         tokens[~inner] = _END
         first = np.concatenate([[0], ends[:-1]])
         before = np.concatenate([[_START], tokens[:-1]]).astype(U)
         before[first] = _START
-        yield row, end, tokens, mix(before * _LEFT + tokens * _RIGHT) | U(1), first
+        pairs = mix(before * _LEFT + tokens * _RIGHT)
+        triples = mix(np.concatenate([[U(0)], pairs[:-1]]) * _LEFT3 + tokens * _RIGHT3)
+        yield row, end, tokens, code(pairs, 1), code(triples, 2), first
+
+
+def _counted(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([*values, np.zeros(0, U)]), return_counts=True)
+
+
+def _pack(sorted_: np.ndarray) -> bytes:
+    """Sorted values as the first, and steps of four bytes; the few larger steps come at the end."""
+    step = np.diff(sorted_)
+    large = step >= U(0xFFFFFFFF)
+    return sorted_[:1].tobytes() + np.where(large, U(0xFFFFFFFF), step).astype(np.uint32).tobytes() + step[large].tobytes() + np.array([len(sorted_)], U).tobytes()
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(h, n) over docs (text): unigrams have even h, bigrams odd."""
+def _unpack(data: memoryview) -> np.ndarray:
+    n = int(np.frombuffer(data[-8:], U)[0])
+    step = np.frombuffer(data[8 : 4 + 4 * n], np.uint32)
+    out = np.empty(n, U)
+    out[0], out[1:] = np.frombuffer(data[:8], U)[0], step
+    out[1:][step == 0xFFFFFFFF] = np.frombuffer(data[4 + 4 * n : -8], U)
+    return np.cumsum(out, dtype=U)
+
+
+def _slim(n: np.ndarray) -> bytes:
+    return n.astype(np.uint8 if n.max() < 256 else np.int64).tobytes()
+
+
+def _cuts(codes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of sorted codes, and where each begins, with one end more."""
+    of = range_of(codes, ranges)
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[at], np.append(at, len(codes))
+
+
+def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
+    """A row for each range that n-grams of docs (text) fall in: part, bits (its segment), word and n (exact counts of its words)."""
+    kinds = "part long, kind int, h binary, n binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        words: list[np.ndarray] = []
+        grams: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate([*held, np.zeros(0, U)]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            rows = []
+            for kind, (h, n) in enumerate((_counted(words), _counted(grams))):
+                parts, at = _cuts(h if kind else code(h, 0), ranges)
+                rows += [(p, kind, _pack(h[a:b]), _slim(n[a:b])) for p, a, b in zip(parts.tolist(), at[:-1], at[1:])]
+            words.clear(), grams.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["part", "kind", "h", "n"])
 
         for batch in batches:
-            for _, _, tokens, pairs, _ in sequences(batch["text"]):
-                held += [tokens, pairs]
-                if sum(map(len, held)) > 2 * HELD:
+            for _, _, tokens, pairs, triples, first in sequences(batch["text"]):
+                words.append(tokens)
+                grams += [pairs, np.delete(triples, first)]
+                if sum(map(len, words)) > HELD:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by range."""
+        here, held = None, ([], [])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if here is None:
+                return
+            told = []
+            for rows in held:
+                h = np.concatenate([x for x, _ in rows] + [np.zeros(0, U)])
+                n = np.concatenate([x for _, x in rows] + [np.zeros(0, np.int64)])
+                order = np.argsort(h)
+                h, n = h[order], n[order]
+                at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+                told.append((h[at], np.add.reduceat(n, at) if len(h) else n))
+            (word, many), (gram, more) = told
+            bits = Filter.segment(np.concatenate([code(word, 0), gram]), np.searchsorted(EDGES, np.concatenate([many, more]), "right"))
+            yield pa.RecordBatch.from_arrays([pa.array([here]), pa.array([bits], pa.binary()), pa.array([word.view(np.int64)], pa.list_(pa.int64())), pa.array([many], pa.list_(pa.int64()))], ["part", "bits", "word", "n"])
+
+        for batch in batches:
+            for part, kind, h, n in zip(batch["part"].to_pylist(), batch["kind"].to_pylist(), batch["h"], batch["n"]):
+                if part != here:
+                    yield from done()
+                    here, held = part, ([], [])
+                h, n = _unpack(memoryview(h.as_buffer())), n.as_buffer()
+                held[kind].append((h, np.frombuffer(n, np.uint8 if n.size == len(h) else np.int64).astype(np.int64)))
+        yield from done()
+
+    told = docs.select("text").mapInArrow(count, kinds).repartition("part").sortWithinPartitions("part")
+    return told.mapInArrow(merge, "part long, bits binary, word array<long>, n array<long>")
 
 
 def _marks() -> tuple[np.ndarray, np.ndarray]:
@@ -105,48 +190,46 @@ _MARK_BITS, _MARK_MASK = _marks()
 
 
 class Filter:
-    """A Bloom filter whose entries set PROBES bits of one 64-bit word, and levels of n-grams by probing."""
+    """A Bloom filter in segments, whose entries set PROBES bits of one 64-bit word, and levels of n-grams by probing."""
 
-    def __init__(self, words: np.ndarray, segments: int | None = None, first: int = 0):
-        """words: the bits of all segments, or those from segment `first` on."""
-        self.words, self.first = words, first
-        self.segments = len(words) * 64 // SEGMENT if segments is None else segments
+    def __init__(self, ranges: int, words: np.ndarray, at: np.ndarray, first: int = 0):
+        """words: the bits of the segments of ranges from `first` on, which begin at `at`, with one end more."""
+        self.ranges, self.words, self.at, self.first = ranges, words, at, first
 
     @staticmethod
-    def _at(h: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Word in its segment and kind of mark of an entry."""
-        r = mix(h ^ (np.asarray(level).astype(U) * U(0x9FB21C651E98DF25)))
-        return (r >> U(20) & U(SEGMENT // 64 - 1)).astype(np.int64), (r & U(0xFFFF)).astype(np.int64)
+    def _place(codes: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Word in its segment, of so many words, and kind of mark of an entry."""
+        r = mix(codes ^ (np.asarray(level).astype(U) * U(0x9FB21C651E98DF25)))
+        return ((r >> U(32)) * np.asarray(size).astype(U) >> U(32)).astype(np.int64), (r & U(0xFFFF)).astype(np.int64)
 
     @classmethod
-    def segment(cls, h: np.ndarray, level: np.ndarray) -> bytes:
-        """The bits of a segment that holds n-grams h up to the given levels."""
+    def segment(cls, codes: np.ndarray, level: np.ndarray) -> bytes:
+        """The bits of a segment that holds n-grams up to the given levels."""
+        size = -(-int(level.sum()) * BITS // 64)
         step = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level) + 1
-        word, mark = cls._at(np.repeat(h, level), step)
-        out = np.zeros(SEGMENT, np.uint8)
+        word, mark = cls._place(np.repeat(codes, level), step, size)
+        out = np.zeros(size * 64, np.uint8)
         for k in range(PROBES):
             out[word * 64 + _MARK_BITS[mark, k]] = 1
         return np.packbits(out, bitorder="little").tobytes()
 
-    def level(self, h: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+    def level(self, codes: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
         """The level of each n-gram; `most`: levels that it can't exceed, which aren't probed."""
-        out = np.zeros(len(h), np.int64)
-        if not self.segments:
-            return out
-        live = np.arange(len(h)) if most is None else np.flatnonzero(most > 0)
-        h = h[live]
-        base = ((h >> U(1)) % U(self.segments) - U(self.first)) * U(SEGMENT // 64)
-        base, level = base.astype(np.int64), 0
+        out = np.zeros(len(codes), np.int64)
+        part = range_of(codes, self.ranges) - self.first
+        base = self.at[part]
+        size = self.at[part + 1] - base
+        live = np.flatnonzero(size > 0 if most is None else (size > 0) & (most > 0))
+        codes, base, size, level = codes[live], base[live], size[live], 0
         while len(live):
             level += 1
-            word, mark = self._at(h, level)
+            word, mark = self._place(codes, level, size)
             mask = _MARK_MASK[mark]
             hit = (self.words[base + word] & mask) == mask
-            live, h, base = live[hit], h[hit], base[hit]
-            out[live] = level
+            out[live[hit]] = level
             if most is not None:
-                on = most[live] > level
-                live, h, base = live[on], h[on], base[on]
+                hit &= most[live] > level
+            live, codes, base, size = live[hit], codes[hit], base[hit], size[hit]
         return out
 
 
@@ -157,42 +240,44 @@ EDGES = np.unique(np.ceil(BASE ** np.arange(150) - 1e-9))
 class Model:
     """What scoring needs: the filter, the commonest words' counts, and the totals.
 
-    apart: the segments (segment, bits) of a filter too large to send; `filter` is empty then.
+    apart: the segments (part, bits) of a filter too large to send; `filter` is none then.
     """
 
-    def __init__(self, bits: np.ndarray, segments: int, apart: DataFrame | None, frequent: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, texts: int, low_tokens: float):
-        self.filter, self.segments, self.apart, self.frequent = Filter(bits), segments, apart, frequent
+    def __init__(self, filter_: Filter | None, ranges: int, apart: DataFrame | None, frequent: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, texts: int, low_tokens: float):
+        self.filter, self.ranges, self.apart, self.frequent = filter_, ranges, apart, frequent
         self.tokens, self.distinct, self.texts, self.low_tokens = tokens, distinct, texts, low_tokens
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"apart": None}  # a table isn't sent
 
-    def log_p(self, tokens: np.ndarray, pairs: np.ndarray, first: np.ndarray, level: np.ndarray, held: np.ndarray | None = None) -> np.ndarray:
-        """log10 p of each token; level: the tokens' own; held: the bigrams', where they have been looked up."""
+    def log_p(self, word: np.ndarray, first: np.ndarray, look: Callable, pairs: np.ndarray, triples: np.ndarray) -> np.ndarray:
+        """log10 p3 of each word; word: their levels; look: the levels of codes, each at most as given."""
         low = np.concatenate([[0.0], EDGES])
-        p0 = (low[level] + 1) / (self.low_tokens + self.distinct + 1)
-        before = np.concatenate([[0], level[:-1]])
-        seen = EDGES[before] - 1.0  # the next edge less 1
+        high = np.concatenate([[0.0], EDGES[1:] - 1.0])  # the next edge less 1
+        earlier = lambda x: np.concatenate([[0], x[:-1]])
+        # an n-gram occurs no more often than its parts do, so higher levels needn't be probed
+        most = np.minimum(word, earlier(word))
+        most[first] = word[first]
+        pair = look(pairs, most)
+        most = np.minimum(pair, earlier(pair))
+        most[first] = 0
+        triple = look(triples, most)
+        seen = high[earlier(word)]
         seen[first] = self.texts
-        # a bigram occurs no more often than its words do, so higher levels needn't be probed
-        most = level.copy()
-        most[1:] = np.minimum(level[1:], level[:-1])
-        most[first] = level[first]
-        held = self.filter.level(pairs, most) if held is None else np.minimum(held, most)
-        both = np.where(held > 0, EDGES[held - 1], 0.0)
-        p = WEIGHT * np.minimum(both / np.maximum(seen, 1.0), 1.0) + (1 - WEIGHT) * p0
-        return np.log10(np.where(seen > 0, p, p0))
+        p = (low[word] + 1) / (self.low_tokens + self.distinct + 1)
+        p = _backed(low[pair], seen, p)
+        seen = high[earlier(pair)]
+        seen[first] = 0
+        return np.log10(_backed(low[triple], seen, p))
 
 
-#: Counts below this are told apart one by one.
-EXACT = 10_000
+def _backed(low: np.ndarray, seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    p = WEIGHT * np.minimum(np.maximum(low - DISCOUNT, 0) / np.maximum(seen, 1.0), 1.0) + (1 - WEIGHT) * shorter
+    return np.where(seen > 0, p, shorter)
 
 
-def _reached(n: Column) -> Column:
-    """How many edges a count has reached: looked up, or counted for the few that are large."""
-    known = ",".join(map(str, np.searchsorted(EDGES, np.arange(EXACT), "right")))
-    large = F.size(F.filter(F.array(*(F.lit(float(x)) for x in EDGES)), lambda x: x <= n))
-    return F.when(n < EXACT, F.get(F.split(F.lit(known), ",").cast("array<int>"), n.cast("int"))).otherwise(large)
+#: Counts below this are told apart one by one.
+EXACT = 10_000
 
 
 def _settled(made: DataFrame) -> DataFrame:
@@ -204,32 +289,23 @@ def _settled(made: DataFrame) -> DataFrame:
 
 def fit(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> tuple[Model, DataFrame]:
     """The model of texts `train` (text), and the exact counts of its words (h, n)."""
-    counts = _settled(written(count_ngrams(train), "ngrams"))
-    words = counts.where("h % 2 = 0")
+    ranges = 1 + int(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES
+    made = _settled(written(count_ngrams(train, ranges), "ngrams"))
+    words = made.select(F.explode(F.arrays_zip(F.col("word").alias("h"), "n")).alias("x")).select("x.h", "x.n")
     above = F.when(F.col("n") >= EXACT, F.element_at(F.filter(F.array(*(F.lit(float(x)) for x in EDGES)), lambda x: x <= F.col("n")), -1))
     totals = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(above), F.sum(F.when(F.col("h") == int(_END.astype(np.int64)), F.col("n")))).first()
-    # 2 * EXACT rows at most, whatever the corpus
-    sizes = counts.groupBy((F.col("h") % 2 == 0).alias("word"), F.least("n", F.lit(EXACT)).alias("n")).agg(F.count(F.lit(1)).alias("many")).collect()
-    low_tokens = sum(EDGES[np.searchsorted(EDGES, r.n, "right") - 1] * r.many for r in sizes if r.word and r.n < EXACT) + (totals[2] or 0.0)
-    # large counts as if they were the largest
-    entries = sum(r.many * (len(EDGES) if r.n == EXACT else int(np.searchsorted(EDGES, r.n, "right"))) for r in sizes)
-    segments = -(-entries * BITS // SEGMENT)
-
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        bits = Filter.segment(part.h.to_numpy(np.int64).view(U), part.level.to_numpy(np.int64))
-        return pd.DataFrame({"segment": [part.segment.iloc[0]], "bits": [bits]})
-
-    place = F.shiftrightunsigned("h", 1) % F.lit(max(segments, 1))
-    built = counts.select("h", _reached(F.col("n")).alias("level"), place.alias("segment")).groupBy("segment").applyInPandas(build, "segment long, bits binary")
-    bits, apart = np.zeros(0, U), None
-    if segments * SEGMENT // 8 > filter_bytes:
-        apart = _settled(written(built, "segments"))
-    elif segments:
-        bits = np.zeros(segments * SEGMENT // 64, U)
-        for r in built.toLocalIterator():
-            bits[r.segment * SEGMENT // 64 : (r.segment + 1) * SEGMENT // 64] = np.frombuffer(r.bits, U)
+    # EXACT rows at most, whatever the corpus
+    sizes = words.groupBy(F.least("n", F.lit(EXACT)).alias("n")).agg(F.count(F.lit(1)).alias("many")).collect()
+    low_tokens = sum(EDGES[np.searchsorted(EDGES, r.n, "right") - 1] * r.many for r in sizes if r.n < EXACT) + (totals[2] or 0.0)
+    filter_, apart = None, None
+    if (made.agg(F.sum(F.length("bits"))).first()[0] or 0) > filter_bytes:
+        apart = made.select("part", "bits")
+    else:
+        bits = {r.part: np.frombuffer(r.bits, U) for r in made.select("part", "bits").toLocalIterator()}
+        at = np.concatenate([[0], np.cumsum([len(bits.get(k, ())) for k in range(ranges)])]).astype(np.int64)
+        filter_ = Filter(ranges, np.concatenate([*(bits[k] for k in sorted(bits)), np.zeros(0, U)]), at)
     least, room = EXACT + 1, frequent
-    for r in sorted((r for r in sizes if r.word), key=lambda r: -r.n):
+    for r in sorted(sizes, key=lambda r: -r.n):
         if (room := room - r.many) < 0:
             break
         least = r.n
@@ -239,22 +315,21 @@ def fit(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQ
     common = words.where(F.col("n") >= least).toPandas()
     h = common.h.to_numpy(np.int64).view(U)
     order = np.argsort(h)
-    model = Model(bits, segments, apart, (h[order], common.n.to_numpy(np.int64)[order]), totals[0] or 0, totals[1], totals[3] or 0, low_tokens)
+    model = Model(filter_, ranges, apart, (h[order], common.n.to_numpy(np.int64)[order]), totals[0] or 0, totals[1], totals[3] or 0, low_tokens)
     return model, words.where(F.col("n") < least)
 
 
 def _told(m: Model, batch: pa.RecordBatch, keep: list[str], uid: int, look: Callable) -> pa.RecordBatch:
-    """What the model tells of the texts of a batch; look: from the n-grams of a run to levels of its tokens and bigrams."""
+    """What the model tells of the texts of a batch; look: levels of codes, at most as given."""
     known_h, known_n = m.frequent
     log_all = np.log10(m.tokens + m.distinct + 1)
     n_tokens, n_known = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
     base, total = np.zeros(len(batch)), np.zeros(len(batch))
     rest_h: list[np.ndarray] = []
     rest_at = [np.zeros(1, np.int64)]
-    for row, end, tokens, pairs, first in sequences(batch["text"]):
+    for row, end, tokens, pairs, triples, first in sequences(batch["text"]):
         kinds, at = np.unique(tokens, return_inverse=True)
-        level, held = look(kinds, pairs)
-        total[row:end] = np.add.reduceat(m.log_p(tokens, pairs, first, level[at], held), first)
+        total[row:end] = np.add.reduceat(m.log_p(look(code(kinds, 0), None)[at], first, look, pairs, triples), first)
         n_tokens[row:end] = np.diff(first, append=len(tokens))
         if len(known_h):
             near = np.minimum(np.searchsorted(known_h, kinds), len(known_h) - 1)
@@ -273,55 +348,52 @@ def _told(m: Model, batch: pa.RecordBatch, keep: list[str], uid: int, look: Call
     return pa.RecordBatch.from_arrays([batch[c] for c in keep] + out, names=[*keep, "_uid", "n_tokens", "n_known", "base_score", "score", "_rest"])
 
 
-def _by_range(ngrams: np.ndarray, segments: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams in order of the range of segments they fall in, these ranges, and where each begins, with one end more."""
-    kinds = np.unique(ngrams)
-    of = ((kinds >> U(1)) % U(segments) // U(width)).astype(np.int64)
-    order = np.argsort(of, kind="stable")
-    parts, at = np.unique(of[order], return_index=True)
-    return kinds[order], parts, np.append(at, len(kinds))
+def _grams(texts: pa.RecordBatch) -> np.ndarray:
+    """The distinct codes of all n-grams of the texts, sorted."""
+    return np.unique(np.concatenate([x for _, _, tokens, pairs, triples, first in sequences(texts["text"]) for x in (code(tokens, 0), pairs, np.delete(triples, first))]))
 
 
 def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], schema: str) -> DataFrame:
     """As _told for all docs, where the filter is a table."""
-    segments, width, names = model.segments, RANGE, ["part", "run", "data"]
+    ranges, names = model.ranges, ["part", "run", "data"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of each run, in one value; a run's number is the _uid of its first row."""
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for row, end, _, _ in goes(batch["text"]):
+            at, row = utf8(batch["text"])[1], 0
+            while row < len(batch):
+                end = max(row + 1, int(np.searchsorted(at, at[row] + RUN_BYTES, "right")) - 1)
                 texts = pa.BufferOutputStream()
                 with pa.ipc.new_stream(texts, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
                     to.write_batch(batch.slice(row, end - row))
                 yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([uid + row], pa.int64()), pa.array([texts.getvalue().to_pybytes()], pa.binary())], names)
+                row = end
             uid += len(batch)
 
-    def grams(texts: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([x for _, _, tokens, pairs, _ in sequences(texts["text"]) for x in (tokens, pairs)])
-
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The n-grams of each run, by range."""
         for batch in batches:
             for run, data in zip(batch["run"].to_pylist(), batch["data"]):
-                kinds, parts, at = _by_range(np.concatenate([grams(x) for x in pa.ipc.open_stream(data.as_buffer())]), segments, width)
-                data = [kinds[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([run] * len(data), pa.int64()), pa.array(data, pa.binary())], names)
+                for texts in pa.ipc.open_stream(data.as_buffer()):
+                    codes = _grams(texts)
+                    parts, at = _cuts(codes, ranges)
+                    data = [_pack(codes[a:b]) for a, b in zip(at[:-1], at[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([run] * len(data), pa.int64()), pa.array(data, pa.binary())], names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The levels of the n-grams of each part and run; a range's segments (run < 0) come before them."""
-        here, bits = None, np.zeros(0, U)
+        """The levels of the n-grams of each part and run; a range's segment (run < 0) comes before them."""
+        here, held = None, None
         for batch in batches:
             out = []
             for part, run, data in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), batch["data"]):
-                if part != here:
-                    here, bits = part, np.zeros(width * SEGMENT // 64, U)
-                values = np.frombuffer(data.as_buffer(), U)
                 if run < 0:
-                    at = (-1 - run - part * width) * (SEGMENT // 64)
-                    bits[at : at + SEGMENT // 64] = values
-                else:
-                    out.append((part, run, Filter(bits, segments, part * width).level(values).astype(np.uint8).tobytes()))
+                    bits = np.frombuffer(data.as_py(), U)
+                    here, held = part, Filter(ranges, bits, np.array([0, len(bits)]), part)
+                    continue
+                codes = _unpack(memoryview(data.as_buffer()))
+                level = held.level(codes) if part == here else np.zeros(len(codes))  # a range that nothing was learnt in
+                out.append((part, run, level.astype(np.uint8).tobytes()))
             columns = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names)
 
@@ -333,12 +405,16 @@ def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], sche
             if texts is None:
                 return
             for batch in pa.ipc.open_stream(texts):
-                kinds = _by_range(grams(batch), segments, width)[0]
-                level = np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
-                order = np.argsort(kinds)
-                kinds, level = kinds[order], level[order]
-                of = lambda h: level[np.searchsorted(kinds, h)]
-                yield _told(sent.value, batch, keep, uid, lambda words, pairs: (of(words), of(pairs)))
+                codes, level = _grams(batch), np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
+
+                def look(asked: np.ndarray, most: np.ndarray | None) -> np.ndarray:
+                    if most is None:
+                        return level[np.searchsorted(codes, asked)]
+                    out, some = np.zeros(len(asked), np.int64), np.flatnonzero(most > 0)
+                    out[some] = np.minimum(level[np.searchsorted(codes, asked[some])], most[some])
+                    return out
+
+                yield _told(sent.value, batch, keep, uid, look)
 
         for batch in batches:
             for part, run, data in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), batch["data"]):
@@ -351,21 +427,25 @@ def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], sche
 
     kind = "part long, run long, data binary"
     runs = written(docs.mapInArrow(cut, kind), "runs")
-    held = model.apart.select(F.floor(F.col("segment") / width).alias("part"), (-1 - F.col("segment")).alias("run"), F.col("bits").alias("data"))
+    held = model.apart.select("part", F.lit(-1).cast("long").alias("run"), F.col("bits").alias("data"))
     found = held.unionByName(runs.mapInArrow(ask, kind)).repartition("part").sortWithinPartitions("part", "run").mapInArrow(probe, kind)
     found = _settled(written(found, "found"))
     return runs.unionByName(found).repartition("run").sortWithinPartitions("run", "part").mapInArrow(finish, schema)
 
 
+RESULTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+
 def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with n_tokens, n_known, train_tokens, base_score and score."""
+    """docs (doc_id, text, ...), but for text, with n_tokens, n_known, train_tokens, base_score and score."""
+    docs, opened = boxed(docs, ["doc_id", "text"], [*RESULTS, "text"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            yield _told(sent.value, batch, keep, uid, lambda words, pairs: (sent.value.filter.level(words), None))
+            yield _told(sent.value, batch, keep, uid, sent.value.filter.level)
             uid += len(batch)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -377,9 +457,10 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     rest = rest.join(rare, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rest = rest.groupBy("_uid").agg(F.sum(F.col("m") * (F.log10(F.col("n") + 1) - log_all)).alias("_base"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("_known"))
     out = told.drop("_rest").join(rest, "_uid", "left")
-    return out.withColumns({
+    out = out.withColumns({
         "base_score": F.col("base_score") + F.coalesce("_base", F.lit(0.0)), "n_known": F.col("n_known") + F.coalesce("_known", F.lit(0)), "train_tokens": F.lit(model.tokens).cast("long"),
-    }).drop("_uid", "_base", "_known")
+    }).drop("_uid", "_base", "_known", "text")
+    return opened(out, RESULTS)
 
 
 def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,5 +469,3 @@ def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, rare = fit(docs.where(~held_out))
     out = score(docs, model, rare).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-

@@ -139,7 +139,7 @@ def test_mixing_of_empty_table(spark):
 
 def test_scoring_base_against_brute_force(spark):
     rows = odd_rows()
-    docs = table(spark, rows).drop("score")
+    docs = table(spark, rows)
     train = docs.where("doc_id % 3 <> 0")
     for frequent in (0, 7, 10_000):
         model, rare = scoring.fit(train, frequent=frequent)
@@ -147,7 +147,7 @@ def test_scoring_base_against_brute_force(spark):
         c = collections.Counter(w for i, t, _ in rows if i is not None and i % 3 for w in words(t))
         n, v = sum(c.values()), len(c)
         assert (model.tokens, model.distinct) == (n, v)
-        got = collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in scoring.score(docs.select("doc_id", "text"), model, rare).collect())
+        got = collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in scoring.score(docs, model, rare).collect())
         want = collections.Counter((i, len(words(t)), sum(w in c for w in words(t)), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words(t)), 6)) for i, t, _ in rows)
         assert got == want
 
@@ -169,10 +169,17 @@ def test_filter_gives_levels_back():
     rng = np.random.default_rng(5)
     h = rng.integers(0, 1 << 62, 20_000).astype(np.uint64)
     level = rng.integers(1, 9, len(h))
-    f = scoring.Filter(np.frombuffer(scoring.Filter.segment(h, level), np.uint64))
+    h >>= np.uint64(14)
+    order = np.argsort(h)
+    h, level = h[order], level[order]
+    cut = np.searchsorted(scoring.range_of(h, 3), [0, 1, 2, 3])
+    parts = [np.frombuffer(scoring.Filter.segment(h[a:b], level[a:b]), np.uint64) for a, b in zip(cut[:-1], cut[1:])]
+    f = scoring.Filter(3, np.concatenate(parts), np.cumsum([0, *map(len, parts)]))
     got = f.level(h)
     assert (got >= level).all() and (got == level).mean() > 0.98
-    assert (f.level(rng.integers(0, 1 << 62, 20_000).astype(np.uint64)) == 0).mean() > 0.98
+    assert (f.level(rng.integers(0, 1 << 48, 20_000).astype(np.uint64)) == 0).mean() > 0.98
+    most = rng.integers(0, 5, len(h))
+    assert (f.level(h, most) == np.minimum(got, most)).all()
 
 
 def test_model_is_a_distribution_about_its_filter(spark):
@@ -192,23 +199,76 @@ def test_scoring_of_odd_tables(spark):
 
 
 def test_scoring_holds_all_bigrams_whatever_the_filter(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "RANGE", 2)
+    monkeypatch.setattr(scoring, "RANGE_BYTES", 1 << 18)
+    monkeypatch.setattr(scoring, "RUN_BYTES", 1 << 17)
     rows = odd_rows() + [(70 + k, f"only{k} here{k} once{k} " + " ".join(f"{k}-{i}" for i in range(150)), "s") for k in range(2_000)]
     docs = table(spark, rows).select("doc_id", "text")
     got = []
     for size in (scoring.FILTER_BYTES, 1 << 10):
         model, rare = scoring.fit(docs.where("doc_id is not null"), filter_bytes=size, frequent=7)
-        assert (model.apart is None) == (size == scoring.FILTER_BYTES) and model.segments > 3
+        assert (model.apart is None) == (size == scoring.FILTER_BYTES) and model.ranges > 3
         got.append(collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in scoring.score(docs, model, rare).collect()))
     assert got[0] == got[1] and sum(got[0].values()) == len(rows)
-    # a bigram that was seen once, after a word that was: half its share of the word, and half the word's own
     model, rare = scoring.fit(docs.where("doc_id is not null"))
-    r = scoring.score(table(spark, [(1, "only5 here5 once5", "s")]).select("doc_id", "text"), model, rare).first()
-    p0 = 2 / (model.low_tokens + model.distinct + 1)
-    assert r.score > 2 * math.log10(0.5 + p0 / 2) + 2 * math.log10(p0 / 2) - 1e-6
     assert scoring.score(docs.limit(0), model, rare).count() == 0
 
 
+def test_packed_values_come_back():
+    rng = np.random.default_rng(6)
+    for n, top in ((1, 10), (5, 1 << 63), (1_000, 1 << 20), (1_000, 1 << 45), (3, 1 << 33)):
+        v = np.unique(rng.integers(0, top, n).astype(np.uint64))
+        assert np.array_equal(scoring._unpack(memoryview(scoring._pack(v))), v)
+
+
+def test_score_against_plain_dictionaries(spark):
+    """The same model with exact sets in place of the filter, whose errors are the only difference."""
+    rng = random.Random(12)
+    rows = odd_rows() + [(100 + k, " ".join(f"t{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randint(1, 60))), "a") for k in range(150)]
+    c = collections.Counter()
+    mark = lambda t: ["<s>"] + WORD.findall((t or "").translate(FOLD)) + ["</s>"]
+    for i, t, _ in rows:
+        if i is not None and i % 3:
+            w = mark(t)
+            c.update((x,) for x in w)
+            c.update(zip(w, w[1:]))
+            c.update(zip(w, w[1:], w[2:]))
+    low = lambda *k: max((e for e in scoring.EDGES if e <= c[k]), default=0.0)
+    high = lambda *k: min(e for e in scoring.EDGES if e > c[k]) - 1 if c[k] else 0.0
+    words = [k for k in c if len(k) == 1 and k != ("<s>",)]
+    total = sum(low(*k) for k in words) + len(words) + 1
+    back = lambda num, den, p: scoring.WEIGHT * min(max(num - scoring.DISCOUNT, 0) / den, 1) + (1 - scoring.WEIGHT) * p if den else p
+
+    def plain(t):
+        w, out = mark(t), 0.0
+        for k in range(1, len(w)):
+            p = (low(w[k]) + 1) / total
+            p = back(low(*w[k - 1 : k + 1]), c["<s>",] if k == 1 else high(w[k - 1]), p)
+            p = back(low(*w[k - 2 : k + 1]), high(*w[k - 2 : k]), p) if k > 1 else p
+            out += math.log10(p)
+        return out
+
+    docs = table(spark, rows)
+    model, rare = scoring.fit(docs.where("doc_id % 3 <> 0"))
+    want = collections.defaultdict(list)
+    for i, t, _ in rows:
+        want[i].append(plain(t))
+    near, same = 0, 0
+    for r in scoring.score(docs, model, rare).collect():
+        gap = min(abs(r.score - x) for x in want[r.doc_id])
+        same += gap < 1e-6
+        near += gap <= 0.1 + 0.02 * abs(r.score)
+    assert near > 0.95 * len(rows) and same > 0.5 * len(rows)
+
+
+def test_scoring_keeps_extra_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 5, 7.0)], "doc_id long, text string, _uid string, h int, score double")
+    model, rare = scoring.fit(docs, frequent=0)
+    out = scoring.score(docs, model, rare)
+    assert out.columns == ["doc_id", "_uid", "h", *scoring.RESULTS]
+    r = out.first()
+    assert (r._uid, r.h, r.n_tokens) == ("x", 5, 3) and r.score < 0
+
+
 @here
 def test_model_beats_base(spark):
     t = scoring.op6_scoring(spark, SF).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).collect()
