@@ -1,17 +1,20 @@
 """Operator 10, sharding: vector bin packing of bytes, tokens and rows.
 
 Documents with equal texts form a group.  A group of at least 1/(shards * HEAVY) of the table's
-bytes, tokens or rows is heavy: there are at most 3 * shards * HEAVY of these, and each is cut by
-doc_id into pieces of about that share.  All other groups ride whole in one of BUNDLES bundles,
-picked by the hash of their text.  Pieces and bundles, whose number is bounded whatever the input, are
-the vectors to pack: largest first, each goes to the shard where the dot product of its vector with the
-residual capacity is highest.  Bytes weigh most, since the law that holds is `bytes`.
-
-Slots number each shard's rows by (bucket of doc_id, doc_id, text hash): ranks within a bucket plus
-the counts of the buckets before it, so that no task ranks a whole shard.
-
-Nulls and edges: a null text has no bytes, no tokens, crc32 0 and groups with other null texts; a
-row with a null doc_id is placed like any other; repeated rows take a slot each; an empty table gives none.
+bytes, tokens or rows is heavy: there are at most 3 * shards * HEAVY of these, and each is cut by the
+rank of its rows into pieces of about that share, equal but for a row.  All other groups ride whole in one of BUNDLES
+bundles, picked by the hash of their text.  Pieces and bundles, whose number is bounded whatever the input, are
+the vectors to pack, so packing decides where bundles and pieces go: largest first, each goes to the shard where the
+dot product of its vector with the residual capacity is highest.  Bytes weigh most, since the law that holds is `bytes`.
+
+Rows get a number of their own in a written table, so that ranks, counts and the rows themselves agree whatever is run
+again.  Ranks, of a heavy group's rows and of a shard's, are those within a bucket of row numbers plus the counts of the
+buckets before it, so that no task ranks a whole group or shard.
+
+Nulls and edges: a null text has no bytes, no tokens, crc32 0 and groups with other null texts; ids decide nothing, so
+null and repeated ones are placed like any other, and repeated rows take a slot each; very long texts only add to
+sums; groups that tie go in the order of their hashes; columns of docs stay, but one named as a
+result column gives way to it; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -19,10 +22,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import n_words, table, written
+from .common import boxed, n_words, table, written
 
 SHARDS = 40
 BUNDLES = 8192
@@ -47,47 +49,61 @@ def pack(vectors: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS)
     return out
 
 
+RESULTS = ["size", "text_crc32", "shard", "slot"]
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with size, text_crc32, and the tokens and group that packing needs."""
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.withColumns({"size": (F.octet_length(text) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text).cast("long"), "_tokens": n_words(F.col("text")), "_group": F.xxhash64("text")})
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
     """docs with size, text_crc32, shard and slot; needs doc_id and text."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    told = docs.withColumns({
-        "size": (F.octet_length(text) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text).cast("long"), "_tokens": n_words(F.col("text")),
-        "_group": F.xxhash64("text"), "_piece": F.xxhash64(F.lit(7), "doc_id"),
-    })
-    slim = written(told.select("doc_id", "size", "_tokens", "_group", "_piece"), "sizes")
+    docs, opened = boxed(docs, ["doc_id", "text"], RESULTS)
+    return opened(placed(measured(docs), shards, bundles), RESULTS)
+
+
+def placed(told: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
+    """Measured rows, of whatever other columns, with shard and slot."""
+    spark = told.sparkSession
+    keyed = written(told.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    slim = keyed.select("_row", "size", "_tokens", "_group")
     dims = {"b": F.sum("size"), "t": F.sum("_tokens"), "r": F.count(F.lit(1))}
     sums = lambda df, by: df.groupBy(by).agg(*(f.cast("double").alias(k) for k, f in dims.items()))
     total = slim.agg(*(f.cast("double").alias(k) for k, f in dims.items())).first()
     if not total.r:
-        return told.drop("_tokens", "_group", "_piece").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+        return keyed.drop("_tokens", "_group", "_row").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     share = {k: max(total[k] or 0.0, 1.0) / (shards * HEAVY) for k in dims}
     part = F.greatest(*(F.col(k) / share[k] for k in dims))
     # at most len(dims) * shards * HEAVY groups reach a full part: a proven bound, so these go to all workers
-    heavy = sums(slim, "_group").withColumn("_parts", part).where("_parts >= 1").orderBy("_group").select("_group", F.ceil("_parts").cast("int").alias("_parts"))
-    heavy = heavy.withColumn("_base", F.lit(bundles) + F.sum("_parts").over(Window.orderBy("_group")) - F.col("_parts"))
-    heavy = spark.createDataFrame(heavy.collect(), "_group long, _parts int, _base long")
-
-    def bundled(df: DataFrame) -> DataFrame:
-        small = F.pmod(F.xxhash64("_group"), F.lit(bundles))
-        return df.join(F.broadcast(heavy), "_group", "left").withColumn("_bundle", F.coalesce(F.col("_base") + F.pmod("_piece", "_parts"), small)).drop("_parts", "_base")
-
-    rows = sums(bundled(slim), "_bundle").orderBy("_bundle").collect()  # bundles + pieces: bounded
-    shard = pack(np.array([[r.b, r.t, r.r] for r in rows]), shards)
-    placed = spark.createDataFrame([(int(r["_bundle"]), int(s)) for r, s in zip(rows, shard)], T.StructType([T.StructField("_bundle", T.LongType()), T.StructField("shard", T.IntegerType())]))
-    out = bundled(told).join(F.broadcast(placed), "_bundle").drop("_bundle", "_tokens", "_piece")
-    return _slots(out, 1 + int(total.r) // (shards * SLOT_ROWS)).drop("_group")
-
-
-def _slots(df: DataFrame, buckets: int) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(buckets)).cast("int")
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("doc_id", "_group"))
-    return df.withColumn("_rank", rank).join(before, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_rank") - 1).drop("_before", "_rank", "_bucket")
+    groups = sums(slim, "_group").withColumn("_parts", F.ceil(part).cast("int")).where(part >= 1).orderBy("_group").collect()
+    vectors, heavy = [], []
+    for g in groups:
+        heavy.append((g["_group"], g["_parts"], bundles + len(vectors)))
+        vectors += [(g.b / g["_parts"], g.t / g["_parts"], g.r / g["_parts"])] * g["_parts"]
+    heavy = F.broadcast(spark.createDataFrame(heavy, "_group long, _parts int, _base int"))
+    light = slim.join(heavy, "_group", "left_anti").withColumn("_bundle", F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int"))
+    rows = sums(light, "_bundle").orderBy("_bundle").collect()  # `bundles` at most
+    names = [r["_bundle"] for r in rows] + list(range(bundles, bundles + len(vectors)))
+    shard = pack(np.array([[r.b, r.t, r.r] for r in rows] + vectors), shards)
+    to = F.broadcast(spark.createDataFrame(list(zip(names, map(int, shard))), "_bundle int, shard int"))
+    pieces = ranked(slim.join(heavy, "_group"), "_group", 1 + int(total.r) // SLOT_ROWS, "_rank")
+    pieces = pieces.withColumn("_bundle", F.col("_base") + F.pmod("_rank", "_parts").cast("int"))
+    out = written(light.select("_row", "_bundle").unionByName(pieces.select("_row", "_bundle")).join(to, "_bundle").select("_row", "shard"), "shards")
+    out = ranked(out, "shard", 1 + int(total.r) // (shards * SLOT_ROWS), "slot")
+    return keyed.join(out, "_row").drop("_tokens", "_group", "_row")
+
+
+def ranked(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """df (_row, key, ...) with each row's rank from 0 among those of its key, in the order of buckets and row numbers."""
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(9), "_row"), F.lit(buckets)).cast("int"))
+    counts = df.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    df = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy("_row")))
+    return df.join(before, [key, "_bucket"]).withColumn(name, (F.col("_before") + F.col("_nth") - 1).cast("long")).drop("_before", "_nth", "_bucket")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = assign(table(spark, sf_dir, "documents", "doc_id", "text"))
+    out = placed(measured(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
