@@ -2,7 +2,7 @@
 
 Sources, by code point with null last, weigh 1, 2, 3 and so on again, and share the corpus' words by
 weight; no target exceeds MAX_COPIES times its source, and the excess is shared anew by weight until
-none does (that fixed point is min(cap, level * weight), which windows over the sorted sources find).
+none does.  That fixed point is min(cap, level * weight); the level is found in turns, each one sum over all sources.
 
 A source's documents are each wanted target / size times: so many whole copies for all of them, and a
 fraction left.  The fractions are rounded in pairs: words (fraction times length) move at random, up
@@ -16,14 +16,15 @@ leaves small ones undecided.
 All of it is DataFrame functions.  Hashes of (seed, ids) are the coins, so reruns agree.
 
 Nulls and edges: a null text or one without words takes 0; a null source is a source; rows with a null
-doc_id or a repeated one are each rounded on their own; an empty table gives none.
+doc_id or a repeated one are each rounded on their own (rows alike in id, source and size are counted and
+numbered, so that each has coins of its own); very long texts count their words; columns of docs other than
+doc_id, text and source are not looked at; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import n_words, table, written
 
@@ -35,22 +36,41 @@ SEED = 20
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """source, source_size, target and copies (target / source_size) from rows with source and size."""
+    """source, source_no (from 1), source_size, target and copies (target / source_size) from rows with source and size."""
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    by = by.withColumn("_weight", F.pmod(F.row_number().over(order) - 1, F.lit(3)) + 1).withColumn("_cap", F.col("source_size") * F.lit(MAX_COPIES).cast("double"))
-    by = by.withColumn("_fills", F.col("_cap") / F.col("_weight"))  # the level at which its cap binds
-    fill = Window.orderBy("_fills", F.col("source").isNull(), "source")
-    whole = Window.orderBy("_fills", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    to_here = fill.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(whole)
-    level = (total - F.coalesce(F.sum("_cap").over(to_here), F.lit(0.0))) / (F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(to_here), F.lit(0)))
-    by = by.withColumn("_level", level)
-    by = by.withColumn("_level", F.first(F.when(F.col("_level") <= F.col("_fills"), F.col("_level")), True).over(whole))
-    target = F.least("_cap", F.coalesce(F.col("_level"), F.col("_fills")) * F.col("_weight"))
-    by = by.withColumn("target", target)
+    by = written(by.orderBy(F.col("source").isNull(), "source").withColumn("_at", F.monotonically_increasing_id()), "sources")
+    # sorted by range: a source's number is its place in its task's part of the order and the rows of the parts before
+    part = F.shiftright("_at", 33).cast("int")
+    starts, n = [F.lit(0), F.lit(0)], 0
+    for r in by.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row for each task
+        starts += [F.lit(r.part), F.lit(n)] if r.part else []
+        n += r.n
+    by = by.withColumn("source_no", (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.create_map(*starts)[part] + 1).cast("int"))
+    by = by.withColumn("_weight", F.pmod(F.col("source_no") - 1, F.lit(3)) + 1).withColumn("_cap", F.col("source_size") * F.lit(MAX_COPIES).cast("double"))
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("_cap") < F.lit(level) * F.col("_weight")
+        r = by.agg(F.sum("source_size").alias("all"), F.count_if(over).alias("n"), F.sum(F.when(over, F.col("_cap"))).alias("cap"), F.sum(F.when(~over, F.col("_weight"))).alias("weight")).first()
+        if r.n == capped or not r.weight:
+            break
+        capped, level = r.n, ((r["all"] or 0) - (r.cap or 0.0)) / r.weight
+    by = by.withColumn("target", F.least("_cap", F.lit(level) * F.col("_weight")))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return by.select("source", F.row_number().over(order).alias("source_no"), "source_size", "target", F.least(copies, F.lit(float(MAX_COPIES))).alias("copies"))
+    return by.select("source", "source_no", "source_size", "target", F.least(copies, F.lit(float(MAX_COPIES))).alias("copies"))
+
+
+#: Rows alike that one row stands for while they are numbered.
+ALIKE = 1 << 14
+
+
+def numbered(sized: DataFrame) -> DataFrame:
+    """The rows with `nth`, which counts rows that are alike from 1; the same whatever their order."""
+    many = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_n"))
+    spread = lambda df, last: df.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    few = spread(many.where(F.col("_n") <= ALIKE), F.col("_n"))
+    part = many.where(F.col("_n") > ALIKE).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / ALIKE))))
+    large = spread(part.repartition("_part"), F.least(F.lit(ALIKE).cast("long"), F.col("_n") - F.col("_part") * ALIKE)).withColumn("nth", F.col("nth") + F.col("_part") * ALIKE)
+    return few.unionByName(large.drop("_part")).drop("_n")
 
 
 #: A document in the tree: x is the part of a copy it may still get.
@@ -85,14 +105,14 @@ def _fold(level: int, item: str) -> Column:
 
 def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source)."""
-    slim = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    slim = written(numbered(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))), "sizes")
     goal = written(targets(slim), "targets").withColumnRenamed("source", "_source")
     sent = F.broadcast if goal.count() <= SENT_SOURCES else lambda df: df
     # a null source is a source, so it must meet itself
     wanted = slim.join(sent(goal), F.col("source").eqNullSafe(F.col("_source")))
     base = F.floor("copies").cast("int")
     x = F.when(F.col("size") > 0, F.col("copies") - base).otherwise(0.0)
-    items = wanted.select("size", F.xxhash64("doc_id", "source_no", "size").alias("tie"), "doc_id", "source_no", base.alias("base"), x.alias("x"))
+    items = wanted.select("size", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "source_no", "size", "nth").alias("tie"), "doc_id", "source_no", base.alias("base"), x.alias("x"))
     item = ITEM.format(id=dict(items.dtypes)["doc_id"])
     fields = items.columns
     ended = [items.where("x = 0")]
