@@ -14,12 +14,14 @@ is what links reach.
    components merge after each round, so a group of n near copies costs about n verifications and not n * n.
 4. Adaptive depth: where neighbours, at whatever depth they met, have put a region into one component,
    it is finished.  Regions with more components go down to the least depth: all their pairs of
-   different components are candidates, none is capped.  In a large region these are not told one by one: its rows
-   meet in bounded blocks, where products of incidence matrices give every pair's exact overlap.
+   different components are candidates, none is capped.  In a large region these are not told one by one: the rows
+   outside its largest component meet each other and the rest in bounded blocks, where products of incidence
+   matrices give every pair's exact overlap.
 
 Nulls and edges: a text without words is linked with nothing; a null doc_id is linked with nothing and kept;
 rows that repeat a doc_id with the same text are copies of each other, with another text each stands for
-itself; an empty table gives none.
+itself; ties go to the smallest doc_id; a very long text is one set, which its task must hold (8 bytes for each of its
+words); other columns of docs are not looked at; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, written
 from .components import relabel
@@ -43,8 +46,9 @@ ROUNDS = 3
 SMALL, BLOCK, BLOCK_SHINGLES = 16, 512, 1 << 20
 _MUL = (mix(np.arange(1, ORDERS * DEPTH + 1, dtype=U)) | U(1)).astype(np.uint32)
 _ADD = mix(np.arange(1001, 1001 + ORDERS * DEPTH, dtype=U)).astype(np.uint32)
-#: Bits of the filter that picks the texts to read again for verification; of a fixed size.
-PICK_BITS = 1 << 24
+_KINDS = mix(np.array([301, 302], U))
+#: Bits for each member of the filter that picks the texts to read again for verification, and all its bits at most (32 MB).
+MEMBER_BITS, PICK_BITS = 8, 1 << 28
 
 
 def text_hash() -> Column:
@@ -91,29 +95,31 @@ def signatures(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _set_hash(sets: list[np.ndarray]) -> np.ndarray:
-    h = np.array([np.sum(mix(s), dtype=U) for s in sets], U)
+def _set_hash(sets: list[np.ndarray], kind: int) -> np.ndarray:
+    """64 bits of each set; two kinds make its key, so that unequal sets of some 10**12 documents aren't taken for equal."""
+    h = np.array([np.sum(mix(s ^ _KINDS[kind]), dtype=U) for s in sets], U)
     return mix(h + np.array([len(s) for s in sets], U)).view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_hash and signature (null where there are no shingles)."""
+    """doc_id, text_hash, n_shingles, set_hash, set_more (the set's key) and signature (null where there are no shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, marks = [], [], []
+            n, keys, more, marks = [], [], [], []
             for _, _, flat, off in _sets(batch["text"]):
                 sets = _distinct(flat, off)
                 size = np.array([len(s) for s in sets])
                 n.append(size)
-                keys.append(_set_hash(sets))
+                keys.append(_set_hash(sets, 0))
+                more.append(_set_hash(sets, 1))
                 rows = iter(signatures(flat, off))
                 marks += [next(rows).tobytes() if k else None for k in size]
-            n_, keys_ = np.concatenate([*n, np.zeros(0, int)]), np.concatenate([*keys, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n_.astype(np.int64)), pa.array(keys_), pa.array(marks, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_hash", "signature"])
+            told = [np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (n, keys, more)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *map(pa.array, told), pa.array(marks, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_hash", "set_more", "signature"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, set_hash long, signature binary")
+    return docs.select("doc_id", text_hash().alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, set_hash long, set_more long, signature binary")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -174,15 +180,17 @@ def _fits(a: str, b: str):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, again: DataFrame) -> DataFrame:
-    """id and set, as sorted bytes, of the classes in ids (id, doc_id, text_hash).  Of other documents, a filter of fixed size spares most.
+    """id and set, as sorted bytes, of the classes in ids (id, doc_id, text_hash).  Of other documents, a filter spares
+    most; where it would grow beyond PICK_BITS it spares fewer, and the join decides.
 
     again: doc_id and text_hash of rows that repeat both, of which one is read.
     """
-    place = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PICK_BITS))
+    n_bits = min(PICK_BITS, 1 << max(20, (MEMBER_BITS * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_bits))
     rows = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    # a bucket is 4 KB and there are PICK_BITS / 32768 of them
+    # a bucket is 4 KB and there are n_bits / 32768 of them
     size = 1 << 12
-    bits = bytearray((PICK_BITS // (size * 8) + 2) * size)
+    bits = bytearray((n_bits // (size * 8) + 2) * size)
     for r in rows.collect():
         bits[r.bucket * size : (r.bucket + 1) * size] = r.bits
     sent = docs.sparkSession.sparkContext.broadcast(bytes(bits))
@@ -197,7 +205,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, again: DataFrame) -> DataFrame:
             sets = [s for _, _, flat, off in _sets(batch["text"]) for s in _distinct(flat, off)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "text_hash", "shingles"])
 
-    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_hash()), F.lit(PICK_BITS))
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_hash()), F.lit(n_bits))
     some = docs.where("doc_id is not null").where(picked(F.bitmap_bucket_number(at), F.bitmap_bit_position(at)))
     some = some.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
     if not again.isEmpty():
@@ -239,16 +247,19 @@ def _picked(pairs: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of regions with more than one component: tree, p, id, n, comp, m (rows) and blocks."""
+    """Members of regions with more than one component: tree, p, id, n, comp, m (rows), major (whether comp is the one
+    with most rows), and minors and majors, the numbers of blocks of either kind."""
     rows = members.join(labels.withColumnRenamed("id", "a"), "a").select("tree", "p", F.col("a").alias("id"), "n", "comp")
-    per = rows.groupBy("tree", "p").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-    per = per.select("tree", "p", "m", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    return written(rows.join(per, ["tree", "p"]), "mixed")
+    per = rows.groupBy("tree", "p", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
+    per = per.groupBy("tree", "p").agg(F.sum("m").alias("m"), F.sum("all").alias("all"), F.max(F.struct("m", "comp", "all")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = lambda m, all_: F.greatest(F.ceil(m / BLOCK), F.ceil(all_ / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    per = per.select("tree", "p", "m", F.col("most.comp").alias("top"), blocks(F.col("m") - F.col("most.m"), F.col("all") - F.col("most.all")).alias("minors"), blocks(F.col("most.m"), F.col("most.all")).alias("majors"))
+    return written(rows.join(per, ["tree", "p"]).withColumn("major", F.col("comp") == F.col("top")).drop("top"), "mixed")
 
 
 def _small_pairs(mixed: DataFrame) -> DataFrame:
     """Pairs of different components in regions of up to SMALL rows."""
-    rows = mixed.where(F.col("m") <= SMALL).drop("m", "blocks")
+    rows = mixed.where(F.col("m") <= SMALL).select("tree", "p", "id", "n", "comp")
     pairs = rows.join(rows.withColumnsRenamed({"id": "j", "n": "n_j", "comp": "other"}), ["tree", "p"]).where((F.col("comp") < F.col("other")) & _fits("n", "n_j"))
     return pairs.select(F.least("id", "j").alias("a"), F.greatest("id", "j").alias("b")).distinct()
 
@@ -274,12 +285,15 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _block_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that put together all components which any link joins, in regions of more than SMALL rows.
 
-    A region's rows fall by hash into blocks of about BLOCK rows and BLOCK_SHINGLES shingles; each two blocks
-    meet in one group, where all pairs are compared exactly by one product, and only links that
-    join components are given out: fewer than the group has rows.
+    Rows of the region's largest component needn't meet each other.  The rows of all other components fall by hash into
+    minor blocks of about BLOCK rows and BLOCK_SHINGLES shingles, those of the largest into major ones; each two minor
+    blocks meet in one group, and each minor block meets each major one.  There all pairs are compared exactly by one
+    product, and only links that join components are given out: fewer than the group has rows.
     """
     rows = mixed.where(F.col("m") > SMALL).join(sets, "id")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.pmod(F.xxhash64(F.lit(5), "id"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    meets = F.explode(F.when(F.col("major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)))
+    rows = rows.withColumn("own", F.when(F.col("major"), F.col("minors") + own).otherwise(own)).withColumn("with", meets)
     rows = rows.select("tree", "p", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "comp", "shingles")
 
     def link(group: pa.Table) -> pa.Table:
@@ -316,15 +330,16 @@ def classed(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     told = written(sketches(docs), "sketches")
     some = told.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_hash").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "text_hash")).alias("head"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = some.groupBy("set_hash", "set_more").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "text_hash")).alias("head"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     # numbers in this order make the smallest id of a component that of its smallest doc_id
-    classes = written(classes.select("set_hash", "head.*", "n", "signature").orderBy("doc_id", "set_hash").withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = written(classes.select("set_hash", "set_more", "head.*", "n", "signature").orderBy("doc_id", "set_hash").withColumn("id", F.monotonically_increasing_id()), "classes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = written(neighbours(forest(classes.select("id", "n", "signature")), parts), "neighbours")
     ends = near.where("kind = 2").select("tree", "p", "q", F.col("a").alias("id"), F.col("n_a").alias("n"))
     # two rows for each task; rows of a region that meet over a task's end are neighbours too
-    ends = ends.distinct()
-    over = ends.alias("l").join(ends.alias("r"), ["tree", "p"]).where("l.id < r.id").select("tree", "p", F.col("l.q").alias("q"), F.col("l.id").alias("a"), F.col("l.n").alias("n_a"), F.col("r.id").alias("b"), F.col("r.n").alias("n_b"))
+    following = Window.partitionBy("tree", "p").orderBy("q", "id")
+    over = ends.distinct().withColumns({"b": F.lead("id").over(following), "n_b": F.lead("n").over(following)}).where("b is not null")
+    over = over.select("tree", "p", "q", F.col("id").alias("a"), F.col("n").alias("n_a"), "b", "n_b")
     pairs = near.where("kind = 0").drop("kind").unionByName(over).where((F.col("a") != F.col("b")) & _fits("n_a", "n_b"))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     members = near.where("kind = 1").select("tree", "p", "a", F.col("n_a").alias("n"))
@@ -360,8 +375,8 @@ def classed(docs: DataFrame) -> DataFrame:
         labels = relabel(labels, links)
     heads = classes.select(F.col("id").alias("comp"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"))
     labels = labels.where("id <> comp").join(heads, "comp").select("id", "_doc", "_text")
-    by_set = classes.join(labels, "id", "left").select("set_hash", F.coalesce("_doc", "doc_id").alias("_doc"), F.coalesce("_text", "text_hash").alias("_text"), F.col("_doc").isNull().alias("_first"))
-    out = told.drop("signature").join(by_set, "set_hash", "left")
+    by_set = classes.join(labels, "id", "left").select("set_hash", "set_more", F.coalesce("_doc", "doc_id").alias("_doc"), F.coalesce("_text", "text_hash").alias("_text"), F.col("_doc").isNull().alias("_first"))
+    out = told.drop("signature").join(by_set, ["set_hash", "set_more"], "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     kept = ~linked | (F.col("_first") & (F.col("doc_id") == F.col("_doc")) & (F.col("text_hash") == F.col("_text")))
     return out.select("doc_id", "text_hash", "n_shingles", F.when(linked, F.col("_doc")).otherwise(F.col("doc_id")).alias("component_id"), kept.alias("kept"))
