@@ -130,6 +130,38 @@ def test_mixing_keeps_totals_and_expectations(spark):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_mixing_of_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ALIKE", 100)
+    rows = [(None, "w w w", "a")] * 3000 + [(k, "w w", "b") for k in range(100)] + [(7, "w w", "b")] * 50
+    slim = mixing.numbered(table(spark, rows).select("doc_id", "source", F.lit(1).alias("size")))
+    assert collections.Counter((r.doc_id, r.source) for r in slim.collect()) == collections.Counter((i, s) for i, _, s in rows)
+    assert slim.select("doc_id", "source", "nth").distinct().count() == len(rows)
+    out = mixing.taken_words(table(spark, rows)).collect()
+    want = expected_targets({"a": 9000, "b": 300})
+    got = collections.Counter()
+    for r in out:
+        got["a" if r.size == 3 else "b"] += r.taken
+    assert len(out) == len(rows) and all(abs(got[s] - want[s]) < 3 for s in want)
+    orders = [sorted(map(str, mixing.taken_words(table(spark, rows).repartition(n)).collect())) for n in (1, 3)]
+    assert orders[0] == orders[1] == sorted(map(str, out))
+
+
+def test_mixing_gives_every_document_its_expectation(spark, monkeypatch):
+    """Over seeds, documents of any size are taken as often as their source's target asks, within four standard errors."""
+    rng = random.Random(10)
+    rows = [(i, "w " * rng.choice([1, 2, 7, 40]), rng.choice("abc")) for i in range(900)]
+    taken, seeds = collections.defaultdict(list), 6
+    for seed in range(seeds):
+        monkeypatch.setattr(mixing, "SEED", 100 + seed)
+        for r in mixing.taken_words(table(spark, rows), block=4).collect():
+            taken[r.size, r.source_size, r.target].append(r.copies)
+    assert len(taken) == 12
+    for (_, source_size, target), copies in taken.items():
+        want = target / source_size
+        error = math.sqrt((want % 1) * (1 - want % 1) / len(copies))
+        assert abs(np.mean(copies) - want) < 4 * error + 1e-9
+
+
 def test_mixing_of_empty_table(spark):
     assert mixing.taken_words(table(spark, [])).count() == 0
 
@@ -383,10 +415,51 @@ def test_language_of_odd_tables(spark):
 # --- sharding
 
 
+def plain_pack(vectors, shards, weights):
+    """The same packing in plain loops."""
+    total = [sum(v[k] for v in vectors) or 1 for k in range(3)]
+    share = [[v[k] / total[k] * shards for k in range(3)] for v in vectors]
+    left, out = [[1.0] * 3 for _ in range(shards)], [0] * len(vectors)
+    norm = lambda v: sum(w * x * x for w, x in zip(weights, v))
+    for k in sorted(range(len(vectors)), key=lambda k: (-norm(share[k]), k)):
+        dots = [sum(w * a * b for w, a, b in zip(weights, left[j], share[k])) for j in range(shards)]
+        out[k] = dots.index(max(dots))
+        left[out[k]] = [a - b for a, b in zip(left[out[k]], share[k])]
+    return out
+
+
+def test_pack_against_plain_loops():
+    rng = np.random.default_rng(4)
+    for n, shards in ((0, 3), (1, 3), (7, 3), (200, 5), (400, 40)):
+        v = np.stack([rng.integers(1, 10_000, n), rng.integers(0, 2_000, n), rng.integers(1, 50, n)], 1).astype(float)
+        assert sharding.pack(v, shards).tolist() == plain_pack(v.tolist(), shards, sharding.WEIGHTS)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_sharding_of_one_text_in_bulk(spark, monkeypatch, doc_id):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
+    rows = [(doc_id, "one text in bulk", "s")] * 2000 + [(i, f"text {i}", "s") for i in range(1500)] + [(9_999, "x" * 5_000, "s")]
+    out = sharding.assign(table(spark, rows)).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.shard].append(r)
+    assert len(out) == len(rows) and set(by) == set(range(40))
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    small = [sum(r.size for r in v) for v in by.values() if all(r.doc_id != 9_999 for r in v)]
+    assert max(small) < 1.1 * min(small)
+
+
+def test_sharding_keeps_extra_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 5, "x", "y"), (2, "b", 6, "z", None)], "doc_id long, text string, size int, _bucket string, _group string")
+    out = sharding.assign(docs)
+    assert out.columns == ["doc_id", "text", "_bucket", "_group", *sharding.RESULTS]
+    assert sorted((r.doc_id, r._bucket, r._group, r.size) for r in out.collect()) == [(1, "x", "y", 17), (2, "z", None, 17)]
+
+
 def test_sharding_laws(spark):
     rng = random.Random(11)
     rows = [(i, "w " * rng.randint(0, 40) + str(i), "s") for i in range(3000)] + [(5000 + i, "hot text " * 5, "s") for i in range(1500)] + [(None, None, "s"), (7, None, "s"), (7, None, "s")]
-    out = sharding.assign(table(spark, rows).drop("size")).collect()
+    out = sharding.assign(table(spark, rows)).collect()
     assert len(out) == len(rows)
     by = collections.defaultdict(list)
     for r in out:
@@ -402,6 +475,6 @@ def test_sharding_laws(spark):
 
 def test_small_groups_stay_together(spark):
     rows = [(i, f"text {i // 2}", "s") for i in range(4000)]
-    shard = {r.doc_id: r.shard for r in sharding.assign(table(spark, rows).drop("size")).collect()}
+    shard = {r.doc_id: r.shard for r in sharding.assign(table(spark, rows)).collect()}
     assert all(shard[i] == shard[i + 1] for i in range(0, 4000, 2))
-    assert sharding.assign(table(spark, []).drop("size")).count() == 0
+    assert sharding.assign(table(spark, [])).count() == 0
