@@ -1,8 +1,9 @@
 """A training-data pipeline of five of the corpus operators, near duplicates included.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, written as Parquet and read again for the next one.
-All but the last return the columns of documents.  Rows with a null doc_id have no copies to find and no
-chance to draw: near_copies and mixing pass them as they are.
+All but the last return the columns of documents.  Rows with a null doc_id are documents like all others: copies
+among them go, and they are mixed by their sources' targets.  Rows that are alike in all columns are told
+apart by their number alone.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.learn(docs, labels), "_toxic").where("_toxic < 0.5").drop("_toxic")
 
 
+#: Stands for a null doc_id among near copies: a named copy is kept before it.
+NO_ID = (1 << 63) - 1
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, and of rows that repeat a doc_id and text, one stays."""
-    found = written(neardup.classed(docs).select("doc_id", F.col("text_hash").alias("_text"), "kept"), "found")
-    keys = ["doc_id", "_text"]
-    again = found.where("doc_id is not null and kept").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
-    kept = docs.withColumn("_text", neardup.text_hash()).join(found.where("not kept").select(*keys).distinct(), keys, "left_anti")
+    """Of each group of linked documents one stays, the one with the smallest doc_id; of rows that repeat doc_id and text, the first by all columns."""
+    keys = ["_id", "_text"]
+    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text": neardup.text_hash()})
+    found = written(neardup.classed(named.select(F.col("_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "n_shingles", "kept"), "found")
+    again = found.where("kept and n_shingles > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys)
+    kept = named.join(found.where("not kept").select(*keys).distinct(), keys, "left_anti")
     if not again.isEmpty():
-        once = kept.join(again, keys, "left_semi").dropDuplicates(keys)
+        once = kept.join(again, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*", *keys)
         kept = kept.join(again, keys, "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
@@ -38,14 +44,24 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return hits.where(F.size("_hits") == 0).drop("_hits")
 
 
+#: Copies of one row that a task gives out.
+COPIES = 1 << 12
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: 0 to 3.  Rows that repeat a doc_id and text: as often as one of them."""
-    # a doc_id may repeat with another text, which is drawn for itself
-    known = docs.where("doc_id is not null").withColumn("_key", F.struct("doc_id", neardup.text_hash().alias("text_hash")))
-    copies = mixing.taken_words(known.select(F.col("_key").alias("doc_id"), "source", "text"))
-    copies = copies.groupBy(F.col("doc_id").alias("_key")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    taken = known.join(copies, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Each document as many times as the mix takes it, 0 to 3; rows alike in all columns as often as they take it together."""
+    columns = [c for name in docs.columns for c in (F.col(name), F.col(name).isNull())]
+    keyed = docs.withColumn("_key", F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(4), *columns).alias("b")))
+    drawn = mixing.taken_words(keyed.select(F.col("_key").alias("doc_id"), "source", "text")).groupBy(F.col("doc_id").alias("_key"))
+    drawn = written(drawn.agg(F.sum("copies").alias("_all"), F.min("copies").alias("_least"), F.max("copies").alias("_most")).where("_all > 0"), "drawn")
+    taken = keyed.join(drawn.where("_least = _most").select("_key", F.col("_least").alias("_copies")), "_key")
+    # rows alike that differ in their copies: one of them, as often as all together
+    uneven = drawn.where("_least < _most").select("_key", "_all")
+    if not uneven.isEmpty():
+        once = keyed.join(uneven, "_key").dropDuplicates(["_key"])
+        once = once.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_all") - 1) / COPIES)))).repartition("_key", "_part")
+        taken = taken.unionByName(once.withColumn("_copies", F.least(F.lit(COPIES).cast("long"), F.col("_all") - F.col("_part") * COPIES)).drop("_all", "_part"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +76,8 @@ STAGES = [
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
-#: Training, hashing signatures and drawing copies have no SQL form; tests hold each stage against brute force.
+#: Training, hashing signatures and drawing copies have no SQL form; tests hold near copies and decontamination against
+#: brute force, toxicity against a plain forward pass, and mixing and sharding against their laws.
 ORACLE_SQL = None
 
 
