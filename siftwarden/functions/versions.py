@@ -23,16 +23,33 @@ def key(version: Column) -> Column:
     return F.struct(numbers.alias("numbers"), pre.isNull().alias("release"), F.coalesce(pre, F.lit("")).alias("pre"))
 
 
-def _holds(version: Column, comparator: Column) -> Column:
-    op = F.regexp_extract(comparator, r"^\s*(>=|<=|!=|==|=|>|<|)", 1)
-    a, b = key(version), key(F.trim(F.regexp_replace(comparator, r"^\s*(>=|<=|!=|==|=|>|<|)", "")))
-    return F.when(op == ">=", a >= b).when(op == "<=", a <= b).when(op == ">", a > b).when(op == "<", a < b).when(op == "!=", a != b).otherwise(a == b)
+_OP = r"^\s*(>=|<=|!=|={1,3}|>|<|)"
+
+
+def bounds(spec: Column) -> Column:
+    """A range's alternatives, each a list of (op, key): what is worked out once for each range."""
+    parts = lambda text, by: F.filter(F.split(text, by), lambda x: F.trim(x) != "")
+    one = lambda c: F.struct(F.regexp_extract(c, _OP, 1).alias("op"), key(F.trim(F.regexp_replace(c, _OP, ""))).alias("key"))
+    return F.transform(parts(F.coalesce(spec, F.lit("")), r"\|\|"), lambda alt: F.transform(parts(alt, ","), one))
+
+
+def within(version_key: Column, alternatives: Column) -> Column:
+    """Whether the key of a version lies in a range's bounds."""
+
+    def holds(c: Column) -> Column:
+        op, b = c["op"], c["key"]
+        return F.when(op == ">=", version_key >= b).when(op == "<=", version_key <= b).when(op == ">", version_key > b).when(op == "<", version_key < b).when(op == "!=", version_key != b).otherwise(version_key == b)
+
+    return F.exists(alternatives, lambda alt: F.forall(alt, holds))
 
 
 def in_range(version: Column, spec: Column) -> Column:
-    alternatives = F.filter(F.split(F.coalesce(spec, F.lit("")), r"\|\|"), lambda x: F.trim(x) != "")
-    each = lambda alt: F.forall(F.filter(F.split(alt, ","), lambda x: F.trim(x) != ""), lambda c: _holds(version, c))
-    return F.exists(alternatives, each)
+    return within(key(version), bounds(spec))
+
+
+def candidate(spec: Column) -> Column:
+    """The first version that a requirement names: the lowest that it may mean; null where it names none."""
+    return F.nullif(F.regexp_extract(spec, r"\d+(\.\d+){0,3}", 0), F.lit(""))
 
 
 def pinned(spec: Column) -> Column:

@@ -44,10 +44,17 @@ def merged_feeds(feeds: DataFrame) -> DataFrame:
 
 
 def matched(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependencies with each advisory that concerns them: pinned in range (high), or unpinned and not provably safe (medium)."""
-    both = dependencies.withColumn("package", V.package_name(F.col("ecosystem"), F.col("name"))).join(advisories, ["ecosystem", "package"])
-    is_pinned = V.pinned(F.col("spec"))
-    hit = is_pinned & V.in_range(F.regexp_replace("spec", r"^={0,3}\s*v?", ""), F.col("affected"))
-    allows = V.permits(F.col("spec"), F.col("fixed_in"))
-    loose = ~is_pinned & ((F.coalesce("fixed_in", F.lit("")) == "") | ~F.coalesce(allows, F.lit(True)))
-    return both.withColumn("severity_found", F.when(hit, "high").when(loose, "medium")).where("severity_found is not null")
+    """Dependencies with each advisory whose range holds the version they name, and the confidence: high if that is
+    the one version they allow, medium if they allow more but provably not the one that mends it, or none does.
+
+    Ranges and versions are taken apart once for each row of either side, and their parts compared.
+    """
+    ranges_ = advisories.withColumn("_bounds", V.bounds(F.col("affected")))
+    # pre-releases and build marks count where the version is the only one
+    version = F.when(V.pinned(F.col("spec")), F.regexp_replace("spec", r"^={0,3}\s*v?", "")).otherwise(V.candidate(F.col("spec")))
+    named = dependencies.withColumns({"package": V.package_name(F.col("ecosystem"), F.col("name")), "_pinned": V.pinned(F.col("spec")), "_key": V.key(version), "_normal": V.normalized(F.col("spec"))})
+    both = named.where(version.isNotNull()).join(ranges_, ["ecosystem", "package"]).where(V.within(F.col("_key"), F.col("_bounds")))
+    fixed = F.coalesce("fixed_in", F.lit(""))
+    mends = F.when(F.col("_normal").isNotNull() & fixed.rlike(r"^v?\d"), V.in_range(fixed, F.col("_normal")))
+    loose = (fixed == "") | ~F.coalesce(mends, F.lit(True))
+    return both.where(F.col("_pinned") | loose).withColumn("confidence", F.when(F.col("_pinned"), "high").otherwise("medium")).drop("_pinned", "_key", "_normal", "_bounds")

@@ -7,34 +7,35 @@ from pyspark.sql import functions as F
 
 from .detect import Rule, scan
 
-# Rules by kind of file, with the ids that reports use.
+# Rules by kind of file: ids, severities and confidences are fixed values, the patterns our own.
 RULES = {
     "docker": [
-        Rule("DOCKER-FLOATING-TAG", "medium", r"(?i)^\s*FROM\s+\S+:latest\b|^\s*FROM\s+[^\s:@]+\s*$", category="iac"),
-        Rule("DOCKER-CURL-PIPE-SH", "high", r"(curl|wget)[^|]*\|\s*(sudo\s+)?(ba)?sh\b", category="iac"),
-        Rule("DOCKER-HARDCODED-SECRET-ENV", "high", r"(?i)^\s*(ENV|ARG)\s+\S*(password|secret|token|api_key)\S*[= ]\S+", category="iac"),
-        Rule("DOCKER-EXPOSE-SSH-PORT", "medium", r"(?i)^\s*EXPOSE\s+(.*\s)?22(/tcp)?(\s|$)", category="iac"),
+        Rule("DOCKER-FLOATING-TAG", "low", r"(?i)^\s*FROM\s+\S*:latest|^\s*FROM\s+[^\s:]+(\s|$)", category="supply-chain"),
+        Rule("DOCKER-CURL-PIPE-SH", "high", r"(?i)^\s*RUN.*\bcurl\b.*\|\s*(sudo\s+)?(ba)?sh", category="supply-chain"),
+        Rule("DOCKER-HARDCODED-SECRET-ENV", "high", r"""(?i)^\s*(ENV|ARG).*(password|secret|api_key|token)\s*=\s*["']?[A-Za-z0-9+/_-]{8}""", category="secrets"),
+        Rule("DOCKER-EXPOSE-SSH-PORT", "low", r"(?i)^\s*EXPOSE.*\b22\b", category="misconfiguration"),
     ],
     "terraform": [
-        Rule("TF-WORLD-INGRESS", "high", r'"0\.0\.0\.0/0"', category="iac"),
-        Rule("TF-PUBLICLY-ACCESSIBLE", "high", r"publicly_accessible\s*=\s*true", category="iac"),
-        Rule("TF-ENCRYPTION-DISABLED", "medium", r"(storage_)?encrypted\s*=\s*false", category="iac"),
+        Rule("TF-WORLD-INGRESS", "high", r"""cidr_blocks\s*=\s*\[\s*["']0\.0\.0\.0/0["']""", confidence="high", category="iac-misconfiguration"),
+        Rule("TF-PUBLICLY-ACCESSIBLE", "medium", r"(?i)\bpublicly_accessible\s*=\s*true\b", confidence="high", category="iac-misconfiguration"),
+        Rule("TF-ENCRYPTION-DISABLED", "high", r"(?i)\bencrypt(ed|ion)\s*=\s*false\b", confidence="high", category="data-protection"),
     ],
     "kubernetes": [
-        Rule("K8S-PRIVILEGED", "critical", r"^\s*-?\s*privileged:\s*true", category="iac"),
-        Rule("K8S-HOST-NETWORK", "high", r"^\s*hostNetwork:\s*true", category="iac"),
-        Rule("K8S-ROOT-USER", "medium", r"^\s*runAsUser:\s*0\s*$", category="iac"),
+        Rule("K8S-PRIVILEGED", "high", r"(?i)^\s*privileged:\s*true\s*$", confidence="high", category="iac-misconfiguration"),
+        Rule("K8S-HOST-NETWORK", "medium", r"(?i)^\s*hostNetwork:\s*true\s*$", confidence="high", category="iac-misconfiguration"),
+        Rule("K8S-ROOT-USER", "medium", r"^\s*runAsUser:\s*0\s*$", confidence="high", category="iac-misconfiguration"),
     ],
     "docker-compose": [
-        Rule("COMPOSE-PRIVILEGED", "high", r"^\s*privileged:\s*true", category="iac"),
-        Rule("COMPOSE-SSH-PUBLISHED", "medium", r"""^\s*-\s*["']?(\d+:)?22["']?\s*$""", category="iac"),
+        Rule("COMPOSE-PRIVILEGED", "high", r"(?i)^\s*privileged:\s*true\s*$", confidence="high", category="iac-misconfiguration"),
+        Rule("COMPOSE-SSH-PUBLISHED", "medium", r"""^\s*-?\s*["']?0\.0\.0\.0:22:""", confidence="high", category="network-exposure"),
     ],
 }
 
 
 def presence(lines: DataFrame) -> DataFrame:
-    """Findings of lines (rel_path, iac_kind, line, line_text)."""
-    parts = [scan(lines.where(F.col("iac_kind") == kind), rules) for kind, rules in RULES.items()]
+    """Findings of lines (rel_path, iac_kind, line, line_text); comment lines of Dockerfiles give none."""
+    told = lines.where(~((F.col("iac_kind") == "docker") & F.startswith(F.ltrim("line_text"), F.lit("#"))))
+    parts = [scan(told.where(F.col("iac_kind") == kind), rules) for kind, rules in RULES.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -43,12 +44,12 @@ def presence(lines: DataFrame) -> DataFrame:
 
 def absence(lines: DataFrame) -> DataFrame:
     """What a Dockerfile lacks, told at its last FROM line (or line 1): one pass, grouped by file."""
-    word = F.upper(F.regexp_extract("line_text", r"^\s*(\w+)", 1))
+    word = F.upper(F.regexp_extract("line_text", r"^\s*(FROM|USER|HEALTHCHECK|(?i:from|user|healthcheck))", 1))
     by = lines.where("iac_kind = 'docker'").groupBy("rel_path").agg(
         F.coalesce(F.max(F.when(word == "FROM", F.col("line"))), F.lit(1)).alias("line"), F.bool_or(word == "USER").alias("user"), F.bool_or(word == "HEALTHCHECK").alias("check")
     )
     told = F.array_compact(F.array(
-        F.when(~F.col("user"), F.struct(F.lit("DOCKER-MISSING-USER").alias("rule_id"), F.lit("medium").alias("severity"))),
-        F.when(~F.col("check"), F.struct(F.lit("DOCKER-MISSING-HEALTHCHECK").alias("rule_id"), F.lit("info").alias("severity"))),
+        F.when(~F.col("user"), F.struct(F.lit("DOCKER-MISSING-USER").alias("rule_id"), F.lit("medium").alias("severity"), F.lit("iac-misconfiguration").alias("category"), F.lit("(no USER instruction found in file)").alias("snippet"))),
+        F.when(~F.col("check"), F.struct(F.lit("DOCKER-MISSING-HEALTHCHECK").alias("rule_id"), F.lit("info").alias("severity"), F.lit("reliability").alias("category"), F.lit("(no HEALTHCHECK instruction found in file)").alias("snippet"))),
     ))
     return by.select("rel_path", F.col("line").cast("long").alias("line"), F.inline(told))

@@ -24,7 +24,7 @@ MANIFESTS = [
     ("go.mod", "module x\nrequire (\n\tgithub.com/a/b v1.2.3\n\tgithub.com/c/d v0.1.0 // indirect\n)\n"), ("Cargo.toml", '[dependencies]\nserde = "1.0"\n'), ("pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency>"),
     ("Gemfile.lock", "GEM\n  specs:\n    rails (7.0.0)\n      rack (>= 2)\n"), ("web/app.csproj", '<PackageReference Include="N" Version="1.0" />'), ("composer.json", '{"require": {"php": ">=8", "a/b": "^1"}}'), ("broken/package.json", "{"), ("pyproject.toml", "[project]\n"),
 ]
-DOCKERFILES = [("a/Dockerfile", "FROM python:latest\nRUN curl https://x | sh\nENV API_TOKEN=abc123\nEXPOSE 22\n"), ("b/Dockerfile", "FROM python:3.12@sha256:0\nFROM scratch\nUSER app\n"), ("c/Dockerfile", "# empty\nUSER app\nHEALTHCHECK NONE\n"), ("k8s/pod.yaml", "spec:\n  hostNetwork: true\n  privileged: true\n  runAsUser: 0\n"), ("main.tf", 'cidr = "0.0.0.0/0"\nencrypted = false\n')]
+DOCKERFILES = [("a/Dockerfile", "FROM python:latest\n# FROM other:latest\nRUN curl https://x | sh\nENV API_TOKEN=abc12345\nEXPOSE 22\nFROM python AS build\n"), ("b/Dockerfile", "FROM python:3.12@sha256:0\nFROM scratch\nUSER app\n"), ("c/Dockerfile", "# empty\nUSER app\nHEALTHCHECK NONE\n"), ("k8s/pod.yaml", "spec:\n  hostNetwork: true\n  privileged: true\n  runAsUser: 0\n"), ("docker-compose.yml", "services:\n  a:\n    privileged: true\n    ports:\n      - \"0.0.0.0:22:22\"\n      - 8080:80\n"), ("main.tf", 'cidr_blocks = ["0.0.0.0/0"]\nencrypted = false\npublicly_accessible = TRUE\n')]
 
 
 def _table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -45,15 +45,28 @@ def _lines(spark: SparkSession) -> DataFrame:
     return detect.exploded(tree.classified(_table(spark, DOCKERFILES)), "content")
 
 
-@query("SELECT * FROM (VALUES ('a/Dockerfile', CAST(1 AS BIGINT), 'DOCKER-MISSING-USER', 'medium'), ('a/Dockerfile', 1, 'DOCKER-MISSING-HEALTHCHECK', 'info'), ('b/Dockerfile', 2, 'DOCKER-MISSING-HEALTHCHECK', 'info')) t(rel_path, line, rule_id, severity)")
+# What the files above hold, by the ids, severities and places that reports use: fixed values.
+ABSENT = [("a/Dockerfile", 6, "DOCKER-MISSING-USER", "medium"), ("a/Dockerfile", 6, "DOCKER-MISSING-HEALTHCHECK", "info"), ("b/Dockerfile", 2, "DOCKER-MISSING-HEALTHCHECK", "info")]
+PRESENT = [
+    ("a/Dockerfile", 1, "DOCKER-FLOATING-TAG", "low"), ("a/Dockerfile", 3, "DOCKER-CURL-PIPE-SH", "high"), ("a/Dockerfile", 4, "DOCKER-HARDCODED-SECRET-ENV", "high"), ("a/Dockerfile", 5, "DOCKER-EXPOSE-SSH-PORT", "low"), ("a/Dockerfile", 6, "DOCKER-FLOATING-TAG", "low"),
+    ("b/Dockerfile", 2, "DOCKER-FLOATING-TAG", "low"), ("k8s/pod.yaml", 2, "K8S-HOST-NETWORK", "medium"), ("k8s/pod.yaml", 3, "K8S-PRIVILEGED", "high"), ("k8s/pod.yaml", 4, "K8S-ROOT-USER", "medium"),
+    ("docker-compose.yml", 3, "COMPOSE-PRIVILEGED", "high"), ("docker-compose.yml", 5, "COMPOSE-SSH-PUBLISHED", "medium"),
+    ("main.tf", 1, "TF-WORLD-INGRESS", "high"), ("main.tf", 2, "TF-ENCRYPTION-DISABLED", "high"), ("main.tf", 3, "TF-PUBLICLY-ACCESSIBLE", "medium"),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{p}', CAST({n} AS BIGINT), '{r}', '{s}')" for p, n, r, s in rows) + ") t(rel_path, line, rule_id, severity)"
+
+
+@query(_values(ABSENT))
 def dockerfile_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infra.absence(_lines(spark))
+    return infra.absence(_lines(spark)).select("rel_path", "line", "rule_id", "severity")
 
 
-@query("""SELECT * FROM (VALUES ('a/Dockerfile', CAST(1 AS BIGINT), 'DOCKER-FLOATING-TAG'), ('a/Dockerfile', 2, 'DOCKER-CURL-PIPE-SH'), ('a/Dockerfile', 3, 'DOCKER-HARDCODED-SECRET-ENV'), ('a/Dockerfile', 4, 'DOCKER-EXPOSE-SSH-PORT'),
-  ('b/Dockerfile', 2, 'DOCKER-FLOATING-TAG'), ('k8s/pod.yaml', 2, 'K8S-HOST-NETWORK'), ('k8s/pod.yaml', 3, 'K8S-PRIVILEGED'), ('k8s/pod.yaml', 4, 'K8S-ROOT-USER'), ('main.tf', 1, 'TF-WORLD-INGRESS'), ('main.tf', 2, 'TF-ENCRYPTION-DISABLED')) t(rel_path, line, rule_id)""")
+@query(_values(PRESENT))
 def iac_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infra.presence(_lines(spark)).select("rel_path", "line", "rule_id")
+    return infra.presence(_lines(spark)).select("rel_path", "line", "rule_id", "severity")
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS ext, CAST(length(html) - length(replace(html, chr(10), '')) + 1 AS BIGINT) AS n_lines FROM pages")

@@ -68,13 +68,18 @@ ADVISORIES = [("python", "brand#11", "ADV-1", ">=5,<20", "20.0"), ("npm", "brand
 # Versions here have three small parts, so one number orders them.
 _N = "CAST(split_part(version, '.', 1) AS INTEGER) * 10000 + CAST(split_part(version, '.', 2) AS INTEGER) * 100 + CAST(split_part(version, '.', 3) AS INTEGER)"
 HELD = {"ADV-1": "v >= 50000 AND v < 200000", "ADV-2": "v < 100000 OR (v >= 400500 AND v <= 450909)", "ADV-3": "v > 300102", "ADV-4": "false"}
+#: Parts with an even key name one version; odd ones allow all later ones too, so the version that mends it unless that is none.
+MENDS = {"ADV-1": "v <= 200000", "ADV-2": "false", "ADV-3": "v <= 990000", "ADV-4": "true"}
 
 
-@query(f"WITH {COMPONENT}, c AS (SELECT *, {_N} AS v FROM component) " + " UNION ALL ".join(f"SELECT p_partkey, '{i}' AS id FROM c WHERE ecosystem = '{e}' AND lower(name) = '{n}' AND ({HELD[i]})" for e, n, i, _, _ in ADVISORIES))
+@query(
+    f"WITH {COMPONENT}, c AS (SELECT *, {_N} AS v, p_partkey % 2 = 0 AS pinned FROM component) "
+    + " UNION ALL ".join(f"SELECT p_partkey, '{i}' AS id, CASE WHEN pinned THEN 'high' ELSE 'medium' END AS confidence FROM c WHERE ecosystem = '{e}' AND lower(name) = '{n}' AND ({HELD[i]}) AND (pinned OR NOT ({MENDS[i]}))" for e, n, i, _, _ in ADVISORIES)
+)
 def version_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     adv = spark.createDataFrame(ADVISORIES, "ecosystem string, package string, id string, affected string, fixed_in string")
-    deps = components(spark, sf_dir).withColumn("spec", F.concat(F.lit("=="), F.col("version")))
-    return advisories.matched(deps, adv).where("severity_found = 'high'").select("p_partkey", "id")
+    deps = components(spark, sf_dir).withColumn("spec", F.concat(F.when(F.col("p_partkey") % 2 == 0, "==").otherwise(">="), F.col("version")))
+    return advisories.matched(deps, adv).select("p_partkey", "id", "confidence")
 
 
 # Requirement, whether it names one version, and its normal form: fixed values.

@@ -20,9 +20,12 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_SNIPPET = ("substr(trim(line_text, ' '), 1, 500)", "'<redacted:' || length(line_text) || '>'")
+
+
 def _rule_sql(r: detect.Rule) -> str:
     skip = f" AND NOT regexp_matches(line_text, {_quoted(r.exclude)})" if r.exclude else ""
-    return f"SELECT doc_id, source, line, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, '{r.category}' AS category, substr(trim(line_text, ' '), 1, 500) AS snippet, line_text FROM line WHERE regexp_matches(line_text, {_quoted(r.pattern)}){skip}"
+    return f"SELECT doc_id, source, line, '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, '{r.category}' AS category, {_SNIPPET[r.category == "secret"]} AS snippet, line_text FROM line WHERE regexp_matches(line_text, {_quoted(r.pattern)}){skip}"
 
 
 HIT = f"{LINE}, hit AS ({' UNION ALL '.join(map(_rule_sql, detect.TEXT_RULES))})"
@@ -43,16 +46,18 @@ def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).where("category = 'secret'").select("doc_id", "line", "rule_id", "severity", value.alias("value"))
 
 
+#: Lower than the default, since the tables' values are hexadecimal.
+LEAST_ENTROPY = 3.0
+
+
 @query(f"""WITH {LINE}, v AS (SELECT doc_id, line, regexp_extract(line_text, {_quoted(detect.ASSIGNMENT)}, 1) AS name, regexp_extract(line_text, {_quoted(detect.ASSIGNMENT)}, 2) AS value
     FROM line WHERE length(line_text) <= {detect.LONGEST_LINE} AND regexp_matches(line_text, {_quoted(detect.ASSIGNMENT)})),
   c AS (SELECT doc_id, line, name, value, unnest(string_split(value, '')) AS ch FROM v), n AS (SELECT doc_id, line, name, value, ch, count(*) / any_value(length(value)) AS p FROM c WHERE ch <> '' GROUP BY doc_id, line, name, value, ch),
   e AS (SELECT doc_id, line, name, length(value) AS value_length, -sum(p * log2(p)) AS entropy FROM n GROUP BY doc_id, line, name, value)
-  SELECT doc_id, line, name, CAST(value_length AS BIGINT) AS value_length, round(entropy, 6) AS entropy FROM e WHERE entropy >= {detect.ENTROPY_THRESHOLD}""")
+  SELECT doc_id, line, name, CAST(value_length AS BIGINT) AS value_length, round(entropy, 6) AS entropy FROM e WHERE entropy >= {LEAST_ENTROPY}""")
 def entropy_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = detect.exploded(read(spark, sf_dir, "documents").select("doc_id", "text")).where((F.char_length("line_text") <= detect.LONGEST_LINE) & F.col("line_text").rlike(detect.ASSIGNMENT))
-    out = lines.select("doc_id", "line", F.regexp_extract("line_text", detect.ASSIGNMENT, 1).alias("name"), F.regexp_extract("line_text", detect.ASSIGNMENT, 2).alias("_v"))
-    out = out.withColumns({"value_length": F.char_length("_v").cast("long"), "entropy": T.entropy(F.col("_v"))}).where(F.col("entropy") >= detect.ENTROPY_THRESHOLD)
-    return out.select("doc_id", "line", "name", "value_length", F.round("entropy", 6).alias("entropy"))
+    lines = detect.exploded(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return detect.entropy_assignments(lines, LEAST_ENTROPY).select("doc_id", "line", "name", "value_length", F.round("entropy", 6).alias("entropy"))
 
 
 @query(f"WITH {HIT}, s AS (SELECT source, CAST(count(*) AS BIGINT) AS n_findings, CAST(sum({WEIGHT}) AS BIGINT) AS risk_score FROM hit GROUP BY source) SELECT source, n_findings, risk_score, {GRADE} AS grade FROM s")
@@ -92,8 +97,11 @@ def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Expressions to classify, with the class expected: fixed values.
-EXPRESSIONS = [("MIT", "allowed"), ("GPL-3.0-only", "blocked"), ("MIT OR GPL-3.0", "allowed"), ("MIT AND GPL-3.0", "blocked"), ("LGPL-2.1-or-later", "warning"), ("GPL-2.0 WITH Classpath-exception-2.0", "blocked"),
-               ("MIT/Apache-2.0", "allowed"), ("Proprietary", "unknown"), ("MIT OR Apache-2.0 AND GPL-3.0", "unknown"), ("", "unknown"), ("MPL-2.0 AND MIT", "warning")]
+EXPRESSIONS = [
+    ("MIT", "allowed"), ("MIT OR GPL-3.0", "allowed"), ("MIT or GPL-3.0", "allowed"), ("MIT AND GPL-3.0", "blocked"), ("mit", "unknown"), ("GPL-3.0-only", "unknown"), ("LGPL-2.0", "warning"), ("LGPL-2.1", "blocked"), ("LGPL-3.0", "blocked"),
+    ("Artistic-2.0", "warning"), ("BlueOak-1.0.0", "allowed"), ("OSL-3.0", "blocked"), ("EUPL-1.2", "blocked"), ("MPL-1.1", "warning"), ("CDDL-1.1", "warning"), ("CC0-1.0", "allowed"), ("(GPL-2.0 WITH Classpath-exception-2.0)", "blocked"), ("GPL-2.0 WITH OR MIT", "unknown"),
+    ("MIT/Apache-2.0", "allowed"), ("MIT, GPL-2.0", "allowed"), ("Proprietary", "unknown"), ("MIT OR Proprietary", "allowed"), ("MIT AND Proprietary", "unknown"), ("MIT OR Apache-2.0 AND GPL-3.0", "unknown"), ("", "unknown"), ("NOASSERTION", "unknown"), ("None", "unknown"), ("MPL-2.0 AND MIT", "warning"),
+]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EXPRESSIONS) + ") AS t(expression, class)")

@@ -1,6 +1,6 @@
 """The packaged rules: ids, languages, severities and confidences are fixed values; the patterns are our own.
 
-Patterns hold for Java's regular expressions and RE2 alike, except where a comment says otherwise.
+Patterns hold for Java's regular expressions, RE2 and Python alike; rules marked `whole` are matched by Python on whole files.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from siftwarden.operators.detect import Rule
 _JS = ("javascript", "typescript")
 
 
-def _rule(rule_id: str, languages: tuple[str, ...] | str, severity: str, confidence: str, pattern: str, exclude: str | None = None, needs: tuple[str, ...] = ()) -> Rule:
-    return Rule(rule_id, severity, pattern, (languages,) if isinstance(languages, str) else languages, exclude, confidence, "code", needs)
+def _rule(rule_id: str, languages: tuple[str, ...] | str, severity: str, confidence: str, pattern: str, exclude: str | None = None, needs: tuple[str, ...] = (), whole: bool = False) -> Rule:
+    return Rule(rule_id, severity, pattern, (languages,) if isinstance(languages, str) else languages, exclude, confidence, "code", needs, whole)
 
 
 RULES = [
@@ -29,7 +29,7 @@ RULES = [
     _rule("JAVA-MESSAGE-DIGEST-MD5", "java", "medium", "high", r'MessageDigest\.getInstance\(\s*"(MD5|SHA-?1)"', needs=("MessageDigest",)),
     _rule("JAVA-RUNTIME-EXEC-CONCAT", "java", "critical", "high", r"getRuntime\(\)\.exec\([^)]*\+", needs=("getRuntime",)),
     _rule("JAVA-WEAK-CIPHER-ECB", "java", "high", "high", r'Cipher\.getInstance\(\s*"(DES|RC4|[A-Za-z]+/ECB)', needs=("Cipher.",)),
-    _rule("JAVA-TRUST-ALL-CERTS", "java", "critical", "high", r"void\s+checkServerTrusted\([^)]*\)[^{]*\{\s*\}", needs=("checkServerTrusted",)),
+    _rule("JAVA-TRUST-ALL-CERTS", "java", "critical", "high", r"void\s+checkServerTrusted\([^)]*\)[^{]*\{\s*\}", needs=("checkServerTrusted",), whole=True),
     _rule("JS-EVAL-USE", _JS, "high", "medium", r"\beval\(|new\s+Function\("),
     _rule("JS-INNERHTML-XSS", _JS, "medium", "low", r"\.(innerHTML|outerHTML)\s*\+?=", needs=("HTML",)),
     _rule("JS-DOCUMENT-WRITE", _JS, "low", "low", r"document\.write(ln)?\(", needs=("document.write",)),
@@ -53,7 +53,7 @@ RULES = [
     _rule("PHP-DYNAMIC-INCLUDE", "php", "critical", "high", r"\b(include|require)(_once)?\b\s*\(?\s*\$_(GET|POST|REQUEST|COOKIE)", needs=("$_",)),
     _rule("PHP-COMMAND-SUPERGLOBAL", "php", "critical", "high", r"\b(exec|system|shell_exec|passthru|popen)\s*\(.*\$_(GET|POST|REQUEST|COOKIE)", needs=("$_",)),
     _rule("PHP-WEAK-PASSWORD-HASH", "php", "high", "high", r"(?i)\b(md5|sha1)\s*\(\s*\$\w*pass"),
-    _rule("CSHARP-XML-EXTERNAL-ENTITY", "csharp", "high", "low", r"DtdProcessing\.Parse|new\s+XmlTextReader\(|XmlResolver\s*=\s*new\s"),
+    _rule("CSHARP-XML-EXTERNAL-ENTITY", "csharp", "high", "low", r"DtdProcessing\.Parse|new\s+XmlTextReader\(|XmlResolver\s*=\s*new\s", whole=True),
     _rule("TERRAFORM-HARDCODED-SECRET", "terraform", "high", "medium", r'(?i)\b(password|secret|token|api_key)\w*\s*=\s*"[^"$]{6,}"', r"(?i)var\.|data\.|example"),
     _rule("JWT-ALGORITHM-NONE", ("python", "javascript", "typescript", "go", "ruby", "php"), "critical", "high", r"""(?i)\balg(orithms?)?["']?\s*(:|=|=>)\s*\[?\s*["']none["']"""),
     _rule("PY-DJANGO-DEBUG-TRUE", "python", "high", "high", r"^DEBUG\s*=\s*True\b", needs=("DEBUG",)),

@@ -29,7 +29,8 @@ def test_all_rules(spark):
     assert len(RULES) == 55 == len({r.rule_id for r in RULES}) and set(FIRES) == {r.rule_id for r in RULES}
     rows = [(r.rule_id, r.languages[0], FIRES[r.rule_id]) for r in RULES] + [(None, lang, line) for lang, line in QUIET]
     lines = spark.createDataFrame(rows, "want string, language string, line_text string")
-    got = detect.scan(lines, RULES, "language").select("want", "rule_id").collect()
+    whole = detect.scan_whole(lines.withColumnRenamed("line_text", "text"), RULES).select("want", "rule_id")
+    got = detect.scan(lines, RULES, "language").select("want", "rule_id").unionByName(whole).collect()
     assert {r.rule_id for r in RULES} == {r.want for r in got if r.want == r.rule_id}
     assert [r for r in got if r.want is None] == []
 
@@ -38,3 +39,35 @@ def test_all_rules(spark):
 def test_comments(spark, language, line, comment):
     df = spark.createDataFrame([(language, line)], "language string, line string")
     assert df.select(detect.is_comment(F.col("line"), F.col("language"))).first()[0] is comment
+
+
+PYTHON = '''"""Doc.
+
+DEBUG = True
+"""
+DEBUG = True
+# DEBUG = True
+def f():
+    """One line: DEBUG"""
+    x = """
+DEBUG = True
+"""
+'''
+PACK = "rules:\n  - id: A\n    pattern: privileged: true\n    message: >\n      privileged:true\n    languages: [yaml]\nprivileged: true\n"
+
+
+def test_masks(spark):
+    assert detect.docstring_lines(PYTHON.splitlines()) == {1, 2, 3, 4, 8, 11}  # the last quote opens at the start of a line
+    assert detect.definition_lines(PACK.splitlines()) == {3, 4, 5}
+    assert detect.definition_lines("rules:\n  - x\nprivileged: true".splitlines()) == set()
+    files = spark.createDataFrame([("a.py", "python", PYTHON), ("p.yml", "yaml", PACK), ("k.yml", "yaml", "privileged: true\n# privileged: true"), ("a.js", "javascript", "// eval(x)\n/* eval(x) */"), ("n.py", "python", None)], "rel_path string, language string, text string")
+    got = {(r.rel_path, r.line) for r in detect.scan(detect.code_lines(files), RULES, "language").collect()}
+    assert got == {("a.py", 5), ("a.py", 10), ("p.yml", 7), ("k.yml", 1), ("a.js", 2)}
+
+
+def test_whole_file_rules(spark):
+    java = "class T {\n  public void checkServerTrusted(X[] c,\n      String a)\n  {\n  }\n}\n"
+    files = spark.createDataFrame([("T.java", "java", java), ("T.go", "go", java), ("N.java", "java", None)], "rel_path string, language string, text string")
+    r = detect.scan_whole(files, RULES).collect()
+    assert [(x.rel_path, x.rule_id, x.line, x.end_line) for x in r] == [("T.java", "JAVA-TRUST-ALL-CERTS", 2, 5)]
+    assert r[0].snippet == "\n".join(java.split("\n")[1:5])

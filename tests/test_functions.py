@@ -113,7 +113,7 @@ def test_read_tree(spark, tmp_path):
     assert not files.inside(str(tmp_path), str(tmp_path / ".." / "x"))
 
 
-@pytest.mark.parametrize("code,rule", [("import os\ndef f(a):\n  os.system(a)", "PY-AST-CMD-INJECTION"), ("import yaml\nyaml.load(x)", "PY-AST-UNSAFE-YAML-LOADER"), ("eval(input())", "PY-AST-EVAL-USE"), ("assert user.is_admin", "PY-AST-ASSERT-SECURITY-CHECK"), ("import random\ntoken = random.random()", "PY-AST-INSECURE-RANDOM")])
+@pytest.mark.parametrize("code,rule", [("import os\ndef f(payload):\n  os.system(payload)", "PY-AST-CMD-INJECTION"), ("import yaml\nyaml.load(x)", "PY-AST-INSECURE-DESERIALIZATION"), ("eval(input())", "PY-AST-EVAL-USE"), ("assert user.is_admin", "PY-AST-ASSERT-SECURITY-CHECK"), ("import random\ntoken = random.random()", "PY-AST-INSECURE-RANDOM")])
 def test_pyast(code, rule):
     assert rule in {r[1] for r in pyast.findings_of("a.py", code)}
 
@@ -134,7 +134,9 @@ def test_manifest_errors(path, text, error):
 
 
 def test_advisory_match(spark):
-    deps = spark.createDataFrame([("python", "Foo_Bar", "==1.0"), ("python", "foo.bar", ">=2"), ("python", "foo-bar", ">=1")], "ecosystem string, name string, spec string")
+    specs = ["==1.0", ">=2", ">=1,<1.4", ">=1", "==1.5", "latest"]
+    deps = spark.createDataFrame([("python", n, s) for n, s in zip(["Foo_Bar", "foo.bar", "foo-bar", "foo-bar", "foo-bar", "foo-bar"], specs)], "ecosystem string, name string, spec string")
     adv = spark.createDataFrame([("python", "foo-bar", "X", "<1.5", "1.5")], "ecosystem string, package string, id string, affected string, fixed_in string")
-    got = {(r.spec, r.severity_found) for r in advisories.matched(deps, adv).collect()}
-    assert got == {("==1.0", "high"), (">=2", "medium")}
+    got = {(r.spec, r.confidence) for r in advisories.matched(deps, adv).collect()}
+    # >=2 names a version out of range, >=1 allows the one that mends it
+    assert got == {("==1.0", "high"), (">=1,<1.4", "medium")}
