@@ -51,12 +51,13 @@ PROBES = 6
 #: Up to so many bytes the filter is sent to all workers.
 FILTER_BYTES = 64 << 20
 #: Bytes of text whose n-grams make a range on average; a range is summed, and probed, by one task.
-RANGE_BYTES = 8 << 20
-#: Bytes of text that ask for their n-grams together where the filter is a table.
-RUN_BYTES = 8 << 20
+RANGE_BYTES = 2 << 20
+#: Bytes of text that ask for their n-grams together where the filter is a table, and in how many turns runs do so: a turn's
+#: shuffle goes before the next one's comes.
+RUN_BYTES, TURNS = 2 << 20, 2
 FREQUENT = 200_000
 #: Tokens that a task counts before it passes counts on.
-HELD = 3 << 19
+HELD = 3 << 18
 #: Bits of a code; the last two tell words, bigrams and trigrams apart.
 CODE = 48
 _END, _START = mix(np.array([101, 102], U))
@@ -124,6 +125,11 @@ def _cuts(codes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return of[at], np.append(at, len(codes))
 
 
+def _tasks(df: DataFrame, ranges: int) -> int:
+    """Shuffle partitions: some 16 ranges each, and no fewer than others have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges // 16)
+
+
 def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
     """A row for each range that n-grams of docs (text) fall in: part, bits (its segment), word and n (exact counts of its words)."""
     kinds = "part long, kind int, h binary, n binary"
@@ -176,17 +182,12 @@ def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
                 held[kind].append((h, np.frombuffer(n, np.uint8 if n.size == len(h) else np.int64).astype(np.int64)))
         yield from done()
 
-    told = docs.select("text").mapInArrow(count, kinds).repartition("part").sortWithinPartitions("part")
+    told = docs.select("text").mapInArrow(count, kinds).repartition(_tasks(docs, ranges), "part").sortWithinPartitions("part")
     return told.mapInArrow(merge, "part long, bits binary, word array<long>, n array<long>")
 
 
-def _marks() -> tuple[np.ndarray, np.ndarray]:
-    """The bits of a word that an entry sets, for each value of 16 hash bits: as numbers, and as a mask."""
-    bit = mix(np.arange(PROBES << 16, dtype=U)).reshape(-1, PROBES) & U(63)
-    return bit.astype(np.int64), np.bitwise_or.reduce(U(1) << bit, axis=1)
-
-
-_MARK_BITS, _MARK_MASK = _marks()
+#: The bits of a word that an entry sets, for each value of 16 hash bits.
+_MARK_MASK = np.bitwise_or.reduce(U(1) << (mix(np.arange(PROBES << 16, dtype=U)).reshape(-1, PROBES) & U(63)), axis=1)
 
 
 class Filter:
@@ -208,10 +209,12 @@ class Filter:
         size = -(-int(level.sum()) * BITS // 64)
         step = np.arange(level.sum()) - np.repeat(np.cumsum(level) - level, level) + 1
         word, mark = cls._place(np.repeat(codes, level), step, size)
-        out = np.zeros(size * 64, np.uint8)
-        for k in range(PROBES):
-            out[word * 64 + _MARK_BITS[mark, k]] = 1
-        return np.packbits(out, bitorder="little").tobytes()
+        both = np.sort(word << 16 | mark)
+        word, mask = both >> 16, _MARK_MASK[both & 0xFFFF]
+        out, at = np.zeros(size, U), np.flatnonzero(np.diff(word, prepend=-1))
+        if len(at):
+            out[word[at]] = np.bitwise_or.reduceat(mask, at)
+        return out.tobytes()
 
     def level(self, codes: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
         """The level of each n-gram; `most`: levels that it can't exceed, which aren't probed."""
@@ -250,18 +253,18 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"apart": None}  # a table isn't sent
 
-    def log_p(self, word: np.ndarray, first: np.ndarray, look: Callable, pairs: np.ndarray, triples: np.ndarray) -> np.ndarray:
-        """log10 p3 of each word; word: their levels; look: the levels of codes, each at most as given."""
+    def log_p(self, word: np.ndarray, first: np.ndarray, look: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+        """log10 p3 of each word; word: their levels; look: those of the bigrams (1) or trigrams (2) that end there, each at most as given."""
         low = np.concatenate([[0.0], EDGES])
         high = np.concatenate([[0.0], EDGES[1:] - 1.0])  # the next edge less 1
         earlier = lambda x: np.concatenate([[0], x[:-1]])
         # an n-gram occurs no more often than its parts do, so higher levels needn't be probed
         most = np.minimum(word, earlier(word))
         most[first] = word[first]
-        pair = look(pairs, most)
+        pair = look(1, most)
         most = np.minimum(pair, earlier(pair))
         most[first] = 0
-        triple = look(triples, most)
+        triple = look(2, most)
         seen = high[earlier(word)]
         seen[first] = self.texts
         p = (low[word] + 1) / (self.low_tokens + self.distinct + 1)
@@ -319,17 +322,22 @@ def fit(train: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQ
     return model, words.where(F.col("n") < least)
 
 
-def _told(m: Model, batch: pa.RecordBatch, keep: list[str], uid: int, look: Callable) -> pa.RecordBatch:
-    """What the model tells of the texts of a batch; look: levels of codes, at most as given."""
+def _told(m: Model, batch: pa.RecordBatch, keep: list[str], uid: int, runs: Iterator[tuple], levels: Iterator[tuple] | None = None) -> pa.RecordBatch:
+    """What the model tells of the texts of a batch, in runs as `sequences` gives them; levels: of the n-grams of each run, where they have been looked up."""
     known_h, known_n = m.frequent
     log_all = np.log10(m.tokens + m.distinct + 1)
     n_tokens, n_known = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
     base, total = np.zeros(len(batch)), np.zeros(len(batch))
     rest_h: list[np.ndarray] = []
     rest_at = [np.zeros(1, np.int64)]
-    for row, end, tokens, pairs, triples, first in sequences(batch["text"]):
+    for row, end, tokens, pairs, triples, first in runs:
         kinds, at = np.unique(tokens, return_inverse=True)
-        total[row:end] = np.add.reduceat(m.log_p(look(code(kinds, 0), None)[at], first, look, pairs, triples), first)
+        if levels is None:
+            word, look = m.filter.level(code(kinds, 0))[at], lambda n, most: m.filter.level((tokens, pairs, triples)[n], most)
+        else:
+            known = next(levels)
+            word, look = known[0], lambda n, most: np.minimum(known[n], most)
+        total[row:end] = np.add.reduceat(m.log_p(word, first, look), first)
         n_tokens[row:end] = np.diff(first, append=len(tokens))
         if len(known_h):
             near = np.minimum(np.searchsorted(known_h, kinds), len(known_h) - 1)
@@ -348,9 +356,21 @@ def _told(m: Model, batch: pa.RecordBatch, keep: list[str], uid: int, look: Call
     return pa.RecordBatch.from_arrays([batch[c] for c in keep] + out, names=[*keep, "_uid", "n_tokens", "n_known", "base_score", "score", "_rest"])
 
 
-def _grams(texts: pa.RecordBatch) -> np.ndarray:
-    """The distinct codes of all n-grams of the texts, sorted."""
-    return np.unique(np.concatenate([x for _, _, tokens, pairs, triples, first in sequences(texts["text"]) for x in (code(tokens, 0), pairs, np.delete(triples, first))]))
+def _coded(runs: list[tuple]) -> tuple[np.ndarray, Callable[[np.ndarray], Iterator[tuple]]]:
+    """The distinct codes of all n-grams of runs of texts, sorted, and from their levels to those of each run's words, bigrams and trigrams."""
+    parts = [x for _, _, tokens, pairs, triples, _ in runs for x in (code(tokens, 0), pairs, triples)]
+    codes = np.concatenate(parts)
+    order = np.argsort(codes)
+    codes = codes[order]
+    new = np.concatenate([[True], codes[1:] != codes[:-1]])
+
+    def back(level: np.ndarray) -> Iterator[tuple]:
+        out = np.empty(len(codes), np.int64)
+        out[order] = level[np.cumsum(new) - 1]
+        cut = iter(np.split(out, np.cumsum([len(x) for x in parts])[:-1]))
+        return zip(cut, cut, cut)
+
+    return codes[new], back
 
 
 def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], schema: str) -> DataFrame:
@@ -376,7 +396,7 @@ def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], sche
         for batch in batches:
             for run, data in zip(batch["run"].to_pylist(), batch["data"]):
                 for texts in pa.ipc.open_stream(data.as_buffer()):
-                    codes = _grams(texts)
+                    codes = _coded(list(sequences(texts["text"])))[0]
                     parts, at = _cuts(codes, ranges)
                     data = [_pack(codes[a:b]) for a, b in zip(at[:-1], at[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([run] * len(data), pa.int64()), pa.array(data, pa.binary())], names)
@@ -402,19 +422,13 @@ def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], sche
         texts, uid, levels = None, 0, []
 
         def done() -> Iterator[pa.RecordBatch]:
+            nonlocal levels
             if texts is None:
                 return
             for batch in pa.ipc.open_stream(texts):
-                codes, level = _grams(batch), np.frombuffer(b"".join(levels), np.uint8).astype(np.int64)
-
-                def look(asked: np.ndarray, most: np.ndarray | None) -> np.ndarray:
-                    if most is None:
-                        return level[np.searchsorted(codes, asked)]
-                    out, some = np.zeros(len(asked), np.int64), np.flatnonzero(most > 0)
-                    out[some] = np.minimum(level[np.searchsorted(codes, asked[some])], most[some])
-                    return out
-
-                yield _told(sent.value, batch, keep, uid, look)
+                rows = list(sequences(batch["text"]))
+                levels = _coded(rows)[1](np.frombuffer(b"".join(levels), np.uint8))
+                yield _told(sent.value, batch, keep, uid, rows, levels)
 
         for batch in batches:
             for part, run, data in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), batch["data"]):
@@ -428,9 +442,12 @@ def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], sche
     kind = "part long, run long, data binary"
     runs = written(docs.mapInArrow(cut, kind), "runs")
     held = model.apart.select("part", F.lit(-1).cast("long").alias("run"), F.col("bits").alias("data"))
-    found = held.unionByName(runs.mapInArrow(ask, kind)).repartition("part").sortWithinPartitions("part", "run").mapInArrow(probe, kind)
-    found = _settled(written(found, "found"))
-    return runs.unionByName(found).repartition("run").sortWithinPartitions("run", "part").mapInArrow(finish, schema)
+    found = None
+    for turn in range(TURNS):
+        some = runs.where(F.pmod(F.xxhash64("run"), F.lit(TURNS)) == turn)
+        told = _settled(written(held.unionByName(some.mapInArrow(ask, kind)).repartition(_tasks(docs, ranges), "part").sortWithinPartitions("part", "run").mapInArrow(probe, kind), "found"))
+        found = told if found is None else found.unionByName(told)
+    return runs.unionByName(found).repartition(_tasks(docs, ranges), "run").sortWithinPartitions("run", "part").mapInArrow(finish, schema)
 
 
 RESULTS = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -445,7 +462,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            yield _told(sent.value, batch, keep, uid, sent.value.filter.level)
+            yield _told(sent.value, batch, keep, uid, sequences(batch["text"]))
             uid += len(batch)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
