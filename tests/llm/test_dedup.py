@@ -169,6 +169,42 @@ def test_lines_insert_and_delete_are_reversible(spark, tmp_path):
     assert told(again.apply(table(spark, first))) == before
 
 
+def test_lines_deletion_reads_touched_shards_alone(spark, tmp_path):
+    rows = [(i, "\n".join(f"a line of text number {(i + k) % 300}" for k in range(3))) for i in range(300)]
+    store = line_dedup.LineDedup(spark, str(tmp_path), shard_keys=8)
+    store.insert(table(spark, rows))
+    before = dict(store.now["counts"])
+    assert store.now["shards"] > 30
+    store.delete(table(spark, rows[:1]))
+    touched = [k for k, v in store.now["counts"].items() if v != before[k]]
+    assert 0 < len(touched) <= 3
+    assert told(store.apply(table(spark, rows[1:]))) == expected_lines(rows[1:])
+    assert store.now["docs"] and len(store.now["gone"]) == 1
+
+
+def test_lines_filters_grow_and_tables_are_rewritten(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SEGMENTS", 4)
+    store = line_dedup.LineDedup(spark, str(tmp_path), shard_keys=8)
+    store.insert(table(spark, [(0, "the very first line"), (1, "the very first line")]))
+    rows, seen = [(0, "the very first line"), (1, "the very first line")], set()
+    for k in range(1, 5):
+        # a growing insert overfills filters, then asks for more shards
+        more = [(100 * k + i, "\n".join(f"line {j} of round {k if j % 2 else 0}" for j in range(20 * k))) for i in range(2)]
+        store.insert(table(spark, more))
+        rows += more
+        seen.add(store.now["shards"])
+        assert told(store.apply(table(spark, rows))) == expected_lines(rows)
+    assert len(seen) > 1
+    store.delete(table(spark, rows[:1]))
+    store.insert(table(spark, rows[:1]))  # in again
+    assert told(store.apply(table(spark, rows))) == expected_lines(rows)
+    state = store.describe()
+    monkeypatch.setattr(line_dedup, "_counted", lambda rows: rows.select(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost|UNRESOLVED|part"):
+        store.insert(table(spark, [(999, "the very first line")]))
+    assert store.describe() == state  # the state before the failed step
+
+
 def test_lines_of_odd_tables(spark, tmp_path):
     store = line_dedup.LineDedup(spark, str(tmp_path))
     store.insert(table(spark, []))
