@@ -2,16 +2,19 @@
 
 Tokens are runs of letters, digits and `_`, and runs of other visible characters, of the lower-cased
 text.  Their uni- and bigrams, hashed into BUCKETS, are counted over all documents (raw) and over
-those that `trusted` names; each bucket's log ratio of the two smoothed multinomials is summed over a
-document's n-grams and divided by their number.  A document is kept if that is at least THRESHOLD (a
-constant, so the verdict depends on no sample or quantile) and the base rules pass.
+those that `trusted` names; each bucket's log ratio of the two multinomials is summed over a
+document's n-grams and divided by their number.  The trusted multinomial is smoothed towards the raw one, by
+PRIOR n-grams dealt as raw ones are, so that where little is trusted ratios come near 0 and not below it.  A document is
+kept if its ratio is at least THRESHOLD (a constant, so the verdict depends on no sample or quantile) and the base rules pass.
 
 All of it is DataFrame functions; the BUCKETS log ratios are a literal in the scoring plan.  Write the result
 before filtering on its columns: Spark would copy their nested expressions into the filter.
 
 Nulls and edges: a null text has no words and fails the base rules; a text without n-grams has ratio 0;
 without trusted documents all ratios are 0; repeated rows are counted and scored each; trusted ids that
-repeat or are null count once or not at all; an empty table gives none.
+repeat or are null count once or not at all; a ratio that equals THRESHOLD keeps; a very long text is one array of its
+words, which its task must hold; columns of docs stay, but those named as result columns give way to them; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,13 +24,15 @@ from math import log
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, words
+from .common import SPACE, boxed, table, words
 
-BUCKETS = 10_000
+BUCKETS = 1 << 16
+#: N-grams that the trusted counts are filled up with.
+PRIOR = 1 << 16
 #: Nats for each n-gram.  Clean texts lie about 0, also very short ones within 0.15; texts of symbols below -0.5.
 THRESHOLD = -0.2
-#: Up to so many trusted ids go to all workers (under 100 MB); more meet the documents in a shuffle.
-SENT_IDS = 4_000_000
+#: Up to so many trusted ids go to all workers, some 90 bytes each (under 64 MB); more meet the documents in a shuffle.
+SENT_IDS = 700_000
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -50,9 +55,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BUCKETS) -> list[fl
     raw, good = sum(r.raw for r in rows), sum(r.good for r in rows)
     out = [0.0] * n
     if good:
-        out = [log(raw + n) - log(good + n)] * n
         for r in rows:
-            out[r.b] += log(r.good + 1) - log(r.raw + 1)
+            share = r.raw / raw
+            out[r.b] = log((r.good + PRIOR * share) / (good + PRIOR)) - log(share)
     return out
 
 
@@ -91,8 +96,12 @@ def base_columns(docs: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the base columns, llr and kept."""
+    docs, opened = boxed(docs, ["doc_id", "text"], RESULTS)
     out = with_ratio(base_columns(docs), log_ratios(docs, trusted))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return opened(out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)), RESULTS)
+
+
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

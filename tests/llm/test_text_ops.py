@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwarden.llm import language, mixing, quality, scoring, sharding, toxicity
+from siftwarden.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,8 +62,8 @@ def test_quality_ratio_against_brute_force(spark):
         raw.update(h % n for h in grams[r.doc_id, r.text])
         if r.doc_id is not None and r.doc_id < 20:
             good.update(h % n for h in grams[r.doc_id, r.text])
-    a, b = sum(good.values()) + n, sum(raw.values()) + n
-    want = [math.log((good[k] + 1) / a) - math.log((raw[k] + 1) / b) for k in range(n)]
+    a, b = sum(good.values()) + quality.PRIOR, sum(raw.values())
+    want = [math.log((good[k] + quality.PRIOR * raw[k] / b) / a) - math.log(raw[k] / b) if raw[k] else 0.0 for k in range(n)]
     assert np.allclose(ratios, want)
     for r in quality.with_ratio(docs, ratios).collect():
         g = grams[r.doc_id, r.text]
@@ -70,11 +71,31 @@ def test_quality_ratio_against_brute_force(spark):
 
 
 def test_quality_of_odd_tables(spark):
-    assert quality.judge(table(spark, []).drop("n_words"), spark.createDataFrame([], "doc_id long")).count() == 0
-    out = quality.judge(table(spark, odd_rows()).drop("n_words"), spark.createDataFrame([], "doc_id long"))
+    assert quality.judge(table(spark, []), spark.createDataFrame([], "doc_id long")).count() == 0
+    out = quality.judge(table(spark, odd_rows()), spark.createDataFrame([], "doc_id long"))
     assert {r.llr for r in out.collect()} == {0.0}
 
 
+def test_quality_keeps_extra_columns(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 3), (None, None, None, "z", 4)], "doc_id long, text string, _words string, kept string, _good int")
+    got = []
+    for sent in (0, 10):
+        monkeypatch.setattr(quality, "SENT_IDS", sent)
+        out = quality.judge(docs, spark.createDataFrame([(1,), (1,), (None,)], "doc_id long"))
+        assert out.columns == ["doc_id", "text", "_words", "_good", *quality.RESULTS]
+        got.append(sorted(map(str, out.collect())))
+    assert got[0] == got[1] and "_words='x'" in got[0][0]
+
+
+@here
+@pytest.mark.parametrize("trusted", [3, 30, 10_000])
+def test_quality_leaves_clean_texts_alone_whatever_is_trusted(spark, trusted):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    good = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").select("doc_id").distinct().orderBy("doc_id")
+    out = written(quality.judge(docs, good.limit(trusted)), "judged").join(good, "doc_id").where("not base_failed")
+    assert out.agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.99
+
+
 @here
 def test_quality_tells_junk(spark):
     q = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
