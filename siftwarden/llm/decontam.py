@@ -2,19 +2,20 @@
 
 An item is in a document if the document's set of 5-word shingles holds at least 75% of the item's.
 
-Items are partitioned by the size of their shingle set, in powers of two.  An item of q shingles is
-sketched by its k smallest shingle hashes (bottom-k MinHash), k = q - ceil(0.75 q) + 1: a document that
-holds 75% of the set misses fewer than k shingles, so it holds at least one of any k, and no
-match is lost, however long the document.  A document looks its shingles up in the sketches of those
-partitions whose smallest member could fit into it (0.75 of its size at most the document's), and each
-candidate is verified on the full sets.
+Items are partitioned by the size of their shingle set, in powers of two; each class has an index of its own.  Its items
+are sketched by their k smallest shingle hashes (bottom-k MinHash), k = q - ceil(0.75 q) + 1 for the largest size q of the
+class: a document that holds 75% of an item's set misses fewer than k of its shingles, so it holds at least one of any k, and no
+match is lost, however long the document.  A document looks its shingles up in the classes whose smallest item could fit
+into it (0.75 of its size at most the document's) and skips the others, and each candidate is verified on the full sets.
 
-Sketches and item sets go to the workers while the items have at most SENT_SHINGLES shingles in all;
-more are searched by a join on the sketch hashes, with the same result.
+Sketches and item sets go to the workers while the items have at most SENT_SHINGLES shingles in all; more are searched by
+a join on the sketch hashes, of documents' shingles that pass a filter of all sketches, with the same result.
 
 Nulls and edges: an item or document without words or text matches nothing; an item of fewer than five
 words is one shingle, which a document holds only if that is its whole text; items that repeat are each
-reported; a null doc_id is reported as null; an empty table on either side gives no pairs.
+reported; a null doc_id is reported as null; a very long text is one set, which its task must hold (8 bytes for each of its
+words); an item held by exactly 75% matches; other columns of docs stay, one named as the result gives way to it;
+an empty table on either side gives no pairs.
 """
 
 from __future__ import annotations
@@ -41,51 +42,55 @@ def needed(q: np.ndarray | int) -> np.ndarray | int:
 
 
 def sketched(items: DataFrame) -> DataFrame:
-    """item_id, n (shingles), part (size class), shingles (sorted hashes) and sketch for each item that has any."""
+    """item_id, n (shingles), part (size class), shingles and sketch (sorted hashes, as bytes) for each item that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch["text"], SHINGLE))
-            n = np.array([len(s) for s in sets])
-            lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            # hashes are uniform, so the smallest k of them are a MinHash sample of the set
-            heads = pa.array([s[: len(s) - needed(len(s)) + 1].view(np.int64) for s in sets], pa.list_(pa.int64()))
+            n = np.array([len(s) for s in sets], np.int64)
             part = np.ceil(np.log2(np.maximum(n, 1))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch["item_id"], pa.array(n.astype(np.int32)), pa.array(part), lists, heads], ["item_id", "n", "part", "shingles", "sketch"])
+            largest = np.left_shift(1, part.astype(np.int64))
+            # hashes are uniform, so the smallest k of them are a MinHash sample of the set
+            heads = [s[:k].tobytes() for s, k in zip(sets, largest - needed(largest) + 1)]
+            yield pa.RecordBatch.from_arrays([batch["item_id"], pa.array(n.astype(np.int32)), pa.array(part), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(heads, pa.binary())], ["item_id", "n", "part", "shingles", "sketch"])
 
     kind = dict(items.dtypes)["item_id"]
-    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, n int, part int, shingles array<long>, sketch array<long>").where("n > 0")
+    return items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, n int, part int, shingles binary, sketch binary").where("n > 0")
 
 
 class Index:
-    """The sketches of all items, by hash, and their sets."""
+    """The sketches of all items, by size class and hash, and their sets."""
 
     def __init__(self, rows: list):
         self.ids = [r.item_id for r in rows]
-        self.sets = [np.array(r.shingles, np.int64).view(U) for r in rows]
+        self.sets = [np.frombuffer(r.shingles, U) for r in rows]
         self.n = np.array([r.n for r in rows], np.int64)
         part = np.array([r.part for r in rows], np.int64)
-        least = {p: self.n[part == p].min() for p in set(part.tolist())}
-        fits = needed(np.array([least[p] for p in part.tolist()], np.int64)) if rows else part
-        of = np.repeat(np.arange(len(rows)), [len(r.sketch) for r in rows])
-        h = np.concatenate([np.array(r.sketch, np.int64).view(U) for r in rows] + [np.zeros(0, U)])
-        order = np.argsort(h, kind="stable")
-        self.h, self.of, self.fits = h[order], of[order], fits
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[(self.h & U((1 << _BITS) - 1)).astype(np.int64)] = True
+        self.classes = []  # least shingles of a document, hashes, whose they are, and which low bits occur
+        for p in np.unique(part).tolist():
+            own = np.flatnonzero(part == p)
+            heads = [np.frombuffer(rows[k].sketch, U) for k in own]
+            h, of = np.concatenate(heads), np.repeat(own, [len(x) for x in heads])
+            order = np.argsort(h, kind="stable")
+            maybe = np.zeros(1 << _BITS, bool)
+            maybe[(h & U((1 << _BITS) - 1)).astype(np.int64)] = True
+            self.classes.append((int(needed(self.n[own].min())), h[order], of[order], maybe))
 
     def search(self, s: np.ndarray) -> list[tuple]:
-        """(item_id, n_item, n_shared) of the items that a document's set holds."""
-        near = s[self.maybe[(s & U((1 << _BITS) - 1)).astype(np.int64)]]
-        if not len(near):
-            return []
-        a, b = np.searchsorted(self.h, near), np.searchsorted(self.h, near, "right")
+        """(item_id, n_item, n_shared) of the items that a document's set holds, in the order of the index."""
+        low = (s & U((1 << _BITS) - 1)).astype(np.int64)
+        found = []
+        for least, h, of, maybe in self.classes:
+            if least > len(s):
+                break  # classes rise in size
+            near = s[maybe[low]]
+            if len(near):
+                found += [of[x:y] for x, y in zip(np.searchsorted(h, near), np.searchsorted(h, near, "right"))]
         out = []
-        for k in np.unique(np.concatenate([self.of[x:y] for x, y in zip(a, b)])).tolist():
-            if self.fits[k] <= len(s):
-                shared = len(np.intersect1d(self.sets[k], s, assume_unique=True))
-                if shared >= needed(int(self.n[k])):
-                    out.append((self.ids[k], int(self.n[k]), shared))
+        for k in np.unique(np.concatenate(found)).tolist() if found else ():
+            shared = len(np.intersect1d(self.sets[k], s, assume_unique=True))
+            if shared >= needed(int(self.n[k])):
+                out.append((self.ids[k], int(self.n[k]), shared))
         return out
 
 
@@ -109,22 +114,56 @@ def with_hits(docs: DataFrame, items: DataFrame, name: str = "hits") -> DataFram
     return docs.withColumn(name, search("text"))
 
 
-def joined(docs: DataFrame, made: DataFrame) -> DataFrame:
-    """The same pairs by joins, for items too many to send: doc, item, n_item, n_shared; docs: doc, text."""
+#: Bits of the filter of all sketches, 16 MB, and tasks that a common shingle is dealt over.
+FILTER_BITS, SALTS = 1 << 27, 8
+
+
+def _exploded(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key, n, least and h: a row for each hash of a column of bytes."""
+    keep = [c for c in (key, "n", "least") if c in rows.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = pa.array([s.view(np.int64) for s in shingle_sets(batch["text"], SHINGLE)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc"], lists], ["doc", "shingles"])
-
-    rows = docs.mapInArrow(run, "doc long, shingles array<long>").select("doc", F.size("shingles").alias("size"), F.explode("shingles").alias("h"))
-    part = made.groupBy("part").agg(F.min("n").alias("least"))
-    heads = made.join(part, "part").select("item", "n", F.ceil(F.col("least") * SHARE[0] / SHARE[1]).alias("fits"), F.explode("sketch").alias("h"))
-    near = rows.join(heads, "h").where("fits <= size").select("doc", "item").distinct()
-    full = made.select("item", F.col("n").alias("n_item"), F.explode("shingles").alias("h"))
+            h = [np.frombuffer(x.as_buffer(), np.int64) for x in batch[name]]
+            at = pa.array(np.repeat(np.arange(len(batch)), [len(x) for x in h]))
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(at) for c in keep), pa.array(np.concatenate([*h, np.zeros(0, np.int64)]))], [*keep, "h"])
+
+    return rows.select(*keep, name).mapInArrow(run, ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keep) + ", h long")
+
+
+def joined(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """The same pairs by joins, for items too many to send: doc, item, n_item, n_shared; docs: doc, text."""
+    spark = docs.sparkSession
+    least = made.groupBy("part").agg(F.min("n").alias("_least"))
+    heads = written(_exploded(made.join(least, "part").withColumn("least", F.ceil(F.col("_least") * SHARE[0] / SHARE[1])), "item", "sketch"), "heads")
+    # Spark's buckets count places from 1, and the first of those is in the bucket after the first
+    place = F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+    bits, size = bytearray((FILTER_BITS // 32768 + 2) << 12), 1 << 12
+    for r in heads.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator():
+        bits[r.bucket * size : (r.bucket + 1) * size] = r.bits
+    sent = spark.sparkContext.broadcast(bytes(bits))
+
+    def shingles(some: DataFrame, filtered: bool) -> DataFrame:
+        """doc, size and h of the documents' shingles, all or those that a sketch may have."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for doc, s in zip(batch["doc"].to_pylist(), shingle_sets(batch["text"], SHINGLE)):
+                    h = s
+                    if filtered:
+                        at = (s >> U(8) & U(FILTER_BITS - 1)).astype(np.int64) + 32768
+                        h = s[(np.frombuffer(sent.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc, np.int64)), pa.array(np.full(len(h), len(s), np.int64)), pa.array(h.view(np.int64))], ["doc", "size", "h"])
+
+        return some.select("doc", "text").mapInArrow(run, "doc long, size long, h long")
+
+    salted = heads.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = shingles(docs, True).withColumn("_salt", F.pmod("doc", F.lit(SALTS)).cast("int")).join(salted, ["h", "_salt"]).where("least <= size")
+    near = written(near.select("doc", "item", F.col("n").alias("n_item")).distinct(), "near")
     # a candidate's item shingles meet the document's: a row for each shingle of the item, not for each of the document
-    held = near.join(full, "item").join(rows.select("doc", "h").distinct(), ["doc", "h"])
-    held = held.groupBy("doc", "item", "n_item").agg(F.count_distinct("h").cast("int").alias("n_shared"))
+    asked = near.join(_exploded(made, "item", "shingles").drop("n"), "item")
+    held = asked.join(shingles(docs.join(near.select("doc").distinct(), "doc", "left_semi"), False).drop("size"), ["doc", "h"])
+    held = held.groupBy("doc", "item", "n_item").agg(F.count(F.lit(1)).cast("int").alias("n_shared"))
     return held.where(f"n_shared * {SHARE[1]} >= n_item * {SHARE[0]}")
 
 
