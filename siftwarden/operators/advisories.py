@@ -37,6 +37,11 @@ def overlaid(base: DataFrame, overlay: DataFrame) -> DataFrame:
     return base.join(overlay, ["ecosystem", "package", "id"], "left_anti").unionByName(overlay)
 
 
+def overlaid_packages(base: DataFrame, overlay: DataFrame) -> DataFrame:
+    """All that an overlay says of a package replaces all that is known of it."""
+    return base.join(overlay.select("ecosystem", "package").distinct(), ["ecosystem", "package"], "left_anti").unionByName(overlay)
+
+
 def merged_feeds(feeds: DataFrame) -> DataFrame:
     """One advisory for each package and CVE (or id), from the first source that has it."""
     keyed = feeds.withColumn("_name", F.coalesce("cve", "id"))

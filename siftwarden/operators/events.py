@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,13 +54,18 @@ def claimable(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where(((F.col("status") == "queued") & (F.col("scheduled_at") <= now)) | stale)
 
 
-def violations(events: DataFrame, contract: dict[str, tuple[str, ...]], payload: str) -> DataFrame:
-    """Events whose type isn't known or whose payload lacks a key of its type: with missing, sorted."""
+def with_missing(events: DataFrame, contract: dict[str, tuple[str, ...]], payload: str) -> DataFrame:
+    """events with missing: the keys of its type that a payload lacks, sorted; <type> for a type that isn't known; empty if none."""
     known = F.create_map(*(x for k, v in contract.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else F.expr("cast(array() as array<string>)"))))
     want = known[F.col("event_type")]
     have = F.coalesce(F.json_object_keys(F.col(payload)), F.expr("cast(array() as array<string>)"))
     missing = F.when(want.isNull(), F.array(F.lit("<type>"))).otherwise(F.sort_array(F.array_except(want, have)))
-    return events.withColumn("missing", F.array_join(missing, ",")).where("missing <> ''")
+    return events.withColumn("missing", F.array_join(missing, ","))
+
+
+def violations(events: DataFrame, contract: dict[str, tuple[str, ...]], payload: str) -> DataFrame:
+    """Events that don't keep their contract, with what they miss."""
+    return with_missing(events, contract, payload).where("missing <> ''")
 
 
 def retention(df: DataFrame, at: str, cutoff: Column) -> DataFrame:
@@ -73,3 +82,41 @@ def host_allowed(host: Column, allowed: list[str] | None) -> Column:
     for e in each:
         out = out | e
     return F.coalesce((F.length(host) > 0) & out, F.lit(False))
+
+
+def allowed_hosts(*lists: list[str] | None) -> list[str] | None:
+    """What all lists allow: no list allows all; entries stay where each other list has them or a suffix above them."""
+    given = [x for x in lists if x is not None]
+    if not given:
+        return None
+    under = lambda host, entry: host == entry or entry.startswith("*.") and host.removeprefix("*").endswith(entry[1:]) and len(host.removeprefix("*")) >= len(entry[1:])
+    return sorted({e for one in given for e in one if all(any(under(e, o) for o in other) for other in given)})
+
+
+# Keys whose values an audit never shows, and what stands for these.
+SENSITIVE = r"(?i)(password|passwd|secret|token|api[_-]?key|authorization|credential|private[_-]?key)"
+HIDDEN = "[redacted]"
+
+
+def redacted_json(payload: Column) -> Column:
+    """A JSON text whose sensitive keys, at any depth and also in lists, have their values hidden; other texts as they are."""
+
+    @F.arrow_udf("string")
+    def hide(texts: pa.Array) -> pa.Array:
+        sensitive = re.compile(SENSITIVE)
+
+        def clean(x):
+            if isinstance(x, dict):
+                return {k: HIDDEN if sensitive.search(k) else clean(v) for k, v in x.items()}
+            return [clean(v) for v in x] if isinstance(x, list) else x
+
+        def one(t: str) -> str:
+            try:
+                return json.dumps(clean(json.loads(t)), separators=(",", ":"), ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return t
+
+        return pa.array([None if t is None else one(t) for t in texts.to_pylist()], pa.string())
+
+    # only texts that may have such a key are looked into
+    return F.when(payload.rlike(SENSITIVE), hide(payload)).otherwise(payload)

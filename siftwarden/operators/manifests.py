@@ -10,6 +10,7 @@ import json
 import re
 import tomllib
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -175,17 +176,56 @@ def pom_xml(text: str) -> Iterator[Row]:
             yield "maven", f"{get('groupId')}:{get('artifactId')}", None if version and "${" in version else version, text.count("\n", 0, m.start()) + 1, True
 
 
-def pattern(eco: str, regex: str, name: str = r"\g<name>", strip: str = "") -> Callable[[str], Iterator[Row]]:
-    """A parser for formats that name one dependency a line."""
+def pattern(eco: str, regex: str, direct: bool = True) -> Callable[[str], Iterator[Row]]:
+    """A parser for formats of one dependency a line."""
 
     def parse(text: str) -> Iterator[Row]:
         for n, line in _numbered(text):
-            if m := re.search(regex, line):
-                yield eco, m.expand(name), (m["spec"] or "").lstrip(strip) or None, n, True
+            for m in re.finditer(regex, line):
+                yield eco, m["name"], m["spec"] or None, n, direct
 
     return parse
 
 
+def elements(eco: str, tag: str, name: str, spec: str) -> Callable[[str], Iterator[Row]]:
+    """A parser for XML where each element of a tag names a dependency, its version in an attribute or a child of that name."""
+
+    def parse(text: str) -> Iterator[Row]:
+        if "<!DOCTYPE" in text or "<!ENTITY" in text:
+            raise Problem("MALFORMED: declares entities")
+        try:
+            top = ElementTree.fromstring(text)
+        except ElementTree.ParseError as e:
+            raise Problem(f"MALFORMED: {e}") from e
+        bare = lambda x: x.tag.rpartition("}")[2]
+        lines: dict[str, list[int]] = {}
+        for n, line in _numbered(text):
+            for word in re.findall(r"[\w.-]+", line):
+                lines.setdefault(word, []).append(n)
+        for x in top.iter():
+            if bare(x) == tag and x.get(name):
+                inner = next((c.text for c in x if bare(c) == spec and c.text), None)
+                at = lines.get(x.get(name), [1])
+                yield eco, x.get(name), (x.get(spec) or inner or "").strip() or None, at.pop(0) if len(at) > 1 else at[0], True
+
+    return parse
+
+
+# What a build script calls the ways to depend on something.
+_GRADLE = frozenset("implementation api compile compileOnly runtimeOnly testImplementation testRuntimeOnly annotationProcessor kapt classpath".split())
+
+
+def gradle(text: str) -> Iterator[Row]:
+    """Lines that begin with a way to depend and hold quoted coordinates, group, name and version."""
+    for n, line in _numbered(text):
+        if (re.match(r"\s*\w*", line)[0].strip()) in _GRADLE:
+            for quoted in re.findall(r"""["']([^"']+)["']""", line):
+                parts = quoted.split(":")
+                if len(parts) >= 3:
+                    version = parts[2].partition("@")[0]
+                    yield "maven", ":".join(parts[:2]), None if "$" in version else version, n, True
+
+
 def composer(locked: bool) -> Callable[[str], Iterator[Row]]:
     def parse(text: str) -> Iterator[Row]:
         doc = _json(text)
@@ -203,13 +243,11 @@ PARSERS: dict[str, Callable[[str], Iterator[Row]]] = {
     "constraints.txt": requirements, "Pipfile": pipfile, "Pipfile.lock": pipfile_lock, "poetry.lock": toml_lock("python"), "pyproject.toml": pyproject, "setup.py": setup_py,
     "package.json": package_json, "package-lock.json": package_lock, "yarn.lock": yarn_lock, "pnpm-lock.yaml": pnpm_lock, "go.mod": go_mod, "go.sum": go_sum,
     "Cargo.toml": cargo_toml, "Cargo.lock": toml_lock("rust"), "pom.xml": pom_xml, "composer.json": composer(False), "composer.lock": composer(True),
-    "build.gradle": pattern("maven", r"""(?:implementation|api|compile|runtimeOnly|testImplementation)\s*\(?\s*["'](?P<group>[^:"']+):(?P<name>[^:"']+):(?P<spec>[^"']+)["']""", r"\g<group>:\g<name>"),
+    "build.gradle": gradle, "build.gradle.kts": gradle, "packages.config": elements("nuget", "package", "id", "version"),
     "Gemfile": pattern("ruby", r"""^\s*gem\s+["'](?P<name>[^"']+)["'](?:\s*,\s*["'](?P<spec>[^"']+)["'])?"""),
-    "Gemfile.lock": pattern("ruby", r"^ {4}(?P<name>\S+) \((?P<spec>[^)]+)\)"),
-    "packages.config": pattern("nuget", r'<package\s+id="(?P<name>[^"]+)"\s+version="(?P<spec>[^"]+)"'),
+    "Gemfile.lock": pattern("ruby", r"^ {4}(?P<name>\S+) \((?P<spec>[^)]+)\)", False),
 }
-PARSERS["build.gradle.kts"] = PARSERS["build.gradle"]
-_CSPROJ = pattern("nuget", r'<PackageReference\s+Include="(?P<name>[^"]+)"(?:\s+Version="(?P<spec>[^"]+)")?')
+_CSPROJ = elements("nuget", "PackageReference", "Include", "Version")
 
 
 def parser_of(path: str) -> Callable[[str], Iterator[Row]] | None:

@@ -36,5 +36,5 @@ def seen(findings: DataFrame) -> DataFrame:
 def resolved(findings: DataFrame, scans: DataFrame) -> DataFrame:
     """Rows of each project's last scan but one whose fingerprint its last scan doesn't have."""
     two = latest(scans, n=2).select("scan_id", "recency")
-    rows = findings.join(two, "scan_id")
-    return rows.where("recency = 2").drop("recency").join(rows.where("recency = 1").select("project_id", "fingerprint").distinct(), ["project_id", "fingerprint"], "left_anti")
+    still = F.max(F.col("recency") == 1).over(Window.partitionBy("project_id", "fingerprint"))
+    return findings.join(two, "scan_id").withColumn("_still", still).where("recency = 2 and not _still").drop("recency", "_still")

@@ -96,10 +96,25 @@ def retention_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).where(F.col("ts") >= F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id", "ts", "user_id")
 
 
-@query("""SELECT event_id, CASE WHEN event_type IN ('signup', 'error') THEN regexp_replace(props, '("k"\\s*:\\s*)[^,}]+', '\\1"<redacted>"') ELSE props END AS props FROM events""")
+#: Events as audit payloads: the value is a token, at the top or within a list.
+PAYLOAD = """CASE event_id % 4 WHEN 0 THEN '{"user_token":"t' || user_id || '","n":' || user_id || '}' WHEN 1 THEN '{"a":[{"API-Key":"' || event_type || '"},7],"b":{"c":{"passwd":null}}}' WHEN 2 THEN '{"k":"' || event_type || '"}' ELSE 'token: ' || event_type END"""
+
+
+@query(f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{{"user_token":"[redacted]","n":' || user_id || '}}' WHEN 1 THEN '{{"a":[{{"API-Key":"[redacted]"}},7],"b":{{"c":{{"passwd":"[redacted]"}}}}}}' ELSE {PAYLOAD} END AS payload FROM events""")
 def audit_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hidden = F.regexp_replace("props", r'("k"\s*:\s*)[^,}]+', '$1"<redacted>"')
-    return _events(spark, sf_dir).select("event_id", F.when(F.col("event_type").isin("signup", "error"), hidden).otherwise(F.col("props")).alias("props"))
+    """Sensitive keys at any depth and in lists; texts that aren't JSON stay."""
+    return _events(spark, sf_dir).select("event_id", ops.redacted_json(F.expr(PAYLOAD)).alias("payload"))
+
+
+@query("""SELECT CAST(user_id % 7 AS BIGINT) AS org_id, ts AS at, event_type AS action, CAST(user_id AS VARCHAR) AS actor, props AS detail FROM events WHERE NOT (user_id % 7 = 3 AND ts < TIMESTAMP '2024-01-15')
+  UNION ALL SELECT 3, TIMESTAMP '2024-02-01', 'audit.purged', 'system', '{"retention_days":17,"cutoff":"2024-01-15 00:00:00","records_removed":' || (SELECT count(*) FROM events WHERE user_id % 7 = 3 AND ts < TIMESTAMP '2024-01-15') || '}'""")
+def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tenant's old audit rows go, and a row says how many."""
+    from siftwarden.streaming import live
+
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    audit = _events(spark, sf_dir).select((F.col("user_id") % 7).cast("long").alias("org_id"), F.col("ts").alias("at"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("actor"), F.col("props").alias("detail"))
+    return live.purged(audit, 3, at("2024-01-15 00:00:00"), at("2024-02-01 00:00:00"), 17)
 
 
 CELL = "CASE event_id % 4 WHEN 0 THEN '=' || event_type WHEN 1 THEN '-' || event_type WHEN 2 THEN '@' || event_type ELSE event_type END"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwarden.functions import licences as L, versions as V
 from siftwarden.operators import advisories, findings as ops
+from siftwarden.sinks.render import purl
 
 from .registry import query
 from .standins import read
@@ -29,19 +30,10 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", _of(3, ECOSYSTEMS).alias("ecosystem"), F.col("p_brand").alias("name"), version.alias("version"), _of(5, LICENCE_OF).alias("licence"))
 
 
-# The package URL type of each ecosystem.
-PURL_TYPES = {"python": "pypi", "npm": "npm", "go": "golang", "maven": "maven", "ruby": "gem", "php": "composer", "rust": "cargo", "nuget": "nuget"}
-
-
-def purl(ecosystem, name, version):
-    kind = F.create_map(*(F.lit(x) for pair in PURL_TYPES.items() for x in pair))[ecosystem]
-    return F.concat(F.lit("pkg:"), kind, F.lit("/"), F.replace(V.package_name(ecosystem, name), F.lit("#"), F.lit("%23")), F.lit("@"), version)
-
-
 @query(f"""WITH {COMPONENT} SELECT ecosystem, lower(name) AS name, version, min(p_partkey) AS first_part,
   'pkg:' || CASE ecosystem WHEN 'python' THEN 'pypi' WHEN 'npm' THEN 'npm' ELSE 'golang' END || '/' || replace(lower(name), '#', '%23') || '@' || version AS purl FROM component GROUP BY ecosystem, name, version""")
 def components_sbom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = components(spark, sf_dir).withColumn("purl", purl(F.col("ecosystem"), F.col("name"), F.col("version"))).withColumn("name", F.lower("name"))
+    c = components(spark, sf_dir).withColumn("purl", purl(F.col("ecosystem"), V.package_name(F.col("ecosystem"), F.col("name")), F.col("version"))).withColumn("name", F.lower("name"))
     first = ops.first_of(c, ["ecosystem", "name", "version"], ["p_partkey"])
     return first.select("ecosystem", "name", "version", F.col("p_partkey").alias("first_part"), "purl")
 

@@ -6,13 +6,16 @@ pieces and a footer, so that writing one needs no more than a row at a time on t
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Iterator
+from html import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwarden.functions import severity as S, text as T
+from siftwarden.functions import licences as L, severity as S, text as T
 from siftwarden.operators.findings import canonical_order
 
 # SARIF's level of each severity.
@@ -33,13 +36,54 @@ def sarif_results(findings: DataFrame) -> DataFrame:
 
 
 def sarif(findings: DataFrame, tool: str) -> Iterator[str]:
-    rules = [{"id": r.rule_id, "defaultConfiguration": {"level": LEVELS[r.severity]}} for r in findings.groupBy("rule_id").agg(F.min_by("severity", S.rank(F.col("severity"))).alias("severity")).orderBy("rule_id").toLocalIterator()]
-    yield f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":{json.dumps(tool)},"rules":{json.dumps(rules)}}}}},"results":['
+    """Rules come in the order in which the results name them first."""
+    first = findings.groupBy("rule_id").agg(F.min(F.struct(S.rank(F.col("severity")).alias("rank"), "file_path", "line", "severity")).alias("x")).select("rule_id", "x.*").orderBy("rank", "file_path", "line", "rule_id")
+    yield f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":{json.dumps(tool)},"rules":['
+    for k, r in enumerate(first.toLocalIterator()):
+        yield "," * (k > 0) + json.dumps({"id": r.rule_id, "defaultConfiguration": {"level": LEVELS[r.severity]}})
+    yield ']}},"results":['
     for k, r in enumerate(sarif_results(findings).toLocalIterator()):
         yield "," * (k > 0) + r.piece
     yield "]}]}"
 
 
+def finding_pieces(findings: DataFrame, *more: str) -> DataFrame:
+    """A finding as JSON, with what sorts it: severity, file_path, line, rule_id, piece, and the columns that are asked for."""
+    place = F.struct("file_path", F.col("line").alias("start_line"), F.coalesce("end_line", "line").alias("end_line") if "end_line" in findings.columns else F.col("line").alias("end_line"), "snippet")
+    one = F.struct("rule_id", "severity", "confidence", "category", place.alias("location"), "fingerprint")
+    return findings.select("severity", "file_path", "line", "rule_id", F.to_json(one).alias("piece"), *more)
+
+
+def report(findings: DataFrame, stats: DataFrame, target: str) -> Iterator[str]:
+    """The JSON report: sums of a run (one row, as `engine.stats` gives it) and findings in report order."""
+    n = stats.first().asDict()
+    head = {"target": target, "stats": {k: n[k] for k in ("files_scanned", "files_skipped", "lines_scanned")}, "risk_score": n["risk_score"], "risk_score_capped": min(S.SCORE_CAP, n["risk_score"]), "grade": n["grade"], "severity_counts": {s: n[s] for s in S.SEVERITIES}, "total_findings": n["n_findings"]}
+    yield json.dumps(head)[:-1] + ',"findings":['
+    for k, r in enumerate(finding_pieces(findings).orderBy(*canonical_order("rule_id")).select("piece").toLocalIterator()):
+        yield "," * (k > 0) + r.piece
+    yield "]}"
+
+
+def baseline_entries(findings: DataFrame, now: Column, reason: str = "", days: int | None = None, by: str = "", force: bool = False) -> DataFrame:
+    """An entry for each fingerprint, of its first finding by file and rule.
+
+    Critical findings want a reason, unless that is forced: ValueError otherwise.
+    """
+    if not reason and not force and not findings.where("severity = 'critical'").isEmpty():
+        raise ValueError("critical findings are accepted with a reason only")
+    first = findings.groupBy("fingerprint").agg(F.min(F.struct(F.col("file_path").alias("file"), "rule_id", "line", "severity")).alias("x")).select("fingerprint", "x.*")
+    ends = now + F.make_dt_interval(days=F.lit(days)) if days else F.lit(None).cast("timestamp")
+    return first.select("fingerprint", "rule_id", "file", "line", "severity", F.lit(reason).alias("reason"), now.cast("timestamp").alias("created_at"), ends.cast("timestamp").alias("expires_at"), F.lit(by).alias("created_by"))
+
+
+def baseline(entries: DataFrame) -> Iterator[str]:
+    """The newer form of a baseline file, entries by file, rule and fingerprint."""
+    yield f'{{"schema_version":2,"count":{entries.count()},"entries":['
+    for k, r in enumerate(entries.orderBy("file", "rule_id", "fingerprint").select(F.to_json(F.struct(*entries.columns)).alias("piece")).toLocalIterator()):
+        yield "," * (k > 0) + r.piece
+    yield "]}"
+
+
 def junit_cases(findings: DataFrame) -> DataFrame:
     name = F.concat_ws(" ", "rule_id", F.concat_ws(":", "file_path", F.col("line").cast("string")))
     fail = F.concat(F.lit('<failure type="'), F.col("severity"), F.lit('">'), T.xml_safe(F.col("snippet")), F.lit("</failure>"))
@@ -49,7 +93,7 @@ def junit_cases(findings: DataFrame) -> DataFrame:
 
 def junit(findings: DataFrame, name: str) -> Iterator[str]:
     n = findings.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") != "info").alias("bad")).first()
-    yield f'<testsuite name="{name}" tests="{max(1, n.n)}" failures="{n.bad}">'
+    yield f'<testsuite name="{escape(name)}" tests="{max(1, n.n)}" failures="{n.bad}">'
     for r in junit_cases(findings).toLocalIterator():
         yield r.piece
     yield "</testsuite>" if n.n else '<testcase name="no findings"/></testsuite>'
@@ -68,36 +112,107 @@ def markdown(findings: DataFrame, top: int = TOP) -> Iterator[str]:
 
 
 def html(findings: DataFrame, title: str) -> Iterator[str]:
-    yield f"<!doctype html><title>{title}</title><table>"
+    yield f"<!doctype html><title>{escape(title)}</title><table>"
     cells = F.concat(*(F.concat(F.lit("<td>"), T.xml_safe(F.col(c).cast("string")), F.lit("</td>")) for c in ("severity", "rule_id", "file_path", "line", "snippet")))
     for r in findings.orderBy(*canonical_order("rule_id")).select(F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("piece")).toLocalIterator():
         yield r.piece
     yield "</table>"
 
 
+# The package URL type of each ecosystem, others are generic; those whose names have a namespace.
+PURL_TYPES = {"python": "pypi", "javascript": "npm", "npm": "npm", "go": "golang", "maven": "maven", "java": "maven", "ruby": "gem", "php": "composer", "rust": "cargo", "nuget": "nuget"}
+ROOT = "root-component"
+
+
+def purl(ecosystem: Column, name: Column, version: Column) -> Column:
+    """A package URL: slashes of a name part its namespace; what a URL has other uses for is escaped."""
+    kind = F.coalesce(F.create_map(*(F.lit(x) for pair in PURL_TYPES.items() for x in pair))[ecosystem], F.lit("generic"))
+    for raw, safe in (("%", "%25"), ("#", "%23"), ("?", "%3F"), (" ", "%20"), ("@", "%40")):
+        name = F.replace(name, F.lit(raw), F.lit(safe))
+    name = F.when(kind == "maven", F.replace(name, F.lit(":"), F.lit("/"))).otherwise(name)
+    return F.concat(F.lit("pkg:"), kind, F.lit("/"), name, F.lit("@"), version)
+
+
 def cyclonedx_components(components: DataFrame) -> DataFrame:
-    """A CycloneDX component as JSON for each component (name, version, purl, licence)."""
-    one = F.struct(F.lit("library").alias("type"), F.col("purl").alias("bom-ref"), "name", "version", "purl", F.array(F.struct(F.col("licence").alias("expression"))).alias("licenses"))
+    """A CycloneDX component as JSON for each component (ecosystem, name, version, purl, licence), in report order."""
+    known = F.col("licence") != "UNKNOWN"
+    license_ = lambda x: F.struct(F.struct(x.alias("id")).alias("license"))
+    told = F.when(known & L.readable(F.col("licence")) & (F.size(L.ids(F.col("licence"))) > 1) & F.col("licence").rlike(r"(?i)\sor\s|[/,]"), F.transform(L.ids(F.col("licence")), license_)).when(known, F.array(license_(F.col("licence"))))
+    one = F.struct(F.lit("library").alias("type"), F.col("purl").alias("bom-ref"), "name", "version", "purl", told.alias("licenses"))
     return components.orderBy("ecosystem", F.lower("name"), "version").select(F.to_json(one).alias("piece"))
 
 
-def cyclonedx(components: DataFrame) -> Iterator[str]:
-    yield '{"bomFormat":"CycloneDX","specVersion":"1.5","components":['
-    for k, r in enumerate(cyclonedx_components(components).toLocalIterator()):
+def cyclonedx_vulnerabilities(findings: DataFrame, components: DataFrame, target: str, *more: str) -> DataFrame:
+    """A CycloneDX vulnerability as JSON for each finding; `affects` names its package where the inventory has it (column purl, null for none)."""
+    held = components.select("purl").distinct().withColumn("_held", F.lit(True))
+    id_ = F.concat(F.lit("FINDING-"), F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(target), "fingerprint"), 256), 1, 12)))
+    affects = F.when(F.col("_held"), F.array(F.struct(F.col("purl").alias("ref")))).otherwise(F.expr("cast(array() as array<struct<ref:string>>)"))
+    named = lambda k, c: F.struct(F.lit(k).alias("name"), c.cast("string").alias("value"))
+    properties = F.array(named("rule-id", F.col("rule_id")), named("category", F.col("category")), named("confidence", F.col("confidence")), named("fingerprint", F.col("fingerprint")), named("file", F.col("file_path")), named("line", F.col("line")))
+    one = F.struct(id_.alias("id"), F.array(F.struct("severity", F.lit("other").alias("method"))).alias("ratings"), affects.alias("affects"), properties.alias("properties"))
+    return findings.join(held, "purl", "left").select("severity", "file_path", "line", "rule_id", F.to_json(one).alias("piece"), *more)
+
+
+def _serial(components: DataFrame, name: str) -> str:
+    """A name-based UUID of all package URLs in order, read one at a time."""
+    digest = hashlib.sha256(name.encode())
+    for r in components.orderBy("ecosystem", F.lower("name"), "version").select("purl").toLocalIterator():
+        digest.update(b"|" + r.purl.encode())
+    return str(uuid.uuid5(uuid.NAMESPACE_DNS, digest.hexdigest()))
+
+
+def _joined(pieces: DataFrame) -> Iterator[str]:
+    for k, r in enumerate(pieces.toLocalIterator()):
         yield "," * (k > 0) + r.piece
+
+
+def cyclonedx(components: DataFrame, findings: DataFrame | None = None, name: str = "project", at: str | None = None) -> Iterator[str]:
+    """CycloneDX 1.5: components, the root's dependencies, and findings (with purl) as vulnerabilities."""
+    meta = {"component": {"type": "application", "bom-ref": ROOT, "name": name}} | ({"timestamp": at} if at else {})
+    yield f'{{"bomFormat":"CycloneDX","specVersion":"1.5","serialNumber":"urn:uuid:{_serial(components, name)}","version":1,"metadata":{json.dumps(meta)},"components":['
+    yield from _joined(cyclonedx_components(components))
+    yield f'],"dependencies":[{{"ref":"{ROOT}","dependsOn":['
+    refs = components.orderBy("ecosystem", F.lower("name"), "version")
+    yield from _joined(refs.select(F.to_json(F.array("purl")).alias("piece")).select(F.expr("substring(piece, 2, length(piece) - 2)").alias("piece")))
     yield "]}"
+    for r in refs.select(F.to_json(F.struct(F.col("purl").alias("ref"), F.expr("cast(array() as array<string>)").alias("dependsOn"))).alias("piece")).toLocalIterator():
+        yield "," + r.piece
+    yield "]"
+    if findings is not None:
+        yield ',"vulnerabilities":['
+        yield from _joined(cyclonedx_vulnerabilities(findings, components, name).orderBy(*canonical_order("rule_id")).select("piece"))
+        yield "]"
+    yield "}"
+
+
+def _spdx_id(purl_: Column) -> Column:
+    return F.concat(F.lit("SPDXRef-"), F.substring(F.sha2(purl_, 256), 1, 16))
 
 
 def spdx_packages(components: DataFrame) -> DataFrame:
-    ref = F.concat(F.lit("SPDXRef-"), F.substring(F.sha2("purl", 256), 1, 16))
-    one = F.struct(ref.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.col("licence").alias("licenseDeclared"), F.lit("NOASSERTION").alias("downloadLocation"))
+    none = lambda c: F.lit("NOASSERTION").alias(c)
+    ref = F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator")))
+    declared = F.when(L.readable(F.col("licence")), F.col("licence")).otherwise("NOASSERTION")
+    one = F.struct(_spdx_id(F.col("purl")).alias("SPDXID"), "name", F.col("version").alias("versionInfo"), none("downloadLocation"), F.lit(False).alias("filesAnalyzed"), none("licenseConcluded"), declared.alias("licenseDeclared"), none("copyrightText"), F.lit("LIBRARY").alias("primaryPackagePurpose"), ref.alias("externalRefs"))
     return components.orderBy("ecosystem", F.lower("name"), "version").select(F.to_json(one).alias("piece"))
 
 
-def spdx(components: DataFrame, name: str) -> Iterator[str]:
-    yield f'{{"spdxVersion":"SPDX-2.3","dataLicense":"CC0-1.0","SPDXID":"SPDXRef-DOCUMENT","name":{json.dumps(name)},"packages":['
-    for k, r in enumerate(spdx_packages(components).toLocalIterator()):
-        yield "," * (k > 0) + r.piece
+def spdx_relationships(components: DataFrame, root: str) -> DataFrame:
+    one = F.struct(F.lit(root).alias("spdxElementId"), F.lit("DEPENDS_ON").alias("relationshipType"), _spdx_id(F.col("purl")).alias("relatedSpdxElementId"))
+    return components.orderBy("ecosystem", F.lower("name"), "version").select(F.to_json(one).alias("piece"))
+
+
+def spdx(components: DataFrame, name: str, at: str = "1970-01-01T00:00:00Z") -> Iterator[str]:
+    """SPDX 2.3: the project, its packages, and what describes and depends on what."""
+    root = f"SPDXRef-Root-{hashlib.sha256(name.encode()).hexdigest()[:12]}"
+    head = {"spdxVersion": "SPDX-2.3", "dataLicense": "CC0-1.0", "SPDXID": "SPDXRef-DOCUMENT", "name": name, "documentNamespace": f"urn:uuid:{_serial(components, name)}", "creationInfo": {"created": at, "creators": ["Tool: siftwarden"]}, "documentDescribes": [root]}
+    top = {"SPDXID": root, "name": name, "downloadLocation": "NOASSERTION", "filesAnalyzed": False, "licenseConcluded": "NOASSERTION", "licenseDeclared": "NOASSERTION", "primaryPackagePurpose": "APPLICATION"}
+    yield json.dumps(head)[:-1] + ',"packages":[' + json.dumps(top)
+    for r in spdx_packages(components).toLocalIterator():
+        yield "," + r.piece
+    yield '],"relationships":[' + json.dumps({"spdxElementId": "SPDXRef-DOCUMENT", "relationshipType": "DESCRIBES", "relatedSpdxElementId": root})
+    for r in spdx_relationships(components, root).toLocalIterator():
+        yield "," + r.piece
     yield "]}"
 
 
@@ -108,6 +223,11 @@ def inventory_problems(components: DataFrame, edges: DataFrame) -> DataFrame:
     return twice.unionByName(ends.join(components, "purl", "left_anti").select(F.lit("dangling").alias("problem"), "purl"))
 
 
+def prometheus_head(name: str, kind: str, help_: str) -> list[str]:
+    """The lines before those of a metric; kind: counter, gauge or histogram."""
+    return [f"# HELP {name} {help_}".replace("\n", " "), f"# TYPE {name} {kind}"]
+
+
 def prometheus(df: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
     """Lines of the text format: name{label="value"} number."""
     told = F.concat_ws(",", *(F.concat(F.lit(f'{c}="'), T.label_value(F.col(c).cast("string")), F.lit('"')) for c in labels))

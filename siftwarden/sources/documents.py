@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from siftwarden.operators import advisories
 EVENT = "struct<introduced:string,fixed:string,last_affected:string,limit:string>"
 OSV = f"""id string, modified string, published string, withdrawn string, aliases array<string>, summary string, details string, severity array<struct<type:string,score:string>>,
 affected array<struct<package:struct<ecosystem:string,name:string,purl:string>,ranges:array<struct<type:string,events:array<{EVENT}>>>,versions:array<string>>>, database_specific struct<severity:string>"""
+_STRUCT = re.sub(r"(^|, |,\n)(\w+) ", lambda m: m[1].replace("\n", "").strip(" ") + m[2] + ":", OSV)
 # Our name for a feed's ecosystem and severity.
 ECOSYSTEMS = {"PyPI": "python", "npm": "npm", "Go": "go", "Maven": "maven", "RubyGems": "ruby", "Packagist": "php", "crates.io": "rust", "NuGet": "nuget"}
 SEVERITIES = {"critical": "critical", "high": "high", "moderate": "high", "medium": "medium", "low": "low"}
@@ -21,11 +24,21 @@ def _mapped(col, values: dict):
 
 
 def read_osv(spark: SparkSession, path: str) -> DataFrame:
-    """Advisories (ecosystem, package, id, cve, affected, severity, summary, fixed_in) of JSON records, one or many a file.
+    """Advisories (ecosystem, package, id, cve, affected, severity, summary, fixed_in) of JSON records, one, many or a batch a file.
 
     Withdrawn records, source-control ranges and packages without ranges or versions give none.
     """
-    raw = spark.read.schema(f"{OSV}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("multiLine", True).json(path).where("_bad is null and withdrawn is null")
+    texts = spark.read.text(path, wholetext=True).select(F.lit("").alias("file"), F.col("value").alias("text"))
+    return osv_rows(texts).drop("file")
+
+
+def osv_rows(texts: DataFrame) -> DataFrame:
+    """The same from a table of texts (file, text), with the file of each."""
+    one = F.from_json("text", OSV)
+    many = F.from_json("text", f"array<struct<{_STRUCT}>>")
+    batch = F.from_json("text", f"struct<vulns:array<struct<{_STRUCT}>>>")["vulns"]
+    records = F.when(F.col("text").rlike(r"^\s*\["), many).when(F.col("text").rlike(r'"vulns"\s*:'), batch).otherwise(F.array(one))
+    raw = texts.select("file", F.explode(records).alias("r")).where("r is not null").select("file", "r.*").where("id is not null and withdrawn is null")
     one = raw.select("*", F.explode("affected").alias("a"))
     kept = F.filter(F.coalesce("a.ranges", F.expr(f"cast(array() as array<struct<type:string,events:array<{EVENT}>>>)")), lambda r: r["type"] != "GIT")
     spans = F.array_join(F.transform(kept, lambda r: advisories.ranges(r["events"])), "||")
@@ -35,7 +48,7 @@ def read_osv(spark: SparkSession, path: str) -> DataFrame:
     eco = F.coalesce(_mapped(F.substring_index("a.package.ecosystem", ":", 1), ECOSYSTEMS), F.lower("a.package.ecosystem"))
     cve = F.get(F.filter(F.concat(F.array("id"), F.coalesce("aliases", F.expr("cast(array() as array<string>)"))), lambda x: x.startswith("CVE-")), F.lit(0))
     out = one.select(
-        eco.alias("ecosystem"), V.package_name(eco, F.col("a.package.name")).alias("package"), "id", cve.alias("cve"), affected.alias("affected"),
+        "file", eco.alias("ecosystem"), V.package_name(eco, F.col("a.package.name")).alias("package"), "id", cve.alias("cve"), affected.alias("affected"),
         F.coalesce(_mapped(F.lower("database_specific.severity"), SEVERITIES), F.lit("medium")).alias("severity"), F.substring(F.trim(F.regexp_replace(F.coalesce("summary", "details", F.lit("")), T.BLANK, " ")), 1, 300).alias("summary"), F.coalesce(fixed, F.lit("")).alias("fixed_in"),
     )
     return out.where("affected <> ''")

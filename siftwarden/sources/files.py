@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import fnmatch
 import os.path
+import re
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,33 +73,45 @@ def skipped(path: Column, size: Column, is_manifest: Column, ignore: tuple[str,
 
 
 def _hidden(root: str) -> list[str]:
-    """Files that Spark's readers pass over, since they or a folder of theirs start with . or _; excluded folders aren't entered."""
+    """Files in root that Spark's readers pass over, since they or a folder of theirs start with . or _; excluded folders aren't entered."""
     out = []
     for top, dirs, names in os.walk(root):
         dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS and not d.startswith(".git"))
         inner = os.path.relpath(top, root).split(os.sep)
         odd = any(x[0] in "._" and x != "." for x in inner)
-        out += [os.path.join(top, n) for n in sorted(names) if odd or n[0] in "._"]
+        out += [p for n in sorted(names) if odd or n[0] in "._" if os.path.isfile(p := os.path.join(top, n)) and inside(root, p)]
     return out
 
 
 def _read_hidden(spark: SparkSession, root: str) -> DataFrame:
     """Their rows, read by tasks from a file system that all machines mount."""
 
-    @F.udf("binary")
-    def content(path: str) -> bytes:
-        with open(path, "rb") as f:
-            return f.read()
+    @F.arrow_udf("binary")
+    def content(paths: pa.Array) -> pa.Array:
+        return pa.array([Path(p).read_bytes() for p in paths.to_pylist()], pa.binary())
 
     paths = spark.createDataFrame([(p, os.path.getsize(p)) for p in _hidden(root)], "path string, length long")
     return paths.withColumn("content", F.when(F.col("length") <= MAX_BYTES, content("path")))
 
 
+def _within(root: str):
+    """Whether local files, links followed, lie in root."""
+
+    @F.arrow_udf("boolean")
+    def told(paths: pa.Array) -> pa.Array:
+        return pa.array([inside(root, re.sub("^file:/+", "/", p)) for p in paths.to_pylist()])
+
+    return told
+
+
 def read_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    if "://" not in root:
-        raw = raw.select("path", "length", "content").unionByName(_read_hidden(spark, os.path.realpath(root)))
-    top = os.path.realpath(root).rstrip("/") if "://" not in root else root.rstrip("/")
+    """Files of a tree; those too large are listed and not read, the others of the tree's reader by their size, which it looks at first."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    raw = found.where(F.col("length") <= MAX_BYTES).select("path", "length", "content").unionByName(found.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content")))
+    local = "://" not in root
+    top = os.path.realpath(root).rstrip("/") if local else root.rstrip("/")
+    if local:
+        raw = raw.where(_within(top)("path")).unionByName(_read_hidden(spark, top))
     df = raw.withColumn("rel_path", F.regexp_replace("path", r"^file:/+", "/")).withColumn("rel_path", F.substring("rel_path", len(top) + 2, 100_000))
     df = classified(df.select("rel_path", F.col("length").alias("size_bytes"), "content"))
     df = df.withColumn("skip_reason", skipped(F.col("rel_path"), F.col("size_bytes"), F.col("is_manifest"), ignore, include))

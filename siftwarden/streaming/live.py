@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -28,45 +28,115 @@ def hourly(events: DataFrame) -> DataFrame:
 
 def split_by_contract(batch: DataFrame, contract: dict, good: str, bad: str) -> None:
     """For foreachBatch: events that keep their contract to one table, the others with what they miss to another."""
-    wrong = ops.violations(batch, contract, "props")
-    wrong.write.mode("append").parquet(bad)
-    batch.join(wrong.select("event_id"), "event_id", "left_anti").write.mode("append").parquet(good)
+    told = ops.with_missing(batch, contract, "props")
+    told.where("missing <> ''").write.mode("append").parquet(bad)
+    told.where("missing = ''").drop("missing").write.mode("append").parquet(good)
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """For foreachBatch: rows whose key the target hasn't yet, so that a batch that runs twice changes nothing."""
+def append_new(batch: DataFrame, path: str, keys: list[str], by: str | None = None) -> None:
+    """For foreachBatch: rows whose key the target hasn't yet, so that a batch that runs twice changes nothing.
+
+    by: a column that the target is partitioned by (a day, a tenant) and that goes with the key; only the partitions of the
+    batch's own values, which are few, are read then.
+    """
     spark = batch.sparkSession
     fresh = batch.dropDuplicates(keys)
     try:
-        old = spark.read.parquet(path).select(*keys)
+        old = spark.read.parquet(path)
     except Exception as e:  # the target is made by the first batch
         if "PATH_NOT_FOUND" not in str(e):
             raise
     else:
-        fresh = fresh.join(old, keys, "left_anti")
-    fresh.write.mode("append").parquet(path)
+        if by:
+            old = old.where(F.col(by).isin([r[0] for r in fresh.select(by).distinct().collect()]))
+        fresh = fresh.join(old.select(*keys), keys, "left_anti")
+    out = fresh.write.mode("append")
+    (out.partitionBy(by) if by else out).parquet(path)
+
+
+def purged(audit: DataFrame, org_id: int, cutoff: Column, now: Column, days: int) -> DataFrame:
+    """An audit table (org_id, at, action, actor, detail) without one tenant's rows before the cutoff, and with a row that says so.
+
+    The row tells how many went even if none did: that history was removed is itself history.
+    """
+    mine = (F.col("org_id") == org_id) & (F.col("at") < cutoff)
+    told = F.to_json(F.struct(F.lit(days).alias("retention_days"), cutoff.cast("string").alias("cutoff"), F.col("n").alias("records_removed")))
+    note = audit.agg(F.count_if(mine).alias("n")).select(F.lit(org_id).cast(audit.schema["org_id"].dataType).alias("org_id"), now.cast(audit.schema["at"].dataType).alias("at"), F.lit("audit.purged").alias("action"), F.lit("system").alias("actor"), told.alias("detail"))
+    return audit.where(~F.coalesce(mine, F.lit(False))).select("org_id", "at", "action", "actor", "detail").unionByName(note)
 
 
 class RateLimit(StatefulProcessor):
-    """Hits (key, at in microseconds) to (key, at, n_hits): how many lie in (at - window, at], with times kept as state."""
+    """Hits (key, at in microseconds) to (key, at, n_hits): how many lie in (at - window, at], with times kept as state.
+
+    A key's times go when the watermark has passed its last one by a window, since no hit can count them then.
+    """
 
     def __init__(self, window_micros: int):
         self.window = window_micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", StructType([StructField("at", LongType())]))
+        self.handle, self.times = handle, handle.getListState("times", StructType([StructField("at", LongType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times, out = [t[0] for t in self.times.get()] if self.times.exists() else [], []
+        times, out = sorted(t[0] for t in self.times.get()) if self.times.exists() else [], []
         for at in sorted(int(x) for part in rows for x in part["at"]):
             times = [t for t in times if t > at - self.window] + [at]
             out.append((key[0], at, len(times)))
         self.times.put([(t,) for t in times])
+        self.handle.registerTimer((times[-1] + self.window) // 1000 + 1)
         yield pd.DataFrame(out, columns=["key", "at", "n_hits"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = max((t[0] for t in self.times.get()), default=0) if self.times.exists() else 0
+        if last + self.window < 1000 * expiredTimerInfo.getExpiryTimeInMs():
+            self.times.clear()
+        yield pd.DataFrame({"key": pd.Series(dtype=str), "at": pd.Series(dtype="int64"), "n_hits": pd.Series(dtype="int32")})
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited(hits: DataFrame, window_seconds: int, late: str = "10 minutes") -> DataFrame:
+    """Hits (key, at) may come so late; needs the RocksDB state store."""
+    timed = hits.withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", late)
+    return timed.groupBy("key").transformWithStateInPandas(RateLimit(window_seconds * 1_000_000), "key string, at long, n_hits int", "update", "eventTime")
+
+
+class Jobs(StatefulProcessor):
+    """Reports on jobs (job_id, at in microseconds, outcome: enqueued, claimed, succeeded or failed) to (job_id, at, status, attempts, due).
+
+    A failed job is queued again, later each time, until its attempts are used up; reports on a job that has ended change nothing.
+    """
+
+    def __init__(self, most_attempts: int = 5, backoff_seconds: int = ops.BACKOFF_SECONDS):
+        self.most, self.backoff = most_attempts, backoff_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.job = handle.getValueState("job", "status string, attempts int, due long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        status, attempts, due = tuple(self.job.get()) if self.job.exists() else ("new", 0, 0)
+        out = []
+        for at, outcome in sorted((int(a), o) for part in rows for a, o in zip(part["at"], part["outcome"])):
+            if outcome == "enqueued" and status == "new":
+                status, due = "queued", at
+            elif outcome == "claimed" and status == "queued" and at >= due:
+                status, attempts = "running", attempts + 1
+            elif outcome == "succeeded" and status == "running":
+                status = "succeeded"
+            elif outcome == "failed" and status == "running":
+                again = attempts < self.most
+                status, due = ("queued", at + 1_000_000 * self.backoff * 2 ** (attempts - 1)) if again else ("failed", due)
+            else:
+                continue
+            out.append((key[0], at, status, attempts, due))
+        self.job.update((status, attempts, due))
+        yield pd.DataFrame(out, columns=["job_id", "at", "status", "attempts", "due"])
+
     def close(self) -> None:
         pass
 
 
-def rate_limited(hits: DataFrame, window_seconds: int) -> DataFrame:
-    return hits.groupBy("key").transformWithStateInPandas(RateLimit(window_seconds * 1_000_000), "key string, at long, n_hits int", "append", "none")
+def job_states(reports: DataFrame, most_attempts: int = 5) -> DataFrame:
+    """Needs the RocksDB state store."""
+    return reports.groupBy("job_id").transformWithStateInPandas(Jobs(most_attempts), "job_id string, at long, status string, attempts int, due long", "update", "none")

@@ -128,7 +128,22 @@ def test_manifests(path, text, want):
     assert [(r[3], r[4]) for r in manifests.rows_of(path, text)] == want
 
 
-@pytest.mark.parametrize("path,text,error", [("package.json", "{", "MALFORMED"), ("go.mod", "", "EMPTY"), ("setup.py", "x", "UNPARSED"), ("Cargo.toml", "[a]", "NO-DEPENDENCIES"), ("what.ever", "x", "UNRECOGNIZED")])
+@pytest.mark.parametrize("path,text,want", [
+    ("a.csproj", '<Project><ItemGroup>\n<PackageReference Include="A" Version="1" /><PackageReference Include="B"><Version>2</Version></PackageReference>\n<PackageReference Include="A" Version="3" /></ItemGroup></Project>', [("A", "1", 2, True), ("B", "2", 2, True), ("A", "3", 3, True)]),
+    ("packages.config", '<packages>\n<package id="X" version="1.2" targetFramework="n" />\n</packages>', [("X", "1.2", 2, True)]), ("Gemfile.lock", "GEM\n  specs:\n    rails (7.0.0)\n      rack (>= 2)\n", [("rails", "7.0.0", 3, False)]),
+    ("build.gradle.kts", 'implementation("g:a:1.0")\n// api "x:y:1"\napi "g:b:$v", "g:c:2@jar"\n', [("g:a", "1.0", 1, True), ("g:b", None, 3, True), ("g:c", "2", 3, True)]),
+])
+def test_more_manifests(path, text, want):
+    assert [r[3:7] for r in manifests.rows_of(path, text)] == want
+
+
+def test_redaction(spark):
+    texts = ['{"a":{"Password":"x"},"l":[{"api_key":1},2]}', "not json token", '{"k":1}', None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(events.redacted_json(F.col("t"))).collect()]
+    assert got == ['{"a":{"Password":"[redacted]"},"l":[{"api_key":"[redacted]"},2]}', "not json token", '{"k":1}', None]
+
+
+@pytest.mark.parametrize("path,text,error", [("evil.csproj", '<!DOCTYPE x [<!ENTITY a "b">]><Project/>', "MALFORMED"), ("package.json", "{", "MALFORMED"), ("go.mod", "", "EMPTY"), ("setup.py", "x", "UNPARSED"), ("Cargo.toml", "[a]", "NO-DEPENDENCIES"), ("what.ever", "x", "UNRECOGNIZED")])
 def test_manifest_errors(path, text, error):
     assert manifests.rows_of(path, text)[0][7].startswith(error)
 

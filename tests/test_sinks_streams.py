@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwarden.sinks import render
-from siftwarden.sources import documents
+from siftwarden.sources import documents, feeds, policies
 from siftwarden.streaming import live
 
 
@@ -18,7 +19,22 @@ def test_sarif(spark):
     doc = json.loads("".join(render.sarif(findings(spark), "tool")))
     run = doc["runs"][0]
     assert [r["ruleId"] for r in run["results"]] == ["R1", "R2"]
-    assert {r["id"] for r in run["tool"]["driver"]["rules"]} == {"R1", "R2"}
+    assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["R1", "R2"]
+    assert [r["id"] for r in json.loads("".join(render.sarif(findings(spark).withColumn("severity", F.lit("low")), "t")))["runs"][0]["tool"]["driver"]["rules"]] == ["R1", "R2"]
+
+
+def test_report_and_baseline(spark, tmp_path):
+    f = findings(spark).withColumns({"confidence": F.lit("high"), "category": F.lit("code")})
+    stats = spark.sql("select 3 files_scanned, 1 files_skipped, 9 lines_scanned, 0 critical, 1 high, 0 medium, 0 low, 1 info, 2 n_findings, 120 risk_score, 'F' grade")
+    doc = json.loads("".join(render.report(f, stats, "t")))
+    assert (doc["risk_score_capped"], doc["severity_counts"]["high"], [x["rule_id"] for x in doc["findings"]]) == (100, 1, ["R1", "R2"])
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    (tmp_path / "b.json").write_text("".join(render.baseline(render.baseline_entries(f.unionByName(f), now, days=7))))
+    rows = documents.read_baseline(spark, str(tmp_path / "b.json")).collect()
+    assert sorted((r.fingerprint, str(r.expires_at)[:10]) for r in rows) == [("f1", "2024-01-08"), ("f2", "2024-01-08")]
+    with pytest.raises(ValueError):
+        render.baseline_entries(f.withColumn("severity", F.lit("critical")), now)
+    assert render.baseline_entries(f.withColumn("severity", F.lit("critical")), now, "known").count() == 2
 
 
 def test_junit_markdown_html(spark):
@@ -32,7 +48,15 @@ def test_junit_markdown_html(spark):
 def test_inventories(spark):
     c = spark.createDataFrame([("python", "a", "1", "pkg:pypi/a@1", "MIT"), ("npm", "b", "2", "pkg:npm/b@2", "ISC")], "ecosystem string, name string, version string, purl string, licence string")
     assert [x["name"] for x in json.loads("".join(render.cyclonedx(c)))["components"]] == ["b", "a"]
-    assert len(json.loads("".join(render.spdx(c, "n")))["packages"]) == 2
+    doc = json.loads("".join(render.spdx(c, "n")))
+    root, *packages = doc["packages"]
+    assert [x["name"] for x in packages] == ["b", "a"] and doc["documentDescribes"] == [root["SPDXID"]]
+    assert {(x["spdxElementId"], x["relationshipType"], x["relatedSpdxElementId"]) for x in doc["relationships"]} == {(root["SPDXID"], "DEPENDS_ON", x["SPDXID"]) for x in packages} | {("SPDXRef-DOCUMENT", "DESCRIBES", root["SPDXID"])}
+    found = findings(spark).withColumns({"confidence": F.lit("high"), "category": F.lit("code"), "purl": F.when(F.col("rule_id") == "R1", "pkg:npm/b@2").otherwise("pkg:none")})
+    doc = json.loads("".join(render.cyclonedx(c, found, "n")))
+    assert [x["ref"] for x in doc["dependencies"]] == [render.ROOT, "pkg:npm/b@2", "pkg:pypi/a@1"] and doc["dependencies"][0]["dependsOn"] == ["pkg:npm/b@2", "pkg:pypi/a@1"]
+    assert [v["affects"] for v in doc["vulnerabilities"]] == [[{"ref": "pkg:npm/b@2"}], []]
+    assert doc["serialNumber"] == json.loads("".join(render.cyclonedx(c, None, "n")))["serialNumber"] != json.loads("".join(render.cyclonedx(c, None, "m")))["serialNumber"]
     edges = spark.createDataFrame([("pkg:pypi/a@1", "pkg:none")], "purl string, needs string")
     assert [(r.problem, r.purl) for r in render.inventory_problems(c.unionByName(c.limit(1)), edges).orderBy("problem").collect()] == [("dangling", "pkg:none"), ("duplicate", "pkg:pypi/a@1")]
 
@@ -49,6 +73,10 @@ def test_osv_and_baseline(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(rec))
     r = documents.read_osv(spark, str(tmp_path / "a.json")).first()
     assert (r.ecosystem, r.package, r.cve, r.affected, r.severity, r.summary, r.fixed_in) == ("python", "foo-bar", "CVE-2", "<1.2||=9.9", "high", "s t", "1.2")
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "list.json").write_text(json.dumps([rec | {"id": "G-2"}, rec | {"id": "G-3", "withdrawn": "2024"}, {"id": "G-4", "affected": []}]))
+    (tmp_path / "many" / "batch.json").write_text(json.dumps({"vulns": [rec | {"id": "G-5"}]}))
+    assert sorted(r.id for r in documents.read_osv(spark, str(tmp_path / "many")).collect()) == ["G-2", "G-5"]
     (tmp_path / "b.json").write_text(json.dumps({"fingerprints": ["x", "y"]}))
     assert documents.read_baseline(spark, str(tmp_path / "b.json")).count() == 2
 
@@ -60,11 +88,20 @@ def test_append_new_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def test_append_new_reads_its_partitions(spark, tmp_path):
+    batch = spark.createDataFrame([(1, "a", "d1"), (2, "b", "d2")], "id long, v string, day string")
+    for more in (batch, batch, batch.withColumn("id", F.col("id") + 1)):
+        live.append_new(more, str(tmp_path / "t"), ["id", "day"], "day")
+    assert sorted((r.id, r.day) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "d1"), (2, "d1"), (2, "d2"), (3, "d2")]
+
+
 def test_split_by_contract(spark, tmp_path):
-    batch = spark.createDataFrame([(1, "a", '{"k": 1}'), (2, "a", "{}"), (3, "z", "{}")], "event_id long, event_type string, props string")
+    rows = [(1, "a", '{"k": 1}'), (2, "a", "{}"), (3, "z", "{}"), (None, "a", "{}"), (None, "a", '{"k": 2}'), (5, "a", '{"k": 3}'), (5, "a", "{}")]
+    batch = spark.createDataFrame(rows, "event_id long, event_type string, props string")
     live.split_by_contract(batch, {"a": ("k",)}, str(tmp_path / "g"), str(tmp_path / "b"))
-    assert [r.event_id for r in spark.read.parquet(str(tmp_path / "g")).collect()] == [1]
-    assert spark.read.parquet(str(tmp_path / "b")).count() == 2
+    kept = lambda d: sorted(str((r.event_id, r.props)) for r in spark.read.parquet(str(tmp_path / d)).collect())
+    assert kept("g") == sorted(map(str, [(1, '{"k": 1}'), (None, '{"k": 2}'), (5, '{"k": 3}')]))
+    assert kept("b") == sorted(map(str, [(2, "{}"), (3, "{}"), (None, "{}"), (5, "{}")]))
 
 
 def test_hourly_stream(spark, tmp_path):
@@ -75,29 +112,46 @@ def test_hourly_stream(spark, tmp_path):
     assert [(r.event_type, r.n) for r in spark.table("t_hourly").collect()] == [("a", 2)]
 
 
-def test_rate_limit_formula_matches_stream_state():
-    class Handle:
-        def __init__(self):
-            self.kept = None
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-        def getListState(self, name, schema):
-            return self
 
-        def exists(self):
-            return self.kept is not None
+def streamed(spark, tmp_path, batches, make):
+    """All rows that a stream over these batches, one file and micro-batch each, gives out."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out = []
+    try:
+        for k, batch in enumerate(batches):
+            batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            run = make(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+            run.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return out
 
-        def get(self):
-            return iter(self.kept)
 
-        def put(self, rows):
-            self.kept = rows
+def test_rate_limit_stream_matches_the_formula(spark, tmp_path):
+    from siftwarden.operators import events
 
-    import pandas as pd
+    hits = [("k", 1000), ("k", 1010), ("j", 1011), ("k", 1061), ("j", 1071), ("k", 1062)]
+    table = lambda rows: spark.createDataFrame([(k, a * 1_000_000) for k, a in rows], "key string, at long")
+    hits += [("i", 9000), ("k", 9001)]  # long after, so that what k had is gone
+    got = streamed(spark, tmp_path, [table(hits[:3]), table(hits[3:6]), table(hits[6:7]), table(hits[7:])], lambda s: live.rate_limited(s, 60))
+    want = events.rate_limited(table(hits), "key", F.col("at"), [], 2, 60).collect()
+    assert sorted((r.key, r["at"], r.n_hits) for r in got) == sorted((r.key, r["at"], r.n_hits) for r in want)
 
-    p = live.RateLimit(60_000_000)
-    p.init(Handle())
-    out = [p.handleInputRows(("k",), [pd.DataFrame({"at": [a * 1_000_000]})], None) for a in (1000, 1010, 1061)]
-    assert [int(next(o).n_hits.iloc[0]) for o in out] == [1, 2, 2]
+
+def test_job_stream(spark, tmp_path):
+    s = 1_000_000
+    table = lambda rows: spark.createDataFrame(rows, "job_id string, at long, outcome string")
+    first = [("a", 0, "enqueued"), ("a", 1 * s, "claimed"), ("a", 2 * s, "failed"), ("a", 3 * s, "claimed"), ("b", 0, "enqueued"), ("b", 1, "succeeded")]
+    then = [("a", 7 * s, "claimed"), ("a", 8 * s, "failed"), ("a", 99 * s, "claimed"), ("a", 100 * s, "failed"), ("a", 101 * s, "enqueued"), ("b", 2, "claimed"), ("b", 3, "succeeded"), ("b", 4, "claimed")]
+    got = streamed(spark, tmp_path, [table(first), table(then)], lambda x: live.job_states(x, 3))
+    a = [(r.status, r.attempts, r.due // s) for r in sorted(got, key=lambda r: r["at"]) if r.job_id == "a"]
+    # not due at 3, due at 7 after 5 seconds; then 10 seconds; then its three attempts are used up
+    assert a == [("queued", 0, 0), ("running", 1, 0), ("queued", 1, 7), ("running", 2, 7), ("queued", 2, 18), ("running", 3, 18), ("failed", 3, 18)]
+    assert [r.status for r in sorted(got, key=lambda r: r["at"]) if r.job_id == "b"] == ["queued", "running", "succeeded"]
 
 
 def test_verified_report(spark, tmp_path):
@@ -107,3 +161,52 @@ def test_verified_report(spark, tmp_path):
     f = f.withColumn("fingerprint", F.when(F.col("rule_id") == "R1", T.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("snippet"), F.col("category"))).otherwise("bad"))
     render.write_jsonl(f, str(tmp_path / "r"))
     assert {r.rule_id: r.fingerprint_verified for r in documents.read_report(spark, str(tmp_path / "r")).collect()} == {"R1": True, "R2": False}
+
+
+def test_feeds(spark, tmp_path):
+    own = lambda i: {"id": i, "cve": f"CVE-{i}", "affected": "<1", "severity": "high", "summary": "s", "fixed_in": "1"}
+    osv = {"id": "G-1", "affected": [{"package": {"ecosystem": "PyPI", "name": "C"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "2"}]}]}]}
+    (tmp_path / "base.json").write_text(json.dumps({"_note": "x", "python": {"A_b": [own("1")], "c": [own("2")]}, "npm": {"A": [own("3"), own("4")]}}))
+    over = tmp_path / "over"
+    over.mkdir()
+    (over / "1.json").write_text(json.dumps({"python": {"a-b": [own("5")]}, "npm": {"z": [own("6")]}}))
+    (over / "2.json").write_text(json.dumps({"python": {"A.B": [own("7"), own("8")]}}))
+    (over / "3.json").write_text(json.dumps(osv))
+    (over / "bad.json").write_text("{")
+    base = feeds.read_bundle(spark, str(tmp_path / "base.json"))
+    assert sorted((r.ecosystem, r.package, r.id) for r in base.collect()) == [("npm", "a", "3"), ("npm", "a", "4"), ("python", "a-b", "1"), ("python", "c", "2")]
+    both = feeds.read_overlay(spark, str(over), base)
+    assert sorted((r.ecosystem, r.package, r.id) for r in both.collect()) == [("npm", "a", "3"), ("npm", "a", "4"), ("npm", "z", "6"), ("python", "a-b", "7"), ("python", "a-b", "8"), ("python", "c", "G-1")]
+    assert {r.ecosystem: (r.packages, r.advisories, r.with_cve, r.with_fix) for r in feeds.import_stats(both).collect()} == {"npm": (2, 3, 3, 3), "python": (2, 3, 2, 3)}
+    assert {(r.package, len(json.loads(r.advisories))) for r in feeds.export_pieces(both).collect()} == {("a", 2), ("z", 1), ("a-b", 2), ("c", 1)}
+    (tmp_path / "l.json").write_text(json.dumps({"python": {"x": "MIT"}}))
+    assert [tuple(r) for r in feeds.read_licences(spark, str(tmp_path / "l.json")).collect()] == [("python", "x", "MIT")]
+
+
+def test_policy_documents(tmp_path):
+    doc = {"version": 1, "fail_on": "HIGH", "severity_gates": {"critical": 0}, "rules": {"ignore": ["A"], "severity_overrides": {"B": "Low"}, "min_confidence": "medium"}, "licenses": {"blocked": ["GPL-3.0"], "unknown": "block"}, "blocked_dependencies": [{"name": "x", "reason": "r"}], "engines": {"enabled": ["iac", "secrets"]}, "entropy_threshold": 4.0}
+    (tmp_path / "p.json").write_text(json.dumps(doc))
+    p = policies.policy_of(policies.document(str(tmp_path / "p.json")))
+    assert (p.fail_on, p.gates, p.overrides, p.blocked, p.engines) == ("high", {"critical": 0}, {"B": "low"}, (("*", "x", "r"),), ("iac", "secrets"))
+    bad = {"version": 2, "fail_on": "x", "severity_gates": {"huge": -1, "low": True}, "rules": [], "licenses": {"allowed": ["MIT"], "blocked": ["MIT"], "unknown": "?"}, "blocked_dependencies": [{}], "engines": {"enabled": ["none"]}, "max_risk_score": -1}
+    with pytest.raises(policies.Refused) as e:
+        policies.policy_of(bad)
+    assert len(e.value.problems) >= 9
+    s = policies.under(policies.settings_of(environment={}), p)
+    assert (s.engines, s.ignored, s.min_confidence, s.entropy_threshold, s.unknown_licence) == (("secrets", "iac"), ("A",), "medium", 4.0, "block")
+
+
+def test_settings_precedence(tmp_path):
+    (tmp_path / "org.json").write_text(json.dumps({"min_severity": "low", "entropy_threshold": 4.0, "ignored": ["A"]}))
+    (tmp_path / "project.json").write_text(json.dumps({"min_severity": "medium", "unknown": 1}))
+    env = {"SIFTWARDEN_ENTROPY_THRESHOLD": "3.5", "SIFTWARDEN_ENGINES": "iac, secrets", "SIFTWARDEN_MIN_CONFIDENCE": ""}
+    s = policies.settings_of(str(tmp_path / "org.json"), str(tmp_path / "project.json"), str(tmp_path / "none.json"), environment=env, ignored=["B"])
+    assert (s.min_severity, s.entropy_threshold, s.engines, s.ignored, s.min_confidence) == ("medium", 3.5, ("iac", "secrets"), ("B",), "low")
+    assert policies.settings_of(environment={"SIFTWARDEN_ENTROPY_THRESHOLD": "x"}).entropy_threshold == 4.3
+
+
+def test_allowed_hosts():
+    from siftwarden.operators import events
+
+    assert events.allowed_hosts(None, None) is None and events.allowed_hosts(["a.b"], None) == ["a.b"]
+    assert events.allowed_hosts(["*.b.c", "x.y", "d.e"], ["a.b.c", "*.y", "d.e", "q"]) == ["a.b.c", "d.e", "x.y"]
