@@ -9,11 +9,12 @@ what languages have in common, is taken from prototypes and text alike; ties go
 Letters fall into SYMBOLS - 1 symbols: a-z after lower-casing have their own, others share the rest by
 code point; a run of anything else is one blank.  Trigrams are counted over whole texts.
 
-Training texts are a bounded sample: about TRAIN_DOCS of each language, by a hash of doc_id; their
-vectors are summed by Spark, so that one row for each language reaches the driver.
+Training texts are a bounded sample: about TRAIN_DOCS of each language, by a hash of doc_id, of the LANGUAGES that most
+documents have; their vectors are summed by Spark, so that one row for each language and coordinate reaches the driver.
 
 Nulls and edges: a null text or one without a letter is `und` with score 0; with nothing to learn from
-every text is; rows with null lang are not learnt from; repeated rows count as often as they occur; an
+every text is; rows with null lang are not learnt from; repeated rows count as often as they occur; a very long text is one
+array of its letters, which its task must hold; columns of docs stay, but those named lang_pred or score give way; an
 empty table gives none.
 """
 
@@ -26,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_bucket, table
+from .common import boxed, id_bucket, table
 
-DIM = 512
+DIM = 1024
 SYMBOLS = 64
-TRAIN_DOCS = 2_000
+#: Documents of a language that are learnt from, and languages that are: a model of LANGUAGES * DIM numbers at most.
+TRAIN_DOCS, LANGUAGES = 2_000, 1_000
 SEED = 9
 UNKNOWN = "und"
 _kept: dict[str, np.ndarray] = {}
@@ -77,7 +79,7 @@ def vector(text: str | None, letters: tuple[np.ndarray, np.ndarray, np.ndarray])
 def learn(docs: DataFrame, train_docs: int = TRAIN_DOCS, dim: int = DIM) -> dict[str, np.ndarray]:
     """Prototypes by language from docs (doc_id, text, lang)."""
     docs = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    per = docs.groupBy("lang").agg((F.lit(float(train_docs)) / F.count(F.lit(1))).alias("part"))
+    per = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", (F.lit(float(train_docs)) / F.col("n")).alias("part"))
     drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = docs.join(F.broadcast(per), "lang").where(drawn < F.col("part")).select("lang", "text")  # a row for each language
 
@@ -107,6 +109,7 @@ def letter_vectors_kept(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """docs with lang_pred and score; Spark carries the columns of docs along."""
+    docs, opened = boxed(docs, ["doc_id", "text"], ["lang_pred", "score"])
     langs = list(prototypes)
     raw = np.array([prototypes[k] for k in langs]) if langs else np.zeros((0, DIM))
     dim = raw.shape[1]
@@ -131,7 +134,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             scores[k] = min(1.0, max(0.0, cosine[best]))
         return pd.DataFrame({"lang_pred": out, "score": scores})
 
-    return docs.withColumn("_told", told("text")).withColumns({"lang_pred": F.col("_told.lang_pred"), "score": F.col("_told.score")}).drop("_told")
+    return opened(docs.withColumn("_told", told("text")).withColumns({"lang_pred": F.col("_told.lang_pred"), "score": F.col("_told.score")}), ["lang_pred", "score"])
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ gated recurrent unit in both directions, attention pools the states, and a linea
 The text's logit is its largest window's.
 
 Training: a bounded sample of labelled rows, about TRAIN_ROWS of each label by a hash of doc_id and
-texts of TRAIN_CHARS at most (labelled texts are for learning only; every text is scored whole).  The
+texts of TRAIN_CHARS at most and of TRAIN_SUM in all (labelled texts are for learning only; every text is scored whole).  The
 embeddings' first coordinates are the log odds of tokens and n-grams; all else is trained by
 back-propagation through each text's largest window (Adam), with odds from one half of the sample and texts of the
 other, then the halves swapped, so that weights are fitted to odds of unseen texts.  In the end the odds
@@ -15,7 +15,8 @@ are those of the whole sample.  Seeds are fixed.
 
 Nulls and edges: a text without tokens scores the labels' base rate, but under 0.5; labels that repeat
 count once, as toxic if any says so; null labels and ids aren't learnt from; without both labels to
-learn from every score is the base rate likewise; an empty table gives none.
+learn from every score is the base rate likewise; windows that tie count once; a very long text runs in windows, SIDE at
+a time; columns of docs stay as they are, one named as the score gives way to it; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .common import id_bucket, table
 from .hashing import U, goes, mix, word_hashes, word_spans
 
 TRAIN_ROWS = {0: 3_000, 1: 2_000}
-TRAIN_CHARS = 200_000
+#: Characters of a text that is learnt from, and of all such texts: what the driver takes at most, 128 MB.
+TRAIN_CHARS, TRAIN_SUM = 200_000, 32_000_000
 WINDOW, STEP = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 WORD_ROWS, CHAR_ROWS = 1 << 16, 1 << 16
@@ -279,7 +281,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAIN_ROWS)
     part = F.when(F.col("toxic") == 1, min(1.0, rows[1] / max(1, many.get(1, 0)))).otherwise(min(1.0, rows[0] / max(1, many.get(0, 0))))
     drawn = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     some = known.where(drawn < part)  # about sum(rows) rows: bounded, so they go to all workers
-    got = docs.join(F.broadcast(some), "doc_id").where(F.length("text") <= TRAIN_CHARS).select("doc_id", "text", "toxic").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").where(F.length("text") <= TRAIN_CHARS)
+    # fewer rows where their texts are long: those whose draw is low, of either label alike
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    got = texts.where(F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, TRAIN_SUM / max(chars, 1)))).select("doc_id", "text", "toxic").collect()
     got.sort(key=lambda r: (r.doc_id, r.text))
     rate = many.get(1, 0) / max(1, sum(many.values()))
     return train([r.text for r in got], np.array([r.toxic for r in got], np.int64), rate), rate

@@ -366,6 +366,66 @@ def test_gradients_are_derivatives():
         assert math.isclose((up - down) / (2 * step), float(g[name][where]), rel_tol=0.08), name
 
 
+def plain_logit(net, text):
+    """The network on one text in scalar loops: its largest window's logit."""
+    p, hid = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    t = toxicity._tokens([text])
+    grams = collections.defaultdict(list)
+    for g, k in zip(t.gram, t.gram_of):
+        grams[k].append(p["char"][g])
+    inputs = [np.concatenate([p["word"][t.word[k]], sum(grams[k]) / len(grams[k])]) for k in t.kind]
+
+    def direction(xs, name, off):
+        h, out = [0.0] * hid, []
+        for x in xs:
+            a = [sum(x[i] * p["in"][i, off + c] for i in range(len(x))) + p["in_b"][off + c] for c in range(3 * hid)]
+            b = [sum(h[i] * p[name][i, c] for i in range(hid)) for c in range(3 * hid)]
+            new = []
+            for c in range(hid):
+                z, r = sig(a[c] + b[c]), sig(a[hid + c] + b[hid + c])
+                n = math.tanh(a[2 * hid + c] + r * b[2 * hid + c])
+                new.append(n + z * (h[c] - n))
+            h = new
+            out.append(h)
+        return out
+
+    best, n, k = -math.inf, len(inputs), 0
+    while True:
+        xs = inputs[k : k + toxicity.WINDOW]
+        fwd, bwd = direction(xs, "fwd", 0), direction(xs[::-1], "bwd", 3 * hid)[::-1]
+        states = [f + b for f, b in zip(fwd, bwd)]
+        e = [math.exp(sum(a * s for a, s in zip(p["att"], st))) for st in states]
+        pooled = [sum(w * st[c] for w, st in zip(e, states)) / sum(e) for c in range(2 * hid)]
+        best = max(best, sum(o * v for o, v in zip(p["out"], pooled)) + p["out_b"][0])
+        if k + toxicity.WINDOW >= n:
+            return best
+        k += toxicity.STEP
+
+
+def test_forward_pass_against_scalar_loops():
+    texts, label = toxic_rows(40, 4)
+    net = toxicity.train(texts, label, 0.25)
+    some = ["one", "two words", " ".join(texts[:3]), texts[4] + " zorglex", "é" * 5 + " a b"]
+    got = net.logits(toxicity._tokens(some))[0]
+    assert np.allclose(got, [plain_logit(net, x) for x in some], atol=1e-3)
+
+
+def test_training_texts_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "TRAIN_SUM", 3_000)
+    monkeypatch.setattr(toxicity, "train", lambda texts, label, rate: seen.append(texts))
+    docs = table(spark, [(i, "w " * 50, "s") for i in range(300)])
+    toxicity.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int"))
+    assert 10 < len(seen[0]) < 60
+
+
+def test_toxicity_keeps_extra_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7.0)], "doc_id long, text string, _drawn string, score double")
+    out = toxicity.scored(docs, (None, 0.2))
+    assert out.columns == docs.columns and (out.first()._drawn, out.first().score) == ("x", 0.2)
+
+
 def test_windows_cover_every_token():
     texts = ["", "a", "b " * 47, "c " * 48, "d " * 49, "e " * 500, "!!!"]
     t = toxicity._tokens(texts)
@@ -379,9 +439,9 @@ def test_windows_cover_every_token():
 
 def test_toxicity_on_held_out_texts(spark):
     texts, label = toxic_rows(400, 2)
-    docs = table(spark, [(i, x, "s") for i, x in enumerate(texts)]).drop("score")
+    docs = table(spark, [(i, x, "s") for i, x in enumerate(texts)])
     labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(label.tolist()) if i % 5] + [(None, 1), (3, None)], "doc_id long, toxic int")
-    more = docs.unionByName(table(spark, [(900, None, "s"), (901, "", "s"), (902, "a" * 100_000, "s"), (903, " ".join(["sun"] * 3000 + ["blarn"] + ["tree"] * 3000), "s"), (None, "sun", "s")]).drop("score"))
+    more = docs.unionByName(table(spark, [(900, None, "s"), (901, "", "s"), (902, "a" * 100_000, "s"), (903, " ".join(["sun"] * 3000 + ["blarn"] + ["tree"] * 3000), "s"), (None, "sun", "s")]))
     out = {r.doc_id: r.score for r in toxicity.scored(more, toxicity.learn(docs, labels)).collect()}
     held = [i for i in range(400) if i % 5 == 0]
     assert np.mean([(out[i] >= 0.5) == label[i] for i in held]) > 0.95
@@ -390,7 +450,7 @@ def test_toxicity_on_held_out_texts(spark):
 
 
 def test_toxicity_without_labels(spark):
-    docs = table(spark, [(1, "a", "s"), (2, None, "s")]).drop("score")
+    docs = table(spark, [(1, "a", "s"), (2, None, "s")])
     out = toxicity.scored(docs, toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int")))
     assert {r.score for r in out.collect()} == {0.0}
     assert toxicity.scored(docs.limit(0), (None, 0.0)).count() == 0
@@ -423,9 +483,36 @@ def test_language_on_held_out_texts(spark):
     assert out.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_accuracy_rises_with_dimension():
+    """Held-out texts of four made languages by the number of coordinates; DIM has reached what more of them give."""
+    rng = random.Random(14)
+    langs = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(60)] for k in range(4)}
+    text = lambda k: " ".join(rng.choice(langs[k] if rng.random() < 0.7 else langs[(k + 1) % 4]) for _ in range(12))
+    train, test = [(k, text(k)) for k in range(4) for _ in range(30)], [(k, text(k)) for k in range(4) for _ in range(50)]
+    right = {}
+    for dim in (8, 64, language.DIM, 2 * language.DIM):
+        letters = language.letter_vectors(dim)
+        unit = lambda v: v / np.linalg.norm(v)
+        own = np.array([sum(unit(language.vector(t, letters)) for k, t in train if k == lang) for lang in range(4)])
+        own = np.array([unit(x) for x in own])
+        own = own - own.mean(axis=0)
+        right[dim] = np.mean([np.argmax([unit(o) @ language.vector(t, letters) for o in own]) == k for k, t in test])
+    assert right[8] < right[64] < right[language.DIM] and right[language.DIM] > right[2 * language.DIM] - 0.02 and right[language.DIM] > 0.95, right
+
+
+def test_language_keeps_extra_columns_and_bounds_languages(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat", "en", "x", 1), (2, "a dog the", "en", "y", 2), (3, "le chat", "fr", "z", 3)], "doc_id long, text string, lang string, _told string, score int")
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    model = language.learn(docs)
+    assert list(model) == ["en"]
+    out = language.predict(docs, model)
+    assert out.columns == ["doc_id", "text", "lang", "_told", "lang_pred", "score"]
+    assert {(r.doc_id, r._told, r.lang_pred) for r in out.collect()} == {(1, "x", "en"), (2, "y", "en"), (3, "z", "en")}
+
+
 def test_language_of_odd_tables(spark):
     rows = [(1, "the cat", None), (2, "123", None), (3, None, None), (4, "", None), (None, "le chat", None)]
-    docs = table(spark, rows).drop("score")
+    docs = table(spark, rows)
     assert {r.lang_pred for r in language.predict(docs, language.learn(docs)).collect()} == {"und"}
     model = {"en": plain_vector("the cat sat on the mat", language.DIM) / 50.0, "fr": plain_vector("le chat dort sur la table", language.DIM) / 50.0}
     got = {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}
