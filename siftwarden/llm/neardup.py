@@ -401,8 +401,8 @@ n AS (SELECT id, count(*) AS n FROM shingle GROUP BY id),
 pair AS (SELECT x.id AS a, y.id AS b, count(*) AS n_both FROM shingle x JOIN shingle y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
 link AS (SELECT a, b FROM pair JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
 edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
-reach(id, at) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM reach r JOIN edge e ON r.at = e.a),
-least AS (SELECT id, min(at) AS component_id FROM reach GROUP BY id)
+reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, e.b FROM reach r JOIN edge e ON r.other = e.a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id, coalesce(l.component_id, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN least l ON l.id = d.doc_id
 """
