@@ -120,3 +120,23 @@ def redacted_json(payload: Column) -> Column:
 
     # only texts that may have such a key are looked into
     return F.when(payload.rlike(SENSITIVE), hide(payload)).otherwise(payload)
+
+
+def resets(hits: DataFrame, key: str, at: Column, window_seconds: int) -> DataFrame:
+    """For each key's last hit: how many hits its window holds, and seconds until the oldest of these leaves it."""
+    span = window_seconds * 1_000_000
+    seen = hits.select(key, at.alias("_at"))
+    last = seen.groupBy(key).agg(F.max("_at").alias("_last"))
+    inside = seen.join(last, key).where(F.col("_at") > F.col("_last") - span)
+    return inside.groupBy(key).agg(F.count(F.lit(1)).alias("n_hits"), F.ceil((F.min("_at") + span - F.max("_last")) / 1_000_000).alias("reset_after"))
+
+
+def last_of(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """Each key's last row by time; only that one counts, all before it are void."""
+    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))
+    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def metrics(events: DataFrame, name: str, value: str, at: str, tie: str) -> DataFrame:
+    """For each name a counter, all values added, and a gauge, the last one."""
+    return events.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("counter"), F.max_by(value, F.struct(at, tie)).alias("gauge"))

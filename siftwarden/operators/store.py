@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import findings as ops
+
 
 def scoped(df: DataFrame, org_id: int) -> DataFrame:
     """One tenant's rows; a table without tenants is refused."""
@@ -38,3 +42,30 @@ def resolved(findings: DataFrame, scans: DataFrame) -> DataFrame:
     two = latest(scans, n=2).select("scan_id", "recency")
     still = F.max(F.col("recency") == 1).over(Window.partitionBy("project_id", "fingerprint"))
     return findings.join(two, "scan_id").withColumn("_still", still).where("recency = 2 and not _still").drop("recency", "_still")
+
+
+def unarchived(df: DataFrame, with_archived: bool = False) -> DataFrame:
+    """Rows that aren't archived (column archived, null counts as not); all where those are asked for too."""
+    return df if with_archived else df.where(~F.coalesce("archived", F.lit(False)))
+
+
+def between(df: DataFrame, at: str, since: str | None, until: str | None) -> DataFrame:
+    """Rows from since to until, both included and either open; times as text, a day or a day and a time.  An inverted range is refused."""
+    time = lambda s, end: s if s is None or len(s) > 10 else f"{s} 23:59:59.999999" if end else f"{s} 00:00:00"
+    since, until = (datetime.fromisoformat(t) if (t := time(s, k)) else None for k, s in enumerate((since, until)))
+    if since and until and since > until:
+        raise ValueError(f"{since} is after {until}")
+    for bound, holds in ((since, Column.__ge__), (until, Column.__le__)):
+        if bound:
+            df = df.where(holds(F.col(at), F.lit(bound.isoformat(" ")).cast("timestamp_ntz")))
+    return df
+
+
+def notification(findings: DataFrame, key: str, top: int = 5) -> DataFrame:
+    """For each key what a message tells: n of each severity, risk and the rules found most, as `rule xN` in order."""
+    by_rule = findings.groupBy(key, "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "rule_id"))
+    some = by_rule.withColumn("_rank", rank).where(F.col("_rank") <= top)
+    told = F.concat("rule_id", F.lit(" x"), F.col("n").cast("string"))
+    rules = some.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", told.alias("told")))), lambda x: x["told"]), ", ").alias("top_rules"))
+    return ops.counts_by_severity(findings, key).join(ops.risk(findings, key), key).join(rules, key)

@@ -139,3 +139,20 @@ def host_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metrics_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return e.groupBy("hour", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("""WITH h AS (SELECT user_id, epoch_us(ts) AS us, max(epoch_us(ts)) OVER (PARTITION BY user_id) AS last FROM events)
+  SELECT user_id, CAST(count(*) AS BIGINT) AS n_hits, CAST(ceil((min(us) + 21600000000 - max(last)) / 1000000) AS BIGINT) AS reset_after FROM h WHERE us > last - 21600000000 GROUP BY user_id""")
+def rate_limit_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.resets(_events(spark, sf_dir), "user_id", _micros(), 21_600)
+
+
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'signup') WHERE k = 1")
+def last_reset_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as reset tokens: the last of each user is valid."""
+    return ops.last_of(_events(spark, sf_dir).where("event_type = 'signup'"), "user_id", "ts", "event_id").select("user_id", "event_id", "ts")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS counter, arg_max(value, (ts, event_id)) AS gauge FROM events GROUP BY event_type")
+def counters_and_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.metrics(_events(spark, sf_dir), "event_type", "value", "ts", "event_id")

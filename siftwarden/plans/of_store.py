@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwarden.operators import findings as ops, store
 
 from .registry import query
-from .standins import BARE, COUNTS, FINDING, PROJECT, SCAN, WEIGHT, bare_findings, findings, projects, read, scans
+from .standins import BARE, COUNTS, FINDING, GRADE, PROJECT, SCAN, WEIGHT, bare_findings, findings, projects, read, scans
 
 LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY scan_id DESC) AS recency FROM scan WHERE status = 'succeeded') WHERE recency <= {n})"
 
@@ -83,10 +83,23 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCAN} SELECT scan_id, created_at FROM scan WHERE created_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-12-31 23:59:59'")
 def time_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda s: F.lit(s).cast("timestamp_ntz")
-    return scans(spark, sf_dir).where(F.col("created_at").between(at("1995-01-01 00:00:00"), at("1995-12-31 23:59:59"))).select("scan_id", "created_at")
+    return store.between(scans(spark, sf_dir), "created_at", "1995-01-01", "1995-12-31 23:59:59").select("scan_id", "created_at")
 
 
 @query(f"""WITH {FINDING} SELECT project_id, severity, rule_id, CAST(count(*) AS BIGINT) AS n FROM finding WHERE status = 'open' AND severity IN ('critical', 'high') GROUP BY ALL""")
 def findings_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).where("status = 'open' and severity in ('critical', 'high')").groupBy("project_id", "severity", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PROJECT} SELECT org_id, CAST(count(*) AS BIGINT) AS n FROM project JOIN customer ON c_custkey = project_id WHERE NOT c_acctbal < 0 GROUP BY org_id")
+def unarchived_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a balance below 0 stand for archived projects."""
+    p = projects(spark, sf_dir).join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"), (F.col("c_acctbal") < 0).alias("archived")), "project_id")
+    return store.unarchived(p).groupBy("org_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {FINDING}, c AS (SELECT project_id, {COUNTS}, CAST(sum({WEIGHT}) AS BIGINT) AS risk_score FROM finding GROUP BY project_id),
+  r AS (SELECT project_id, rule_id, count(*) AS n, row_number() OVER (PARTITION BY project_id ORDER BY count(*) DESC, rule_id) AS k FROM finding GROUP BY project_id, rule_id),
+  t AS (SELECT project_id, string_agg(rule_id || ' x' || n, ', ' ORDER BY k) AS top_rules FROM r WHERE k <= 5 GROUP BY project_id) SELECT c.*, {GRADE} AS grade, top_rules FROM c JOIN t USING (project_id)""")
+def notification_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.notification(findings(spark, sf_dir), "project_id")

@@ -152,3 +152,15 @@ def feed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda n, name: f.where(F.col("source_no") == n).select("cve").distinct().withColumn(name, F.lit(1))
     both = side(0, "e").join(side(1, "f"), "cve", "full")
     return both.groupBy(F.when(F.col("e").isNull(), "extra").when(F.col("f").isNull(), "missed").otherwise("found").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {COMPONENT}, c AS (SELECT *, {_N} AS v FROM component), hit AS ("
+    + " UNION ALL ".join(f"SELECT ecosystem, lower(name) AS name, version, '{i}' AS id FROM c WHERE ecosystem = '{e}' AND lower(name) = '{n}' AND ({HELD[i]})" for e, n, i, _, _ in ADVISORIES)
+    + ") SELECT ecosystem, name, version, CAST(count(*) AS BIGINT) AS parts, CAST(count(DISTINCT id) AS BIGINT) AS advisories, min(id) AS first_id FROM hit GROUP BY ecosystem, name, version"
+)
+def vulnerable_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with the advisories that concern them."""
+    adv = spark.createDataFrame(ADVISORIES, "ecosystem string, package string, id string, affected string, fixed_in string")
+    hit = advisories.matched(components(spark, sf_dir).withColumn("spec", F.concat(F.lit("=="), F.col("version"))), adv)
+    return hit.groupBy("ecosystem", F.lower("name").alias("name"), "version").agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("id").alias("advisories"), F.min("id").alias("first_id"))

@@ -155,3 +155,11 @@ def test_advisory_match(spark):
     got = {(r.spec, r.confidence) for r in advisories.matched(deps, adv).collect()}
     # >=2 names a version out of range, >=1 allows the one that mends it
     assert got == {("==1.0", "high"), (">=1,<1.4", "medium")}
+
+
+def test_time_ranges(spark):
+    df = spark.sql("select timestamp_ntz'2024-01-01 12:00:00' at, 1 n union all select timestamp_ntz'2024-01-02 23:59:59', 2 union all select null, 3")
+    n = lambda *a: sorted(r.n for r in store.between(df, "at", *a).collect())
+    assert n(None, None) == [1, 2, 3] and n("2024-01-02", "2024-01-02") == [2] and n("2024-01-01 12:00:00", None) == [1, 2] and n(None, "2024-01-01") == [1]
+    with pytest.raises(ValueError):
+        store.between(df, "at", "2024-01-02", "2024-01-01")
