@@ -7,16 +7,16 @@ is what links reach.
    class from here on, whatever their number, numbered in the order of their smallest doc_id and set hash.
 2. The forest: ORDERS sorted orders of the classes, each by its own sequence of signature values (DEPTH of
    its own, then DEPTH of the next order's).  Rows are sorted over the whole cluster by range, so that an order's
-   region, the classes that share a prefix, may span tasks.  Neighbours in an order, those with the longest
-   common prefix, are candidates if they share DEPTH values at least: 0.75**4 in each of 32 orders,
-   so a link at 0.75 is missed in all of them with a probability of 5e-6.
+   region, the classes that share a prefix, may span tasks.  Of a class' two neighbours in an order the one with the longer
+   common prefix is a candidate first, the other one after it, if they share DEPTH values at least: 0.75**4 in each of 32
+   orders, so a link at 0.75 is missed in all of them with a probability of 5e-6.
 3. Candidates are verified on full sets in rounds, each class with its neighbour of the smallest component first, and
    components merge after each round, so a group of n near copies costs about n verifications and not n * n.
 4. Adaptive depth: where neighbours, at whatever depth they met, have put a region into one component,
-   it is finished.  Regions with more components go down to the least depth: all their pairs of
-   different components are candidates, none is capped.  In a large region these are not told one by one: the rows
-   outside its largest component meet each other and the rest in bounded blocks, where products of incidence
-   matrices give every pair's exact overlap.
+   it is finished.  Regions with more components are worked on from the deepest up: first those that share 2 * DEPTH values,
+   then, where components are still apart, those that share DEPTH.  All pairs of different components of such a region are
+   candidates, none is capped.  In a large region these are not told one by one: the rows outside its largest component
+   meet each other and the rest in bounded blocks, where products of incidence matrices give every pair's exact overlap.
 
 Nulls and edges: a text without words is linked with nothing; a null doc_id is linked with nothing and kept;
 rows that repeat a doc_id with the same text are copies of each other, with another text each stands for
@@ -142,8 +142,9 @@ def forest(classes: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, parts: int) -> DataFrame:
-    """From the sorted orders, rows of three kinds: 0, neighbours a and b of one region; 1, members a of
-    regions with more than one; 2, the first and last row of a task, which may have neighbours in another one."""
+    """From the sorted orders, rows of four kinds: 0, neighbours a and b of one region of which neither is nearer to one
+    of them on its other side, by their common prefix; 3, other neighbours; 1, members a of regions with more than one;
+    2, the first and last row of a task, which may have neighbours in another one."""
     ordered = rows.repartitionByRange(parts, "tree", "p", "q", "id").sortWithinPartitions("tree", "p", "q", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def neighbours(rows: DataFrame, parts: int) -> DataFrame:
 
         def out(kind: int, x: dict, at: np.ndarray, other: dict | None = None) -> pa.RecordBatch:
             o = other or x
-            cols = [np.full(len(at), kind, np.int32), x["tree"][at], x["p"][at], x["q"][at], x["id"][at], x["n"][at], *((o["id"][at + 1], o["n"][at + 1]) if kind == 0 else (x["id"][at], x["n"][at]))]
+            cols = [np.full(len(at), kind, np.int32), x["tree"][at], x["p"][at], x["q"][at], x["id"][at], x["n"][at], *((o["id"][at + 1], o["n"][at + 1]) if kind in (0, 3) else (x["id"][at], x["n"][at]))]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "tree", "p", "q", "a", "n_a", "b", "n_b"])
 
         last, first = None, True
@@ -164,8 +165,14 @@ def neighbours(rows: DataFrame, parts: int) -> DataFrame:
             elif last is not None:
                 x = {c: np.concatenate([last[c], x[c]]) for c in names}
             same = (x["tree"][1:] == x["tree"][:-1]) & (x["p"][1:] == x["p"][:-1])
+            # values of 16 bits in common: DEPTH and those of q from its first on; what another batch holds isn't seen here
+            apart = (x["q"][1:] ^ x["q"][:-1]).view(U)
+            common = np.where(same, DEPTH + sum(((apart >> U(16 * k)) == 0).astype(int) for k in range(DEPTH)), 0)
+            before, after = np.concatenate([[0], common[:-1]]), np.concatenate([common[1:], [0]])
+            nearest = (common >= before) | (common >= after)
+            yield out(0, x, np.flatnonzero(same & nearest))
+            yield out(3, x, np.flatnonzero(same & ~nearest))
             at = np.flatnonzero(same)
-            yield out(0, x, at)
             yield out(1, x, np.union1d(at, at + 1))
             last, first = {c: v[-1:] for c, v in x.items()}, False
         if last is not None:
@@ -247,20 +254,20 @@ def _picked(pairs: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of regions with more than one component: tree, p, id, n, comp, m (rows), major (whether comp is the one
-    with most rows), and minors and majors, the numbers of blocks of either kind."""
-    rows = members.join(labels.withColumnRenamed("id", "a"), "a").select("tree", "p", F.col("a").alias("id"), "n", "comp")
-    per = rows.groupBy("tree", "p", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
-    per = per.groupBy("tree", "p").agg(F.sum("m").alias("m"), F.sum("all").alias("all"), F.max(F.struct("m", "comp", "all")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    """Members (region, a, n) of regions with more than one component: region, id, n, comp, m (rows), major (whether comp is
+    the one with most rows), and minors and majors, the numbers of blocks of either kind."""
+    rows = members.join(labels.withColumnRenamed("id", "a"), "a").select("region", F.col("a").alias("id"), "n", "comp")
+    per = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
+    per = per.groupBy("region").agg(F.sum("m").alias("m"), F.sum("all").alias("all"), F.max(F.struct("m", "comp", "all")).alias("most"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     blocks = lambda m, all_: F.greatest(F.ceil(m / BLOCK), F.ceil(all_ / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    per = per.select("tree", "p", "m", F.col("most.comp").alias("top"), blocks(F.col("m") - F.col("most.m"), F.col("all") - F.col("most.all")).alias("minors"), blocks(F.col("most.m"), F.col("most.all")).alias("majors"))
-    return written(rows.join(per, ["tree", "p"]).withColumn("major", F.col("comp") == F.col("top")).drop("top"), "mixed")
+    per = per.select("region", "m", F.col("most.comp").alias("top"), blocks(F.col("m") - F.col("most.m"), F.col("all") - F.col("most.all")).alias("minors"), blocks(F.col("most.m"), F.col("most.all")).alias("majors"))
+    return written(rows.join(per, "region").withColumn("major", F.col("comp") == F.col("top")).drop("top"), "mixed")
 
 
 def _small_pairs(mixed: DataFrame) -> DataFrame:
     """Pairs of different components in regions of up to SMALL rows."""
-    rows = mixed.where(F.col("m") <= SMALL).select("tree", "p", "id", "n", "comp")
-    pairs = rows.join(rows.withColumnsRenamed({"id": "j", "n": "n_j", "comp": "other"}), ["tree", "p"]).where((F.col("comp") < F.col("other")) & _fits("n", "n_j"))
+    rows = mixed.where(F.col("m") <= SMALL).select("region", "id", "n", "comp")
+    pairs = rows.join(rows.withColumnsRenamed({"id": "j", "n": "n_j", "comp": "other"}), "region").where((F.col("comp") < F.col("other")) & _fits("n", "n_j"))
     return pairs.select(F.least("id", "j").alias("a"), F.greatest("id", "j").alias("b")).distinct()
 
 
@@ -294,7 +301,7 @@ def _block_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64(F.lit(5), "id"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors"))).cast("int")
     meets = F.explode(F.when(F.col("major"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1)))
     rows = rows.withColumn("own", F.when(F.col("major"), F.col("minors") + own).otherwise(own)).withColumn("with", meets)
-    rows = rows.select("tree", "p", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "comp", "shingles")
+    rows = rows.select("region", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "id", "comp", "shingles")
 
     def link(group: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), U) for x in group["shingles"].combine_chunks()]
@@ -319,7 +326,7 @@ def _block_links(mixed: DataFrame, sets: DataFrame) -> DataFrame:
         x, y = (np.array([o[k] for o in out], np.int64) for k in (0, 1))
         return pa.table({"a": ids[x], "b": ids[y]})
 
-    return rows.groupBy("tree", "p", "i", "j").applyInArrow(link, "a long, b long")
+    return rows.groupBy("region", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def classed(docs: DataFrame) -> DataFrame:
@@ -340,12 +347,12 @@ def classed(docs: DataFrame) -> DataFrame:
     following = Window.partitionBy("tree", "p").orderBy("q", "id")
     over = ends.distinct().withColumns({"b": F.lead("id").over(following), "n_b": F.lead("n").over(following)}).where("b is not null")
     over = over.select("tree", "p", "q", F.col("id").alias("a"), F.col("n").alias("n_a"), "b", "n_b")
-    pairs = near.where("kind = 0").drop("kind").unionByName(over).where((F.col("a") != F.col("b")) & _fits("n_a", "n_b"))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    members = near.where("kind = 1").select("tree", "p", "a", F.col("n_a").alias("n"))
-    for end in (("a", "n_a"), ("b", "n_b")):
-        members = members.unionByName(over.select("tree", "p", F.col(end[0]).alias("a"), F.col(end[1]).alias("n")))
-    members = written(members.distinct(), "members")
+    both = near.where("kind in (0, 3)").withColumn("nearest", F.col("kind") == 0).drop("kind").unionByName(over.withColumn("nearest", F.lit(True)))
+    pairs = both.where((F.col("a") != F.col("b")) & _fits("n_a", "n_b"))
+    pairs = written(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("nearest").alias("nearest")), "candidates")
+    members = near.where("kind = 1").select("tree", "p", "q", "a", F.col("n_a").alias("n"))
+    ends = ends.join(over.select("tree", "p").distinct(), ["tree", "p"], "left_semi").select("tree", "p", "q", F.col("id").alias("a"), "n")
+    members = written(members.unionByName(ends).distinct(), "members")
     labels = written(members.select(F.col("a").alias("id")).distinct().withColumn("comp", F.col("id")), "labels")
     again = written(some.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
     sets = _sets_of(docs, classes.select("id", "doc_id", "text_hash").join(labels.select("id"), "id", "left_semi"), again)
@@ -365,14 +372,16 @@ def classed(docs: DataFrame) -> DataFrame:
         labels = relabel(labels, links)
         return True
 
-    for _ in range(ROUNDS):
-        if not settle(_picked(_with_components(untested(pairs), labels))):
+    for turn in range(ROUNDS):
+        some = pairs.where("nearest") if turn == 0 else pairs
+        if not settle(_picked(_with_components(untested(some.select("a", "b")), labels))) and turn:
             break
-    mixed = _mixed(members, labels)
-    small = verified(untested(_small_pairs(mixed)), sets).where("is_link").select("a", "b")
-    links = written(small.unionByName(_block_links(mixed, sets)), "links")
-    if not links.isEmpty():
-        labels = relabel(labels, links)
+    for region in (["tree", "p", "q"], ["tree", "p"]):  # from the deepest up
+        mixed = _mixed(members.select(F.xxhash64(F.lit(len(region)), *region).alias("region"), "a", "n").distinct(), labels)
+        small = verified(untested(_small_pairs(mixed)), sets).where("is_link").select("a", "b")
+        links = written(small.unionByName(_block_links(mixed, sets)), "links")
+        if not links.isEmpty():
+            labels = relabel(labels, links)
     heads = classes.select(F.col("id").alias("comp"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text"))
     labels = labels.where("id <> comp").join(heads, "comp").select("id", "_doc", "_text")
     by_set = classes.join(labels, "id", "left").select("set_hash", "set_more", F.coalesce("_doc", "doc_id").alias("_doc"), F.coalesce("_text", "text_hash").alias("_text"), F.col("_doc").isNull().alias("_first"))
