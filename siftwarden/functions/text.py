@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+from uuid import UUID
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +54,18 @@ def label_value(value: Column) -> Column:
     for raw, safe in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
         value = F.replace(value, F.lit(raw), F.lit(safe))
     return value
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID (version 5) of a text in a namespace, itself a UUID."""
+    digest = F.sha1(F.concat(F.lit(UUID(namespace).bytes), F.encode(name, "UTF-8")))
+    part = lambda a, n: F.substring(digest, a, n)
+    variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("long").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The keyed hash of a text, lower-case hexadecimal; the key stands in the plan, so keep plans as safe as it."""
+    block = (sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner = F.unhex(F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in block)), F.encode(message, "UTF-8")), 256))
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in block)), inner), 256)

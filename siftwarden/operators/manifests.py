@@ -19,6 +19,10 @@ SCHEMA = "rel_path string, kind string, ecosystem string, name string, spec stri
 Row = tuple[str, str, str | None, int, bool]  # ecosystem, name, spec, line, direct
 
 
+#: In place of an ecosystem: the name tells what is wrong with a line, and the rest of the file counts.
+WRONG = "!"
+
+
 class Problem(Exception):
     """A file that can't be taken as its name promises; the text names the integrity rule."""
 
@@ -40,6 +44,8 @@ def requirements(text: str) -> Iterator[Row]:
         m = re.match(r"([A-Za-z0-9][\w.-]*)(?:\[[^\]]*\])?\s*([^;]*)", line)
         if m:
             yield "python", m[1], m[2].strip() or None, n, True
+        else:
+            yield WRONG, "UNPARSEABLE-LINE", None, n, True
 
 
 def _toml(text: str) -> dict:
@@ -172,8 +178,11 @@ def pom_xml(text: str) -> Iterator[Row]:
     for m in re.finditer(r"<dependency>(.*?)</dependency>", text, re.S):
         get = lambda tag, body=m[1]: (re.search(rf"<{tag}>\s*([^<]+?)\s*</{tag}>", body) or [None, None])[1]
         if get("groupId") and get("artifactId"):
-            version = get("version")
-            yield "maven", f"{get('groupId')}:{get('artifactId')}", None if version and "${" in version else version, text.count("\n", 0, m.start()) + 1, True
+            version, line = get("version"), text.count("\n", 0, m.start()) + 1
+            unknown = version is not None and "${" in version
+            yield "maven", f"{get('groupId')}:{get('artifactId')}", None if unknown else version, line, True
+            if unknown:
+                yield WRONG, f"UNRESOLVED-VERSION: {version}", None, line, True
 
 
 def pattern(eco: str, regex: str, direct: bool = True) -> Callable[[str], Iterator[Row]]:
@@ -267,7 +276,7 @@ def rows_of(path: str, text: str) -> list[tuple]:
         return [(path, "error", None, None, None, 1, None, "EMPTY")]
     try:
         for eco, name, spec, line, direct in parse(text):
-            out.append((path, "dependency", eco, name, spec, line, direct, None))
+            out.append((path, "error", None, None, None, line, None, name) if eco == WRONG else (path, "dependency", eco, name, spec, line, direct, None))
     except Problem as e:
         out.append((path, "error", None, None, None, 1, None, str(e)))
     except Exception as e:  # noqa: BLE001  any file may hold anything

@@ -66,3 +66,16 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Findings of a JSON-lines report, with whether the fingerprint they carry is theirs."""
     raw = spark.read.schema("fingerprint string, rule_id string, severity string, file_path string, line long, snippet string, category string").json(path)
     return raw.withColumn("fingerprint_verified", F.col("fingerprint") == T.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("snippet"), F.col("category")))
+
+
+_LOCATION = "struct<file_path:string,start_line:long,end_line:long,snippet:string>"
+
+
+def read_json_report(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of JSON reports, one document a file, with whether their fingerprint is theirs; a file that is no report is refused."""
+    found = f"array<struct<rule_id:string,severity:string,confidence:string,category:string,location:{_LOCATION},fingerprint:string>>"
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", f"target string, findings {found}").alias("d")).select("d.target", "d.findings")
+    # each file is one row, so what is refused is known before its findings are told apart
+    docs = docs.select("target", F.when(F.col("findings").isNull(), F.raise_error(F.lit("not a findings report"))).otherwise(F.col("findings")).alias("findings"))
+    rows = docs.select("target", F.explode("findings").alias("f")).select("target", "f.rule_id", "f.severity", "f.confidence", "f.category", "f.location.file_path", F.col("f.location.start_line").alias("line"), "f.location.end_line", "f.location.snippet", "f.fingerprint")
+    return rows.withColumn("fingerprint_verified", F.col("fingerprint") == T.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("snippet"), F.col("category")))

@@ -27,7 +27,7 @@ def pack(entries: list[dict]) -> tuple[list[Rule], list[str]]:
     for e in entries:
         name = e.get("id", "<no id>")
         try:
-            for p in filter(None, (e["pattern"], e.get("exclude"))):
+            for p in filter(None, (e["pattern"], e.get("exclude") or e.get("exclude_if_matches"))):
                 re.compile(p)
         except (KeyError, re.error) as x:
             problems.append(f"{name}: {x}")
@@ -36,7 +36,7 @@ def pack(entries: list[dict]) -> tuple[list[Rule], list[str]]:
         if severity not in SEVERITIES or confidence not in CONFIDENCES:
             problems.append(f"{name}: severity {severity}, confidence {confidence}")
             continue
-        rules.append(Rule(name, severity, e["pattern"], tuple(e.get("languages", ["*"])), e.get("exclude"), confidence, e.get("category", "code")))
+        rules.append(Rule(name, severity, e["pattern"], tuple(e.get("languages", ["*"])), e.get("exclude") or e.get("exclude_if_matches"), confidence, e.get("category", "code"), whole=bool(e.get("multiline"))))
     return rules, problems
 
 

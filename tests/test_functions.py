@@ -163,3 +163,27 @@ def test_time_ranges(spark):
     assert n(None, None) == [1, 2, 3] and n("2024-01-02", "2024-01-02") == [2] and n("2024-01-01 12:00:00", None) == [1, 2] and n(None, "2024-01-01") == [1]
     with pytest.raises(ValueError):
         store.between(df, "at", "2024-01-02", "2024-01-01")
+
+
+def test_keyed_and_named_hashes(spark):
+    import hmac
+    import uuid
+
+    names = ["", "a", "é ü", "x" * 300]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    space = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+    for key in (b"k", b"long" * 40):
+        got = [tuple(r) for r in df.select(T.uuid5(space, F.col("n")), T.hmac_sha256(key, F.col("n"))).collect()]
+        assert got == [(str(uuid.uuid5(uuid.UUID(space), n)), hmac.new(key, n.encode(), hashlib.sha256).hexdigest()) for n in names]
+
+
+def test_manifest_lines_that_are_wrong():
+    rows = manifests.rows_of("requirements.txt", "flask==1\n@@@\n")
+    assert [(r[1], r[3], r[5], r[7]) for r in rows] == [("dependency", "flask", 1, None), ("error", None, 2, "UNPARSEABLE-LINE")]
+    rows = manifests.rows_of("pom.xml", "<dependency>\n<groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency>")
+    assert [(r[1], r[4], r[7]) for r in rows] == [("dependency", None, None), ("error", None, "UNRESOLVED-VERSION: ${v}")]
+
+
+def test_rule_pack_keys():
+    good, bad = rules.pack([{"id": "A", "pattern": "a.b", "multiline": True, "exclude_if_matches": "c"}])
+    assert (good[0].whole, good[0].exclude, bad) == (True, "c", [])

@@ -28,6 +28,11 @@ def test_report_and_baseline(spark, tmp_path):
     stats = spark.sql("select 3 files_scanned, 1 files_skipped, 9 lines_scanned, 0 critical, 1 high, 0 medium, 0 low, 1 info, 2 n_findings, 120 risk_score, 'F' grade")
     doc = json.loads("".join(render.report(f, stats, "t")))
     assert (doc["risk_score_capped"], doc["severity_counts"]["high"], [x["rule_id"] for x in doc["findings"]]) == (100, 1, ["R1", "R2"])
+    (tmp_path / "r.json").write_text(json.dumps(doc))
+    assert {(r.rule_id, r.line, r.fingerprint_verified) for r in documents.read_json_report(spark, str(tmp_path / "r.json")).collect()} == {("R1", 3, False), ("R2", 1, False)}
+    (tmp_path / "foreign.json").write_text('{"other": 1}')
+    with pytest.raises(Exception, match="not a findings report"):
+        documents.read_json_report(spark, str(tmp_path / "foreign.json")).collect()
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     (tmp_path / "b.json").write_text("".join(render.baseline(render.baseline_entries(f.unionByName(f), now, days=7))))
     rows = documents.read_baseline(spark, str(tmp_path / "b.json")).collect()
