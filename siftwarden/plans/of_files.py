@@ -14,14 +14,24 @@ from siftwarden.sources import files as tree
 from .registry import query
 from .standins import read
 
-# Small files of our own: path and content.
-SOURCES = [
-    ("app/run.py", "import os, hashlib\ndef go(cmd):\n    os.system(cmd)\n    return hashlib.md5(cmd.encode())\n"),
-    ("app/db.py", "def find(cur, name):\n    cur.execute('select * from t where n = ' + name)\n    cur.execute('select 1')\n"),
-    ("app/safe.py", "import shlex, os\ndef go(cmd):\n    os.system(shlex.quote(cmd))\n"),
-    ("app/broken.py", "def ("),
-    ("app/misc.py", "import yaml, requests\nDEBUG = True\ndef load(f, seen=[]):\n    try:\n        return yaml.load(f)\n    except Exception:\n        pass\nrequests.get('https://x', verify=False)\n"),
-]
+# Small Python files of our own, and what reports say of each: rule, severity, line; fixed values.
+PYTHON = {
+    "app/run.py": ("import os, hashlib\ndef go(payload, cmd):\n    os.system(payload)\n    os.system(cmd)\n    return hashlib.md5(cmd.encode())\n", [("PY-AST-CMD-INJECTION", "critical", 3), ("PY-AST-SHELL-TRUE", "medium", 4), ("PY-AST-WEAK-HASH", "medium", 5)]),
+    "app/sub.py": ("import subprocess as sp\nsp.run(cmd, shell=True)\nsp.run(['ls'])\nsp.call(input(), shell=True)\n", [("PY-AST-SHELL-TRUE", "medium", 2), ("PY-AST-CMD-INJECTION", "critical", 4)]),
+    "app/db.py": ("def find(cur, name):\n    cur.execute('select * from t where n = ' + name)\n    cur.execute('select 1')\n    cur.execute(f'select {request.args}')\n", [("PY-AST-SQL-INJECTION", "high", 2), ("PY-AST-SQL-INJECTION", "critical", 4)]),
+    "app/safe.py": ("import shlex, os\ndef go(payload):\n    os.system(shlex.quote(payload))\n", [("PY-AST-SHELL-TRUE", "medium", 3)]),
+    "app/broken.py": ("def (", []),
+    "app/misc.py": ("import yaml, requests\nDEBUG = True\ndef load(f, seen=[]):\n    try:\n        return yaml.load(f)\n    except Exception:\n        pass\nrequests.get('https://x', verify=False)\nyaml.unsafe_load(f)\nyaml.load(f, Loader=yaml.SafeLoader)\n",
+        [("PY-AST-DEBUG-ENABLED", "high", 2), ("PY-AST-MUTABLE-DEFAULT-ARG", "low", 3), ("PY-AST-INSECURE-DESERIALIZATION", "critical", 5), ("PY-AST-SILENT-EXCEPTION-SWALLOW", "low", 6), ("PY-AST-TLS-VERIFY-DISABLED", "high", 8), ("PY-AST-UNSAFE-YAML-LOADER", "critical", 9)]),
+    "app/eval.py": ("eval(x)\nexec(input())\ncompile(s, 'f', 'exec')\n", [("PY-AST-EVAL-USE", "high", 1), ("PY-AST-EXEC-USE", "critical", 2), ("PY-AST-COMPILE-USE", "high", 3)]),
+    "app/load.py": ("import pickle, marshal, shelve, tempfile, os\npickle.loads(b)\nmarshal.load(f)\nshelve.open('x')\ntempfile.mktemp()\nos.chmod('f', 0o777)\nos.chmod('f', 0o640)\nos.chmod('f', 0o600)\n",
+        [("PY-AST-INSECURE-DESERIALIZATION", "critical", 2), ("PY-AST-INSECURE-DESERIALIZATION", "critical", 3), ("PY-AST-INSECURE-DESERIALIZATION", "critical", 4), ("PY-AST-INSECURE-TEMPFILE", "medium", 5), ("PY-AST-WORLD-WRITABLE-CHMOD", "medium", 6)]),
+    "app/auth.py": ("assert user.is_admin\nassert authority\nhost = '0.0.0.0'\nport = '0.0.0.0'\n", [("PY-AST-ASSERT-SECURITY-CHECK", "high", 1), ("PY-AST-BIND-ALL-INTERFACES", "medium", 3)]),
+    "tests/test_auth.py": ("assert user.is_admin\n", []),
+    "app/tls.py": ("import ssl, random\nctx = ssl.SSLContext(ssl.PROTOCOL_TLSv1)\nctx.verify_mode = ssl.CERT_NONE\ntoken = random.randint(0, 9)\nsize = random.randint(0, 9)\n", [("PY-AST-WEAK-TLS-PROTOCOL", "high", 2), ("PY-AST-SSL-VERIFY-DISABLED", "high", 3), ("PY-AST-INSECURE-RANDOM", "high", 4)]),
+    "app/flow.py": ("import requests\nfrom xml.dom import minidom\ndef view(user_path, user_url):\n    open(user_path)\n    open(secure_filename(user_path))\n    requests.get(user_url)\n    redirect(request.args['next'])\n    Markup(request.form['a'])\n    Template(user_path)\n    minidom.parseString(x)\n",
+        [("PY-AST-PATH-TRAVERSAL", "high", 4), ("PY-AST-SSRF", "high", 6), ("PY-AST-OPEN-REDIRECT", "medium", 7), ("PY-AST-XSS", "high", 8), ("PY-AST-TEMPLATE-INJECTION", "critical", 9), ("PY-AST-UNSAFE-XML-PARSER", "high", 10)]),
+}
 MANIFESTS = [
     ("requirements.txt", "flask==2.0.1\n# note\nrequests[socks]>=2.0 ; python_version > '3'\nbare\n"), ("package.json", '{"dependencies": {"left-pad": "^1.3.0"}, "devDependencies": {"jest": "29.0.0"}}'),
     ("go.mod", "module x\nrequire (\n\tgithub.com/a/b v1.2.3\n\tgithub.com/c/d v0.1.0 // indirect\n)\n"), ("Cargo.toml", '[dependencies]\nserde = "1.0"\n'), ("pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency>"),
@@ -34,14 +44,25 @@ def _table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "rel_path string, content string")
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}', '{v}', {n})" for p, (_, rows) in PYTHON.items() for r, v, n in rows) + ") t(rel_path, rule_id, severity, line)")
 def python_ast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pyast.scan(_table(spark, SOURCES))
+    return pyast.scan(_table(spark, [(p, text) for p, (text, _) in PYTHON.items()])).select("rel_path", "rule_id", "severity", "line")
 
 
-@query()
+# What the manifests above hold: ecosystem, name, requirement, line, whether it is direct, and what is wrong; fixed values.
+DEPENDENCIES = [
+    ("requirements.txt", "python", "flask", "==2.0.1", 1, True, None), ("requirements.txt", "python", "requests", ">=2.0", 3, True, None), ("requirements.txt", "python", "bare", None, 4, True, None), ("package.json", "npm", "left-pad", "^1.3.0", 1, True, None),
+    ("package.json", "npm", "jest", "29.0.0", 1, True, None), ("go.mod", "go", "github.com/a/b", "v1.2.3", 3, True, None), ("go.mod", "go", "github.com/c/d", "v0.1.0", 4, False, None), ("Cargo.toml", "rust", "serde", "^1.0", 2, True, None), ("pom.xml", "maven", "g:a", None, 1, True, None),
+    ("pom.xml", None, None, None, 1, None, "UNRESOLVED-VERSION"), ("Gemfile.lock", "ruby", "rails", "7.0.0", 3, False, None), ("web/app.csproj", "nuget", "N", "1.0", 1, True, None), ("composer.json", "php", "a/b", "^1", 1, True, None),
+    ("broken/package.json", None, None, None, 1, None, "MALFORMED"), ("pyproject.toml", None, None, None, 1, None, "NO-DEPENDENCIES"),
+]
+_SQL = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'"
+
+
+@query("SELECT rel_path, ecosystem, name, spec, CAST(line AS INTEGER) AS line, direct, error FROM (VALUES " + ", ".join(f"({', '.join(map(_SQL, r))})" for r in DEPENDENCIES) + ") t(rel_path, ecosystem, name, spec, line, direct, error)")
 def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifests.parsed(_table(spark, MANIFESTS))
+    rows = manifests.parsed(_table(spark, MANIFESTS))
+    return rows.select("rel_path", "ecosystem", "name", "spec", "line", "direct", F.regexp_extract("error", r"^[A-Z-]+", 0).alias("error"))
 
 
 def _lines(spark: SparkSession) -> DataFrame:

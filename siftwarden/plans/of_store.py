@@ -103,3 +103,11 @@ def unarchived_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
   t AS (SELECT project_id, string_agg(rule_id || ' x' || n, ', ' ORDER BY k) AS top_rules FROM r WHERE k <= 5 GROUP BY project_id) SELECT c.*, {GRADE} AS grade, top_rules FROM c JOIN t USING (project_id)""")
 def notification_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.notification(findings(spark, sf_dir), "project_id")
+
+
+@query(f"""WITH {FINDING}, {LATEST.format(n=1)}, r AS (SELECT f.*, l.scan_id AS last FROM finding f JOIN latest l ON l.project_id = f.project_id WHERE f.scan_id <= l.scan_id)
+  SELECT project_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT fingerprint) AS BIGINT) AS n_fingerprints FROM r WHERE status = 'open' AND scan_id < last AND NOT EXISTS (SELECT 1 FROM r n WHERE n.project_id = r.project_id AND n.fingerprint = r.fingerprint AND n.scan_id = n.last) GROUP BY project_id""")
+def resolve_open_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each project's last scan resolves of all that was open before it."""
+    gone = store.resolved_open(findings(spark, sf_dir), scans(spark, sf_dir))
+    return gone.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fingerprint").alias("n_fingerprints"))

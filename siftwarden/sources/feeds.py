@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwarden.functions import versions as V
@@ -11,9 +11,16 @@ from siftwarden.operators.advisories import overlaid_packages
 from . import documents
 
 COLUMNS = ("ecosystem", "package", "id", "cve", "affected", "severity", "summary", "fixed_in")
+# Other names of ecosystems, as documents may use them.
+ALIASES = {"javascript": "npm", "node": "npm", "java": "maven", "pypi": "python", "golang": "go"}
 _NATIVE = "map<string,map<string,array<struct<id:string,cve:string,affected:string,severity:string,summary:string,fixed_in:string>>>>"
 
 
+def ecosystem_of(name: Column) -> Column:
+    lower = F.lower(name)
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in ALIASES.items() for x in pair))[lower], lower)
+
+
 def _texts(spark: SparkSession, path: str) -> DataFrame:
     """file and text of each JSON file."""
     return spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.substring_index(F.col("_metadata.file_path"), "/", -1).alias("file"), F.col("value").alias("text"))
@@ -22,7 +29,7 @@ def _texts(spark: SparkSession, path: str) -> DataFrame:
 def _native(texts: DataFrame) -> DataFrame:
     """Advisories of files in our own form, {ecosystem: {package: [advisory]}}; names that start with _ are notes."""
     ecosystems = texts.select("file", F.explode(F.from_json(F.regexp_replace("text", r'"_[A-Za-z0-9_]*"\s*:\s*"[^"]*"\s*,?', ""), _NATIVE)).alias("ecosystem", "packages")).where("ecosystem not like '\\\\_%'")
-    rows = ecosystems.select("file", "ecosystem", F.explode("packages").alias("_name", "found")).select("file", "ecosystem", V.package_name(F.col("ecosystem"), F.col("_name")).alias("package"), F.explode("found").alias("a"))
+    rows = ecosystems.withColumn("ecosystem", ecosystem_of(F.col("ecosystem"))).select("file", "ecosystem", F.explode("packages").alias("_name", "found")).select("file", "ecosystem", V.package_name(F.col("ecosystem"), F.col("_name")).alias("package"), F.explode("found").alias("a"))
     return rows.select("file", "ecosystem", "package", "a.*").select("file", *COLUMNS).where("id is not null")
 
 
@@ -57,7 +64,7 @@ def import_stats(rows: DataFrame) -> DataFrame:
 def read_licences(spark: SparkSession, path: str) -> DataFrame:
     """ecosystem, name and licence of files {ecosystem: {name: licence}}."""
     by = _texts(spark, path).select(F.explode(F.from_json("text", "map<string,map<string,string>>")).alias("ecosystem", "names"))
-    return by.select("ecosystem", F.explode("names").alias("name", "licence"))
+    return by.select(ecosystem_of(F.col("ecosystem")).alias("ecosystem"), F.explode("names").alias("name", "licence"))
 
 
 def export_pieces(rows: DataFrame) -> DataFrame:

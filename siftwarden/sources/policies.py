@@ -12,6 +12,8 @@ from typing import Any
 from siftwarden.operators.engine import Settings
 from siftwarden.operators.policy import Policy
 
+from .feeds import ALIASES
+
 
 class Refused(ValueError):
     """A document that can't be used; `problems` has all that is wrong with it."""
@@ -56,7 +58,7 @@ def policy_of(doc: Mapping[str, Any]) -> Policy:
     blocked = []
     for k, b in enumerate(part("blocked_dependencies", list)):
         if isinstance(b, dict) and b.get("name"):
-            blocked.append((str(b.get("ecosystem", "*")).lower(), str(b["name"]), str(b.get("reason", ""))))
+            blocked.append((ALIASES.get(e := str(b.get("ecosystem", "*")).lower(), e), str(b["name"]), str(b.get("reason", ""))))
         else:
             problems.append(f"blocked_dependencies at {k}: no name")
     sets = {k: tuple(map(str, part(k, list, licences))) for k in ("allowed", "warning", "blocked")}

@@ -113,12 +113,12 @@ def test_read_tree(spark, tmp_path):
     assert not files.inside(str(tmp_path), str(tmp_path / ".." / "x"))
 
 
-@pytest.mark.parametrize("code,rule", [("import os\ndef f(payload):\n  os.system(payload)", "PY-AST-CMD-INJECTION"), ("import yaml\nyaml.load(x)", "PY-AST-INSECURE-DESERIALIZATION"), ("eval(input())", "PY-AST-EVAL-USE"), ("assert user.is_admin", "PY-AST-ASSERT-SECURITY-CHECK"), ("import random\ntoken = random.random()", "PY-AST-INSECURE-RANDOM")])
+@pytest.mark.parametrize("code,rule", [("import os\ndef f(payload):\n  os.system(payload)", "PY-AST-CMD-INJECTION"), ("import yaml\nyaml.load(x)", "PY-AST-INSECURE-DESERIALIZATION"), ("eval(input())", "PY-AST-EVAL-USE"), ("import os, shlex\ndef f(payload):\n  os.system(shlex.quote(payload))", "PY-AST-SHELL-TRUE"), ("assert user.is_admin", "PY-AST-ASSERT-SECURITY-CHECK"), ("import random\ntoken = random.random()", "PY-AST-INSECURE-RANDOM")])
 def test_pyast(code, rule):
     assert rule in {r[1] for r in pyast.findings_of("a.py", code)}
 
 
-@pytest.mark.parametrize("code", ["def (", "import yaml\nyaml.load(x, Loader=yaml.SafeLoader)", "import os, shlex\ndef f(a):\n  os.system(shlex.quote(a))", "import hashlib\nhashlib.md5(b'', usedforsecurity=False)"])
+@pytest.mark.parametrize("code", ["def (", "import yaml\nyaml.load(x, Loader=yaml.SafeLoader)", "import subprocess\nsubprocess.run(payload)", "import hashlib\nhashlib.md5(b'', usedforsecurity=False)"])
 def test_pyast_quiet(code):
     assert pyast.findings_of("a.py", code) == []
 
