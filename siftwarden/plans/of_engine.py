@@ -11,7 +11,7 @@ from siftwarden.sources.builtin import RULES
 from .of_supply import COMPONENT, components
 from .of_text import LINE, _quoted
 from .registry import query
-from .standins import COUNTS, GRADE, RANK, read
+from .standins import COUNTS, GRADE, RANK, spread
 
 #: A document's language by its number: those whose comments are whole lines.
 LANGUAGES = ("javascript", "ruby", "shell", "go", "php", "sql", "yaml", "other")
@@ -21,7 +21,7 @@ SETTINGS = engine.Settings(engines=("rule-engine", "secrets"), min_severity="low
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     language = F.get(F.array(*map(F.lit, LANGUAGES)), (F.col("doc_id") % len(LANGUAGES)).cast("int"))
     path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("."), language)
-    return read(spark, sf_dir, "documents").select(path.alias("rel_path"), language.alias("language"), F.lit(None).cast("string").alias("iac_kind"), F.lit(False).alias("is_manifest"), F.col("text").alias("content"))
+    return spread(spark, sf_dir, "documents").select(path.alias("rel_path"), language.alias("language"), F.lit(None).cast("string").alias("iac_kind"), F.lit(False).alias("is_manifest"), F.col("text").alias("content"))
 
 
 def _rule_sql(r: detect.Rule, engine_: str) -> str:

@@ -9,7 +9,7 @@ from siftwarden.operators import detect
 from siftwarden.sources.builtin import RULES
 
 from .registry import query
-from .standins import read
+from .standins import spread
 
 _JS = [r for r in RULES if "javascript" in r.languages]
 
@@ -30,5 +30,5 @@ def _sql(r: detect.Rule) -> str:
 )
 def script_rules_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages read as scripts: all JavaScript rules in one pass."""
-    lines = detect.exploded(read(spark, sf_dir, "pages").select("page_id", "html", F.lit("javascript").alias("language")), "html")
+    lines = detect.exploded(spread(spark, sf_dir, "pages").select("page_id", "html", F.lit("javascript").alias("language")), "html")
     return detect.scan(lines, _JS, "language").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages"))

@@ -9,7 +9,7 @@ from siftwarden.functions import licences as L, severity as S, text as T
 from siftwarden.operators import detect, findings as ops
 
 from .registry import query
-from .standins import GRADE, RANK, WEIGHT, read
+from .standins import GRADE, RANK, WEIGHT, read, spread
 
 _SPLIT = "regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]')"
 LINE = f"""part AS (SELECT doc_id, source, {_SPLIT} AS p FROM documents),
@@ -32,7 +32,7 @@ HIT = f"{LINE}, hit AS ({' UNION ALL '.join(map(_rule_sql, detect.TEXT_RULES))})
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.scan(detect.exploded(read(spark, sf_dir, "documents").select("doc_id", "source", "text")), detect.TEXT_RULES)
+    return detect.scan(detect.exploded(spread(spark, sf_dir, "documents").select("doc_id", "source", "text")), detect.TEXT_RULES)
 
 
 @query(f"WITH {HIT} SELECT doc_id, line, rule_id, severity, snippet FROM hit WHERE category <> 'secret'")
@@ -56,7 +56,7 @@ LEAST_ENTROPY = 3.0
   e AS (SELECT doc_id, line, name, length(value) AS value_length, -sum(p * log2(p)) AS entropy FROM n GROUP BY doc_id, line, name, value)
   SELECT doc_id, line, name, CAST(value_length AS BIGINT) AS value_length, round(entropy, 6) AS entropy FROM e WHERE entropy >= {LEAST_ENTROPY}""")
 def entropy_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = detect.exploded(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = detect.exploded(spread(spark, sf_dir, "documents").select("doc_id", "text"))
     return detect.entropy_assignments(lines, LEAST_ENTROPY).select("doc_id", "line", "name", "value_length", F.round("entropy", 6).alias("entropy"))
 
 
@@ -79,7 +79,7 @@ SENTENCE = r"(?i)\b(?:licensed|released) under (?:the )?([A-Za-z0-9 .,-]*License
 
 @query(f"WITH {LINE} SELECT doc_id, line, trim(regexp_extract(line_text, {_quoted(SENTENCE)}, 1), ' .') AS licence FROM line WHERE regexp_matches(line_text, {_quoted(SENTENCE)})")
 def license_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = detect.exploded(read(spark, sf_dir, "documents").select("doc_id", "text")).where(F.col("line_text").rlike(SENTENCE))
+    lines = detect.exploded(spread(spark, sf_dir, "documents").select("doc_id", "text")).where(F.col("line_text").rlike(SENTENCE))
     return lines.select("doc_id", "line", F.trim(F.regexp_extract("line_text", SENTENCE, 1), F.lit(" .")).alias("licence"))
 
 
