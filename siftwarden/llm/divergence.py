@@ -3,14 +3,15 @@
 Terms are runs of letters A-Z, a-z and of characters beyond ASCII, A-Z lower-cased.  A lang keeps the terms that
 occur in at least LEAST of its documents.
 
-1. The texts, their terms alone with a space between, are written once as blocks: a task packs what it reads of
-   a lang into blocks of about BLOCK bytes, compressed, a row for each source, a line for each document.
+1. The texts, their terms alone with a space between, are written once as blocks of one lang: a task packs what it reads of
+   a source, compressed, a line for each document; what all tasks have packed of a source is dealt to blocks of about BLOCK bytes, and
+   small sources share blocks.
 2. First pass: each block gives its distinct terms with the number of its documents that hold them.  Added up they are exact document frequencies.
 3. Second pass: each block meets those of its own terms that are kept, and only these, so an automaton (pyahocorasick)
    never holds more terms than a block has, whatever the vocabulary.  Every term is padded with a space on both sides, so it
    matches whole terms alone.  The matches are the occurrences, posted by lang, source and term.
 4. Pairs of sources: with p(c) what a source gives a term of count c, the sum over all kept terms of f splits into terms that both
-   have, that one has, and that none has.  Only the first need a join of postings by term; the others follow from how many terms of a source
+   have, that one has, and that none has.  Only the first need the postings of a term together; the others follow from how many terms of a source
    have each count, so that nothing runs over sources times vocabulary.
 5. Ranks: pairs by source; terms are cut to the first 200 of each group in every task before they meet.
 
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 from operator import itemgetter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,31 +41,33 @@ from .hashing import utf8
 
 #: Documents of a lang that a kept term occurs in.
 LEAST = 3
-#: Bytes of terms in a block, about; as many of all langs that a task holds before it gives them out.
-BLOCK, HELD = 16 << 20, 48 << 20
+#: Bytes of text in a block, about; bytes of terms that a task packs together, and that it holds of all sources, at most.
+BLOCK, PACK, HELD = 16 << 20, 8 << 20, 48 << 20
 #: Ranks of terms.
 TERMS = 200
+#: Pairs of sources that a task works on at one go.
+PAIRS = 1 << 20
 #: Groups whose totals are sent to all workers at most (some 10 MB); totals of more meet the postings in a shuffle.
 SENT_GROUPS = 100_000
 #: What a byte counts as: a lower-case letter, itself beyond ASCII, else a space.
 _LETTER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(block, lang, source, size, terms) from rows (lang, source, text): zstd of lines of terms, a line for each document; size: bytes unpacked."""
+def packs(docs: DataFrame) -> DataFrame:
+    """(nth, lang, source, size, terms) from rows (lang, source, text): zstd of lines of terms, a line for each document; size: bytes unpacked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[str, list[bytes]]] = {}
-        sizes: Counter[str] = Counter()
+        held: dict[tuple[str, str], list[bytes]] = {}
+        sizes: Counter[tuple[str, str]] = Counter()
         given = 0
 
-        def packed(langs: list[str]) -> Iterator[pa.RecordBatch]:
+        def packed(groups: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
             nonlocal given
-            for lang in langs:
-                for source, lines in held.pop(lang).items():
-                    raw = b"\n".join(lines)
-                    yield pa.RecordBatch.from_arrays([pa.array([given], pa.int64()), pa.array([lang]), pa.array([source]), pa.array([len(raw)], pa.int64()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())], ["nth", "lang", "source", "size", "terms"])
-                del sizes[lang]
+            for group in groups:
+                raw = b"\n".join(held.pop(group))
+                del sizes[group]
+                columns = [[given], [group[0]], [group[1]], [len(raw)], [pa.compress(raw, "zstd", asbytes=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()))], ["nth", "lang", "source", "size", "terms"])
                 given += 1
 
         for batch in batches:
@@ -71,17 +75,29 @@ def blocks(docs: DataFrame) -> DataFrame:
             raw = data.tobytes().translate(_LETTER)
             for lang, source, a, b in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), at.tolist(), at[1:].tolist()):
                 line = b" ".join(raw[a:b].split())
-                held.setdefault(lang, {}).setdefault(source, []).append(line)
-                sizes[lang] += len(line) + 1
-                if sizes[lang] >= BLOCK:
-                    yield from packed([lang])
+                held.setdefault((lang, source), []).append(line)
+                sizes[lang, source] += len(line) + 1
+                if sizes[lang, source] >= PACK:
+                    yield from packed([(lang, source)])
             if sum(sizes.values()) >= HELD:
                 yield from packed(list(held))
         yield from packed(list(held))
 
-    made = docs.mapInArrow(run, "nth long, lang string, source string, size long, terms binary")
-    # a block's number: its task and which of that task's blocks it is
-    return made.select((F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("nth")).alias("block"), "lang", "source", "size", "terms")
+    return docs.mapInArrow(run, "nth long, lang string, source string, size long, terms binary")
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, lang, source, size, terms), in the order of blocks: packs, where a block has one lang, and one source unless its sources are small."""
+    groups = docs.groupBy("lang", "source").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+    small = F.col("bytes") < BLOCK // 16
+    together = F.sum(F.when(small, F.col("bytes"))).over(Window.partitionBy("lang"))
+    groups = written(groups.withColumns({"small": small, "parts": 1 + F.floor(F.when(small, together).otherwise(F.col("bytes")) / BLOCK)}), "groups")
+    sent = F.broadcast if groups.count() <= SENT_GROUPS else lambda df: df
+    made = packs(docs).withColumn("task", F.spark_partition_id()).join(sent(groups.select("lang", "source", "small", "parts")), ["lang", "source"])
+    of_source = F.xxhash64(F.lit(1), "lang", "source", F.pmod(F.xxhash64("task", "nth"), "parts"))
+    shared = F.xxhash64(F.lit(0), "lang", F.pmod(F.xxhash64("source"), "parts"))
+    made = made.select(F.when(F.col("small"), shared).otherwise(of_source).alias("block"), "lang", "source", "size", "terms")
+    return made.repartition("block").sortWithinPartitions("block", "lang")
 
 
 def _lines(size: int, terms: bytes) -> bytes:
@@ -113,7 +129,7 @@ def block_terms(packed: DataFrame) -> DataFrame:
 
 
 def occurrences(packed: DataFrame, needed: DataFrame) -> DataFrame:
-    """(lang, source, term, count) of the needed terms (block, term) in each of the blocks' rows."""
+    """(lang, source, term, count) of the needed terms (block, lang, term) in each of the blocks' rows."""
 
     def run(terms: pa.Table, rows: pa.Table) -> pa.Table:
         names = [x.decode("utf-8", "surrogateescape") for x in set(terms["term"].to_pylist())]
@@ -131,7 +147,7 @@ def occurrences(packed: DataFrame, needed: DataFrame) -> DataFrame:
             counts += n.values()
         return pa.table({"lang": pa.array(langs, pa.string()), "source": pa.array(sources, pa.string()), "term": pa.array(out, pa.binary()), "count": pa.array(counts, pa.int64())})
 
-    made = needed.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run, "lang string, source string, term binary, count long")
+    made = needed.groupBy("block", "lang").cogroup(packed.groupBy("block", "lang")).applyInArrow(run, "lang string, source string, term binary, count long")
     return made.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
 
 
@@ -153,7 +169,7 @@ def audit(docs: DataFrame) -> DataFrame:
     packed = written(blocks(named), "blocks", codec="zstd")
     terms = written(block_terms(packed), "terms", codec="zstd")
     kept = terms.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= LEAST).select("lang", "term")
-    needed = terms.join(kept, ["lang", "term"], "left_semi").select("block", "term")
+    needed = terms.join(kept, ["lang", "term"], "left_semi").select("block", "lang", "term")
     posts = written(occurrences(packed, needed), "posts", codec="zstd")
 
     # totals of each group and lang; `none`: what a group gives a kept term that it doesn't have
@@ -166,29 +182,67 @@ def audit(docs: DataFrame) -> DataFrame:
     groups = written(groups.withColumn("none", F.when(F.col("kept") > 0, _part(F.lit(0), over))), "groups")
     sent = F.broadcast if groups.count() <= SENT_GROUPS else lambda df: df
 
-    totals = sent(groups.select("lang", "source", "total", "kept", "lang_total"))
+    totals = sent(groups.select("lang", "source", "total", "kept", "lang_total", "none"))
     shares = posts.join(totals, ["lang", "source"]).withColumn("p", _part(F.col("count"), over))
     q = _part(F.col("all"), F.col("lang_total") + F.col("kept"))
     ahead = shares.join(by_term, ["lang", "term"]).withColumn("q", q).where("p > q")
     ahead = ahead.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
 
-    pairs = pair_values(shares.select("lang", "source", "term", "p"), groups, sent)
+    pairs = pair_values(shares.select("lang", "source", "term", "p", "none"), groups, sent)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
     columns = ["lang", "source", "part", F.col("item").cast("string").alias("item"), "value", "rank"]
     return ranked(pairs).select(*columns).unionByName(ranked(ahead).where(F.col("rank") <= TERMS).select(*columns))
 
 
+def shared_terms(shares: DataFrame) -> DataFrame:
+    """(lang, s, t, v): what terms that both sources have add to f beyond what each alone makes of them; shares: (lang, source, term, p, none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[tuple[str, str, str]] = Counter()
+        for batch in batches:
+            size = np.diff(np.asarray(batch["posts"].offsets))
+            flat = batch["posts"].flatten()
+            names = flat.field("source").dictionary_encode()
+            name, p, none = np.asarray(names.indices), np.asarray(flat.field("p")), np.asarray(flat.field("none"))
+            start, langs = np.concatenate([[0], np.cumsum(size)])[:-1], batch["lang"].dictionary_encode()
+            lang = np.asarray(langs.indices).astype(np.int64)
+            for k in np.unique(size[size > 1]):
+                rows = np.flatnonzero(size == k)
+                for few, some in ((f, i) for f in np.array_split(rows, 1 + len(rows) * k * k // PAIRS) for i in np.array_split(np.arange(k), 1 + len(f) * k * k // PAIRS)):
+                    at = start[few][:, None] + np.arange(k)
+                    one = lambda x: x[at[:, some]][:, :, None]  # noqa: B023, E731
+                    two = lambda x: x[at][:, None, :]  # noqa: B023, E731
+                    key = (lang[few][:, None, None] * len(names.dictionary) + one(name)) * len(names.dictionary) + two(name)
+                    a, b, a0, b0 = one(p), two(p), one(none), two(none)
+                    v = (a - b) ** 2 // b - (a - b0) ** 2 // b0 - (a0 - b) ** 2 // b + (a0 - b0) ** 2 // b0
+                    other = np.broadcast_to(some[:, None] != np.arange(k), key.shape)
+                    keys, of = np.unique(key[other], return_inverse=True)
+                    sums = np.zeros(len(keys), np.int64)
+                    np.add.at(sums, of, v[other])
+                    for pair, add in zip(keys.tolist(), sums.tolist()):
+                        rest, t = divmod(pair, len(names.dictionary))
+                        which, s = divmod(rest, len(names.dictionary))
+                        total[langs.dictionary[which].as_py(), names.dictionary[s].as_py(), names.dictionary[t].as_py()] += add
+            if len(total) > PAIRS:
+                yield from told(total)
+                total = Counter()
+        yield from told(total)
+
+    def told(total: Counter) -> Iterator[pa.RecordBatch]:
+        if total:
+            lang, s, t = zip(*total)
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(s), pa.array(t), pa.array(list(total.values()), pa.int64())], ["lang", "s", "t", "v"])
+
+    # a list has a source once at most
+    lists = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "none")).alias("posts"))
+    return lists.select("lang", "posts").mapInArrow(run, "lang string, s string, t string, v long")
+
+
 def pair_values(shares: DataFrame, groups: DataFrame, sent) -> DataFrame:
     """(lang, source, part, item, value): for each group and other source of its lang the sum of f over all kept terms."""
-    s, t = shares.select("lang", "term", F.col("source").alias("s"), F.col("p").alias("ps")), shares.select("lang", "term", F.col("source").alias("t"), F.col("p").alias("pt"))
     none = lambda side: sent(groups.select("lang", F.col("source").alias(side), F.col("none").alias(f"{side}0"), F.col("have").alias(f"{side}_have")))
-    # terms that both have, each two sources once and both ways
-    both = s.join(t, ["lang", "term"]).where("s < t").join(none("s").drop("s_have"), ["lang", "s"]).join(none("t").drop("t_have"), ["lang", "t"])
     ps, pt, s0, t0 = (F.col(c) for c in ("ps", "pt", "s0", "t0"))
-    more = lambda p, q, p0, q0: F.sum(_f(p, q) - _f(p, q0) - _f(p0, q) + _f(p0, q0))
-    both = both.groupBy("lang", "s", "t").agg(more(ps, pt, s0, t0).alias("there"), more(pt, ps, t0, s0).alias("back"))
-    both = both.select("lang", F.inline(F.array(*(F.struct(F.col(a).alias("s"), F.col(b).alias("t"), F.col(v).alias("v")) for a, b, v in (("s", "t", "there"), ("t", "s", "back"))))))
     # terms that one has, by how many have the same share
     many = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("n"))
     mine = many.select("lang", F.col("source").alias("s"), F.col("p").alias("ps"), "n").join(none("t"), "lang").where("s <> t")
@@ -198,7 +252,7 @@ def pair_values(shares: DataFrame, groups: DataFrame, sent) -> DataFrame:
     # and those that none has
     rest = none("s").join(none("t"), "lang").where("s <> t").join(sent(groups.select("lang", F.col("source").alias("s"), "kept")), ["lang", "s"])
     rest = rest.select("lang", "s", "t", F.coalesce(_f(s0, t0) * (F.col("kept") - F.col("s_have") - F.col("t_have")), F.lit(0).cast("long")).alias("v"))
-    every = rest.unionByName(both).unionByName(mine).unionByName(other)
+    every = rest.unionByName(shared_terms(shares)).unionByName(mine).unionByName(other)
     return every.groupBy("lang", "s", "t").agg(F.sum("v").alias("value")).select("lang", F.col("s").alias("source"), F.lit("pair").alias("part"), F.col("t").alias("item"), "value")
 
 

@@ -68,11 +68,11 @@ def test_audit_of_many_small_blocks(spark, monkeypatch):
     want = plain_audit(rows)
     monkeypatch.setattr(divergence, "SENT_GROUPS", 0)
     assert told(spark, rows, parts=7) == want
-    few = divergence.blocks(spark.createDataFrame(rows, DOCS).select("lang", "source", "text").repartition(1)).count()
-    monkeypatch.setattr(divergence, "BLOCK", 300)
-    monkeypatch.setattr(divergence, "HELD", 400)
-    many = divergence.blocks(spark.createDataFrame(rows, DOCS).select("lang", "source", "text").repartition(1)).count()
-    assert few == len({(r[1], r[2]) for r in rows}) < many
+    count = lambda: divergence.packs(spark.createDataFrame(rows, DOCS).select("lang", "source", "text").repartition(1)).count()
+    few = count()
+    for name, value in (("BLOCK", 900), ("PACK", 200), ("HELD", 400), ("PAIRS", 7)):
+        monkeypatch.setattr(divergence, name, value)
+    assert few == len({(r[1], r[2]) for r in rows}) < count()
     assert told(spark, rows, parts=2) == want
 
 
