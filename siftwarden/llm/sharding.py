@@ -1,10 +1,11 @@
 """Operator 10, sharding: vector bin packing of bytes, tokens and rows.
 
 Documents with equal texts form a group.  A group of at least 1/(shards * HEAVY) of the table's
-bytes, tokens or rows is heavy: there are at most 3 * shards * HEAVY of these, and each is cut by the
-rank of its rows into pieces of about that share, equal but for a row.  All other groups ride whole in one of BUNDLES
-bundles, picked by the hash of their text.  Pieces and bundles, whose number is bounded whatever the input, are
-the vectors to pack, so packing decides where bundles and pieces go: largest first, each goes to the shard where the
+bytes, tokens or rows is heavy: there are at most 3 * shards * HEAVY of these, and each is a vector of its own.  It stays whole
+unless it holds more than a whole shard's share of any of the three; then it is cut by the rank of its rows into
+pieces of about 1/HEAVY of a share, never more than it has rows.  All other groups ride whole in one of BUNDLES
+bundles, picked by the hash of their text.  Pieces, heavy groups and bundles, whose number is bounded whatever the input, are
+the vectors to pack, so packing decides where these go: largest first, each goes to the shard where the
 dot product of its vector with the residual capacity is highest.  Bytes weigh most, since the law that holds is `bytes`.
 
 Rows get a number of their own in a written table, so that ranks, counts and the rows themselves agree whatever is run
@@ -77,7 +78,8 @@ def placed(told: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> Dat
     share = {k: max(total[k] or 0.0, 1.0) / (shards * HEAVY) for k in dims}
     part = F.greatest(*(F.col(k) / share[k] for k in dims))
     # at most len(dims) * shards * HEAVY groups reach a full part: a proven bound, so these go to all workers
-    groups = sums(slim, "_group").withColumn("_parts", F.ceil(part).cast("int")).where(part >= 1).orderBy("_group").collect()
+    parts = F.when(part <= HEAVY, 1).otherwise(F.least(F.ceil(part), F.col("r"))).cast("int")
+    groups = sums(slim, "_group").withColumn("_parts", parts).where(part >= 1).orderBy("_group").collect()
     vectors, heavy = [], []
     for g in groups:
         heavy.append((g["_group"], g["_parts"], bundles + len(vectors)))
