@@ -9,9 +9,12 @@ fraction left.  The fractions are rounded in pairs: words (fraction times length
 or down with the odds that keep every document's expectation, from one of the two to the other until
 one has 0 or 1 copies; that one is done and the other meets the next.  The words a source takes stay
 the same at each step.  The tree: documents are dealt by hash into blocks of about BLOCK, each folds to
-one undecided document, and these are dealt and folded again until each source has one, which is then drawn.
-So every source misses its target by less than one document.  Larger documents are folded first, which
-leaves small ones undecided.
+one undecided document, and these are dealt and folded again until each source has one.  Of each size class (a power of two)
+RESERVE documents of a source, picked by hash, are left out of the tree.  At its root the undecided document meets all of them at once: they have one
+fraction, which gives or takes what rounds it, and then the same is done with each of them, from the largest down, and those behind it.
+So what a source misses its target by shrinks to about its smallest documents, as long as those behind can make up for one; if they can't,
+it is drawn, and the source is off by less than that document.  No document's expectation changes by this.  Only where a source of few and unlike
+documents is still off by more than 1/NEAR of its target, documents of the reserve that fit into what is missing, from the largest down, are rounded the other way, if need be after one that is too large.
 
 All of it is DataFrame functions.  Hashes of (seed, ids) are the coins, so reruns agree.
 
@@ -23,8 +26,11 @@ doc_id, text and source are not looked at; an empty table gives none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import n_words, table, written
 
@@ -33,6 +39,9 @@ BLOCK = 64
 #: Up to so many sources, what is known of each goes to all workers (under 100 MB); of more, it meets the documents in a shuffle.
 SENT_SOURCES = 1_000_000
 SEED = 20
+#: Documents of each size class of a source that wait for the root of its tree.
+RESERVE = 64
+NEAR = 64
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -103,6 +112,52 @@ def _fold(level: int, item: str) -> Column:
     return F.aggregate("items", nothing, meet)
 
 
+def _root(item: str) -> Callable[[DataFrame], DataFrame]:
+    """From `open`, the document that the tree leaves (or null), `reserve`, documents of one fraction, and `target`: all documents with x 0 or 1."""
+
+    def meet(state: Column, new: Column, own: bool) -> Column:
+        a, y = new["size"].cast("double"), state["y"]
+        x, rest = (y, state["rest"] - a) if own else (new["x"], state["rest"])
+        up, down = F.least(a * (1 - x), rest * y), F.least(a * x, rest * (1 - y))  # words that can move to it, or from it
+        moves = (rest > 0) & (up + down > 0)
+        rises = _coin(new["tie"], F.lit(1), -1) * (up + down) < down
+        whole = F.when(rises, a * (1 - x) <= rest * y).otherwise(a * x <= rest * (1 - y))
+        part = F.when(moves & rises, x + up / a).when(moves, x - down / a).otherwise(x)
+        ends = F.when(moves & whole, rises).otherwise(_coin(new["tie"], F.lit(2), -1) < part)
+        behind = F.when(rises, F.when(whole, y - up / rest).otherwise(0.0)).otherwise(F.when(whole, y + down / rest).otherwise(1.0))
+        y = F.when(moves, F.greatest(F.lit(0.0), F.least(F.lit(1.0), behind))).otherwise(y)
+        return F.struct(y.alias("y"), rest.alias("rest"), F.concat(state["done"], F.array(new.withField("x", F.when(ends, 1.0).otherwise(0.0)))).alias("done"))
+
+    def turn(state: Column, new: Column) -> Column:
+        more, fits = state["left"] > 0, (new["size"] > 0) & (new["size"] <= F.abs(state["left"]))
+        turns = fits & (new["x"] == F.when(more, 0.0).otherwise(1.0))
+        to = F.when(turns, 1 - new["x"]).otherwise(new["x"])
+        left = state["left"] - (to - new["x"]) * new["size"]
+        return F.struct(left.alias("left"), F.concat(state["done"], F.array(new.withField("x", to))).alias("done"))
+
+    none = F.expr(f"cast(array() as array<{item}>)")
+    total = lambda of, by: F.aggregate(of, F.lit(0.0), lambda n, r: n + r["size"] * (r["x"] if by else 1))
+    start = F.struct(F.coalesce(F.get("reserve", F.lit(0))["x"], F.lit(0.0)).alias("y"), total(F.col("reserve"), False).alias("rest"), none.alias("done"))
+    done = F.aggregate("reserve", F.when(F.col("open").isNull(), start).otherwise(meet(start, F.col("open"), False)), lambda state, new: meet(state, new, True))["done"]
+    every = F.array_compact(F.concat(F.array("open"), "reserve"))
+    near = lambda left: F.abs(left) <= F.col("target") / NEAR
+    turned = lambda docs, left: F.aggregate(F.sort_array(docs, False), F.struct(left.alias("left"), none.alias("done")), turn)
+
+    def settled(roots: DataFrame) -> DataFrame:
+        roots = roots.withColumn("done", done).withColumn("left", total(every, True) - total(F.col("done"), True))
+        roots = roots.withColumn("one", F.when(~near(F.col("left")), turned(F.col("done"), F.col("left"))))
+        # what fits doesn't do: the smallest that is more than missing turns, and what it is too much is made up for
+        left, docs = F.col("one.left"), F.col("one.done")
+        way = F.when(left > 0, 0.0).otherwise(1.0)
+        roots = roots.withColumn("over", F.when(~near(left), F.array_min(F.filter(docs, lambda d: (d["size"] > F.abs(left)) & (d["x"] == way)))))
+        both = F.transform(docs, lambda d: F.when(d == F.col("over"), d.withField("x", 1 - d["x"])).otherwise(d))
+        roots = roots.withColumn("two", F.when(F.col("over").isNotNull(), turned(both, left - F.when(left > 0, 1).otherwise(-1) * F.col("over.size"))))
+        better = F.abs("two.left") < F.abs(left)
+        return roots.select(F.when(better, F.col("two.done")).otherwise(F.coalesce("one.done", "done")).alias("done"))
+
+    return settled
+
+
 def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source)."""
     slim = written(numbered(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))), "sizes")
@@ -116,8 +171,15 @@ def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     item = ITEM.format(id=dict(items.dtypes)["doc_id"])
     fields = items.columns
     ended = [items.where("x = 0")]
-    live = items.where("x > 0")
-    many = live.groupBy("source_no").agg(F.count(F.lit(1)).alias("_n"))
+    live = items.where("x > 0").withColumn("_class", F.floor(F.log2("size")).cast("int"))
+    # a task gives out RESERVE rows of each class at most, and a source has 63 classes
+    nth = F.row_number().over(Window.partitionBy("source_no", "_class").orderBy("tie"))
+    cut = live.select("source_no", "_class", "tie").withColumn("_nth", nth).where(F.col("_nth") <= RESERVE).groupBy("source_no", "_class").agg(F.max("tie").alias("_cut"))
+    cut = written(cut, "cut")
+    live = live.join(F.broadcast(cut) if cut.count() <= SENT_SOURCES else cut, ["source_no", "_class"])
+    reserve = live.where("tie <= _cut").select(*fields)
+    live = live.where("tie > _cut").select(*fields)
+    many = written(live.groupBy("source_no").agg(F.count(F.lit(1)).alias("_n")), "many")
     most = many.agg(F.max("_n")).first()[0] or 0
     level, reach = 0, 1
     while most and (reach < most or level == 0):
@@ -129,7 +191,9 @@ def taken_words(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         ended.append(folded.select(F.inline("done")))
         live = folded.select("open.*")
         level += 1
-    ended.append(live.withColumn("x", F.when(_coin(F.col("tie"), F.col("doc_id"), level) < F.col("x"), 1.0).otherwise(0.0)))
+    waiting = reserve.select("source_no", F.struct(*fields).alias("r"), F.lit(None).cast(item).alias("o")).unionByName(live.select("source_no", F.lit(None).cast(item).alias("r"), F.struct(*fields).alias("o")))
+    roots = waiting.groupBy("source_no").agg(F.sort_array(F.collect_list("r"), False).alias("reserve"), F.max("o").alias("open"))
+    ended.append(written(_root(item)(roots.join(sent(goal.select("source_no", "target")), "source_no")), "roots").select(F.inline("done")))
     out = ended[0]
     for more in ended[1:]:
         out = out.unionByName(more)

@@ -183,6 +183,30 @@ def test_mixing_gives_every_document_its_expectation(spark, monkeypatch):
         assert abs(np.mean(copies) - want) < 4 * error + 1e-9
 
 
+def test_mixing_of_small_sources_comes_near(spark):
+    """Sources of 50 documents of very unlike sizes end within 2% of their targets, or nearer than their smallest document."""
+    rng = random.Random(19)
+    rows = [(i, "w " * min(9_000, int(rng.paretovariate(0.7) * 20)), f"s{i % 12:02}") for i in range(600)]
+    by = collections.defaultdict(list)
+    for r in mixing.taken_words(table(spark, rows)).collect():
+        by[r.source_no, r.target, r.source_size].append(r)
+    assert len(by) == 12
+    for (_, target, source_size), docs in by.items():
+        assert abs(sum(r.taken for r in docs) - target) <= max(0.02 * target, min(r.size for r in docs))
+        low = math.floor(target / source_size + 1e-9)
+        assert {r.copies for r in docs} <= {low, low + 1}
+
+
+@here
+def test_mixing_of_the_given_tables_comes_near(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.coalesce("source", F.lit("")))
+    by = collections.defaultdict(list)
+    for r in mixing.op4_mixing(spark, SF).join(docs.select("doc_id", "source"), "doc_id").collect():
+        by[r.source, r.target].append(r)
+    for (_, target), rows in by.items():
+        assert abs(sum(r.taken for r in rows) - target) <= max(0.02 * target, min(r.size for r in rows))
+
+
 def test_mixing_of_empty_table(spark):
     assert mixing.taken_words(table(spark, [])).count() == 0
 
@@ -553,8 +577,36 @@ def test_sharding_of_one_text_in_bulk(spark, monkeypatch, doc_id):
         by[r.shard].append(r)
     assert len(out) == len(rows) and set(by) == set(range(40))
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
-    small = [sum(r.size for r in v) for v in by.values() if all(r.doc_id != 9_999 for r in v)]
-    assert max(small) < 1.1 * min(small)
+    # one text is larger than a shard's share: its shard holds little else, all others are alike
+    total = [sum(r.size for r in v) for v in by.values()]
+    assert sorted(total)[-1] < 5_016 + 0.2 * sum(total) / 40 and sorted(total)[-2] < 1.1 * min(total)
+
+
+@pytest.mark.parametrize("n", [400, 3000])
+def test_shards_are_alike_in_bytes_and_small_groups_whole(spark, n):
+    """Sizes of very unlike documents, and groups of equal ones below a shard's share: all shards count."""
+    rng = random.Random(n)
+    rows = [(i, "w" * min(n * 60, int(rng.paretovariate(0.8) * 100)), "s") for i in range(n)]
+    rows += [(n + i, f"group {i % 60} " * (1 + i % 60), "s") for i in range(n // 4)]
+    by, shards = collections.Counter(), collections.defaultdict(set)
+    for r in sharding.assign(table(spark, rows)).collect():
+        by[r.shard] += r.size
+        shards[r.text].add(r.shard)
+    mean, largest = sum(by.values()) / 40, max(len(t) for _, t, _ in rows) + 16
+    assert len(by) == 40 and max(by.values()) < max(1.03 * mean, largest + 0.1 * mean)
+    if largest < mean:
+        assert min(by.values()) > 0.97 * mean
+    groups, tokens = collections.Counter(t for _, t, _ in rows), sum(len(t.split()) for _, t, _ in rows) / 40
+    small = [t for t, many in groups.items() if (len(t) + 16) * many < mean and len(t.split()) * many < tokens and many < len(rows) / 40]
+    assert all(len(shards[t]) == 1 for t in small) and sum(groups[t] > 1 for t in small) > 20
+
+
+@here
+def test_shards_of_the_given_tables_are_alike(spark):
+    for scale, most in (("sf0.01", 1.03), ("sf0.1", 1.01)):
+        path = SF.replace(SF.rpartition("/")[2], scale)
+        size = [r.b for r in sharding.op10_sharding(spark, path).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+        assert len(size) == 40 and max(size) < most * sum(size) / 40 and min(size) > sum(size) / 40 / most
 
 
 def test_sharding_keeps_extra_columns(spark):
