@@ -7,13 +7,14 @@ occur in at least LEAST of its documents.
    a source, compressed, a line for each document; what all tasks have packed of a source is dealt to blocks of about BLOCK bytes, and
    small sources share blocks.
 2. First pass: each block gives its distinct terms with the number of its documents that hold them.  Added up they are exact document frequencies.
+   A term's block counts meet once, in a window, which tells for each whether it is kept.
 3. Second pass: each block meets those of its own terms that are kept, and only these, so an automaton (pyahocorasick)
    never holds more terms than a block has, whatever the vocabulary.  Every term is padded with a space on both sides, so it
-   matches whole terms alone.  The matches are the occurrences, posted by lang, source and term.
+   matches whole terms alone.  The matches are the occurrences; a term's list of sources and counts is its posting list.
 4. Pairs of sources: with p(c) what a source gives a term of count c, the sum over all kept terms of f splits into terms that both
    have, that one has, and that none has.  Only the first need the postings of a term together; the others follow from how many terms of a source
    have each count, so that nothing runs over sources times vocabulary.
-5. Ranks: pairs by source; terms are cut to the first 200 of each group in every task before they meet.
+5. Ranks: pairs by source; terms are cut to the first 200 of each group, and those that tie with the last, in every task before they meet.
 
 p = 1 + floor(10**9 * (count + 1) / (N + V)) is a long division by thousands, so no product leaves the longs below 9 * 10**15 occurrences.
 
@@ -129,7 +130,7 @@ def block_terms(packed: DataFrame) -> DataFrame:
 
 
 def occurrences(packed: DataFrame, needed: DataFrame) -> DataFrame:
-    """(lang, source, term, count) of the needed terms (block, lang, term) in each of the blocks' rows."""
+    """(lang, term, posts): the sources and counts of the needed terms (block, lang, term), from the blocks' rows."""
 
     def run(terms: pa.Table, rows: pa.Table) -> pa.Table:
         names = [x.decode("utf-8", "surrogateescape") for x in set(terms["term"].to_pylist())]
@@ -148,7 +149,9 @@ def occurrences(packed: DataFrame, needed: DataFrame) -> DataFrame:
         return pa.table({"lang": pa.array(langs, pa.string()), "source": pa.array(sources, pa.string()), "term": pa.array(out, pa.binary()), "count": pa.array(counts, pa.int64())})
 
     made = needed.groupBy("block", "lang").cogroup(packed.groupBy("block", "lang")).applyInArrow(run, "lang string, source string, term binary, count long")
-    return made.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
+    # dealt by term, so that neither adding up nor listing deals the rows again; a list has a source once
+    whole = made.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
+    return whole.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "count")).alias("posts"))
 
 
 def _part(count: Column, total: Column) -> Column:
@@ -163,96 +166,134 @@ def _f(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _parts(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The same as _part, of arrays."""
+    out, rest = np.ones_like(count), count + 1
+    for unit in (1_000_000, 1_000, 1):
+        out, rest = out + rest * 1000 // total * unit, rest * 1000 % total
+    return out
+
+
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank for rows with text, lang and source."""
     named = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     packed = written(blocks(named), "blocks", codec="zstd")
     terms = written(block_terms(packed), "terms", codec="zstd")
-    kept = terms.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= LEAST).select("lang", "term")
-    needed = terms.join(kept, ["lang", "term"], "left_semi").select("block", "lang", "term")
-    posts = written(occurrences(packed, needed), "posts", codec="zstd")
-
-    # totals of each group and lang; `none`: what a group gives a kept term that it doesn't have
-    seen = posts.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("have"))
-    groups = packed.select("lang", "source").distinct().join(seen, ["lang", "source"], "left").fillna(0, ["total", "have"])
-    by_term = posts.groupBy("lang", "term").agg(F.sum("count").alias("all"))
-    langs = written(by_term.groupBy("lang").agg(F.sum("all").alias("lang_total"), F.count(F.lit(1)).alias("kept")), "langs")
-    groups = groups.join(langs, "lang", "left").fillna(0, ["lang_total", "kept"])
-    over = F.col("total") + F.col("kept")
-    groups = written(groups.withColumn("none", F.when(F.col("kept") > 0, _part(F.lit(0), over))), "groups")
-    sent = F.broadcast if groups.count() <= SENT_GROUPS else lambda df: df
-
-    totals = sent(groups.select("lang", "source", "total", "kept", "lang_total", "none"))
-    shares = posts.join(totals, ["lang", "source"]).withColumn("p", _part(F.col("count"), over))
-    q = _part(F.col("all"), F.col("lang_total") + F.col("kept"))
-    ahead = shares.join(by_term, ["lang", "term"]).withColumn("q", q).where("p > q")
-    ahead = ahead.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f(F.col("p"), F.col("q")).alias("value"))
-
-    pairs = pair_values(shares.select("lang", "source", "term", "p", "none"), groups, sent)
+    documents = F.sum("df").over(Window.partitionBy("lang", "term"))
+    needed = terms.withColumn("documents", documents).where(F.col("documents") >= LEAST).select("block", "lang", "term")
+    lists = written(occurrences(packed, needed), "lists", codec="zstd")
+
+    # how many terms of a source have each count; totals of each group and lang; `none`: what a group gives a kept term that it doesn't have
+    counts = written(lists.select("lang", F.inline("posts")).groupBy("lang", "source", "count").agg(F.count(F.lit(1)).alias("n")), "counts")
+    seen = counts.groupBy("lang", "source").agg(F.sum(F.col("count") * F.col("n")).alias("total"), F.sum("n").alias("have"))
+    langs = lists.groupBy("lang").agg(F.count(F.lit(1)).alias("kept")).join(seen.groupBy("lang").agg(F.sum("total").alias("lang_total")), "lang")
+    groups = packed.select("lang", "source").distinct().join(seen, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "have", "kept", "lang_total"])
+    groups = groups.withColumns({"over": F.col("total") + F.col("kept"), "lang_over": F.col("lang_total") + F.col("kept")}).drop("total", "lang_total")
+    groups = written(groups.withColumn("none", F.when(F.col("kept") > 0, _part(F.lit(0), F.col("over")))), "totals")
+    few = groups.count() <= SENT_GROUPS
+    found = written(judged(lists, groups, few), "found")
+    ahead = found.where("part = 'term'")
+    pairs = pair_values(counts, groups, found.where("part = 'pair'"), F.broadcast if few else lambda df: df)
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order))
     columns = ["lang", "source", "part", F.col("item").cast("string").alias("item"), "value", "rank"]
     return ranked(pairs).select(*columns).unionByName(ranked(ahead).where(F.col("rank") <= TERMS).select(*columns))
 
 
-def shared_terms(shares: DataFrame) -> DataFrame:
-    """(lang, s, t, v): what terms that both sources have add to f beyond what each alone makes of them; shares: (lang, source, term, p, none)."""
+def judged(lists: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+    """(lang, source, part, item, value), in parts still: `pair`, what terms that both sources have add to f beyond what each alone makes of them;
+    `term`, those that may be among a group's first.  few: whether the groups' totals can be sent."""
+    totals: dict[tuple[str, str], tuple[int, int, int]] = {}
+    if few:
+        totals = {(r.lang, r.source): (r.over, r.none or 0, r.lang_over) for r in groups.select("lang", "source", "over", "none", "lang_over").toLocalIterator()}
+    else:
+        told = lists.select("lang", "term", F.inline("posts")).join(groups.select("lang", "source", "over", "none", "lang_over"), ["lang", "source"])
+        lists = told.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "count", "over", "none", "lang_over")).alias("posts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[tuple[str, str, str]] = Counter()
+        sums: Counter[tuple[str, str, str]] = Counter()
+        best: tuple[list, np.ndarray, np.ndarray, np.ndarray] = ([], *(np.zeros(0, t) for t in (np.int64, np.int64, object)))  # groups, and each term's group, value and bytes
         for batch in batches:
             size = np.diff(np.asarray(batch["posts"].offsets))
-            flat = batch["posts"].flatten()
-            names = flat.field("source").dictionary_encode()
-            name, p, none = np.asarray(names.indices), np.asarray(flat.field("p")), np.asarray(flat.field("none"))
-            start, langs = np.concatenate([[0], np.cumsum(size)])[:-1], batch["lang"].dictionary_encode()
-            lang = np.asarray(langs.indices).astype(np.int64)
+            start, of = np.concatenate([[0], np.cumsum(size)])[:-1], np.repeat(np.arange(len(size)), size)
+            flat, langs = batch["posts"].flatten(), batch["lang"].dictionary_encode()
+            names, lang = flat.field("source").dictionary_encode(), np.asarray(langs.indices).astype(np.int64)
+            name, count, many = np.asarray(names.indices).astype(np.int64), np.asarray(flat.field("count")), len(names.dictionary)
+            kinds, kind = np.unique(lang[of] * many + name, return_inverse=True)
+            group = [(langs.dictionary[k // many].as_py(), names.dictionary[k % many].as_py()) for k in kinds.tolist()]
+            if few:
+                over, none, lang_over = np.array([totals[g] for g in group], np.int64).reshape(-1, 3)[kind].T
+            else:
+                over, none, lang_over = (np.asarray(flat.field(c)) for c in ("over", "none", "lang_over"))
+            p = _parts(count, over)
+            q = _parts(np.add.reduceat(count, start) if len(size) else count, lang_over[start])[of]
+            ahead = np.flatnonzero(p > q)
+            at = {g: k for k, g in enumerate(best[0])}
+            for g in group:
+                at.setdefault(g, len(at))
+            own = np.array([at[g] for g in group], np.int64)[kind[ahead]]
+            terms = np.array(batch["term"].to_pylist(), object)[of[ahead]]
+            best = (list(at), *_first(np.concatenate([best[1], own]), np.concatenate([best[2], (p[ahead] - q[ahead]) ** 2 // q[ahead]]), np.concatenate([best[3], terms])))
             for k in np.unique(size[size > 1]):
                 rows = np.flatnonzero(size == k)
-                for few, some in ((f, i) for f in np.array_split(rows, 1 + len(rows) * k * k // PAIRS) for i in np.array_split(np.arange(k), 1 + len(f) * k * k // PAIRS)):
-                    at = start[few][:, None] + np.arange(k)
-                    one = lambda x: x[at[:, some]][:, :, None]  # noqa: B023, E731
-                    two = lambda x: x[at][:, None, :]  # noqa: B023, E731
-                    key = (lang[few][:, None, None] * len(names.dictionary) + one(name)) * len(names.dictionary) + two(name)
+                for part, some in ((f, i) for f in np.array_split(rows, 1 + len(rows) * k * k // PAIRS) for i in np.array_split(np.arange(k), 1 + len(f) * k * k // PAIRS)):
+                    here = start[part][:, None] + np.arange(k)
+                    one = lambda x: x[here[:, some]][:, :, None]  # noqa: B023, E731
+                    two = lambda x: x[here][:, None, :]  # noqa: B023, E731
                     a, b, a0, b0 = one(p), two(p), one(none), two(none)
                     v = (a - b) ** 2 // b - (a - b0) ** 2 // b0 - (a0 - b) ** 2 // b + (a0 - b0) ** 2 // b0
-                    other = np.broadcast_to(some[:, None] != np.arange(k), key.shape)
-                    keys, of = np.unique(key[other], return_inverse=True)
-                    sums = np.zeros(len(keys), np.int64)
-                    np.add.at(sums, of, v[other])
-                    for pair, add in zip(keys.tolist(), sums.tolist()):
-                        rest, t = divmod(pair, len(names.dictionary))
-                        which, s = divmod(rest, len(names.dictionary))
-                        total[langs.dictionary[which].as_py(), names.dictionary[s].as_py(), names.dictionary[t].as_py()] += add
-            if len(total) > PAIRS:
-                yield from told(total)
-                total = Counter()
-        yield from told(total)
-
-    def told(total: Counter) -> Iterator[pa.RecordBatch]:
-        if total:
-            lang, s, t = zip(*total)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(s), pa.array(t), pa.array(list(total.values()), pa.int64())], ["lang", "s", "t", "v"])
-
-    # a list has a source once at most
-    lists = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "none")).alias("posts"))
-    return lists.select("lang", "posts").mapInArrow(run, "lang string, s string, t string, v long")
-
-
-def pair_values(shares: DataFrame, groups: DataFrame, sent) -> DataFrame:
+                    other = np.broadcast_to(some[:, None] != np.arange(k), v.shape)
+                    keys, of_key = np.unique((one(kind) * len(kinds) + two(kind))[other], return_inverse=True)
+                    total = np.zeros(len(keys), np.int64)
+                    np.add.at(total, of_key, v[other])
+                    for key, add in zip(keys.tolist(), total.tolist()):
+                        s, t = group[key // len(kinds)], group[key % len(kinds)]
+                        sums[s[0], s[1], t[1]] += add
+            if len(sums) > PAIRS:
+                yield told_pairs(sums)
+                sums = Counter()
+        if sums:
+            yield told_pairs(sums)
+        if len(best[1]):
+            lang, source = zip(*(best[0][k] for k in best[1].tolist()))
+            yield rows_of(lang, source, "term", best[3].tolist(), best[2])
+
+    def told_pairs(sums: Counter) -> pa.RecordBatch:
+        lang, s, t = zip(*sums)
+        return rows_of(lang, s, "pair", [x.encode("utf-8", "surrogateescape") for x in t], list(sums.values()))
+
+    def rows_of(lang, source, part, item, value) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array([part] * len(lang)), pa.array(item, pa.binary()), pa.array(value, pa.int64())], ["lang", "source", "part", "item", "value"])
+
+    return lists.select("lang", "term", "posts").mapInArrow(run, "lang string, source string, part string, item binary, value long")
+
+
+def _first(group: np.ndarray, value: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each group the TERMS largest values and those that tie with the last of them."""
+    order = np.lexsort((-value, group))
+    g, v = group[order], value[order]
+    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
+    size = np.diff(np.append(begin, len(g)))
+    least = v[begin + np.minimum(size, TERMS) - 1]
+    keep = order[v >= np.repeat(least, size)]
+    return group[keep], value[keep], term[keep]
+
+
+def pair_values(counts: DataFrame, groups: DataFrame, both: DataFrame, sent) -> DataFrame:
     """(lang, source, part, item, value): for each group and other source of its lang the sum of f over all kept terms."""
     none = lambda side: sent(groups.select("lang", F.col("source").alias(side), F.col("none").alias(f"{side}0"), F.col("have").alias(f"{side}_have")))
     ps, pt, s0, t0 = (F.col(c) for c in ("ps", "pt", "s0", "t0"))
-    # terms that one has, by how many have the same share
-    many = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("n"))
+    # terms that one has, by their counts
+    many = counts.join(sent(groups.select("lang", "source", "over")), ["lang", "source"]).withColumn("p", _part(F.col("count"), F.col("over")))
     mine = many.select("lang", F.col("source").alias("s"), F.col("p").alias("ps"), "n").join(none("t"), "lang").where("s <> t")
     mine = mine.groupBy("lang", "s", "t").agg(F.sum(_f(ps, t0) * F.col("n")).alias("v"))
     other = many.select("lang", F.col("source").alias("t"), F.col("p").alias("pt"), "n").join(none("s"), "lang").where("s <> t")
     other = other.groupBy("lang", "s", "t").agg(F.sum(_f(s0, pt) * F.col("n")).alias("v"))
-    # and those that none has
+    # those that none has, and those that both have
     rest = none("s").join(none("t"), "lang").where("s <> t").join(sent(groups.select("lang", F.col("source").alias("s"), "kept")), ["lang", "s"])
     rest = rest.select("lang", "s", "t", F.coalesce(_f(s0, t0) * (F.col("kept") - F.col("s_have") - F.col("t_have")), F.lit(0).cast("long")).alias("v"))
-    every = rest.unionByName(shared_terms(shares)).unionByName(mine).unionByName(other)
+    both = both.select("lang", F.col("source").alias("s"), F.col("item").cast("string").alias("t"), F.col("value").alias("v"))
+    every = rest.unionByName(both).unionByName(mine).unionByName(other)
     return every.groupBy("lang", "s", "t").agg(F.sum("v").alias("value")).select("lang", F.col("s").alias("source"), F.lit("pair").alias("part"), F.col("t").alias("item"), "value")
 
 
