@@ -187,3 +187,18 @@ def test_manifest_lines_that_are_wrong():
 def test_rule_pack_keys():
     good, bad = rules.pack([{"id": "A", "pattern": "a.b", "multiline": True, "exclude_if_matches": "c"}])
     assert (good[0].whole, good[0].exclude, bad) == (True, "c", [])
+
+
+@pytest.mark.parametrize("code", ["x = " + " + ".join(["payload"] * 3000), "x = q" + ".f(1)" * 3000, "if a:\n    pass\n" + "elif b:\n    pass\n" * 2000, "x = " + "[" * 150 + "]" * 150, "def f(payload):\n    " + "x = " * 60 + "payload\n" + "    os.system(" + "x" + " + x" * 2500 + ")"])
+def test_pyast_goes_through_deep_files(code):
+    """Neither deep trees nor what the parser itself can't take end a scan; what lies beside the depth is found."""
+    found = pyast.findings_of("a.py", code + "\nimport hashlib\nhashlib.md5(b'x')\n")
+    assert found == [("a.py", "PARSER-CRASH", "info", 1, "")] or "PY-AST-WEAK-HASH" in {r[1] for r in found}
+    if "os.system" in code:
+        assert {"PARSER-CRASH", "PY-AST-CMD-INJECTION"} & {r[1] for r in found}
+
+
+def test_pyast_of_a_deep_file_in_a_table(spark):
+    files = spark.createDataFrame([("deep.py", "x = " + "a + " * 900 + "a\n"), ("bad.py", "eval(x)\n"), ("deeper.py", "x = " + "-" * 90_000 + "1\n")], "rel_path string, content string")
+    got = {(r.rel_path, r.rule_id) for r in pyast.scan(files).collect()}
+    assert ("bad.py", "PY-AST-EVAL-USE") in got and {p for p, _ in got} <= {"bad.py", "deeper.py"}
