@@ -1,4 +1,4 @@
-"""Queries on files: small inline trees, for what only a whole-file reader can find."""
+"""Queries on files: one is made for each part, of a few kinds, for what only a whole-file reader can find."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from siftwarden.operators import detect, infra, manifests, pyast
 from siftwarden.sources import files as tree
 
 from .registry import query
-from .standins import read
+from .standins import made_files, made_sql, read
 
 # Small Python files of our own, and what reports say of each: rule, severity, line; fixed values.
 PYTHON = {
@@ -33,40 +33,35 @@ PYTHON = {
         [("PY-AST-PATH-TRAVERSAL", "high", 4), ("PY-AST-SSRF", "high", 6), ("PY-AST-OPEN-REDIRECT", "medium", 7), ("PY-AST-XSS", "high", 8), ("PY-AST-TEMPLATE-INJECTION", "critical", 9), ("PY-AST-UNSAFE-XML-PARSER", "high", 10)]),
 }
 MANIFESTS = [
-    ("requirements.txt", "flask==2.0.1\n# note\nrequests[socks]>=2.0 ; python_version > '3'\nbare\n"), ("package.json", '{"dependencies": {"left-pad": "^1.3.0"}, "devDependencies": {"jest": "29.0.0"}}'),
-    ("go.mod", "module x\nrequire (\n\tgithub.com/a/b v1.2.3\n\tgithub.com/c/d v0.1.0 // indirect\n)\n"), ("Cargo.toml", '[dependencies]\nserde = "1.0"\n'), ("pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency>"),
-    ("Gemfile.lock", "GEM\n  specs:\n    rails (7.0.0)\n      rack (>= 2)\n"), ("web/app.csproj", '<PackageReference Include="N" Version="1.0" />'), ("composer.json", '{"require": {"php": ">=8", "a/b": "^1"}}'), ("broken/package.json", "{"), ("pyproject.toml", "[project]\n"),
+    ("requirements.txt", "flask==2.0.@N@\n# note\nrequests[socks]>=2.0 ; python_version > '3'\nbare\n"), ("package.json", '{"dependencies": {"left-pad@N@": "^1.3.0"}, "devDependencies": {"jest": "29.0.0"}}'),
+    ("go.mod", "module x\nrequire (\n\tgithub.com/a/b@N@ v1.2.3\n\tgithub.com/c/d v0.1.0 // indirect\n)\n"), ("Cargo.toml", '[dependencies]\nserde = "1.@N@"\n'), ("pom.xml", "<dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency>"),
+    ("Gemfile.lock", "GEM\n  specs:\n    rails (7.0.@N@)\n      rack (>= 2)\n"), ("web/app.csproj", '<PackageReference Include="N" Version="1.0" />'), ("composer.json", '{"require": {"php": ">=8", "a/b": "^1"}}'), ("broken/package.json", "{"), ("pyproject.toml", "[project]\n"),
 ]
 DOCKERFILES = [("a/Dockerfile", "FROM python:latest\n# FROM other:latest\nRUN curl https://x | sh\nENV API_TOKEN=abc12345\nEXPOSE 22\nFROM python AS build\n"), ("b/Dockerfile", "FROM python:3.12@sha256:0\nFROM scratch\nUSER app\n"), ("c/Dockerfile", "# empty\nUSER app\nHEALTHCHECK NONE\n"), ("k8s/pod.yaml", "spec:\n  hostNetwork: true\n  privileged: true\n  runAsUser: 0\n"), ("docker-compose.yml", "services:\n  a:\n    privileged: true\n    ports:\n      - \"0.0.0.0:22:22\"\n      - 8080:80\n"), ("main.tf", 'cidr_blocks = ["0.0.0.0/0"]\nencrypted = false\npublicly_accessible = TRUE\n')]
 
 
-def _table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "rel_path string, content string")
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}', '{v}', {n})" for p, (_, rows) in PYTHON.items() for r, v, n in rows) + ") t(rel_path, rule_id, severity, line)")
+@query("WITH " + made_sql(list(PYTHON), [(p, *r) for p, (_, rows) in PYTHON.items() for r in rows], "rule_id, severity, line") + " SELECT rel_path, rule_id, severity, CAST(line + shift AS INTEGER) AS line FROM made")
 def python_ast_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pyast.scan(_table(spark, [(p, text) for p, (text, _) in PYTHON.items()])).select("rel_path", "rule_id", "severity", "line")
+    return pyast.scan(made_files(spark, sf_dir, [(p, text + "# of part @N@\n" * (p != "app/broken.py")) for p, (text, _) in PYTHON.items()], shift=True)).select("rel_path", "rule_id", "severity", "line")
 
 
 # What the manifests above hold: ecosystem, name, requirement, line, whether it is direct, and what is wrong; fixed values.
 DEPENDENCIES = [
-    ("requirements.txt", "python", "flask", "==2.0.1", 1, True, None), ("requirements.txt", "python", "requests", ">=2.0", 3, True, None), ("requirements.txt", "python", "bare", None, 4, True, None), ("package.json", "npm", "left-pad", "^1.3.0", 1, True, None),
-    ("package.json", "npm", "jest", "29.0.0", 1, True, None), ("go.mod", "go", "github.com/a/b", "v1.2.3", 3, True, None), ("go.mod", "go", "github.com/c/d", "v0.1.0", 4, False, None), ("Cargo.toml", "rust", "serde", "^1.0", 2, True, None), ("pom.xml", "maven", "g:a", None, 1, True, None),
-    ("pom.xml", None, None, None, 1, None, "UNRESOLVED-VERSION"), ("Gemfile.lock", "ruby", "rails", "7.0.0", 3, False, None), ("web/app.csproj", "nuget", "N", "1.0", 1, True, None), ("composer.json", "php", "a/b", "^1", 1, True, None),
+    ("requirements.txt", "python", "flask", "==2.0.@N@", 1, True, None), ("requirements.txt", "python", "requests", ">=2.0", 3, True, None), ("requirements.txt", "python", "bare", None, 4, True, None), ("package.json", "npm", "left-pad@N@", "^1.3.0", 1, True, None),
+    ("package.json", "npm", "jest", "29.0.0", 1, True, None), ("go.mod", "go", "github.com/a/b@N@", "v1.2.3", 3, True, None), ("go.mod", "go", "github.com/c/d", "v0.1.0", 4, False, None), ("Cargo.toml", "rust", "serde", "^1.@N@", 2, True, None), ("pom.xml", "maven", "g:a", None, 1, True, None),
+    ("pom.xml", None, None, None, 1, None, "UNRESOLVED-VERSION"), ("Gemfile.lock", "ruby", "rails", "7.0.@N@", 3, False, None), ("web/app.csproj", "nuget", "N", "1.0", 1, True, None), ("composer.json", "php", "a/b", "^1", 1, True, None),
     ("broken/package.json", None, None, None, 1, None, "MALFORMED"), ("pyproject.toml", None, None, None, 1, None, "NO-DEPENDENCIES"),
 ]
-_SQL = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'"
 
 
-@query("SELECT rel_path, ecosystem, name, spec, CAST(line AS INTEGER) AS line, direct, error FROM (VALUES " + ", ".join(f"({', '.join(map(_SQL, r))})" for r in DEPENDENCIES) + ") t(rel_path, ecosystem, name, spec, line, direct, error)")
+@query("WITH " + made_sql([p for p, _ in MANIFESTS], DEPENDENCIES, "ecosystem, name, spec, line, direct, error") + " SELECT rel_path, ecosystem, replace(name, '@N@', p_partkey::VARCHAR) AS name, replace(spec, '@N@', p_partkey::VARCHAR) AS spec, CAST(line AS INTEGER) AS line, direct, error FROM made")
 def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = manifests.parsed(_table(spark, MANIFESTS))
+    rows = manifests.parsed(made_files(spark, sf_dir, MANIFESTS))
     return rows.select("rel_path", "ecosystem", "name", "spec", "line", "direct", F.regexp_extract("error", r"^[A-Z-]+", 0).alias("error"))
 
 
-def _lines(spark: SparkSession) -> DataFrame:
-    return detect.exploded(tree.classified(_table(spark, DOCKERFILES)), "content")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.exploded(tree.classified(made_files(spark, sf_dir, DOCKERFILES, shift=True)), "content")
 
 
 # What the files above hold, by the ids, severities and places that reports use: fixed values.
@@ -79,18 +74,18 @@ PRESENT = [
 ]
 
 
-def _values(rows: list[tuple]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{p}', CAST({n} AS BIGINT), '{r}', '{s}')" for p, n, r, s in rows) + ") t(rel_path, line, rule_id, severity)"
+def _found(rows: list[tuple]) -> str:
+    return "WITH " + made_sql([p for p, _ in DOCKERFILES], rows, "line, rule_id, severity") + " SELECT rel_path, CAST(line + shift AS BIGINT) AS line, rule_id, severity FROM made"
 
 
-@query(_values(ABSENT))
+@query(_found(ABSENT))
 def dockerfile_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infra.absence(_lines(spark)).select("rel_path", "line", "rule_id", "severity")
+    return infra.absence(_lines(spark, sf_dir)).select("rel_path", "line", "rule_id", "severity")
 
 
-@query(_values(PRESENT))
+@query(_found(PRESENT))
 def iac_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infra.presence(_lines(spark)).select("rel_path", "line", "rule_id", "severity")
+    return infra.presence(_lines(spark, sf_dir)).select("rel_path", "line", "rule_id", "severity")
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS ext, CAST(length(html) - length(replace(html, chr(10), '')) + 1 AS BIGINT) AS n_lines FROM pages")

@@ -13,7 +13,7 @@ from siftwarden.operators import advisories, findings as ops
 from siftwarden.sinks.render import purl
 
 from .registry import query
-from .standins import read
+from .standins import dealt, dealt_sql, read
 
 ECOSYSTEMS = ("python", "npm", "go")
 LICENCE_OF = ("MIT", "GPL-3.0", "MPL-2.0", "MIT OR GPL-2.0", "Custom")
@@ -49,11 +49,24 @@ def license_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERSIONS = ["0.9", "1.0.0-alpha", "1.0.0-beta", "1.0.0", "1.0.0rc1", "1.2", "1.10", "2.0", "v2.0.1", "10.0.0.1"]
 
 
-@query("SELECT a, b, CAST(i < j AS INTEGER) - CAST(i > j AS INTEGER) AS less FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(VERSIONS)) + ") x(i, a), (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(VERSIONS)) + ") y(j, b)")
+#: Versions of a part: three numbers, and a pre-release for some.
+_V = lambda a, b, c, d: f"p_partkey {a} % 3 AS x{d}, p_partkey {b} % 11 AS y{d}, p_partkey {c} % 4 AS z{d}, CASE WHEN p_partkey {c} % 5 = 0 THEN 'rc' || p_partkey {b} % 3 ELSE '~' END AS pre{d}"
+_TEXT = lambda d: f"x{d} || '.' || y{d} || '.' || z{d} || CASE WHEN pre{d} = '~' THEN '' ELSE '-' || pre{d} END"
+
+
+@query(
+    f"WITH {dealt_sql([(a, b, (i < j) - (i > j)) for i, a in enumerate(VERSIONS) for j, b in enumerate(VERSIONS)], 'a, b, less')}, v AS (SELECT p_partkey, {_V('', '// 3', '// 5', 'a')}, {_V('// 2', '// 7', '// 4', 'b')} FROM part)"
+    f" SELECT p_partkey, a, b, CAST(less AS INTEGER) AS less FROM dealt UNION ALL SELECT p_partkey, {_TEXT('a')}, {_TEXT('b')}, CASE WHEN (xa, ya, za, prea) < (xb, yb, zb, preb) THEN 1 WHEN (xa, ya, za, prea) > (xb, yb, zb, preb) THEN -1 ELSE 0 END FROM v"
+)
 def version_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(a, b) for a in VERSIONS for b in VERSIONS], "a string, b string")
+    """For each part one of the pairs of versions above, and two made of its key."""
+    k = F.col("p_partkey")
+    by = lambda n, m: (F.floor(k / n) % m).cast("string")
+    made = lambda x, y, z: F.concat(by(x, 3), F.lit("."), by(y, 11), F.lit("."), by(z, 4), F.when(by(z, 5) == "0", F.concat(F.lit("-rc"), by(y, 3))).otherwise(""))
+    two = read(spark, sf_dir, "part").select("p_partkey", made(1, 3, 5).alias("a"), made(2, 7, 4).alias("b"))
+    pairs = dealt(spark, sf_dir, [(a, b) for a in VERSIONS for b in VERSIONS], "a string, b string").select("p_partkey", "a", "b").unionByName(two)
     a, b = V.key(F.col("a")), V.key(F.col("b"))
-    return pairs.select("a", "b", (F.when(a < b, 1).when(a > b, -1).otherwise(0)).alias("less"))
+    return pairs.select("p_partkey", "a", "b", (F.when(a < b, 1).when(a > b, -1).otherwise(0)).alias("less"))
 
 
 ADVISORIES = [("python", "brand#11", "ADV-1", ">=5,<20", "20.0"), ("npm", "brand#11", "ADV-2", "<10||>=40.5,<=45.9.9", ""), ("go", "brand#22", "ADV-3", ">30.1.2", "99.0"), ("npm", "brand#33", "ADV-4", "", "1.0")]
@@ -79,23 +92,45 @@ SPECS = [("1.2.3", True, "1.2.3"), ("==1.2.3", True, "==1.2.3"), ("=1.2", True,
          ("~>1.2", False, ">=1.2.0,<2.0.0"), ("~>1.2.3", False, ">=1.2.3,<1.3.0"), ("~=1.4.2", False, ">=1.4.2,<1.5.0"), ("1.*", False, ">=1.0.0,<2.0.0"), ("1.2.x", False, ">=1.2.0,<1.3.0"), (">=1.0, <2.0", False, ">=1.0,<2.0"), ("*", False, None), ("latest", False, None)]
 
 
-def _sql(v) -> str:
-    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
+#: Requirements of a part's own numbers x, y, z, of ten forms, as SQL; and the bounds that each stands for, as numbers x * 10000 + y * 100 + z.
+FORMS = ["'^' || x || '.' || y || '.' || z", "'~' || x || '.' || y || '.' || z", "'~>' || x || '.' || y", "'~> ' || x || '.' || y || '.' || z", "'~=' || x || '.' || y || '.' || z", "x || '.*'", "x || '.' || y || '.x'", "'>=' || x || '.' || y || '.' || z || ', <' || (x + 1) || '.0'", "'==' || x || '.' || y || '.' || z", "'latest'"]
+_FULL, _NEXT = "x * 10000 + y * 100 + z", {"major": "(x + 1) * 10000", "minor": "x * 10000 + (y + 1) * 100", "patch": "x * 10000 + y * 100 + z + 1"}
+_CARET = f"CASE WHEN x > 0 THEN {_NEXT['major']} WHEN y > 0 THEN {_NEXT['minor']} ELSE {_NEXT['patch']} END"
+LIMITS = [(_FULL, _CARET), (_FULL, _NEXT["minor"]), ("x * 10000 + y * 100", _NEXT["major"]), (_FULL, _NEXT["minor"]), (_FULL, _NEXT["minor"]), ("x * 10000", _NEXT["major"]), ("x * 10000 + y * 100", _NEXT["minor"]), (_FULL, _NEXT["major"]), (_FULL, _NEXT["patch"]), ("NULL", "NULL")]
+_CASE = lambda values: "CASE form " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+SPEC = f"""nums AS (SELECT p_partkey, p_partkey % 10 AS form, p_partkey // 10 % 3 AS x, p_partkey // 30 % 4 AS y, p_partkey // 7 % 5 AS z, p_partkey // 3 % 4 AS a, p_partkey // 11 % 5 AS b, p_partkey // 13 % 6 AS c FROM part),
+  spec AS (SELECT *, {_CASE(FORMS)} AS spec, {_CASE([low for low, _ in LIMITS])} AS low, {_CASE([high for _, high in LIMITS])} AS high FROM nums)"""
+_DOTS = lambda v: f"({v}) // 10000 || '.' || ({v}) // 100 % 100 || '.' || ({v}) % 100"
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's requirement, and a version."""
+    k = F.col("p_partkey")
+    n = lambda by, m: (F.floor(k / by) % m).cast("int")
+    nums = read(spark, sf_dir, "part").select("p_partkey", (k % 10).cast("int").alias("form"), n(10, 3).alias("x"), n(30, 4).alias("y"), n(7, 5).alias("z"), F.concat_ws(".", n(3, 4).cast("string"), n(11, 5).cast("string"), n(13, 6).cast("string")).alias("version"))
+    return nums.withColumn("spec", F.expr(_CASE(FORMS)))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(a)}, {_sql(b)}, {_sql(c)})" for a, b, c in SPECS) + ") t(spec, pinned, normalized)")
+@query(
+    f"WITH {SPEC}, {dealt_sql(SPECS, 'case_spec, pinned, normalized')} SELECT p_partkey, case_spec AS spec, pinned, normalized FROM dealt UNION ALL SELECT p_partkey, spec, form = 8, CASE form WHEN 7 THEN replace(spec, ' ', '') WHEN 8 THEN spec WHEN 9 THEN NULL ELSE '>=' || {_DOTS('low')} || ',<' || {_DOTS('high')} END FROM spec"
+)
 def spec_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(a,) for a, _, _ in SPECS], "spec string")
-    return rows.select("spec", V.pinned(F.col("spec")).alias("pinned"), V.normalized(F.col("spec")).alias("normalized"))
+    """For each part one of the requirements above, and one of its own numbers."""
+    rows = dealt(spark, sf_dir, [(a,) for a, _, _ in SPECS], "spec string").select("p_partkey", "spec").unionByName(_specs(spark, sf_dir).select("p_partkey", "spec"))
+    return rows.select("p_partkey", "spec", V.pinned(F.col("spec")).alias("pinned"), V.normalized(F.col("spec")).alias("normalized"))
 
 
 PERMITS = [("^1.0", "1.5.0", True), ("^1.0", "2.0.0", False), (">=1,!=1.3", "1.3", False), (">=1,!=1.3", "1.4", True), ("latest", "1.0", None), ("~1.2", "1.2.9", True), (None, "1.0", None)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({_sql(a)}, {_sql(b)}, {_sql(c)})" for a, b, c in PERMITS) + ") t(spec, version, permits)")
+@query(
+    f"WITH {SPEC}, {dealt_sql(PERMITS, 'case_spec, version, permits')} SELECT p_partkey, case_spec AS spec, version, permits FROM dealt"
+    " UNION ALL SELECT p_partkey, spec, a || '.' || b || '.' || c, a * 10000 + b * 100 + c >= low AND a * 10000 + b * 100 + c < high FROM spec"
+)
 def range_permits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(a, b) for a, b, _ in PERMITS], "spec string, version string")
-    return rows.select("spec", "version", V.permits(F.col("spec"), F.col("version")).alias("permits"))
+    """For each part one of the cases above, and its own requirement with a version."""
+    rows = dealt(spark, sf_dir, [(a, b) for a, b, _ in PERMITS], "spec string, version string").select("p_partkey", "spec", "version").unionByName(_specs(spark, sf_dir).select("p_partkey", "spec", "version"))
+    return rows.select("p_partkey", "spec", "version", V.permits(F.col("spec"), F.col("version")).alias("permits"))
 
 
 # Events (introduced, fixed, last_affected, limit) and the range they make: fixed values.
@@ -103,10 +138,14 @@ EVENTS = [("fixed", [("0", None, None, None), (None, "1.2", None, None)], "<1.2"
           ("two", [("1", None, None, None), (None, "1.5", None, None), ("2", None, None, None), (None, "2.3", None, None)], ">=1,<1.5||>=2,<2.3"), ("limit", [("3", None, None, None), (None, None, None, "4")], ">=3,<4")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{c}')" for a, _, c in EVENTS) + ") t(id, affected)")
+@query(f"WITH {dealt_sql([(a, c) for a, _, c in EVENTS], 'id, affected')} SELECT p_partkey, id, replace(affected, '1.', p_size || '.') AS affected FROM dealt")
 def osv_events_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(a, b) for a, b, _ in EVENTS], "id string, events array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>")
-    return rows.select("id", advisories.ranges(F.col("events")).alias("affected"))
+    """For each part the events of one of the cases above, its size for 1 in front of a dot."""
+    kind = "array<struct<introduced:string,fixed:string,last_affected:string,limit:string>>"
+    rows = dealt(spark, sf_dir, [(a, b) for a, b, _ in EVENTS], f"id string, events {kind}")
+    size = lambda v: F.replace(v, F.lit("1."), F.concat(F.col("p_size").cast("string"), F.lit(".")))
+    own = F.transform("events", lambda e: F.struct(*(size(e[c]).alias(c) for c in ("introduced", "fixed", "last_affected", "limit"))))
+    return rows.select("p_partkey", "id", advisories.ranges(own).alias("affected"))
 
 
 FEED = """feed AS (SELECT CASE p_partkey % 2 WHEN 0 THEN 'npm' ELSE 'python' END AS ecosystem, lower(p_brand) AS package, 'A-' || (p_partkey % 50) AS id, CASE WHEN p_partkey % 3 = 0 THEN 'CVE-' || (p_partkey % 25) END AS cve, CAST(p_size % 3 AS INTEGER) AS source_no, p_partkey FROM part)"""

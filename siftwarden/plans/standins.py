@@ -54,6 +54,33 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bare_findings(spark, sf_dir).join(scans(spark, sf_dir).select("scan_id", "project_id", "created_at"), "scan_id")
 
 
+def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """Each part with one of a few rows, by its key: a table of as many cases as there are parts."""
+    few = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"_case long, {schema}")
+    return read(spark, sf_dir, "part").withColumn("_case", F.pmod("p_partkey", F.lit(len(rows)))).join(F.broadcast(few), "_case").drop("_case")
+
+
+def dealt_sql(rows: list[tuple], columns: str, types: dict[str, str] | None = None) -> str:
+    """The same as a table `dealt` of SQL."""
+    value = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
+    return f"dealt AS (SELECT part.*, t.* FROM part JOIN (VALUES {', '.join(f'({k}, ' + ', '.join(map(value, r)) + ')' for k, r in enumerate(rows))}) t(_case, {columns}) ON p_partkey % {len(rows)} = _case)"
+
+
+def made_files(spark: SparkSession, sf_dir: str, texts: list[tuple[str, str]], shift: bool = False) -> DataFrame:
+    """A file for each part: rel_path below a folder of its own, content with the part's key for @N@, behind 0 to 4 empty lines where `shift`."""
+    rows = dealt(spark, sf_dir, texts, "_path string, _text string")
+    lines = F.repeat(F.lit("\n"), (F.col("p_size") % 5).cast("int")) if shift else F.lit("")
+    key = F.col("p_partkey").cast("string")
+    return rows.select(F.concat(F.lit("p"), key, F.lit("/"), F.col("_path")).alias("rel_path"), F.concat(lines, F.replace("_text", F.lit("@N@"), key)).alias("content"))
+
+
+def made_sql(paths: list[str], found: list[tuple], columns: str) -> str:
+    """What is found in the made files: rows of (path, columns), for each part whose file has that path, with its key and `shift`."""
+    value = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, (bool, int)) else "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({paths.index(r[0])}, {', '.join(map(value, r))})" for r in found)
+    return f"made AS (SELECT 'p' || p_partkey || '/' || path AS rel_path, p_partkey, p_size % 5 AS shift, t.* EXCLUDE (_case, path) FROM part JOIN (VALUES {values}) t(_case, path, {columns}) ON p_partkey % {len(paths)} = _case)"
+
+
 SCAN = """scan AS (SELECT o_orderkey AS scan_id, o_custkey AS project_id, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_orderdate AS created_at FROM orders)"""
 PROJECT = """project AS (SELECT c_custkey AS project_id, c_name AS name, CAST(n_regionkey AS BIGINT) AS org_id, c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 BARE = """bare AS (SELECT *, substr(sha256(rule_id || '|' || file_path || '|' || replace(snippet, ' ', '') || '|code'), 1, 16) AS fingerprint FROM (
