@@ -20,18 +20,32 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
 
 
-def rate_limited(hits: DataFrame, key: str, at: Column, order: list[str], limit: int, window_seconds: int) -> DataFrame:
+#: Windows in a stretch of time.
+STRETCH = 64
+
+
+def rate_limited(hits: DataFrame, key: str, at: Column, order: list[str], limit: int, window_seconds: int, reset: Column | None = None) -> DataFrame:
     """hits with n_hits in (now - window, now], itself included, allowed, and retry_after in seconds.
 
-    A hit that is refused counts as well.
+    A hit that is refused counts as well.  It may come again when the oldest of the last `limit` hits of its window leaves it.  reset: hits that succeed, after which all before them, themselves included, count no more.
+    A key's hits are dealt by stretches of time, each with copies of the hits of the window before it, so a hot key is many tasks.
     """
     span = window_seconds * 1_000_000
+    wide = span * STRETCH
     df = hits.withColumn("_at", at)
-    w = Window.partitionBy(key).orderBy("_at").rangeBetween(-(span - 1), 0)
-    oldest = Window.partitionBy(key).orderBy("_at", *order).rowsBetween(-(limit - 1), 0)
-    df = df.withColumns({"n_hits": F.count(F.lit(1)).over(w), "_first": F.min("_at").over(oldest)})
+    own = ((F.col("_at") - F.pmod("_at", F.lit(wide))) / wide).cast("long")
+    ahead = F.pmod("_at", F.lit(wide)) >= wide - span
+    df = df.withColumn("_own", own).withColumn("_in", F.explode(F.when(ahead, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
+    part = [key, "_in"]
+    if reset is not None:
+        before = Window.partitionBy(*part).orderBy("_at", *order).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("_session", F.coalesce(F.sum(F.coalesce(reset, F.lit(False)).cast("int")).over(before), F.lit(0)))
+        part = [*part, "_session"]
+    w = Window.partitionBy(*part).orderBy("_at").rangeBetween(-(span - 1), 0)
+    oldest = Window.partitionBy(*part).orderBy("_at", *order).rowsBetween(-(limit - 1), 0)
+    df = df.withColumns({"n_hits": F.count(F.lit(1)).over(w), "_first": F.greatest(F.min("_at").over(oldest), F.min("_at").over(w))}).where(F.col("_in").eqNullSafe(F.col("_own")))
     wait = F.greatest(F.lit(1), F.floor((F.col("_first") + span - F.col("_at")) / 1_000_000) + 1)
-    return df.withColumns({"allowed": F.col("n_hits") <= limit, "retry_after": F.when(F.col("n_hits") > limit, wait.cast("long"))}).drop("_at", "_first")
+    return df.withColumns({"allowed": F.col("n_hits") <= limit, "retry_after": F.when(F.col("n_hits") > limit, wait.cast("long"))}).drop("_at", "_first", "_own", "_in", "_session")
 
 
 def histogram(df: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -54,6 +68,14 @@ def claimable(jobs: DataFrame, now: Column) -> DataFrame:
     return jobs.where(((F.col("status") == "queued") & (F.col("scheduled_at") <= now)) | stale)
 
 
+def reclaims(reports: DataFrame, until: Column, stale_seconds: int = STALE_SECONDS) -> DataFrame:
+    """(job_id, claimed_at, reclaimed_at) in microseconds: claims that no report of the job follows in time, as of `until`; reports: (job_id, at, outcome)."""
+    after = F.lead("at").over(Window.partitionBy("job_id").orderBy("at", "outcome"))
+    back = F.col("at") + stale_seconds * 1_000_000
+    told = reports.withColumn("_next", F.coalesce(after, until)).where((F.col("outcome") == "claimed") & (F.col("_next") > back))
+    return told.select("job_id", F.col("at").alias("claimed_at"), back.alias("reclaimed_at"))
+
+
 def with_missing(events: DataFrame, contract: dict[str, tuple[str, ...]], payload: str) -> DataFrame:
     """events with missing: the keys of its type that a payload lacks, sorted; <type> for a type that isn't known; empty if none."""
     known = F.create_map(*(x for k, v in contract.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else F.expr("cast(array() as array<string>)"))))
@@ -133,8 +155,7 @@ def resets(hits: DataFrame, key: str, at: Column, window_seconds: int) -> DataFr
 
 def last_of(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """Each key's last row by time; only that one counts, all before it are void."""
-    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct(at, tie)).alias("_row")).select("_row.*")
 
 
 def metrics(events: DataFrame, name: str, value: str, at: str, tie: str) -> DataFrame:

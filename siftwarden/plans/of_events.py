@@ -34,6 +34,18 @@ def retry_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.rate_limited(_events(spark, sf_dir), "user_id", _micros(), ["event_id"], 2, 21_600).where("not allowed").select("event_id", "retry_after")
 
 
+SESSION = "coalesce(sum(CAST(event_type = 'purchase' AS INTEGER)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+
+
+@query(f"""WITH h AS (SELECT event_id, user_id, epoch_us(ts) AS us, {SESSION} AS session FROM events),
+  c AS (SELECT *, count(*) OVER (PARTITION BY user_id, session ORDER BY us RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS n, min(us) OVER (PARTITION BY user_id, session ORDER BY us, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS oldest FROM h)
+  SELECT event_id, user_id, CAST(n AS BIGINT) AS n_hits, n <= 3 AS allowed, CAST(CASE WHEN n > 3 THEN greatest(1, floor((oldest + 86400000000 - us) / 1000000) + 1) ELSE 0 END AS BIGINT) AS retry_after FROM c""")
+def rate_limit_after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A purchase is a success, after which a user's hits before it count no more."""
+    told = ops.rate_limited(_events(spark, sf_dir), "user_id", _micros(), ["event_id"], 3, 86_400, reset=F.col("event_type") == "purchase")
+    return told.select("event_id", "user_id", "n_hits", "allowed", F.coalesce("retry_after", F.lit(0)).alias("retry_after"))
+
+
 @query("SELECT event_type, le, n FROM (SELECT event_type, " + ", ".join(f"count(*) FILTER (WHERE value / 100 <= {b}) AS \"{b}\"" for b in map(float, ops.BUCKETS)) + ", count(*) AS \"+Inf\" FROM events GROUP BY event_type) UNPIVOT (n FOR le IN (" + ", ".join(f'"{b}"' for b in map(float, ops.BUCKETS)) + ', "+Inf"))')
 def latency_histogram_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.histogram(_events(spark, sf_dir).withColumn("seconds", F.col("value") / 100), "seconds", "event_type")
@@ -58,6 +70,16 @@ def job_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.claimable(_jobs(spark, sf_dir), now).orderBy("scheduled_at", "id").limit(25).select("id", "status", "scheduled_at")
 
 
+@query("""WITH r AS (SELECT user_id % 40 AS job, epoch_us(ts) AS "at", CASE WHEN event_type IN ('click', 'view') THEN 'claimed' ELSE 'succeeded' END AS outcome FROM events),
+  n AS (SELECT *, coalesce(lead(r."at") OVER (PARTITION BY job ORDER BY r."at", outcome), epoch_us(TIMESTAMP '2024-02-01')) AS next FROM r)
+  SELECT CAST(job AS VARCHAR) AS job_id, "at" AS claimed_at, "at" + 900000000 AS reclaimed_at FROM n WHERE outcome = 'claimed' AND next > "at" + 900000000""")
+def job_reclaims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and views claim a job, all else ends it: the claims of which nothing is heard in time."""
+    outcome = F.when(F.col("event_type").isin("click", "view"), "claimed").otherwise("succeeded")
+    reports = _events(spark, sf_dir).select((F.col("user_id") % 40).cast("string").alias("job_id"), _micros().alias("at"), outcome.alias("outcome"))
+    return ops.reclaims(reports, F.unix_micros(F.lit("2024-02-01 00:00:00+00:00").cast("timestamp")))
+
+
 @query(f"""WITH {JOB} SELECT id, CASE WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END AS next_status,
   CASE WHEN attempts < 5 THEN TIMESTAMP '{AT}' + to_seconds(5 * 2 ** (attempts - 1)) END AS scheduled_at FROM job WHERE status = 'failed'""")
 def job_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,6 +159,83 @@ def test_job_stream(spark, tmp_path):
     assert [r.status for r in sorted(got, key=lambda r: r["at"]) if r.job_id == "b"] == ["queued", "running", "succeeded"]
 
 
+def test_rate_limit_stream_with_resets(spark, tmp_path):
+    """A success clears what a key has, in the stream as on a table, also across batches and stretches of time."""
+    from siftwarden.operators import events
+
+    hits = [("k", 1000, False), ("k", 1001, True), ("k", 1002, False), ("j", 1003, True), ("k", 1010, False), ("j", 1011, False), ("k", 1030, True), ("k", 3839, False), ("k", 3841, False), ("k", 3842, True), ("k", 3843, False)]
+    table = lambda rows: spark.createDataFrame([(k, a * 1_000_000, r) for k, a, r in rows], "key string, at long, reset boolean")
+    got = streamed(spark, tmp_path, [table(hits[:4]), table(hits[4:])], lambda s: live.rate_limited(s, 60))
+    want = events.rate_limited(table(hits), "key", F.col("at"), ["at"], 2, 60, reset=F.col("reset")).collect()
+    assert sorted((r.key, r["at"], r.n_hits) for r in got) == sorted((r.key, r["at"], r.n_hits) for r in want)
+    assert {(r.key, r["at"] // 1_000_000): r.n_hits for r in want} == dict(zip([h[:2] for h in hits], [1, 2, 1, 1, 2, 1, 3, 1, 2, 3, 1]))
+
+
+def test_rate_limit_of_a_hot_key_in_stretches(spark, monkeypatch):
+    import random
+
+    from siftwarden.operators import events
+
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.9 else "b", rng.randrange(2_000) * 500_000, i) for i in range(800)]
+    monkeypatch.setattr(events, "STRETCH", 2)
+    got = {r.i: (r.n_hits, r.allowed, r.retry_after) for r in events.rate_limited(spark.createDataFrame(rows, "key string, at long, i int"), "key", F.col("at"), ["i"], 5, 7).collect()}
+    for key, at, i in rows:
+        inside = sorted((a, j) for k, a, j in rows if k == key and at - 7_000_000 < a <= at)
+        last = [a for a, j in inside if (a, j) <= (at, i)][-5:]
+        assert got[i] == (len(inside), len(inside) <= 5, None if len(inside) <= 5 else max(1, (last[0] + 7_000_000 - at) // 1_000_000 + 1))
+    assert len(got) == len(rows)
+
+
+def test_job_stream_reclaims_stale_jobs(spark, tmp_path):
+    """A timer queues a job of which nothing is heard, once; a late report finds it queued; the same as on the table of reports."""
+    from siftwarden.operators import events
+
+    s = 1_000_000
+    table = lambda rows: spark.createDataFrame(rows, "job_id string, at long, outcome string")
+    one = [("a", 0, "enqueued"), ("a", 10 * s, "claimed"), ("b", 0, "enqueued"), ("b", 20 * s, "claimed"), ("c", 0, "enqueued"), ("c", 30 * s, "claimed")]
+    two = [("b", 900 * s, "succeeded"), ("c", 1000 * s, "succeeded"), ("x", 3000 * s, "enqueued")]
+    three = [("a", 3100 * s, "claimed"), ("x", 3200 * s, "claimed"), ("y", 9000 * s, "enqueued")]
+    got = streamed(spark, tmp_path, [table(one), table(two), table(three), table([("y", 9001 * s, "claimed")])], lambda x: live.job_states(x))
+    by = {j: [(r["at"] // s, r.status, r.attempts) for r in sorted(got, key=lambda r: r["at"]) if r.job_id == j] for j in "abcx"}
+    assert by["a"] == [(0, "queued", 0), (10, "running", 1), (910, "queued", 1), (3100, "running", 2), (4000, "queued", 2)]
+    assert by["b"] == [(0, "queued", 0), (20, "running", 1), (900, "succeeded", 1)]
+    assert by["c"] == [(0, "queued", 0), (30, "running", 1), (930, "queued", 1)]
+    want = {(r.job_id, r.reclaimed_at) for r in events.reclaims(table(one + two + three), F.lit(9000 * s)).collect()}
+    assert {(r.job_id, r["at"]) for r in got if r.status == "queued" and r["at"] == r.due and r.attempts} == want
+
+
+def test_late_events_are_told_apart_and_counted(spark, tmp_path):
+    table = lambda rows: spark.sql("select cast(t as timestamp_ntz) as ts, e as event_type from values " + ", ".join(f"('2024-01-01 {t}', '{e}')" for t, e in rows) + " as v(t, e)")
+    batches = [[("01:00:00", "a"), ("03:30:00", "a")], [("03:00:00", "a"), ("01:59:59", "a"), ("02:31:00", "b"), ("05:00:00", "b")], [("01:00:00", "b"), ("04:10:00", "a")]]
+    place = str(tmp_path / "p")
+    for k, rows in enumerate(batches):
+        table(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(table(rows).schema).parquet(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(lambda df, n: live.split_late(df, n, place, 3600)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    live.split_late(table(batches[2]), 2, place, 3600)  # a batch that runs again
+    hours = {(r.hour.hour, r.event_type): (r.n, r.closed) for r in live.hours_kept(spark, place, 3600).collect()}
+    assert hours == {(1, "a"): (1, True), (3, "a"): (2, True), (2, "b"): (1, True), (5, "b"): (1, False), (4, "a"): (1, False)}
+    assert {r.event_type: r.n for r in live.late_counts(spark, place).collect()} == {"a": 1, "b": 1}
+
+
+def test_replayed_events_once(spark, tmp_path):
+    """An event that comes again within the watermark is dropped by the stream, one that comes after it by the target."""
+    table = lambda rows: spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, d) as ts, id, v from values " + ", ".join(f"({d}, {i}, '{v}')" for d, i, v in rows) + " as t(d, id, v)")
+    place, seen = str(tmp_path / "out"), []
+
+    def keep(df, _):
+        seen.append(sorted(r.id for r in df.collect()))
+        live.append_new(df, place, ["id"])
+
+    for rows in ([(0, 1, "a"), (0, 2, "b"), (0, 1, "a")], [(0, 2, "b"), (1, 3, "c")], [(9, 4, "d")], [(9, 1, "a"), (9, 4, "d")]):
+        table(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = live.once(spark.readStream.schema(table(rows).schema).parquet(str(tmp_path / "in")), ["id"], "2 days")
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [x for x in seen if x] == [[1, 2], [3], [4], [1]]
+    assert sorted(r.id for r in spark.read.parquet(place).collect()) == [1, 2, 3, 4]
+
+
 def test_verified_report(spark, tmp_path):
     from siftwarden.functions import text as T
 
