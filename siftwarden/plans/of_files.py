@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from siftwarden.operators import detect, infra, manifests, pyast
 from siftwarden.sources import files as tree
 
 from .registry import query
-from .standins import made_files, made_sql, read
+from .standins import made_files, made_sql, place as new_place, read
 
 # Small Python files of our own, and what reports say of each: rule, severity, line; fixed values.
 PYTHON = {
@@ -103,8 +100,7 @@ def streaming_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwarden.streaming import live
 
     batch = read(spark, sf_dir, "events")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftwarden-")
-    place = f"{shared.rstrip('/')}/streaming_event_counts-{uuid.uuid4().hex}"
+    place = new_place(spark, "streaming_event_counts")
     stream = live.hourly(spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     # with no event at all there is no batch, and an empty table stands
     stream_schema = stream.schema

@@ -111,3 +111,33 @@ def resolve_open_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each project's last scan resolves of all that was open before it."""
     gone = store.resolved_open(findings(spark, sf_dir), scans(spark, sf_dir))
     return gone.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fingerprint").alias("n_fingerprints"))
+
+
+#: The first three orders of a customer are scans of a project, the parts of their rows what they find.
+THREE = """nth AS (SELECT o_custkey AS project_id, o_orderkey AS scan_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+  hit AS (SELECT project_id, CAST(l_partkey % 40 AS VARCHAR) AS fingerprint, k, any_value(scan_id) AS scan_id FROM lineitem JOIN nth ON l_orderkey = scan_id WHERE k <= 3 GROUP BY ALL),
+  made AS (SELECT project_id, max(k) FILTER (WHERE k <= 3) AS scans FROM nth GROUP BY project_id)"""
+
+
+@query(f"""WITH {THREE}, f AS (SELECT project_id, fingerprint, arg_min(scan_id, k) AS first_scan, arg_max(scan_id, k) AS last_scan, min(k) AS lo, max(k) AS hi, count(*) AS n, any_value(scans) AS scans FROM hit JOIN made USING (project_id) GROUP BY project_id, fingerprint)
+  SELECT project_id, fingerprint, CASE WHEN hi = scans THEN 'open' ELSE 'resolved' END AS status, first_scan, last_scan,
+    TIMESTAMP '2024-01-01' + to_days(CAST(CASE WHEN hi < scans THEN hi + 1 WHEN n = hi - lo + 1 THEN lo ELSE 3 END AS INTEGER)) AS changed_at FROM f""")
+def finding_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three scans of each project written to one table of findings, one after the other: found first, again, resolved, and opened again."""
+    from pyspark.sql.window import Window
+
+    from siftwarden.sinks import ledger
+
+    from .standins import place
+
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    scans = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("scan_id"), nth.alias("k")).where("k <= 3")
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), (F.col("l_partkey") % 40).cast("string").alias("fingerprint"))
+    table = ledger.Ledger(spark, place(spark, "finding_ledger"), ["project_id", "fingerprint"], ledger.FINDINGS)
+    for k in (1, 2, 3):
+        of_turn = scans.where(F.col("k") == k).select("project_id", "scan_id")
+        found = rows.join(of_turn, "scan_id").select("project_id", "fingerprint", F.lit("RULE").alias("rule_id"), F.lit("high").alias("severity")).distinct()
+        ledger.scanned(table, of_turn, found, F.lit(f"2024-01-0{k + 1} 00:00:00").cast("timestamp_ntz"))
+        if k == 2:
+            table.compact()
+    return table.read().select("project_id", "fingerprint", "status", "first_scan", "last_scan", "changed_at")
