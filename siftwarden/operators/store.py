@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftwarden.functions.severity import SEVERITIES
+
 from . import findings as ops
 
 
@@ -69,11 +71,12 @@ def between(df: DataFrame, at: str, since: str | None, until: str | None) -> Dat
     return df
 
 
-def notification(findings: DataFrame, key: str, top: int = 5) -> DataFrame:
-    """For each key what a message tells: n of each severity, risk and the rules found most, as `rule xN` in order."""
-    by_rule = findings.groupBy(key, "rule_id").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "rule_id"))
-    some = by_rule.withColumn("_rank", rank).where(F.col("_rank") <= top)
-    told = F.concat("rule_id", F.lit(" x"), F.col("n").cast("string"))
-    rules = some.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_rank", told.alias("told")))), lambda x: x["told"]), ", ").alias("top_rules"))
-    return ops.counts_by_severity(findings, key).join(ops.risk(findings, key), key).join(rules, key)
+def notification(findings: DataFrame, key: str, top: int = 20) -> DataFrame:
+    """For each key what a message tells: n of each severity, how many, risk, and the first findings in report order as a JSON list of rule, severity and place; no texts of sources."""
+    order = [*ops.canonical_order("rule_id"), "fingerprint"]
+    # a task gives out `top` rows of each key at most
+    first = findings.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_nth") <= top)
+    told = F.struct("rule_id", "severity", F.col("file_path").alias("file"), "line")
+    some = first.groupBy(key).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("_nth", told.alias("told")))), lambda x: x["told"])).alias("top_findings"))
+    counts = ops.counts_by_severity(findings, key).withColumn("finding_count", F.expr(" + ".join(SEVERITIES)).cast("long"))
+    return counts.join(ops.risk(findings, key), key).join(some, key)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwarden.operators import policy as P
-from siftwarden.sinks import render
+from siftwarden.sinks import grouped, render
 from siftwarden.sources import feeds
 
 from .of_supply import COMPONENT, FEED, _feed, components
 from .registry import query
-from .standins import FINDING, RANK, WEIGHT, findings
+from .standins import COUNTS, FINDING, GRADE, RANK, WEIGHT, findings, read, scans
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).withColumn("category", F.lit("code"))
@@ -86,3 +86,46 @@ def policy_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _found(spark, sf_dir).select("rule_id", "severity", "confidence", "category", "file_path", "line", *(F.lit(None).cast("string").alias(c) for c in ("licence", "package", "ecosystem")))
     parts = components(spark, sf_dir).select(F.lit("LICENSE").alias("rule_id"), F.lit("low").alias("severity"), F.lit("high").alias("confidence"), F.lit("license-compliance").alias("category"), F.lit("parts.txt").alias("file_path"), F.col("p_partkey").cast("long").alias("line"), "licence", F.col("name").alias("package"), "ecosystem")
     return P.evaluated(found.unionByName(parts), POLICY)
+
+
+_LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
+_RESULT = f"""to_json({{'ruleId': rule_id, 'level': {_LEVEL}, 'message': {{'text': snippet}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': file_path}}, 'region': {{'startLine': greatest(1, line)}}}}}}], 'partialFingerprints': {{'primary': fingerprint}}}})"""
+
+
+@query(f"""WITH {FINDING}, f AS (SELECT *, {RANK} AS rank, {_RESULT}::VARCHAR AS piece FROM finding), rule AS (SELECT scan_id, rule_id, min((rank, file_path, line)) AS place, arg_min(severity, (rank, file_path, line)) AS severity FROM f GROUP BY scan_id, rule_id),
+  rules AS (SELECT scan_id, string_agg('{{"id":"' || rule_id || '","defaultConfiguration":{{"level":"' || {_LEVEL} || '"}}}}', ',' ORDER BY place, rule_id) AS rules FROM rule GROUP BY scan_id),
+  results AS (SELECT scan_id, string_agg(piece, ',' ORDER BY rank, file_path, line, rule_id, piece) AS results FROM f GROUP BY scan_id)
+  SELECT scan_id, '{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"siftwarden","rules":[' || coalesce(rules, '') || ']}}}},"results":[' || coalesce(results, '') || ']}}]}}' AS document
+  FROM scan LEFT JOIN rules USING (scan_id) LEFT JOIN results USING (scan_id)""")
+def sink_sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SARIF document for each scan, those that found nothing included."""
+    return grouped.documents(grouped.sarif(_found(spark, sf_dir), "scan_id", "siftwarden", scans(spark, sf_dir)), "scan_id")
+
+
+@query(f"""WITH {FINDING}, c AS (SELECT project_id, {COUNTS}, count(*) AS n, CAST(sum({WEIGHT}) AS BIGINT) AS risk_score FROM finding GROUP BY project_id),
+  f AS (SELECT project_id, string_agg(piece, ',' ORDER BY rank, file_path, line, rule_id, piece) AS found FROM (SELECT project_id, {RANK} AS rank, file_path, line, rule_id,
+    to_json({{'rule_id': rule_id, 'severity': severity, 'confidence': confidence, 'category': 'code', 'location': {{'file_path': file_path, 'start_line': line, 'end_line': line, 'snippet': snippet}}, 'fingerprint': fingerprint}})::VARCHAR AS piece FROM finding) GROUP BY project_id)
+  SELECT project_id, '{{"risk_score":' || risk_score || ',"grade":"' || {GRADE} || '","severity_counts":{{"critical":' || critical || ',"high":' || high || ',"medium":' || medium || ',"low":' || low || ',"info":' || info || '}},"total_findings":' || n || ',"findings":[' || found || ']}}' AS document FROM c JOIN f USING (project_id)""")
+def sink_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON report for each project."""
+    return grouped.documents(grouped.report(_found(spark, sf_dir), "project_id"), "project_id")
+
+
+#: A project's components: the parts that its orders name.
+USED = f"""{COMPONENT}, used AS (SELECT DISTINCT o_custkey AS project_id, ecosystem, lower(name) AS name, version, {_PURL} AS purl FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN component ON l_partkey = p_partkey)"""
+
+
+def _used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("project_id"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(orders, "l_orderkey")
+    parts = components(spark, sf_dir).select("p_partkey", "ecosystem", F.lower("name").alias("name"), "version")
+    used = rows.join(parts, "p_partkey").select("project_id", "ecosystem", "name", "version").distinct()
+    return used.withColumn("purl", render.purl(F.col("ecosystem"), F.col("name"), F.col("version")))
+
+
+@query(f"""WITH {USED}, d AS (SELECT project_id, sha256('project ' || project_id || '|' || string_agg(purl, '|' ORDER BY ecosystem, name, version)) AS digest FROM used GROUP BY project_id),
+  h AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || digest::BLOB) AS s FROM d)
+  SELECT project_id, digest, s[1:8] || '-' || s[9:12] || '-5' || s[14:16] || '-' || substr('89ab', CAST(1 + (strpos('0123456789abcdef', s[17:17]) - 1) % 4 AS INTEGER), 1) || s[18:20] || '-' || s[21:32] AS serial FROM h""")
+def sink_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest and serial number of every project's inventory at once."""
+    return grouped.serials(_used(spark, sf_dir), "project_id", F.concat(F.lit("project "), F.col("project_id").cast("string")))

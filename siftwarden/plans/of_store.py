@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwarden.operators import findings as ops, store
 
 from .registry import query
-from .standins import BARE, COUNTS, FINDING, GRADE, PROJECT, SCAN, WEIGHT, bare_findings, findings, projects, read, scans
+from .standins import BARE, COUNTS, FINDING, GRADE, PROJECT, RANK, SCAN, WEIGHT, bare_findings, findings, projects, read, scans
 
 LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY scan_id DESC) AS recency FROM scan WHERE status = 'succeeded') WHERE recency <= {n})"
 
@@ -98,9 +98,10 @@ def unarchived_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.unarchived(p).groupBy("org_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {FINDING}, c AS (SELECT project_id, {COUNTS}, CAST(sum({WEIGHT}) AS BIGINT) AS risk_score FROM finding GROUP BY project_id),
-  r AS (SELECT project_id, rule_id, count(*) AS n, row_number() OVER (PARTITION BY project_id ORDER BY count(*) DESC, rule_id) AS k FROM finding GROUP BY project_id, rule_id),
-  t AS (SELECT project_id, string_agg(rule_id || ' x' || n, ', ' ORDER BY k) AS top_rules FROM r WHERE k <= 5 GROUP BY project_id) SELECT c.*, {GRADE} AS grade, top_rules FROM c JOIN t USING (project_id)""")
+@query(f"""WITH {FINDING}, c AS (SELECT project_id, {COUNTS}, CAST(count(*) AS BIGINT) AS finding_count, CAST(sum({WEIGHT}) AS BIGINT) AS risk_score FROM finding GROUP BY project_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY {RANK}, file_path, line, rule_id, fingerprint) AS k FROM finding),
+  t AS (SELECT project_id, '[' || string_agg('{{"rule_id":"' || rule_id || '","severity":"' || severity || '","file":"' || file_path || '","line":' || line || '}}', ',' ORDER BY k) || ']' AS top_findings FROM r WHERE k <= 20 GROUP BY project_id)
+  SELECT c.*, {GRADE} AS grade, top_findings FROM c JOIN t USING (project_id)""")
 def notification_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.notification(findings(spark, sf_dir), "project_id")
 

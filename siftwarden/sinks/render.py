@@ -19,7 +19,7 @@ from siftwarden.functions import licences as L, severity as S, text as T
 from siftwarden.operators.findings import canonical_order
 
 # SARIF's level of each severity.
-LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "none"}
+LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 TOP = 50
 
 
@@ -27,12 +27,12 @@ def _level(severity: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair))[severity]
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """A SARIF 2.1.0 result as JSON for each finding, in report order (column no)."""
+def sarif_results(findings: DataFrame, *more: str) -> DataFrame:
+    """A SARIF 2.1.0 result as JSON for each finding (column piece), with what orders it."""
     region = F.struct(F.greatest(F.lit(1), F.col("line")).alias("startLine"))
     place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule_id").alias("ruleId"), _level(F.col("severity")).alias("level"), F.struct(F.col("snippet").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("partialFingerprints"))
-    return findings.select("severity", "file_path", "line", "rule_id", F.to_json(result).alias("piece")).orderBy(*canonical_order("rule_id")).select("piece")
+    return findings.select("severity", "file_path", "line", "rule_id", F.to_json(result).alias("piece"), *more)
 
 
 def sarif(findings: DataFrame, tool: str) -> Iterator[str]:
@@ -42,8 +42,7 @@ def sarif(findings: DataFrame, tool: str) -> Iterator[str]:
     for k, r in enumerate(first.toLocalIterator()):
         yield "," * (k > 0) + json.dumps({"id": r.rule_id, "defaultConfiguration": {"level": LEVELS[r.severity]}})
     yield ']}},"results":['
-    for k, r in enumerate(sarif_results(findings).toLocalIterator()):
-        yield "," * (k > 0) + r.piece
+    yield from _joined(sarif_results(findings).orderBy(*canonical_order("rule_id")).select("piece"))
     yield "]}]}"
 
 
@@ -133,24 +132,31 @@ def purl(ecosystem: Column, name: Column, version: Column) -> Column:
     return F.concat(F.lit("pkg:"), kind, F.lit("/"), name, F.lit("@"), version)
 
 
-def cyclonedx_components(components: DataFrame) -> DataFrame:
-    """A CycloneDX component as JSON for each component (ecosystem, name, version, purl, licence), in report order."""
+def cyclonedx_components(components: DataFrame, *more: str) -> DataFrame:
+    """A CycloneDX component as JSON (column piece) for each component (ecosystem, name, version, purl, licence); in report order, or with what orders it and the columns that are asked for."""
     known = F.col("licence") != "UNKNOWN"
     license_ = lambda x: F.struct(F.struct(x.alias("id")).alias("license"))
     told = F.when(known & L.readable(F.col("licence")) & (F.size(L.ids(F.col("licence"))) > 1) & F.col("licence").rlike(r"(?i)\sor\s|[/,]"), F.transform(L.ids(F.col("licence")), license_)).when(known, F.array(license_(F.col("licence"))))
     one = F.struct(F.lit("library").alias("type"), F.col("purl").alias("bom-ref"), "name", "version", "purl", told.alias("licenses"))
+    if more:
+        return components.select("ecosystem", "name", "version", F.to_json(one).alias("piece"), *more)
     return components.orderBy("ecosystem", F.lower("name"), "version").select(F.to_json(one).alias("piece"))
 
 
-def cyclonedx_vulnerabilities(findings: DataFrame, components: DataFrame, target: str, *more: str) -> DataFrame:
-    """A CycloneDX vulnerability as JSON for each finding; `affects` names its package where the inventory has it (column purl, null for none)."""
-    held = components.select("purl").distinct().withColumn("_held", F.lit(True))
-    id_ = F.concat(F.lit("FINDING-"), F.upper(F.substring(F.sha2(F.concat_ws("|", F.lit(target), "fingerprint"), 256), 1, 12)))
+def cyclonedx_vulnerabilities(findings: DataFrame, components: DataFrame, target: str | Column, *more: str, by: str | None = None) -> DataFrame:
+    """A CycloneDX vulnerability as JSON for each finding; `affects` names its package where the inventory has it (column purl, null for none).
+
+    by: a column of both that names the inventory, where there are several.
+    """
+    same = ["purl"] + ([by] if by else [])
+    held = components.select(*same).distinct().withColumn("_held", F.lit(True))
+    target = F.lit(target) if isinstance(target, str) else target
+    id_ = F.concat(F.lit("FINDING-"), F.upper(F.substring(F.sha2(F.concat_ws("|", target, "fingerprint"), 256), 1, 12)))
     affects = F.when(F.col("_held"), F.array(F.struct(F.col("purl").alias("ref")))).otherwise(F.expr("cast(array() as array<struct<ref:string>>)"))
     named = lambda k, c: F.struct(F.lit(k).alias("name"), c.cast("string").alias("value"))
     properties = F.array(named("rule-id", F.col("rule_id")), named("category", F.col("category")), named("confidence", F.col("confidence")), named("fingerprint", F.col("fingerprint")), named("file", F.col("file_path")), named("line", F.col("line")))
     one = F.struct(id_.alias("id"), F.array(F.struct("severity", F.lit("other").alias("method"))).alias("ratings"), affects.alias("affects"), properties.alias("properties"))
-    return findings.join(held, "purl", "left").select("severity", "file_path", "line", "rule_id", F.to_json(one).alias("piece"), *more)
+    return findings.join(held, same, "left").select("severity", "file_path", "line", "rule_id", F.to_json(one).alias("piece"), *more)
 
 
 def _serial(components: DataFrame, name: str) -> str:

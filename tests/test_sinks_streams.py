@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siftwarden.sinks import render
+from siftwarden.sinks import grouped, render
 from siftwarden.sources import documents, feeds, policies
 from siftwarden.streaming import live
 
@@ -23,6 +23,39 @@ def test_sarif(spark):
     assert [r["id"] for r in json.loads("".join(render.sarif(findings(spark).withColumn("severity", F.lit("low")), "t")))["runs"][0]["tool"]["driver"]["rules"]] == ["R1", "R2"]
 
 
+def test_documents_of_groups_are_those_of_each_alone(spark, tmp_path):
+    """Made and written by tasks, a group's document is what the writer of one document makes of it; repeated findings stay as many."""
+    rows = [(g, *r) for g in (1, 2) for r in [("f1", "R1", "high", "a.py", 3, 'x < "y" & z'), ("f2", "R2", "info", "b|.py", 1, "=1"), ("f2", "R2", "info", "b|.py", 1, "=1"), ("f3", "R1", "low", "c.py", g, "s")]]
+    f = spark.createDataFrame(rows, "g int, fingerprint string, rule_id string, severity string, file_path string, line long, snippet string").withColumns({"confidence": F.lit("high"), "category": F.lit("code")})
+    keys = spark.createDataFrame([(1,), (2,), (3,)], "g int")
+    pieces = grouped.sarif(f, "g", "tool", keys)
+    got = {r.g: json.loads(r.document) for r in grouped.documents(pieces, "g").collect()}
+    for g in (1, 2, 3):
+        assert got[g] == json.loads("".join(render.sarif(f.where(F.col("g") == g), "tool")))
+    assert got[3]["runs"][0]["results"] == [] and len(got[1]["runs"][0]["results"]) == 4
+    grouped.write(pieces, "g", str(tmp_path / "sarif"), 3)
+    text = "".join(p.read_text().replace("\n", "") for p in sorted((tmp_path / "sarif").glob("part-*.txt")))
+    decoder, at, told = json.JSONDecoder(), 0, []
+    while at < len(text):
+        one, at = decoder.raw_decode(text, at)
+        told.append(one)
+    assert told == [got[1], got[2], got[3]]
+    reports = {r.g: json.loads(r.document) for r in grouped.documents(grouped.report(f, "g"), "g").collect()}
+    assert reports[1]["total_findings"] == 4 and [x["rule_id"] for x in reports[1]["findings"]] == ["R1", "R1", "R2", "R2"] and reports[1]["severity_counts"]["high"] == 1
+
+
+def test_inventories_of_groups(spark):
+    c = spark.createDataFrame([(g, *r) for g in (1, 2) for r in [("python", "a", "1", "pkg:pypi/a@1", "MIT"), ("npm", "b", str(g), f"pkg:npm/b@{g}", "ISC")]], "g int, ecosystem string, name string, version string, purl string, licence string")
+    found = findings(spark).withColumns({"g": F.lit(2), "confidence": F.lit("high"), "category": F.lit("code"), "purl": F.lit("pkg:npm/b@1")})
+    name = F.concat(F.lit("n"), F.col("g").cast("string"))
+    got = {r.g: json.loads(r.document) for r in grouped.documents(grouped.cyclonedx(c, "g", name, found), "g").collect()}
+    for g in (1, 2):
+        own = c.where(F.col("g") == g)
+        want = json.loads("".join(render.cyclonedx(own, found.where(F.col("g") == g), f"n{g}")))
+        assert {k: got[g][k] for k in ("serialNumber", "components", "metadata", "vulnerabilities")} == {k: want[k] for k in ("serialNumber", "components", "metadata", "vulnerabilities")}
+    assert got[1]["vulnerabilities"] == [] and {x["affects"] == [] for x in got[2]["vulnerabilities"]} == {True}
+
+
 def test_report_and_baseline(spark, tmp_path):
     f = findings(spark).withColumns({"confidence": F.lit("high"), "category": F.lit("code")})
     stats = spark.sql("select 3 files_scanned, 1 files_skipped, 9 lines_scanned, 0 critical, 1 high, 0 medium, 0 low, 1 info, 2 n_findings, 120 risk_score, 'F' grade")
