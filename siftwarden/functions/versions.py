@@ -23,6 +23,12 @@ def key(version: Column) -> Column:
     return F.struct(numbers.alias("numbers"), pre.isNull().alias("release"), F.coalesce(pre, F.lit("")).alias("pre"))
 
 
+def code(version_key: Column) -> Column:
+    """62 bits that never fall while keys rise: the four numbers, each as far as its bits go; what they leave out is for the key to tell."""
+    n = lambda k, most: F.least(F.get(version_key["numbers"], F.lit(k)), F.lit(most)).cast("long")
+    return F.shiftleft(n(0, 32767), 47) + F.shiftleft(n(1, 65535), 31) + F.shiftleft(n(2, 65535), 15) + n(3, 32767)
+
+
 _OP = r"^\s*(>=|<=|!=|={1,3}|>|<|)"
 
 

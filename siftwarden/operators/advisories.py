@@ -48,17 +48,76 @@ def merged_feeds(feeds: DataFrame) -> DataFrame:
     return first_of(keyed, ["ecosystem", "package", "_name"], [F.col("source_no"), F.col("id")]).drop("_name")
 
 
+#: Advisories of a package from which on its versions are looked up in an index of ranges.
+BUSY = 1_000
+#: Bits of a version's code that one level of the index takes, and levels.
+BITS, LEVELS = 3, 21
+
+
+def _nodes(low: Column, high: Column) -> Column:
+    """The stretches of codes, each all codes that agree but for their last BITS * level bits, that make up [low, high]: structs of level and n.
+
+    At most 2 * (2**BITS - 1) of each level, so a range is a few dozen rows however many versions lie in it.
+    """
+    width = 1 << BITS
+    start = F.struct(low.alias("a"), (high + 1).alias("b"), F.expr("cast(array() as array<struct<level:int,n:bigint>>)").alias("nodes"))
+
+    def level(state: Column, k: Column) -> Column:
+        a, b = state["a"], state["b"]
+        up, down = F.shiftright(a + (width - 1), BITS), F.shiftright(b, BITS)
+        left = F.least(up * width, b)
+        right = F.greatest(down * width, left)
+        run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+        some = F.transform(F.concat(run(a, left), run(right, b)), lambda n: F.struct(k.cast("int").alias("level"), n.alias("n")))
+        return F.struct(up.alias("a"), down.alias("b"), F.concat(state["nodes"], some).alias("nodes"))
+
+    # once a is not under b nothing is left of the range
+    whole = lambda state, k: F.when(state["a"] < state["b"], level(state, k)).otherwise(state)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, whole)["nodes"]
+
+
+def indexed(versions: DataFrame, ranges_: DataFrame) -> DataFrame:
+    """(ecosystem, package, _key, _adv) for each version of a package in each range that holds it; versions: (ecosystem, package, _key), ranges_: (ecosystem, package, _adv, _bounds).
+
+    Alternatives become stretches of version codes and versions the stretches that they lie in, one of each level, so these two meet by equality,
+    and a package's versions and ranges are never paired but where they meet.
+    """
+    alternatives = ranges_.select("ecosystem", "package", "_adv", F.explode("_bounds").alias("_alt"))
+    keys = lambda *ops: F.transform(F.filter("_alt", lambda c: c["op"].isin(*ops)), lambda c: V.code(c["key"]))
+    exact = ("=", "==", "===", "")
+    low = F.coalesce(F.array_max(keys(">=", ">", *exact)), F.lit(0).cast("long"))
+    high = F.coalesce(F.array_min(keys("<=", "<", *exact)), F.lit((1 << 62) - 1))
+    nodes = alternatives.withColumn("_node", F.explode(_nodes(low, high)))
+    nodes = nodes.select("ecosystem", "package", F.col("_node.level").alias("_level"), F.col("_node.n").alias("_n"), "_adv", "_alt")
+    points = versions.select("ecosystem", "package", "_key").distinct().withColumn("_code", V.code(F.col("_key")))
+    at = F.array(*(F.struct(F.lit(k).alias("_level"), F.shiftright("_code", BITS * k).alias("_n")) for k in range(LEVELS)))
+    points = points.select("ecosystem", "package", "_key", F.inline(at))
+    met = nodes.join(points, ["ecosystem", "package", "_level", "_n"]).where(V.within(F.col("_key"), F.array("_alt")))
+    return met.select("ecosystem", "package", "_key", "_adv").distinct()
+
+
 def matched(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Dependencies with each advisory whose range holds the version they name, and the confidence: high if that is
     the one version they allow, medium if they allow more but provably not the one that mends it, or none does.
 
-    Ranges and versions are taken apart once for each row of either side, and their parts compared.
+    Ranges and versions are taken apart once for each row of either side, and their parts compared; of packages with more than BUSY
+    advisories only those that an index of ranges gives.
     """
     ranges_ = advisories.withColumn("_bounds", V.bounds(F.col("affected")))
     # pre-releases and build marks count where the version is the only one
     version = F.when(V.pinned(F.col("spec")), F.regexp_replace("spec", r"^={0,3}\s*v?", "")).otherwise(V.candidate(F.col("spec")))
     named = dependencies.withColumns({"package": V.package_name(F.col("ecosystem"), F.col("name")), "_pinned": V.pinned(F.col("spec")), "_key": V.key(version), "_normal": V.normalized(F.col("spec"))})
-    both = named.where(version.isNotNull()).join(ranges_, ["ecosystem", "package"]).where(V.within(F.col("_key"), F.col("_bounds")))
+    named = named.where(version.isNotNull())
+    by = ["ecosystem", "package"]
+    busy = advisories.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUSY).select(*by)
+    direct = lambda some: some.join(ranges_, by).where(V.within(F.col("_key"), F.col("_bounds")))
+    if busy.isEmpty():
+        both = direct(named)
+    else:
+        both, few = direct(named.join(busy, by, "left_anti")), named.join(busy, by, "left_semi")
+        told = ranges_.join(busy, by, "left_semi").withColumn("_adv", F.struct(F.xxhash64(*advisories.columns).alias("a"), F.xxhash64(F.lit(1), *advisories.columns).alias("b")))
+        found = indexed(few, told.select(*by, "_adv", "_bounds").dropDuplicates([*by, "_adv"]))
+        both = both.unionByName(few.join(found, [*by, "_key"]).join(told, [*by, "_adv"]).drop("_adv"))
     fixed = F.coalesce("fixed_in", F.lit(""))
     mends = F.when(F.col("_normal").isNotNull() & fixed.rlike(r"^v?\d"), V.in_range(fixed, F.col("_normal")))
     loose = (fixed == "") | ~F.coalesce(mends, F.lit(True))

@@ -202,3 +202,28 @@ def test_pyast_of_a_deep_file_in_a_table(spark):
     files = spark.createDataFrame([("deep.py", "x = " + "a + " * 900 + "a\n"), ("bad.py", "eval(x)\n"), ("deeper.py", "x = " + "-" * 90_000 + "1\n")], "rel_path string, content string")
     got = {(r.rel_path, r.rule_id) for r in pyast.scan(files).collect()}
     assert ("bad.py", "PY-AST-EVAL-USE") in got and {p for p, _ in got} <= {"bad.py", "deeper.py"}
+
+
+def test_busy_packages_are_matched_by_an_index(spark, monkeypatch):
+    """The same rows as by pairs, for ranges of all kinds; candidates grow with the matches, not with versions times advisories."""
+    import random
+
+    rng = random.Random(6)
+    number = lambda: ".".join(str(rng.choice([0, 1, 2, 3, 7, 10, 40, 99_999 * (rng.random() < 0.05)])) for _ in range(rng.randint(1, 4)))
+    one = lambda: "".join([rng.choice([">=", ">", "=", "", "!="]), number()]) + rng.choice(["", "," + rng.choice(["<", "<="]) + number()])
+    adv = [("npm", "hot", f"A{k}", "||".join(one() for _ in range(rng.choice([1, 1, 2]))) if k % 50 else "", "2.0" if k % 2 else "") for k in range(300)] + [("npm", "hot", "A1", "<1", ""), ("npm", "hot", "A1", "<1", ""), ("npm", "cold", "C", "<5", "")]
+    deps = [(k, "npm", "Hot" if k % 9 else "cold", rng.choice(["", "==", ">=", "^"]) + number() + rng.choice(["", "", "-rc1", "-beta.2"])) for k in range(400)] + [(900, "npm", "hot", "latest"), (901, "npm", "none", "1.0")]
+    a = spark.createDataFrame(adv, "ecosystem string, package string, id string, affected string, fixed_in string")
+    d = spark.createDataFrame(deps, "k int, ecosystem string, name string, spec string")
+    told = lambda: sorted((r.k, r.id, r.affected, r.confidence) for r in advisories.matched(d, a).select("k", "id", "affected", "confidence").collect())
+    want = told()
+    monkeypatch.setattr(advisories, "BUSY", 5)
+    assert told() == want and len(want) > 1000
+    from siftwarden.functions import versions as V
+
+    few = spark.range(3000).select(F.lit("npm").alias("ecosystem"), F.lit("hot").alias("package"), V.key(F.format_string("%d.%d.%d", F.col("id") % 13, F.col("id") % 37, F.floor(F.col("id") / 481))).alias("_key"))
+    narrow = spark.range(2000).select(F.lit("npm").alias("ecosystem"), F.lit("hot").alias("package"), F.col("id").alias("_adv"), V.bounds(F.format_string(">=%d.%d.0,<%d.%d.2", F.col("id") % 13, F.floor(F.col("id") / 13), F.col("id") % 13, F.floor(F.col("id") / 13))).alias("_bounds"))
+    found = advisories.indexed(few, narrow)
+    assert found.count() == few.distinct().join(narrow, ["ecosystem", "package"]).where(V.within(F.col("_key"), F.col("_bounds"))).count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
