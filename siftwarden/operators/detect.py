@@ -152,7 +152,8 @@ def scan(lines: DataFrame, rules: list[Rule], language: str | None = None) -> Da
 
 # Rules on prose and configuration lines, of our own making.
 TEXT_RULES = [
-    Rule("SECRETS-HARDCODED-CREDENTIAL", "high", r"""(?i)\b(api_key|token|secret|password|passwd)\s*[:=]\s*["'][^"'\s]{8,}["']""", exclude=r"""(?i)["'](your|changeme|example|https?:)""", confidence="high", category="secret", needs=('"', "'")),
+    # the credential word is a name's only segment or one of two; constants such as lexer tokens have more, those of rights dotted words as values
+    Rule("SECRETS-HARDCODED-CREDENTIAL", "high", r"""(?i)\b(([a-z0-9]+[_-])?(api_?key|token|secret|password|passwd)|(api_?key|token|secret|password|passwd)[_-][a-z0-9]+)["']?\s*[:=]\s*["'][^"'\s]{8,}["']""", exclude=r"""(?i)[:=]\s*["'](your|changeme|example|https?:|[a-z_]+(\.[a-z_]+)+["'])""", confidence="high", category="secret", needs=('"', "'")),
     Rule("SECRET-AWS-ACCESS-KEY-ID", "critical", r"\bAKIA[0-9A-Z]{16}\b", confidence="high", category="secret", needs=("AKIA",)),
     Rule("SECRET-GITHUB-TOKEN", "critical", r"\bgh[opsur]_[A-Za-z0-9]{36}|\bgithub_pat_[A-Za-z0-9_]{22}", confidence="high", category="secret", needs=("gh", "github_pat_")),
     Rule("SECRET-STRIPE-KEY", "critical", r"\b[rs]k_(live|test)_[A-Za-z0-9]{16}", confidence="high", category="secret", needs=("k_live_", "k_test_")),
@@ -171,6 +172,11 @@ ASSIGNMENT = r"""\b([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*["']([A-Za-z0-9+/=_-]{20,})
 ENTROPY_THRESHOLD, LONGEST_LINE = 4.3, 2_000
 
 
+def is_random(line: Column, threshold: float = ENTROPY_THRESHOLD) -> Column:
+    """Whether a line assigns a value that looks drawn at random."""
+    return F.when(line.rlike(ASSIGNMENT), T.entropy(F.regexp_extract(line, ASSIGNMENT, 2)) >= threshold).otherwise(False)
+
+
 def entropy_assignments(lines: DataFrame, threshold: float = ENTROPY_THRESHOLD) -> DataFrame:
     """lines, but for their text, with the name, value_length and entropy of an assigned value that looks drawn at random."""
     some = lines.where((F.char_length("line_text") <= LONGEST_LINE) & F.col("line_text").rlike(ASSIGNMENT))

@@ -63,12 +63,14 @@ def _rules(files: DataFrame, s: Settings) -> DataFrame:
 
 
 def _secrets(files: DataFrame, s: Settings) -> DataFrame:
-    """Provider tokens and named credentials, and assigned values that look drawn at random; comments count, docstrings don't."""
+    """Provider tokens and named credentials, and assigned values that look drawn at random; comments count, docstrings don't.  An assignment is told once: as random if it is."""
     lines = detect.exploded(files.select("rel_path", "language", F.col("content").alias("text")).withColumn("_silent", detect.silent_lines(F.col("text"), F.col("language"))))
     lines = lines.where((F.char_length("line_text") <= detect.LONGEST_LINE) & ~F.array_contains("_silent", F.col("line").cast("int"))).drop("_silent")
     random = detect.entropy_assignments(lines, s.entropy_threshold)
     told = {"rule_id": F.lit("SECRETS-HIGH-ENTROPY-ASSIGNMENT"), "severity": F.lit("high"), "confidence": F.lit("medium"), "category": F.lit("secret"), "snippet": F.concat(F.col("name"), F.lit(" = <redacted:"), F.col("value_length").cast("string"), F.lit(">"))}
-    return _shaped(detect.scan(lines, detect.SECRET_RULES), "secrets").unionByName(_shaped(random.withColumns(told).drop("name"), "secrets"))
+    named = detect.scan(lines.withColumn("_random", detect.is_random(F.col("line_text"), s.entropy_threshold)), detect.SECRET_RULES)
+    named = named.where(~(F.col("_random") & (F.col("rule_id") == "SECRETS-HARDCODED-CREDENTIAL"))).drop("_random")
+    return _shaped(named, "secrets").unionByName(_shaped(random.withColumns(told).drop("name"), "secrets"))
 
 
 def _manifests(files: DataFrame) -> DataFrame:

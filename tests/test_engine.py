@@ -67,3 +67,18 @@ def test_unknown_licences(spark, unknown, severity):
     table = spark.createDataFrame([], "ecosystem string, name string, licence string")
     assert [r.severity for r in compliance.licence_findings(deps, table, unknown=unknown).collect()] == [severity]
     assert {r["class"]: r.n for r in compliance.summary(deps, table).collect()} == {"allowed": 0, "warning": 0, "unknown": 1, "blocked": 0}
+
+
+def test_named_credentials(spark):
+    """The word as one of at most two segments; not constants, rights, placeholders; a random value is told once."""
+    lines = {
+        "db_password = 'hunter2hunter2'": ["SECRETS-HARDCODED-CREDENTIAL"], "client_secret: 'abcd1234'": ["SECRETS-HARDCODED-CREDENTIAL"], 'SECRET_KEY = "insecure-key"': ["SECRETS-HARDCODED-CREDENTIAL"],
+        '{"auth_token": "aaaabbbb1"}': ["SECRETS-HARDCODED-CREDENTIAL"], 'PASSWORD="Tr0ubador-Horse-9911"': ["SECRETS-HARDCODED-CREDENTIAL"], "password = 'short'": [], 'TOKEN_COMMENT_BEGIN = "begincomment"': [],
+        'TOKEN_MANAGE = "token.manage"': [], "api_key = 'your-key-here'": [], "token = 'https://example.org/x'": [], 'api_token = "' + "Zk9pQ2xR7vN4mT8s" + 'W1yB6dF3hJ0aL5e"': ["SECRETS-HIGH-ENTROPY-ASSIGNMENT"], "detokenize = 'abcdefgh1'": [],
+    }
+    files = spark.createDataFrame([(f"f{k}.txt", line) for k, line in enumerate(lines)], "rel_path string, content string")
+    found = engine.run(tree.classified(files), engine.Settings(engines=("secrets",)))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.file_path, []).append(r.rule_id)
+    assert {line: got.get(f"f{k}.txt", []) for k, line in enumerate(lines)} == lines
