@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def whole_ids(docs: DataFrame) -> None:
+    """Refuses a doc_id that isn't a whole number, since smallest ids and keys are told by it."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("doc_id must be a whole number; number text ids first")
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares for work tables: spark.checkpoint.dir.
 

@@ -8,12 +8,12 @@ class: a document that holds 75% of an item's set misses fewer than k of its shi
 match is lost, however long the document.  A document looks its shingles up in the classes whose smallest item could fit
 into it (0.75 of its size at most the document's) and skips the others, and each candidate is verified on the full sets.
 
-Sketches and item sets go to the workers while the items have at most SENT_SHINGLES shingles in all; more are searched by
+Sketches and item sets go to the workers while the items have at most SENT_SHINGLES shingles in all, ITEM_COST for each item added; more are searched by
 a join on the sketch hashes, of documents' shingles that pass a filter of all sketches, with the same result.
 
 Nulls and edges: an item or document without words or text matches nothing; an item of fewer than five
 words is one shingle, which a document holds only if that is its whole text; items that repeat are each
-reported; a null doc_id is reported as null; a very long text is one set, which its task must hold (8 bytes for each of its
+reported; ids may be of any type; a null doc_id is reported as null; a very long text is one set, which its task must hold (8 bytes for each of its
 words); an item held by exactly 75% matches; other columns of docs stay, one named as the result gives way to it;
 an empty table on either side gives no pairs.
 """
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import table, written
 from .hashing import U, shingle_sets
@@ -33,6 +34,8 @@ from .hashing import U, shingle_sets
 SHARE = (3, 4)
 SHINGLE = 5
 SENT_SHINGLES = 4_000_000
+#: Shingles that an item counts for besides its own, for what it takes to hold it: at most 250,000 items and 32 MB of shingles are sent.
+ITEM_COST = 15
 _BITS = 20
 
 
@@ -98,18 +101,19 @@ def with_hits(docs: DataFrame, items: DataFrame, name: str = "hits") -> DataFram
     """docs with the column `name`, an array of (item_id, n_item, n_shared); items: item_id, text."""
     made = written(sketched(items).withColumn("item", F.monotonically_increasing_id()), "items")
     kind = f"array<struct<item_id:{dict(items.dtypes)['item_id']},n_item:int,n_shared:int>>"
-    if (made.agg(F.sum("n")).first()[0] or 0) > SENT_SHINGLES:
+    if (made.agg(F.sum(F.col("n") + ITEM_COST)).first()[0] or 0) > SENT_SHINGLES:
         # rows are told apart by keys of their own, written so that they stay: ids may be null or repeat
         docs = written(docs.withColumn("_doc", F.monotonically_increasing_id()), "keyed")
         found = joined(docs.select(F.col("_doc").alias("doc"), "text"), made).join(made.select("item", "item_id"), "item")
         found = found.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("item_id", "n_item", "n_shared"))).alias(name))
         return docs.join(found, "_doc", "left").withColumn(name, F.coalesce(name, F.expr(f"cast(array() as {kind})"))).drop("_doc")
+    id_type = to_arrow_type(items.schema["item_id"].dataType)
     sent = docs.sparkSession.sparkContext.broadcast(Index(made.orderBy("item_id").collect()))
 
     @F.arrow_udf(kind)
     def search(texts: pa.Array) -> pa.Array:
         hits = [[dict(zip(("item_id", "n_item", "n_shared"), x)) for x in sent.value.search(s)] for s in shingle_sets(texts, SHINGLE)]
-        return pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int32()), ("n_shared", pa.int32())])))
+        return pa.array(hits, pa.list_(pa.struct([("item_id", id_type), ("n_item", pa.int32()), ("n_shared", pa.int32())])))
 
     return docs.withColumn(name, search("text"))
 

@@ -23,7 +23,7 @@ are probed shard by shard, where lines and filters of a shard meet in SALTS task
 Nulls and edges: null or empty text is one empty line; rows with a null doc_id keep all their lines
 and count for nothing; rows that repeat a doc_id count as one document; a key that ties goes to the smallest doc_id; a very
 long text is taken whole, its lines one row each; other columns stay, but those named as result columns give way
-to them; an empty table gives none.
+to them; an empty table gives none; a doc_id that isn't a whole number is refused (ValueError).
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, boxed, table, work_dir
+from .common import SPACE, ascii_lower, boxed, table, whole_ids, work_dir
 
 MIN_CHARS = 10
 #: Shared keys that a shard holds on average; a shard's filter is then about 170 KB.
@@ -190,6 +190,7 @@ class LineDedup:
 
     def insert(self, docs: DataFrame) -> None:
         """Documents that are already in are taken as they were."""
+        whole_ids(docs)
         new = _keyed(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("h1", "h2", "doc_id").dropDuplicates()
         state = json.loads(self.describe())
         if not state["shards"]:
@@ -208,6 +209,7 @@ class LineDedup:
         state = json.loads(self.describe())
         if not state["shards"]:
             return
+        whole_ids(doc_ids)
         gone = self._put("gone", doc_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), shards=False)
         out = self.spark.read.parquet(gone)
         held = self._segments(state, "docs", self._parts(out.withColumn("part", _part(state["shards"], "doc_id")))).join(out, "doc_id", "left_semi")
@@ -273,6 +275,7 @@ class LineDedup:
 
     def apply(self, docs: DataFrame, text: str = "kept_text") -> DataFrame:
         """docs with n_lines, n_dropped and the text that is left."""
+        whole_ids(docs)
         docs, opened = boxed(docs, ["doc_id", "text"], ["n_lines", "n_dropped", text])
         same = F.xxhash64("text").alias("_same")  # rows that repeat a doc_id with another text stay apart
         lines = self._maybe_shared(_keyed(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", same), "_same"))

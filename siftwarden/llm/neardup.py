@@ -21,7 +21,7 @@ is what links reach.
 Nulls and edges: a text without words is linked with nothing; a null doc_id is linked with nothing and kept;
 rows that repeat a doc_id with the same text are copies of each other, with another text each stands for
 itself; ties go to the smallest doc_id; a very long text is one set, which its task must hold (8 bytes for each of its
-words); other columns of docs are not looked at; an empty table gives none.
+words); other columns of docs are not looked at; an empty table gives none; a doc_id that isn't a whole number is refused (ValueError).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import table, whole_ids, written
 from .components import relabel
 from .hashing import U, goes, mix, ngram_hashes, word_hashes
 
@@ -334,6 +334,7 @@ def classed(docs: DataFrame) -> DataFrame:
 
     Of each component one doc_id and text_hash is kept, with all rows that repeat both; what is linked with nothing is kept.
     """
+    whole_ids(docs)
     spark = docs.sparkSession
     told = written(sketches(docs), "sketches")
     some = told.where("n_shingles > 0 and doc_id is not null")

@@ -12,8 +12,9 @@ Vectors of one label are linked if their cosine in double precision is AT_LEAST
    angle from it, in one of RINGS rings.  Angles obey the triangle inequality, so two rings whose angles and
    centres' angle add up to the link's angle at most are linked throughout, and two that are farther apart aren't at all: their counts are enough.
    Only rings in between are compared, by blocks of about BLOCK classes, each pair of blocks once.  So n near copies of one vector cost about n and not n * n.
-4. All other classes are units of their own.  Units that meet in any table are told once, and verified: classes by their
-   cosine, units of many by the rings.
+4. All other classes are units of their own.  Units that meet in any table are told once, but classes whose SKETCH signs of random projections
+   differ in more than APART are none: at AT_LEAST that has a probability below 1e-9, and it spares nearly all that met by chance.
+   They are verified: classes by their cosine, units of many by the rings.
 
 Labels and vector lengths are told apart by 64 bits of hash, equal vectors by 128.
 
@@ -48,6 +49,8 @@ MISS, SIMULATED = 1e-6, 4_000
 PROBES, FAR = 4, 4
 #: Classes in a bucket that make a unit; its rings; classes of a block.
 DENSE, RINGS, BLOCK = 64, 16, 256
+#: Signs of random projections that a class carries, and how many of two classes' may differ.
+SKETCH, APART = 64, 20
 #: Units of a bucket that are dealt by bucket; larger buckets are dealt in parts.
 WIDE = 2_048
 #: Parts that a hot key's rows are dealt to.
@@ -97,6 +100,12 @@ def codes(u: np.ndarray, at: int, hashes: int) -> np.ndarray:
     return np.where(ways[best] == 1, second[:, None, :], first[:, None, :])
 
 
+def sketches(u: np.ndarray) -> np.ndarray:
+    """SKETCH signs of each row's random projections, as bits of a long."""
+    signs = u @ np.random.default_rng((SEED, SKETCH, u.shape[1])).standard_normal((u.shape[1], SKETCH)) > 0
+    return np.packbits(signs, axis=1).view(np.int64).reshape(-1)
+
+
 def tables_for(d: int, n: int) -> tuple[int, int]:
     """(hashes, tables) for n classes of one label with d entries."""
     axes = 2 * max(4, 1 << (d - 1).bit_length())
@@ -117,7 +126,7 @@ def tables_for(d: int, n: int) -> tuple[int, int]:
 
 
 def buckets(classes: DataFrame, key: str, plan: dict[int, tuple[int, int]], probes: bool) -> DataFrame:
-    """(bucket, key, own): each row's buckets in all tables, with its probes or without; buckets are negative."""
+    """(bucket, key, own, sketch): each row's buckets in all tables, with its probes or without, and its sketch; buckets are negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,6 +136,7 @@ def buckets(classes: DataFrame, key: str, plan: dict[int, tuple[int, int]], prob
                 hashes, tables = plan[d]
                 for part in np.array_split(np.arange(len(rows)), 1 + len(rows) * d // CHUNK):
                     u, own = units(x[part].astype(np.float64)), rows[part]
+                    marks = sketches(u)
                     for at in range(tables):
                         code = codes(u, at, hashes)[:, : None if probes else 1]
                         h = np.repeat(mix(labels[own] + U(at + 1))[:, None], code.shape[1], axis=1)
@@ -134,9 +144,9 @@ def buckets(classes: DataFrame, key: str, plan: dict[int, tuple[int, int]], prob
                             h = mix(h + code[:, :, k].astype(U) + U(1))
                         first = np.zeros(h.shape, bool)
                         first[:, 0] = True
-                        yield pa.RecordBatch.from_arrays([pa.array((h | U(1 << 63)).reshape(-1).view(np.int64)), pa.array(np.repeat(keys[own], code.shape[1])), pa.array(first.reshape(-1))], ["bucket", key, "own"])
+                        yield pa.RecordBatch.from_arrays([pa.array((h | U(1 << 63)).reshape(-1).view(np.int64)), pa.array(np.repeat(keys[own], code.shape[1])), pa.array(first.reshape(-1)), pa.array(np.repeat(marks, code.shape[1]))], ["bucket", key, "own", "sketch"])
 
-    return classes.select(key, "lab", "embedding").mapInArrow(run, f"bucket long, {key} long, own boolean")
+    return classes.select(key, "lab", "embedding").mapInArrow(run, f"bucket long, {key} long, own boolean, sketch long")
 
 
 def salted(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
@@ -198,9 +208,9 @@ def between(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def meetings(found: DataFrame) -> DataFrame:
-    """(x, y), x < y: units that meet in a bucket, from (bucket, unit, own)."""
-    found = written(found.groupBy("bucket", "unit").agg(F.max("own").alias("own")), "found")
-    left, right = (found.select("bucket", F.col("unit").alias(name), F.col("own").alias(f"own_{name}")) for name in "xy")
+    """(x, y), x < y: units that meet in a bucket, from (bucket, unit, own, sketch); a unit of many has no sketch of its own."""
+    found = written(found.groupBy("bucket", "unit").agg(F.max("own").alias("own"), F.max("sketch").alias("sketch")), "found")
+    left, right = (found.select("bucket", F.col("unit").alias(name), F.col("own").alias(f"own_{name}"), F.col("sketch").alias(f"sketch_{name}")) for name in "xy")
     wide = written(found.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > WIDE).select("bucket"), "wide")
     if wide.isEmpty():
         pairs = left.join(right, "bucket")
@@ -208,7 +218,8 @@ def meetings(found: DataFrame) -> DataFrame:
         # a bucket of very many units: its left side is dealt in parts, each of which meets the whole right side
         pairs = left.join(wide, "bucket", "left_anti").join(right, "bucket")
         pairs = pairs.unionByName(salted(left.join(wide, "bucket", "left_semi"), right.join(wide, "bucket", "left_semi"), "bucket", "x"))
-    return pairs.where("x < y and (own_x or own_y)").select("x", "y").distinct()
+    near = (F.col("x") < 0) | (F.bit_count(F.col("sketch_x").bitwiseXOR(F.col("sketch_y"))) <= APART)
+    return pairs.where("x < y and (own_x or own_y)").where(near).select("x", "y").distinct()
 
 
 def compared(pairs: DataFrame, at: DataFrame) -> DataFrame:

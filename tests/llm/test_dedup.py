@@ -279,3 +279,19 @@ def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.with_hits(table(spark, docs), none).where(F.size("hits") > 0).count() == 0
     assert decontam.with_hits(table(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_text_ids(spark, monkeypatch):
+    """Items and documents may have ids of any type, on both sides of the bound; where smallest ids are asked for, text ids are refused."""
+    from siftwarden.llm import decontam, line_dedup, neardup
+
+    text = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([("d1", f"x y {text} z"), ("d2", "nothing here"), (None, text)], "doc_id string, text string")
+    items = spark.createDataFrame([("i1", text), ("i2", "a b c d e f g")], "item_id string, text string")
+    for bound in (decontam.SENT_SHINGLES, 0):
+        monkeypatch.setattr(decontam, "SENT_SHINGLES", bound)
+        got = {(r.doc_id, h.item_id) for r in decontam.with_hits(docs, items).collect() for h in r.hits}
+        assert got == {("d1", "i1"), (None, "i1")}
+    for refuses in (lambda: neardup.classed(docs), lambda: line_dedup.LineDedup(spark).insert(docs), lambda: line_dedup.LineDedup(spark).apply(docs)):
+        with pytest.raises(ValueError, match="whole number"):
+            refuses()

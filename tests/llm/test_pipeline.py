@@ -100,3 +100,17 @@ def test_mixing_of_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = P.mix_sources(spark, docs, SF).collect()
     assert abs(len(got) - 600) <= 2 and abs(sum(r.source == "a" for r in got) - 200) <= 1
+
+
+def test_columns_of_any_name_come_out_as_they_went_in(spark):
+    """Names that stages make, result columns' names but for sharding's own, and a dot; very long and empty texts beside them."""
+    names = ["_toxic", "_hits", "_copies", "_id", "_text", "_key", "row", "key", "id", "mark", "copies", "copy", "hits", "score", "kept", "all", "least", "taken", "target", "nth", "a.b"]
+    rows = [(k, f"word{k} " * (60_000 if k == 3 else 9), "en", "s" if k % 3 else "t", k, *([f"v{k}"] * len(names))) for k in range(12)] + [(50, "", "en", "s", 0, *(["e"] * len(names))), (51, None, None, None, None, *([None] * len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        got = {tuple(r)[: len(docs.columns)] for r in out.collect()}
+        assert out.columns[: len(docs.columns)] == docs.columns and got <= {tuple(r) for r in rows}, name
+        if name not in ("mixing", "toxicity", "near_copies"):
+            assert len(got) == len(rows), name
+        assert stage(spark, docs.limit(0), SF).count() == 0
