@@ -203,3 +203,48 @@ def vulnerable_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     adv = spark.createDataFrame(ADVISORIES, "ecosystem string, package string, id string, affected string, fixed_in string")
     hit = advisories.matched(components(spark, sf_dir).withColumn("spec", F.concat(F.lit("=="), F.col("version"))), adv)
     return hit.groupBy("ecosystem", F.lower("name").alias("name"), "version").agg(F.count(F.lit(1)).alias("parts"), F.count_distinct("id").alias("advisories"), F.min("id").alias("first_id"))
+
+
+#: A file of advisory records for each part, of six kinds: a record, a batch of two, a list of one and a number, a record with another name for the same, one that is cut off, a list of numbers.
+RECORD = """'{"id":"' || {0} || '","aliases":["' || {1} || '"],"affected":[{"package":{"ecosystem":"PyPI","name":"' || p_brand || '"},"ranges":[{"type":"ECOSYSTEM","events":[{"introduced":"0"},{"fixed":"' || p_size || '.0"}]}]}]}'"""
+_RECORD = lambda id_, alias: RECORD.replace("{0}", id_).replace("{1}", alias)
+_KEY, _CVE = "CAST(p_partkey AS STRING)", "CAST(p_partkey % 50 AS STRING)"
+FILES = [
+    ("json", _RECORD(f"'A-' || {_KEY}", f"'CVE-' || {_CVE}")), ("json", f"""'{{"vulns":[' || {_RECORD(f"'B-' || {_KEY}", "'x'")} || ',' || {_RECORD(f"'B-' || {_KEY}", "'x'")} || ']}}'"""), ("json", f"""'[' || {_RECORD(f"'CVE-' || {_CVE}", "'y'")} || ', 7]'"""),
+    ("yaml", _RECORD(f"'PY-' || {_KEY}", f"'CVE-' || {_CVE}")), ("json", """'{"id": "cut'"""), ("json", "'[1, 2]'"),
+]
+
+
+def _imported(spark: SparkSession, sf_dir: str):
+    from siftwarden.sources import imports
+
+    kind = F.expr("p_partkey % 6")
+    text = F.lit(None).cast("string")
+    for k, (_, sql) in enumerate(FILES):
+        text = F.when(kind == k, F.expr(sql)).otherwise(text)
+    name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"), F.when(kind == 3, ".yaml").otherwise(".json"))
+    read_ = imports.decoded(read(spark, sf_dir, "part").select((F.col("p_size") % 2).alias("source_no"), name.alias("file"), text.alias("text")))
+    rows = imports.entries(read_)
+    return read_, rows, imports.merged(rows)
+
+
+IMPORTED = """e AS (SELECT p_size % 2 AS source_no, 'f' || p_partkey || CASE WHEN p_partkey % 6 = 3 THEN '.yaml' ELSE '.json' END AS file, lower(p_brand) AS package, '<' || p_size || '.0' AS affected,
+    CASE p_partkey % 6 WHEN 0 THEN 'A-' || p_partkey WHEN 1 THEN 'B-' || p_partkey WHEN 2 THEN 'CVE-' || (p_partkey % 50) ELSE 'PY-' || p_partkey END AS id,
+    CASE WHEN p_partkey % 6 IN (0, 2, 3) THEN 'CVE-' || (p_partkey % 50) END AS cve FROM part WHERE p_partkey % 6 < 4),
+  all_rows AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE id LIKE 'B-%'),
+  kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package, coalesce(cve, id) ORDER BY source_no, file) AS k FROM all_rows) WHERE k = 1)"""
+
+
+@query(f"WITH {IMPORTED} SELECT 'python' AS ecosystem, package, id, cve, affected FROM kept")
+def advisory_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advisories of a file for each part, from two sources of which the first wins."""
+    return _imported(spark, sf_dir)[2].select("ecosystem", "package", "id", "cve", "affected")
+
+
+@query(f"""WITH {IMPORTED} SELECT (SELECT count(*) FROM all_rows) AS records, (SELECT count(*) FROM part WHERE p_partkey % 6 = 4) AS unreadable,
+  (SELECT count(*) FROM all_rows) - (SELECT count(*) FROM kept) AS duplicates, (SELECT count(DISTINCT package) FROM kept) AS packages, (SELECT count(*) FROM kept) AS advisories""")
+def advisory_import_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that import read, couldn't read and merged."""
+    from siftwarden.sources import imports
+
+    return imports.sums(*_imported(spark, sf_dir))
