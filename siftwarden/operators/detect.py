@@ -100,18 +100,21 @@ def code_lines(files: DataFrame, text: str = "text") -> DataFrame:
     return lines.where(~F.array_contains("_silent", F.col("line").cast("int")) & ~is_comment(F.col("line_text"), F.col("language"))).drop("_silent")
 
 
-def scan_whole(files: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """files, but for their text, with a row for each match of a whole-file rule: rule_id, ..., line, end_line and snippet."""
+HIT = "struct<rule_id:string,severity:string,confidence:string,category:string,line:bigint,end_line:bigint,snippet:string>"
+HITS = pa.list_(pa.struct([(n, pa.int64() if "line" in n else pa.string()) for n in ("rule_id", "severity", "confidence", "category", "line", "end_line", "snippet")]))
+
+
+def whole_hits(rules: list[Rule], text: Column, language: Column) -> Column:
+    """An array of HIT: the matches of whole-file rules in a text."""
     kept = [(r, re.compile(r.pattern), re.compile(r.exclude) if r.exclude else None) for r in rules if r.whole]
-    hit = "struct<rule_id:string,severity:string,confidence:string,category:string,line:long,end_line:long,snippet:string>"
 
-    @F.arrow_udf(f"array<{hit}>")
+    @F.arrow_udf(f"array<{HIT}>")
     def told(texts: pa.Array, languages: pa.Array) -> pa.Array:
         out = []
-        for t, language in zip(texts.to_pylist(), languages.to_pylist()):
-            some = [x for x in kept if t and ("*" in x[0].languages or language in x[0].languages) and (not x[0].needs or any(n in t for n in x[0].needs))]
+        for t, kind in zip(texts.to_pylist(), languages.to_pylist()):
+            some = [x for x in kept if t and ("*" in x[0].languages or kind in x[0].languages) and (not x[0].needs or any(n in t for n in x[0].needs))]
             lines = t.split("\n") if some else []
-            silent = definition_lines(lines) if some and language == "yaml" else ()
+            silent = definition_lines(lines) if some and kind == "yaml" else ()
             rows = []
             for r, pattern, exclude in some:
                 for m in pattern.finditer(t):
@@ -119,10 +122,31 @@ def scan_whole(files: DataFrame, rules: list[Rule], text: str = "text") -> DataF
                     if first not in silent and not (exclude and exclude.search(m[0])):
                         rows.append({"rule_id": r.rule_id, "severity": r.severity, "confidence": r.confidence, "category": r.category, "line": first, "end_line": last, "snippet": "\n".join(lines[first - 1 : last])[: T.SNIPPET]})
             out.append(rows)
-        kinds = [("rule_id", pa.string()), ("severity", pa.string()), ("confidence", pa.string()), ("category", pa.string()), ("line", pa.int64()), ("end_line", pa.int64()), ("snippet", pa.string())]
-        return pa.array(out, pa.list_(pa.struct(kinds)))
+        return pa.array(out, HITS)
+
+    return told(text, language)
+
+
+def scan_whole(files: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """files, but for their text, with a row for each match of a whole-file rule: rule_id, ..., line, end_line and snippet."""
+    hits = files.withColumn("_hits", whole_hits(rules, F.col(text), F.col("language")))
+    return hits.drop(text).select("*", F.explode("_hits").alias("_hit")).select("*", "_hit.*").drop("_hits", "_hit")
+
+
+def matches(rule: Rule) -> Column:
+    """Whether `line_text` is a match of a line rule."""
+    found = F.col("line_text").rlike(rule.pattern)
+    if rule.needs:
+        some = F.contains("line_text", F.lit(rule.needs[0]))
+        for x in rule.needs[1:]:
+            some = some | F.contains("line_text", F.lit(x))
+        found = some & found
+    return found & ~F.col("line_text").rlike(rule.exclude) if rule.exclude else found
+
 
-    return files.withColumn("_hits", told(text, "language")).drop(text).select("*", F.explode("_hits").alias("_hit")).select("*", "_hit.*").drop("_hits", "_hit")
+def snippet(category: Column) -> Column:
+    """What a finding shows of `line_text`: of a secret nothing but how long its line is."""
+    return F.when(category == "secret", T.redacted(F.col("line_text"))).otherwise(F.substring(F.trim("line_text"), 1, T.SNIPPET))
 
 
 def scan(lines: DataFrame, rules: list[Rule], language: str | None = None) -> DataFrame:
@@ -133,21 +157,13 @@ def scan(lines: DataFrame, rules: list[Rule], language: str | None = None) -> Da
     """
     hits = []
     for k, r in enumerate(r for r in rules if not r.whole):
-        found = F.col("line_text").rlike(r.pattern)
-        if r.needs:
-            some = F.contains("line_text", F.lit(r.needs[0]))
-            for x in r.needs[1:]:
-                some = some | F.contains("line_text", F.lit(x))
-            found = some & found
-        if r.exclude:
-            found = found & ~F.col("line_text").rlike(r.exclude)
+        found = matches(r)
         if "*" not in r.languages and language:
             found = found & F.col(language).isin(*r.languages)
         told = F.struct(F.lit(k).alias("rule_no"), *(F.lit(v).alias(n) for n, v in (("rule_id", r.rule_id), ("severity", r.severity), ("confidence", r.confidence), ("category", r.category))))
         hits.append(F.when(found, told))
     out = lines.select("*", F.explode(F.array_compact(F.array(*hits))).alias("_hit")).select("*", "_hit.*").drop("_hit")
-    # what a secret reads is told nowhere, only how long its line is
-    return out.withColumn("snippet", F.when(F.col("category") == "secret", T.redacted(F.col("line_text"))).otherwise(F.substring(F.trim("line_text"), 1, T.SNIPPET)))
+    return out.withColumn("snippet", snippet(F.col("category")))
 
 
 # Rules on prose and configuration lines, of our own making.

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwarden.functions import text as T
+
 from .detect import Rule, scan
 
 # Rules by kind of file: ids, severities and confidences are fixed values, the patterns our own.
@@ -33,23 +37,28 @@ RULES = {
 
 
 def presence(lines: DataFrame) -> DataFrame:
-    """Findings of lines (rel_path, iac_kind, line, line_text); comment lines of Dockerfiles give none."""
+    """Findings of lines (rel_path, iac_kind, line, line_text) in one pass; comment lines of Dockerfiles give none."""
     told = lines.where(~((F.col("iac_kind") == "docker") & F.startswith(F.ltrim("line_text"), F.lit("#"))))
-    parts = [scan(told.where(F.col("iac_kind") == kind), rules) for kind, rules in RULES.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return scan(told, [replace(r, languages=(kind,)) for kind, rules in RULES.items() for r in rules], "iac_kind")
+
+
+#: What a Dockerfile may lack: the instruction, and the finding's rule, severity and category.
+WANTED = (("USER", "DOCKER-MISSING-USER", "medium", "iac-misconfiguration"), ("HEALTHCHECK", "DOCKER-MISSING-HEALTHCHECK", "info", "reliability"))
+
+
+def lacking(text: Column) -> Column:
+    """An array of HIT: what a Dockerfile lacks, told at its last FROM line (or line 1)."""
+    words = F.transform(T.lines(text), lambda x: F.upper(F.regexp_extract(x, r"^\s*(FROM|USER|HEALTHCHECK|(?i:from|user|healthcheck))", 1)))
+    last = F.array_max(F.transform(words, lambda w, i: F.when(w == "FROM", i + 1).otherwise(1))).cast("long")
+    one = lambda word, rule, severity, category: F.struct(
+        F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit("medium").alias("confidence"), F.lit(category).alias("category"), F.coalesce(last, F.lit(1)).cast("long").alias("line"), F.coalesce(last, F.lit(1)).cast("long").alias("end_line"), F.lit(f"(no {word} instruction found in file)").alias("snippet")
+    )
+    return F.array_compact(F.array(*(F.when(~F.array_contains(words, word), one(word, rule, severity, category)) for word, rule, severity, category in WANTED)))
 
 
 def absence(lines: DataFrame) -> DataFrame:
-    """What a Dockerfile lacks, told at its last FROM line (or line 1): one pass, grouped by file."""
+    """What Dockerfiles lack, from their lines: one pass, grouped by file."""
     word = F.upper(F.regexp_extract("line_text", r"^\s*(FROM|USER|HEALTHCHECK|(?i:from|user|healthcheck))", 1))
-    by = lines.where("iac_kind = 'docker'").groupBy("rel_path").agg(
-        F.coalesce(F.max(F.when(word == "FROM", F.col("line"))), F.lit(1)).alias("line"), F.bool_or(word == "USER").alias("user"), F.bool_or(word == "HEALTHCHECK").alias("check")
-    )
-    told = F.array_compact(F.array(
-        F.when(~F.col("user"), F.struct(F.lit("DOCKER-MISSING-USER").alias("rule_id"), F.lit("medium").alias("severity"), F.lit("iac-misconfiguration").alias("category"), F.lit("(no USER instruction found in file)").alias("snippet"))),
-        F.when(~F.col("check"), F.struct(F.lit("DOCKER-MISSING-HEALTHCHECK").alias("rule_id"), F.lit("info").alias("severity"), F.lit("reliability").alias("category"), F.lit("(no HEALTHCHECK instruction found in file)").alias("snippet"))),
-    ))
-    return by.select("rel_path", F.col("line").cast("long").alias("line"), F.inline(told))
+    by = lines.where("iac_kind = 'docker'").groupBy("rel_path").agg(F.coalesce(F.max(F.when(word == "FROM", F.col("line"))), F.lit(1)).alias("line"), F.collect_set(word).alias("words"))
+    told = [F.when(~F.array_contains("words", w), F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(f"(no {w} instruction found in file)").alias("snippet"))) for w, rule, severity, category in WANTED]
+    return by.select("rel_path", F.col("line").cast("long").alias("line"), F.inline(F.array_compact(F.array(*told))))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwarden.operators import detect, infra, manifests, pyast
+from siftwarden.sinks import work
 from siftwarden.sources import files as tree
 
 from .registry import query
-from .standins import made_files, made_sql, place as new_place, read
+from .standins import made_files, made_sql, read
 
 # Small Python files of our own, and what reports say of each: rule, severity, line; fixed values.
 PYTHON = {
@@ -100,7 +101,7 @@ def streaming_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwarden.streaming import live
 
     batch = read(spark, sf_dir, "events")
-    place = new_place(spark, "streaming_event_counts")
+    place = work.place(spark, "streaming_event_counts")
     stream = live.hourly(spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     # with no event at all there is no batch, and an empty table stands
     stream_schema = stream.schema

@@ -127,14 +127,12 @@ def finding_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three scans of each project written to one table of findings, one after the other: found first, again, resolved, and opened again."""
     from pyspark.sql.window import Window
 
-    from siftwarden.sinks import ledger
-
-    from .standins import place
+    from siftwarden.sinks import ledger, work
 
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     scans = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("scan_id"), nth.alias("k")).where("k <= 3")
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), (F.col("l_partkey") % 40).cast("string").alias("fingerprint"))
-    table = ledger.Ledger(spark, place(spark, "finding_ledger"), ["project_id", "fingerprint"], ledger.FINDINGS)
+    table = ledger.Ledger(spark, work.place(spark, "finding_ledger"), ["project_id", "fingerprint"], ledger.FINDINGS)
     for k in (1, 2, 3):
         of_turn = scans.where(F.col("k") == k).select("project_id", "scan_id")
         found = rows.join(of_turn, "scan_id").select("project_id", "fingerprint", F.lit("RULE").alias("rule_id"), F.lit("high").alias("severity")).distinct()

@@ -5,9 +5,6 @@ org: region; project: customer; scan: orders; finding: lineitem; component: part
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +15,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder for what a query writes: below spark.checkpoint.dir, which a cluster must name; on one machine a temporary one will do."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='siftwarden-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table over all cores where its files make fewer than two tasks for each; larger ones, of more splits, stay as they are read.
 

@@ -82,3 +82,23 @@ def test_named_credentials(spark):
     for r in found.collect():
         got.setdefault(r.file_path, []).append(r.rule_id)
     assert {line: got.get(f"f{k}.txt", []) for k, line in enumerate(lines)} == lines
+
+
+def test_a_run_reads_its_files_twice(spark, tmp_path):
+    """However many detectors are on, with advisories and licences; a detector of another make reads them once more."""
+    tree.classified(spark.createDataFrame(list(FILES.items()), "rel_path string, content string")).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    adv = spark.createDataFrame([("python", "flask", "A-1", "<2", "2.0", "high")], "ecosystem string, package string, id string, affected string, fixed_in string, severity string")
+    lic = spark.createDataFrame([("python", "flask", "GPL-3.0")], "ecosystem string, name string, licence string")
+    settings = engine.Settings(advisories=adv, licences=lic)
+    found = engine.run(files, settings)
+    leaves = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" in x and "content#" in x]
+    assert len(leaves) == 2
+    assert {"A-1", "LICENSE-COPYLEFT-DEPENDENCY"} <= {r.rule_id.removeprefix("DEP-") for r in found.collect()}
+
+
+def test_a_detector_of_another_make(spark, monkeypatch):
+    files = tree.classified(spark.createDataFrame([("a.txt", "TODO x"), ("b.txt", "fine")], "rel_path string, content string"))
+    own = lambda f, s: f.where("content like '%TODO%'").selectExpr("'todo' as engine", "'TODO' as rule_id", "'low' as severity", "'low' as confidence", "'own' as category", "rel_path as file_path", "1L as line", "1L as end_line", "content as snippet", "cast(null as string) as package", "cast(null as string) as ecosystem", "cast(null as string) as licence")
+    monkeypatch.setitem(engine.ENGINES, "todo", own)
+    assert [(r.engine, r.file_path) for r in engine.run(files, engine.Settings(engines=("todo", "iac"))).collect()] == [("todo", "a.txt")]
