@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import fnmatch
 import os.path
-import re
+import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, LessThanOrEqual
 
 # Language by extension.
 LANGUAGES = {
@@ -72,47 +73,94 @@ def skipped(path: Column, size: Column, is_manifest: Column, ignore: tuple[str,
     return out.when(~glob(path, include), "not-included") if include else out
 
 
-def _hidden(root: str) -> list[str]:
-    """Files in root that Spark's readers pass over, since they or a folder of theirs start with . or _; excluded folders aren't entered."""
-    out = []
-    for top, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS and not d.startswith(".git"))
-        inner = os.path.relpath(top, root).split(os.sep)
-        odd = any(x[0] in "._" and x != "." for x in inner)
-        out += [p for n in sorted(names) if odd or n[0] in "._" if os.path.isfile(p := os.path.join(top, n)) and inside(root, p)]
-    return out
+class Folders(InputPartition):
+    """A folder's own files, or with `deep` all below it, of which a task takes those that fall to its turn."""
+
+    def __init__(self, top: str, deep: bool, turn: int = 0, turns: int = 1):
+        self.top, self.deep, self.turn, self.turns = top, deep, turn, turns
+
+
+class TreeReader(DataSourceReader):
+    """Each task walks folders of its own; the driver looks at the root's entries and no further."""
+
+    def __init__(self, options: dict[str, str]):
+        self.root = os.path.realpath(options["path"])
+        self.most = int(options.get("maxbytes", MAX_BYTES))
+        self.turns = int(options.get("turns", TURNS))
+        self.largest: int | None = None
+
+    def pushFilters(self, filters):
+        """A bound on `length` is kept while files are looked up, before any is opened; all else is left to Spark."""
+        for f in filters:
+            if isinstance(f, LessThanOrEqual) and f.attribute == ("length",):
+                self.largest = f.value if self.largest is None else min(self.largest, f.value)
+            else:
+                yield f
+
+    def partitions(self) -> list[InputPartition]:
+        with os.scandir(self.root) as entries:
+            folders = sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and _entered(e.name))
+        return [Folders(self.root, False), *(Folders(f, True, k, self.turns) for f in folders for k in range(self.turns))]
+
+    def _files(self, part: Folders) -> Iterator[tuple[str, int]]:
+        for top, dirs, names in os.walk(part.top):
+            dirs[:] = sorted(d for d in dirs if _entered(d)) if part.deep else []
+            for name in sorted(names):
+                path = os.path.join(top, name)
+                if zlib.crc32(os.path.relpath(path, self.root).encode("utf-8", "surrogateescape")) % part.turns == part.turn and os.path.isfile(path) and (not os.path.islink(path) or inside(self.root, path)):
+                    size = os.path.getsize(path)
+                    if self.largest is None or size <= self.largest:
+                        yield os.path.relpath(path, self.root), size
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        for name, size in self._files(partition):
+            try:
+                content = (Path(self.root) / name).read_bytes() if size <= self.most and not _left_out(name) else None
+            except OSError:  # one that goes, or may not be read, is listed without content
+                content = None
+            yield name.encode("utf-8", "replace").decode(), size, content
+
+
+#: Tasks that share the files of one of the root's folders.
+TURNS = 4
+
+
+def _entered(name: str) -> bool:
+    """Whether a folder's files are listed; those of excluded folders are, and stay unread."""
+    return not (name.startswith(".git") or name[0] == "." and name in EXCLUDED_DIRS)
 
 
-def _read_hidden(spark: SparkSession, root: str) -> DataFrame:
-    """Their rows, read by tasks from a file system that all machines mount."""
+def _left_out(path: str) -> bool:
+    return any(x in EXCLUDED_DIRS for x in path.split(os.sep)[:-1])
 
-    @F.arrow_udf("binary")
-    def content(paths: pa.Array) -> pa.Array:
-        return pa.array([Path(p).read_bytes() for p in paths.to_pylist()], pa.binary())
 
-    paths = spark.createDataFrame([(p, os.path.getsize(p)) for p in _hidden(root)], "path string, length long")
-    return paths.withColumn("content", F.when(F.col("length") <= MAX_BYTES, content("path")))
+class Tree(DataSource):
+    """Files of a folder that all machines mount: rel_path, length, and content unless it has more than `maxBytes`; hidden ones too, and each read once.
 
+    Files of excluded folders are listed without content, version control's aren't; links that lead out of the folder aren't followed.
+    """
 
-def _within(root: str):
-    """Whether local files, links followed, lie in root."""
+    @classmethod
+    def name(cls) -> str:
+        return "source_tree"
 
-    @F.arrow_udf("boolean")
-    def told(paths: pa.Array) -> pa.Array:
-        return pa.array([inside(root, re.sub("^file:/+", "/", p)) for p in paths.to_pylist()])
+    def schema(self) -> str:
+        return "rel_path string, length long, content binary"
 
-    return told
+    def reader(self, schema) -> TreeReader:
+        return TreeReader(dict(self.options))
 
 
 def read_tree(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
-    """Files of a tree; those too large are listed and not read, the others of the tree's reader by their size, which it looks at first."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    raw = found.where(F.col("length") <= MAX_BYTES).select("path", "length", "content").unionByName(found.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content")))
-    local = "://" not in root
-    top = os.path.realpath(root).rstrip("/") if local else root.rstrip("/")
-    if local:
-        raw = raw.where(_within(top)("path")).unionByName(_read_hidden(spark, top))
-    df = raw.withColumn("rel_path", F.regexp_replace("path", r"^file:/+", "/")).withColumn("rel_path", F.substring("rel_path", len(top) + 2, 100_000))
+    """Files of a tree; those too large are listed and not read.  A folder is walked by tasks, each file read once; on another store Spark's reader lists it."""
+    if "://" not in root:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # else Spark refuses readers that can take filters
+        spark.dataSource.register(Tree)
+        df = spark.read.format("source_tree").load(root)
+    else:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        raw = found.where(F.col("length") <= MAX_BYTES).select("path", "length", "content").unionByName(found.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content")))
+        df = raw.withColumn("rel_path", F.substring("path", len(root.rstrip("/")) + 2, 100_000))
     df = classified(df.select("rel_path", F.col("length").alias("size_bytes"), "content"))
     df = df.withColumn("skip_reason", skipped(F.col("rel_path"), F.col("size_bytes"), F.col("is_manifest"), ignore, include))
     # bytes that aren't UTF-8 give no character

@@ -113,6 +113,28 @@ def test_read_tree(spark, tmp_path):
     assert not files.inside(str(tmp_path), str(tmp_path / ".." / "x"))
 
 
+def test_read_tree_by_tasks(spark, tmp_path):
+    """Hidden files and folders, links out of the tree, files that are too large; a bound on length reaches the walk; nothing is read twice."""
+    top = tmp_path / "t"
+    for path, text in {"a.py": "x", ".env": "K=1", ".github/w.yml": "no", ".hidden/deep/b.py": "y", "src/one/c.py": "z", "src/two/d.py": "z" * 50, "node_modules/m.js": "m", ".git/config": "g", "_under/e.py": "e"}.items():
+        (top / path).parent.mkdir(parents=True, exist_ok=True)
+        (top / path).write_text(text)
+    (tmp_path / "outside.py").write_text("o")
+    (top / "link.py").symlink_to(tmp_path / "outside.py")
+    (top / "src/inner.py").symlink_to(top / "a.py")
+    got = {r.rel_path: (r.skip_reason, r.content) for r in files.read_tree(spark, str(top)).collect()}
+    assert set(got) == {"a.py", ".env", ".hidden/deep/b.py", "src/one/c.py", "src/two/d.py", "src/inner.py", "node_modules/m.js", "_under/e.py"}
+    assert got[".env"] == (None, "K=1") and got["node_modules/m.js"] == ("excluded-directory", None) and got["src/inner.py"] == (None, "x")
+    reader = files.TreeReader({"path": str(top), "maxbytes": "10"})
+    rest = list(reader.pushFilters([files.LessThanOrEqual(("length",), 20), files.LessThanOrEqual(("other",), 1)]))
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert len(rest) == 1 and len(rows) == len({r[0] for r in rows}) == 7 and "src/two/d.py" not in {r[0] for r in rows}
+    reader = files.TreeReader({"path": str(top), "maxbytes": "10"})
+    assert {r[0]: r[2] for p in reader.partitions() for r in reader.read(p)}["src/two/d.py"] is None
+    assert all(not isinstance(p, files.Folders) or p.top.startswith(str(top)) for p in reader.partitions())
+
+
+
 @pytest.mark.parametrize("code,rule", [("import os\ndef f(payload):\n  os.system(payload)", "PY-AST-CMD-INJECTION"), ("import yaml\nyaml.load(x)", "PY-AST-INSECURE-DESERIALIZATION"), ("eval(input())", "PY-AST-EVAL-USE"), ("import os, shlex\ndef f(payload):\n  os.system(shlex.quote(payload))", "PY-AST-SHELL-TRUE"), ("assert user.is_admin", "PY-AST-ASSERT-SECURITY-CHECK"), ("import random\ntoken = random.random()", "PY-AST-INSECURE-RANDOM")])
 def test_pyast(code, rule):
     assert rule in {r[1] for r in pyast.findings_of("a.py", code)}
