@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,26 @@ def overlaid_packages(base: DataFrame, overlay: DataFrame) -> DataFrame:
     return base.join(overlay.select("ecosystem", "package").distinct(), ["ecosystem", "package"], "left_anti").unionByName(overlay)
 
 
+def looked_up(packages: DataFrame, sources: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Advisories for packages (ecosystem, package) from sources asked in turn, each for what those before know nothing of.
+
+    A source is a function from packages to advisories: a table that is joined, or a service that tasks ask.
+    """
+    by, out, open_ = ["ecosystem", "package"], None, packages.select("ecosystem", "package").distinct()
+    for source in sources:
+        found = source(open_)
+        out = found if out is None else out.unionByName(found)
+        open_ = open_.join(found.select(*by).distinct(), by, "left_anti")
+    if out is None:
+        raise ValueError("no source to ask")
+    return out
+
+
+def table_source(advisories: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A source that a table is."""
+    return lambda packages: advisories.join(packages, ["ecosystem", "package"], "left_semi")
+
+
 def merged_feeds(feeds: DataFrame) -> DataFrame:
     """One advisory for each package and CVE (or id), from the first source that has it."""
     keyed = feeds.withColumn("_name", F.coalesce("cve", "id"))

@@ -13,7 +13,8 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import udtf
 
 SCHEMA = "rel_path string, kind string, ecosystem string, name string, spec string, line int, direct boolean, error string"
 Row = tuple[str, str, str | None, int, bool]  # ecosystem, name, spec, line, direct
@@ -293,3 +294,16 @@ def parsed(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([r for path, text in zip(batch.rel_path, batch.content) for r in rows_of(path, text or "")], columns=names)
 
     return files.select("rel_path", "content").mapInPandas(run, SCHEMA)
+
+
+class ManifestRows:
+    """For SQL: `FROM files, LATERAL manifest_rows(rel_path, content)` gives the rows of SCHEMA but for the path."""
+
+    def eval(self, path: str, text: str) -> Iterator[tuple]:
+        for row in rows_of(path or "", text or ""):
+            yield row[1:]
+
+
+def register(spark: SparkSession, name: str = "manifest_rows") -> None:
+    """Makes the parsers a table function of SQL."""
+    spark.udtf.register(name, udtf(ManifestRows, returnType=SCHEMA.partition(", ")[2]))

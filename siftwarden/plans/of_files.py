@@ -58,6 +58,14 @@ def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("rel_path", "ecosystem", "name", "spec", "line", "direct", F.regexp_extract("error", r"^[A-Z-]+", 0).alias("error"))
 
 
+@query("WITH " + made_sql([p for p, _ in MANIFESTS], [d for d in DEPENDENCIES if d[1]], "ecosystem, name, spec, line, direct, error") + " SELECT ecosystem, CAST(count(*) AS BIGINT) AS n, CAST(count(spec) AS BIGINT) AS with_spec, CAST(count(DISTINCT replace(name, '@N@', p_partkey::VARCHAR)) AS BIGINT) AS names FROM made GROUP BY ecosystem")
+def manifest_parse_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files by a table function in SQL: dependencies of each ecosystem."""
+    manifests.register(spark)
+    made_files(spark, sf_dir, MANIFESTS).createOrReplaceTempView("made_manifests")
+    return spark.sql("SELECT m.ecosystem, count(*) AS n, count(m.spec) AS with_spec, count(DISTINCT m.name) AS names FROM made_manifests f, LATERAL manifest_rows(f.rel_path, f.content) m WHERE m.kind = 'dependency' GROUP BY m.ecosystem")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.exploded(tree.classified(made_files(spark, sf_dir, DOCKERFILES, shift=True)), "content")
 

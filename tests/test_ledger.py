@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwarden.operators import events
 from siftwarden.sinks import ledger
+from siftwarden.streaming import handlers
 
 JOBS = "id long, status string, scheduled_at timestamp_ntz, started_at timestamp_ntz, attempts int, worker string"
 
@@ -122,3 +123,54 @@ def test_findings_of_scans(spark, tmp_path):
     assert look()[1, "y"] == ("resolved", "low", 1, 3, 4)
 
 
+
+
+def test_jobs_by_handlers(spark, tmp_path):
+    """What succeeds, fails, raises and isn't spoken of; retries with backoff until attempts are used up; kinds without a handler wait."""
+    jobs = ledger.Ledger(spark, str(tmp_path / "j"), ["id"], handlers.JOBS)
+    rows = [(k, kind, "{}", "queued", datetime(2024, 1, 1), None, 0, 2, None, None) for k, kind in enumerate(["good", "bad", "raises", "silent", "other", "good"])]
+    jobs.commit(lambda _: spark.createDataFrame(rows, handlers.JOBS))
+
+    def raises(df):
+        raise RuntimeError("no")
+
+    by = {"good": lambda df: df.select("id", F.lit(None).alias("error")), "bad": lambda df: df.select("id", F.lit("broken").alias("error")), "raises": raises, "silent": lambda df: df.where("false").select("id", F.lit("").alias("error"))}
+    look = lambda: {r.id: (r.status, r.attempts, (r.error or "").partition(":")[0]) for r in jobs.read().collect()}
+    assert handlers.work_off(jobs, by, 10, "w", at(1)) == 5
+    assert look() == {0: ("succeeded", 1, ""), 1: ("queued", 1, "broken"), 2: ("queued", 1, "RuntimeError"), 3: ("queued", 1, "not handled"), 4: ("queued", 0, ""), 5: ("succeeded", 1, "")}
+    assert handlers.work_off(jobs, by, 10, "w", at(1)) == 0  # not due yet
+    assert handlers.work_off(jobs, by, 10, "w", at(2)) == 3
+    assert {r[0] for k, r in look().items() if k in (1, 2, 3)} == {"failed"} and handlers.work_off(jobs, by, 10, "w", at(50)) == 0
+
+
+def test_events_to_subscribers(spark, tmp_path):
+    seen = []
+
+    def count(df):
+        seen.append(df.count())
+
+    def fails(df):
+        raise ValueError("x")
+
+    batch = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "event_id int, event_type string")
+    handlers.dispatched(batch, {"a": [fails, count], "*": [count], "c": [count]}, str(tmp_path / "f"))
+    assert seen == [2, 3, 0]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "f")).collect()] == [("fails", "a", "ValueError: x")]
+
+
+def test_sources_are_asked_in_turn(spark):
+    from siftwarden.operators import advisories
+
+    schema = "ecosystem string, package string, id string"
+    base, remote = spark.createDataFrame([("npm", "a", "B-1")], schema), spark.createDataFrame([("npm", "a", "R-1"), ("npm", "b", "R-2")], schema)
+    asked = []
+
+    def service(packages):
+        asked.append(sorted(r.package for r in packages.collect()))
+        return advisories.table_source(remote)(packages)
+
+    packages = spark.createDataFrame([("npm", "a"), ("npm", "b"), ("npm", "b"), ("go", "c")], "ecosystem string, package string")
+    assert sorted(r.id for r in advisories.looked_up(packages, [advisories.table_source(base), service]).collect()) == ["B-1", "R-2"]
+    assert asked == [["b", "c"]]
+    with pytest.raises(ValueError):
+        advisories.looked_up(packages, [])
