@@ -181,6 +181,8 @@ TEXT_RULES = [
     Rule("PII-IPV4-ADDRESS", "info", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", confidence="low", category="privacy"),
     Rule("LICENSE-SENTENCE", "info", r"(?i)\b(licensed|released) under (the )?[A-Z]", category="license"),
 ]
+#: A credential whose name is the word alone.
+BARE_CREDENTIAL = r"""(?i)\b(api_key|token|secret|password|passwd)\s*[:=]"""
 SECRET_RULES = [r for r in TEXT_RULES if r.category == "secret"]
 # The assignment whose value the entropy detector weighs.
 ASSIGNMENT = r"""\b([A-Za-z_][A-Za-z0-9_]*)\s*[:=]\s*["']([A-Za-z0-9+/=_-]{20,})["']"""

@@ -82,9 +82,11 @@ RANDOM = detect.Rule("SECRETS-HIGH-ENTROPY-ASSIGNMENT", "high", "", category="se
 
 
 def _secret_lines(s: Settings) -> list[Column]:
-    """Provider tokens and named credentials, and assigned values that look drawn at random; comments count, docstrings don't.  An assignment is told once: as random if it is."""
+    """Provider tokens and named credentials, and assigned values that look drawn at random; comments count, docstrings don't.  A random value is told as a named
+    credential too only where the word is its whole name."""
     name, value = (F.regexp_extract("line_text", detect.ASSIGNMENT, k) for k in (1, 2))
-    named = [F.when(F.col("read") & (~F.col("random") if r.rule_id == "SECRETS-HARDCODED-CREDENTIAL" else F.lit(True)) & detect.matches(r), _hit(r)) for r in detect.SECRET_RULES]
+    once = F.when(F.col("random"), F.col("line_text").rlike(detect.BARE_CREDENTIAL)).otherwise(True)
+    named = [F.when(F.col("read") & detect.matches(r) & (once if r.rule_id == "SECRETS-HARDCODED-CREDENTIAL" else F.lit(True)), _hit(r)) for r in detect.SECRET_RULES]
     return [*named, F.when(F.col("random"), _hit(RANDOM, F.concat(name, F.lit(" = <redacted:"), F.char_length(value).cast("string"), F.lit(">"))))]
 
 
