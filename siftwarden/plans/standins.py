@@ -35,23 +35,46 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"), F.col("n_regionkey").cast("long").alias("org_id"), F.col("c_mktsegment").alias("segment"))
 
 
-def bare_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings without their scan's columns."""
+def _told(lines: DataFrame, *more: str) -> DataFrame:
+    """Rows of lineitem, l_orderkey as scan_id, as findings."""
     q = F.col("l_quantity")
     severity = F.when(q > 40, "critical").when(q > 30, "high").when(q > 20, "medium").when(q > 10, "low").otherwise("info")
     d = F.col("l_discount")
     confidence = F.when(d < 0.03, "low").when(d < 0.07, "medium").otherwise("high")
-    df = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("scan_id"), F.concat(F.lit("RULE-"), F.col("l_returnflag"), (F.col("l_suppkey") % 10).cast("string")).alias("rule_id"), severity.alias("severity"), confidence.alias("confidence"),
+    df = lines.select(
+        "scan_id", F.concat(F.lit("RULE-"), F.col("l_returnflag"), (F.col("l_suppkey") % 10).cast("string")).alias("rule_id"), severity.alias("severity"), confidence.alias("confidence"),
         F.concat(F.lit("src/m"), (F.col("l_partkey") % 97).cast("string"), F.lit(".py")).alias("file_path"), F.col("l_linenumber").cast("long").alias("line"),
         F.concat(F.lit("x = "), (F.col("l_partkey") % 13).cast("string")).alias("snippet"), F.when(F.col("l_linestatus") == "O", "open").otherwise("resolved").alias("status"),
-        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
+        F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), *more,
     )
     return df.withColumn("fingerprint", T.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("snippet"), F.lit("code")))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "scan_id")
+
+
+def bare_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings without their scan's columns."""
+    return _told(_lines(spark, sf_dir))
+
+
+#: Findings that one task gets where there are many.
+A_TASK = 250_000
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Among how many tasks findings are dealt, so that what one of them holds doesn't grow with the table, whose rows the files' footers count; None where cores are enough."""
+    n = -(-read(spark, sf_dir, "lineitem").count() // A_TASK)
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bare_findings(spark, sf_dir).join(scans(spark, sf_dir).select("scan_id", "project_id", "created_at"), "scan_id")
+    """Findings with their scan's columns; rows meet their scan as they are read, the longer texts are made after that."""
+    lines, of_scan = _lines(spark, sf_dir), scans(spark, sf_dir).select("scan_id", "project_id", "created_at")
+    if n := tasks(spark, sf_dir):
+        lines, of_scan = lines.repartition(n, "scan_id"), of_scan.repartition(n, "scan_id")
+    return _told(lines.join(of_scan, "scan_id"), "project_id", "created_at")
 
 
 def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:

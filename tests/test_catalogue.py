@@ -64,3 +64,16 @@ def test_entry_without_corpus_operators(tmp_path, gone, paths):
         there = len(importlib.import_module("siftwarden.llm.registry").QUERIES)
     assert corpus == (there if gone == ["corpus_pipeline.py"] else 0)
     assert all_ - corpus == len(catalogue.QUERIES)
+
+
+def test_findings_are_dealt_by_their_number(spark, duck, monkeypatch):
+    """A task's findings don't grow with the table: so many tasks as rows want, whatever the session's number of partitions."""
+    from siftwarden.plans import standins
+
+    assert standins.tasks(spark, SF) is None
+    monkeypatch.setattr(standins, "A_TASK", 500)
+    n = -(-duck.execute("SELECT count(*) FROM lineitem").fetchall()[0][0] // 500)
+    assert standins.tasks(spark, SF) == n > 4
+    assert standins.findings(spark, SF).rdd.getNumPartitions() == n
+    for name in ("first_last_seen", "fingerprint_dedupe", "resolve_open_findings", "sink_sarif_documents", "sink_report_documents"):
+        assert rows(catalogue.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(catalogue.ORACLES[name]).df())
