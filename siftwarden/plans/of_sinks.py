@@ -11,7 +11,7 @@ from siftwarden.sources import feeds
 
 from .of_supply import COMPONENT, FEED, _feed, components
 from .registry import query
-from .standins import COUNTS, FINDING, GRADE, RANK, WEIGHT, findings, read, scans
+from .standins import COUNTS, FINDING, GRADE, RANK, WEIGHT, findings, read, scans, tasks
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark, sf_dir).withColumn("category", F.lit("code"))
@@ -99,7 +99,7 @@ _RESULT = f"""to_json({{'ruleId': rule_id, 'level': {_LEVEL}, 'message': {{'text
   FROM scan LEFT JOIN rules USING (scan_id) LEFT JOIN results USING (scan_id)""")
 def sink_sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A SARIF document for each scan, those that found nothing included."""
-    return grouped.documents(grouped.sarif(_found(spark, sf_dir), "scan_id", "siftwarden", scans(spark, sf_dir)), "scan_id")
+    return grouped.documents(grouped.sarif(_found(spark, sf_dir), "scan_id", "siftwarden", scans(spark, sf_dir)), "scan_id", tasks(spark, sf_dir))
 
 
 @query(f"""WITH {FINDING}, c AS (SELECT project_id, {COUNTS}, count(*) AS n, CAST(sum({WEIGHT}) AS BIGINT) AS risk_score FROM finding GROUP BY project_id),
@@ -108,7 +108,7 @@ def sink_sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT project_id, '{{"risk_score":' || risk_score || ',"grade":"' || {GRADE} || '","severity_counts":{{"critical":' || critical || ',"high":' || high || ',"medium":' || medium || ',"low":' || low || ',"info":' || info || '}},"total_findings":' || n || ',"findings":[' || found || ']}}' AS document FROM c JOIN f USING (project_id)""")
 def sink_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON report for each project."""
-    return grouped.documents(grouped.report(_found(spark, sf_dir), "project_id"), "project_id")
+    return grouped.documents(grouped.report(_found(spark, sf_dir), "project_id"), "project_id", tasks(spark, sf_dir))
 
 
 #: A project's components: the parts that its orders name.

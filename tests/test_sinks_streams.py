@@ -44,6 +44,25 @@ def test_documents_of_groups_are_those_of_each_alone(spark, tmp_path):
     assert reports[1]["total_findings"] == 4 and [x["rule_id"] for x in reports[1]["findings"]] == ["R1", "R1", "R2", "R2"] and reports[1]["severity_counts"]["high"] == 1
 
 
+def many_findings(spark):
+    f = spark.range(400).select((F.col("id") % 5).alias("g"), F.lit("f").alias("fingerprint"), F.lit("R").alias("rule_id"), F.lit("low").alias("severity"), F.lit("a.py").alias("file_path"), (F.col("id") % 40).alias("line"), F.lit("s").alias("snippet"))
+    return f.withColumns({"confidence": F.lit("high"), "category": F.lit("code")})
+
+
+def exchanges(df, capsys):
+    df.explain()
+    return capsys.readouterr().out.count("Exchange hashpartitioning")
+
+
+def test_documents_are_dealt_once_to_as_many_tasks_as_are_asked_for(spark, capsys):
+    """The pieces of a SARIF document meet by their group, without a join before: groups, rules and then all pieces are dealt."""
+    pieces = grouped.sarif(many_findings(spark), "g", "tool")
+    docs = grouped.documents(pieces, "g", 7)
+    assert exchanges(docs, capsys) == 3
+    assert docs.rdd.getNumPartitions() == 7
+    assert {r.g: len(json.loads(r.document)["runs"][0]["results"]) for r in docs.collect()} == dict.fromkeys(range(5), 80)
+
+
 def test_inventories_of_groups(spark):
     c = spark.createDataFrame([(g, *r) for g in (1, 2) for r in [("python", "a", "1", "pkg:pypi/a@1", "MIT"), ("npm", "b", str(g), f"pkg:npm/b@{g}", "ISC")]], "g int, ecosystem string, name string, version string, purl string, licence string")
     found = findings(spark).withColumns({"g": F.lit(2), "confidence": F.lit("high"), "category": F.lit("code"), "purl": F.lit("pkg:npm/b@1")})
