@@ -63,6 +63,13 @@ def test_documents_are_dealt_once_to_as_many_tasks_as_are_asked_for(spark, capsy
     assert {r.g: len(json.loads(r.document)["runs"][0]["results"]) for r in docs.collect()} == dict.fromkeys(range(5), 80)
 
 
+def test_reports_deal_findings_twice(spark, capsys):
+    """Sums of a group are made once, its findings meet them in the document: two shuffles."""
+    docs = grouped.documents(grouped.report(many_findings(spark), "g"), "g")
+    assert exchanges(docs, capsys) == 2
+    assert {r.g: len(json.loads(r.document)["findings"]) for r in docs.collect()} == dict.fromkeys(range(5), 80)
+
+
 def test_inventories_of_groups(spark):
     c = spark.createDataFrame([(g, *r) for g in (1, 2) for r in [("python", "a", "1", "pkg:pypi/a@1", "MIT"), ("npm", "b", str(g), f"pkg:npm/b@{g}", "ISC")]], "g int, ecosystem string, name string, version string, purl string, licence string")
     found = findings(spark).withColumns({"g": F.lit(2), "confidence": F.lit("high"), "category": F.lit("code"), "purl": F.lit("pkg:npm/b@1")})
