@@ -46,12 +46,14 @@ def resolved(findings: DataFrame, scans: DataFrame) -> DataFrame:
     return findings.join(two, "scan_id").withColumn("_still", still).where("recency = 2 and not _still").drop("recency", "_still")
 
 
-def resolved_open(findings: DataFrame, scans: DataFrame) -> DataFrame:
-    """Open rows of each project's scans before its last one whose fingerprint the last one doesn't have: what that scan resolves."""
+def resolved_open(findings: DataFrame, scans: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Open rows of each project's scans before its last one whose fingerprint the last one doesn't have: what that scan resolves.  Made by so many tasks, or by what the session says."""
     last = latest(scans).select(F.col("project_id"), F.col("scan_id").alias("_last"))
-    rows = findings.join(last, "project_id").where(F.col("scan_id") <= F.col("_last"))
+    rows = findings.join(last, "project_id").where("scan_id = _last or (scan_id < _last and status = 'open')")
+    if tasks:
+        rows = rows.repartition(tasks, "project_id", "fingerprint")
     still = F.max(F.col("scan_id") == F.col("_last")).over(Window.partitionBy("project_id", "fingerprint"))
-    return rows.withColumn("_still", still).where("status = 'open' and scan_id < _last and not _still").drop("_last", "_still")
+    return rows.withColumn("_still", still).where("scan_id < _last and not _still").drop("_last", "_still")
 
 
 def unarchived(df: DataFrame, with_archived: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwarden.operators import findings as ops, store
 
 from .registry import query
-from .standins import BARE, COUNTS, FINDING, GRADE, PROJECT, RANK, SCAN, WEIGHT, bare_findings, findings, projects, read, scans
+from .standins import BARE, COUNTS, FINDING, GRADE, PROJECT, RANK, SCAN, WEIGHT, bare_findings, findings, projects, read, scans, tasks
 
 LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY scan_id DESC) AS recency FROM scan WHERE status = 'succeeded') WHERE recency <= {n})"
 
@@ -110,7 +110,7 @@ def notification_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT project_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT fingerprint) AS BIGINT) AS n_fingerprints FROM r WHERE status = 'open' AND scan_id < last AND NOT EXISTS (SELECT 1 FROM r n WHERE n.project_id = r.project_id AND n.fingerprint = r.fingerprint AND n.scan_id = n.last) GROUP BY project_id""")
 def resolve_open_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each project's last scan resolves of all that was open before it."""
-    gone = store.resolved_open(findings(spark, sf_dir), scans(spark, sf_dir))
+    gone = store.resolved_open(findings(spark, sf_dir), scans(spark, sf_dir), tasks(spark, sf_dir))
     return gone.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fingerprint").alias("n_fingerprints"))
 
 

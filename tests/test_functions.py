@@ -50,6 +50,16 @@ def test_first_wins_and_order(spark):
     assert {r.x for r in ops.first_of(df, ["fingerprint"], ["seq"]).collect()} == {"a", "c"}
 
 
+@pytest.mark.parametrize("tasks", [None, 5])
+def test_resolved_open(spark, tasks):
+    """What the last succeeded scan lacks of all that was open before; it has what it calls resolved, too."""
+    scans = spark.createDataFrame([(1, 1, "succeeded"), (2, 1, "succeeded"), (3, 1, "running"), (4, 2, "failed")], "scan_id int, project_id int, status string")
+    rows = [(1, 1, "a", "open"), (1, 1, "b", "open"), (1, 1, "b", "open"), (1, 1, "c", "resolved"), (1, 1, "e", "open"), (1, 1, "f", None), (2, 1, "a", "open"), (2, 1, "e", None), (3, 1, "d", "open"), (4, 2, "a", "open")]
+    gone = store.resolved_open(spark.createDataFrame(rows, "scan_id int, project_id int, fingerprint string, status string"), scans, tasks)
+    assert tasks is None or gone.rdd.getNumPartitions() == tasks
+    assert [(r.scan_id, r.fingerprint) for r in gone.collect()] == [(1, "b"), (1, "b")]
+
+
 def test_baseline_boundaries(spark):
     entries = spark.createDataFrame([("a", None), ("b", "2024-01-01"), ("c", "2024-01-02")], "fingerprint string, e string").withColumn("expires_at", F.col("e").cast("timestamp"))
     found = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "fingerprint string")
