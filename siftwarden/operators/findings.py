@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from siftwarden.functions import severity as S
 
 
-def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key by an ascending order; combined in each task before rows are dealt, so a hot key is no more than one row of each task."""
-    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
+def first_of(df: DataFrame, keys: list[str], order: list, told: list[str] | None = None) -> DataFrame:
+    """The first row of each key by an ascending order, all of it or some columns; combined in each task before rows are dealt, so a hot key is no more than one row of each task."""
+    first = F.min_by(F.struct(*(told or df.columns)), F.struct(*order)).alias("_row")
     return df.groupBy(*(F.col(k).alias(f"_key{n}") for n, k in enumerate(keys))).agg(first).select("_row.*")
 
 

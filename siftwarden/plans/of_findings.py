@@ -18,8 +18,8 @@ NOW = "TIMESTAMP '1998-01-01 00:00:00'"
 @query(f"""WITH {FINDING} SELECT fingerprint, scan_id, line, rule_id, file_path, severity FROM (
   SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY created_at, scan_id, line, part, supp, severity) AS rn FROM finding) WHERE rn = 1""")
 def fingerprint_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = ops.first_of(findings(spark, sf_dir), ["fingerprint"], [*ORDER, "severity"])
-    return kept.select("fingerprint", "scan_id", "line", "rule_id", "file_path", "severity")
+    told = ["fingerprint", "scan_id", "line", "rule_id", "file_path", "severity"]
+    return ops.first_of(findings(spark, sf_dir), ["fingerprint"], [*ORDER, "severity"], told)
 
 
 @query(f"WITH {FINDING} SELECT project_id, {COUNTS} FROM finding GROUP BY project_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftwarden.functions import licences as L, severity as S, text as T, versions as V
 from siftwarden.operators import advisories, baseline, detect, events, findings as ops, manifests, policy, pyast, store
+from siftwarden.plans import of_findings
 from siftwarden.sources import files, rules
 
 
@@ -50,6 +51,15 @@ def test_first_wins_and_order(spark):
     assert {r.x for r in ops.first_of(df, ["fingerprint"], ["seq"]).collect()} == {"a", "c"}
 
 
+def test_first_rows_are_told_by_what_is_asked_for(spark, capsys):
+    """Columns that nobody asks for aren't shuffled, nor read."""
+    df = spark.createDataFrame([("f", 2, "b"), ("f", 1, "a"), ("g", 1, "c")], "fingerprint string, seq int, x string")
+    assert sorted(map(tuple, ops.first_of(df, ["fingerprint"], ["seq"], ["x"]).collect())) == [("a",), ("c",)]
+    of_findings.fingerprint_dedupe(spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "l_quantity" in plan and not [c for c in ("l_discount", "l_linestatus", "o_custkey") if c in plan]
+
+
 @pytest.mark.parametrize("tasks", [None, 5])
 def test_resolved_open(spark, tasks):
     """What the last succeeded scan lacks of all that was open before; it has what it calls resolved, too."""
