@@ -13,8 +13,8 @@ from .of_supply import COMPONENT, FEED, _feed, components
 from .registry import query
 from .standins import COUNTS, FINDING, GRADE, RANK, WEIGHT, findings, read, scans, tasks
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).withColumn("category", F.lit("code"))
+def _found(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    return findings(spark, sf_dir, by).withColumn("category", F.lit("code"))
 
 
 @query(f"""WITH {FINDING} SELECT scan_id, part, supp, line, to_json({{'rule_id': rule_id, 'severity': severity, 'confidence': confidence, 'category': 'code', 'location': {{'file_path': file_path, 'start_line': line, 'end_line': line, 'snippet': snippet}}, 'fingerprint': fingerprint}})::VARCHAR AS piece FROM finding""")
@@ -108,7 +108,7 @@ def sink_sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT project_id, '{{"risk_score":' || risk_score || ',"grade":"' || {GRADE} || '","severity_counts":{{"critical":' || critical || ',"high":' || high || ',"medium":' || medium || ',"low":' || low || ',"info":' || info || '}},"total_findings":' || n || ',"findings":[' || found || ']}}' AS document FROM c JOIN f USING (project_id)""")
 def sink_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON report for each project."""
-    return grouped.documents(grouped.report(_found(spark, sf_dir), "project_id"), "project_id", tasks(spark, sf_dir))
+    return grouped.report_documents(_found(spark, sf_dir, "project_id"), "project_id")
 
 
 #: A project's components: the parts that its orders name.

@@ -69,12 +69,15 @@ def tasks(spark: SparkSession, sf_dir: str) -> int | None:
     return n if n > spark.sparkContext.defaultParallelism else None
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings with their scan's columns; rows meet their scan as they are read, the longer texts are made after that."""
+def findings(spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+    """Findings with their scan's columns, dealt by one of these if that is told; rows meet their scan as they are read and are dealt so, the longer texts are made after that."""
     lines, of_scan = _lines(spark, sf_dir), scans(spark, sf_dir).select("scan_id", "project_id", "created_at")
     if n := tasks(spark, sf_dir):
         lines, of_scan = lines.repartition(n, "scan_id"), of_scan.repartition(n, "scan_id")
-    return _told(lines.join(of_scan, "scan_id"), "project_id", "created_at")
+    found = lines.join(of_scan, "scan_id")
+    if by:
+        found = found.repartition(n, by) if n else found.repartition(by)
+    return _told(found, "project_id", "created_at")
 
 
 def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:

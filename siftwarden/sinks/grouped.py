@@ -77,14 +77,34 @@ def sarif(findings: DataFrame, key: str, tool: str, keys: DataFrame | None = Non
     return told.unionByName(listed(rules, key, FIRST)).unionByName(listed(results, key, SECOND))
 
 
-def report(findings: DataFrame, key: str) -> DataFrame:
-    """Pieces of a JSON report for each group: counts, risk and findings in report order."""
+def _sums() -> list[Column]:
+    """What a report's head tells of its findings."""
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in S.SEVERITIES]
-    sums = findings.groupBy(key).agg(F.count(F.lit(1)).alias("total_findings"), F.sum(S.weight(F.col("severity"))).cast("long").alias("risk_score"), *counts)
+    return [F.count(F.lit(1)).alias("total_findings"), F.sum(S.weight(F.col("severity"))).cast("long").alias("risk_score"), *counts]
+
+
+def _head() -> Column:
+    """A report up to its findings, of their sums."""
     told = F.to_json(F.struct("risk_score", S.grade(F.col("risk_score")).alias("grade"), F.struct(*S.SEVERITIES).alias("severity_counts"), "total_findings"))
-    head = F.concat(F.expr("left(told, length(told) - 1)"), F.lit(',"findings":['))
-    rows = finding_pieces(findings, key).select(key, _place(S.rank(F.col("severity")), F.col("file_path"), F.col("line"), F.col("rule_id")), "piece")
-    return fixed(sums.withColumn("told", told), key, {HEAD: head, FOOT: F.lit("]}")}).unionByName(listed(rows, key, FIRST))
+    return F.concat(F.left(told, F.length(told) - 1), F.lit(',"findings":['))
+
+
+def _reported(findings: DataFrame, key: str) -> DataFrame:
+    """A report's findings in their place, with what its sums want."""
+    return finding_pieces(findings, key).select(key, "severity", _place(S.rank(F.col("severity")), F.col("file_path"), F.col("line"), F.col("rule_id")), "piece")
+
+
+def report(findings: DataFrame, key: str) -> DataFrame:
+    """Pieces of a JSON report for each group: counts, risk and findings in report order."""
+    sums = findings.groupBy(key).agg(*_sums())
+    return fixed(sums, key, {HEAD: _head(), FOOT: F.lit("]}")}).unionByName(listed(_reported(findings, key), key, FIRST))
+
+
+def report_documents(findings: DataFrame, key: str) -> DataFrame:
+    """(key, document), as `documents` makes of `report`'s pieces; findings are read once, since sums are made where a group's findings meet, and findings that are dealt by the key aren't dealt again."""
+    whole = F.sort_array(F.collect_list(F.struct("place", "piece")))
+    found = F.array_join(F.transform("all", lambda x: x["piece"]), ",")
+    return _reported(findings, key).groupBy(key).agg(whole.alias("all"), *_sums()).select(key, F.concat(_head(), found, F.lit("]}")).alias("document"))
 
 
 def serials(components: DataFrame, key: str, name: Column) -> DataFrame:

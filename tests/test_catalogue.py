@@ -77,3 +77,15 @@ def test_findings_are_dealt_by_their_number(spark, duck, monkeypatch):
     assert standins.findings(spark, SF).rdd.getNumPartitions() == n
     for name in ("first_last_seen", "fingerprint_dedupe", "resolve_open_findings", "sink_sarif_documents", "sink_report_documents"):
         assert rows(catalogue.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(catalogue.ORACLES[name]).df())
+
+
+def test_reports_deal_findings_before_their_texts_are_made(spark, capsys, monkeypatch):
+    """Lines are read once, meet their scan, and are dealt by project as they are: what is shuffled doesn't grow by the texts."""
+    from siftwarden.plans import standins
+
+    monkeypatch.setattr(standins, "A_TASK", 500)
+    catalogue.QUERIES["sink_report_documents"](spark, SF).explain("formatted")
+    plan = capsys.readouterr().out.split("\n\n")
+    assert sum("lineitem.parquet" in node for node in plan) == 1
+    dealt = [node for node in plan if ") Exchange" in node]
+    assert len(dealt) == 3 and not any(text in node for node in dealt for text in ("piece", "fingerprint", "file_path", "snippet"))

@@ -70,6 +70,17 @@ def test_reports_deal_findings_twice(spark, capsys):
     assert {r.g: len(json.loads(r.document)["findings"]) for r in docs.collect()} == dict.fromkeys(range(5), 80)
 
 
+def test_reports_in_one_go_are_those_of_pieces(spark, capsys):
+    """Sums are made where a group's findings meet, so these are dealt once; repeated findings stay as many, and places that are alike are told apart by the piece."""
+    f = many_findings(spark).withColumns({"severity": F.when(F.col("line") % 3 == 0, "critical").when(F.col("line") % 3 == 1, "odd").otherwise("low"), "snippet": F.concat(F.lit('"s'), (F.col("line") % 2).cast("string"))})
+    f = f.withColumns({"line": F.col("line") % 4, "g": F.when(F.col("g") > 0, F.col("g"))})
+    docs = grouped.report_documents(f, "g")
+    assert exchanges(docs, capsys) == 1 and exchanges(grouped.report_documents(f.repartition(7, "g"), "g"), capsys) == 1
+    got, want = ({r.g: r.document for r in df.collect()} for df in (docs, grouped.documents(grouped.report(f, "g"), "g")))
+    assert got == want and len(got) == 5
+    assert {len(json.loads(d)["findings"]) for d in got.values()} == {80}
+
+
 def test_inventories_of_groups(spark):
     c = spark.createDataFrame([(g, *r) for g in (1, 2) for r in [("python", "a", "1", "pkg:pypi/a@1", "MIT"), ("npm", "b", str(g), f"pkg:npm/b@{g}", "ISC")]], "g int, ecosystem string, name string, version string, purl string, licence string")
     found = findings(spark).withColumns({"g": F.lit(2), "confidence": F.lit("high"), "category": F.lit("code"), "purl": F.lit("pkg:npm/b@1")})
