@@ -61,12 +61,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def goes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) for runs of rows of about CHUNK bytes."""
+def goes(column: pa.Array, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) for runs of rows of about `size` bytes, CHUNK if 0."""
     data, at = utf8(column)
     row = 0
     while row < len(at) - 1:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(at, at[row] + (size or CHUNK), "right")) - 1)
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
 

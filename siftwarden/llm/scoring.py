@@ -2,8 +2,10 @@
 
 Counting: words, bigrams and trigrams of all training texts (ASCII-lower-cased words, an end after each text, a
 start before it).  Each task counts its own texts and passes sorted codes and counts on, as one value for each
-range of codes; a range meets in one task, which sums it exactly.  Words are told apart by 64 bits, bigrams
-and trigrams by 46; the number of ranges follows the bytes of the texts, so a range's size does not.
+part, some ranges of codes; a part meets in one task, which sums it exactly.  Words are told apart by 64 bits, bigrams
+and trigrams by 46; the number of ranges follows the bytes of the texts, so a range's size does not.  As all texts have
+something for all parts, the values' number would grow with the square of the input if a part stayed one range: parts
+widen first, up to WIDEST ranges, and values are made and read many at a time.
 
 Model: counts are quantised to edges, the whole numbers next above powers of BASE.  An n-gram's level is
 how many edges its count c has reached; the filter holds all n-grams, those seen once too, as
@@ -19,7 +21,7 @@ telling most about it.  `score` is the sum of log10 p3 over a text's words and i
 
 The filter has a segment for each range, built where the range is summed.  Up to FILTER_BYTES they are sent to all
 workers.  A larger filter stays a table of segments: texts are cut into runs, the distinct n-grams of each run go
-to the ranges that they fall in, are probed there, and the levels meet the run again, with the same scores.
+to the parts that they fall in, are probed there, and the levels meet the run again, with the same scores.
 
 The base score needs exact counts.  The FREQUENT commonest words, a fixed number, go to the workers with
 their counts; the other words of each text meet the exact table in a join.
@@ -55,6 +57,10 @@ RANGE_BYTES = 2 << 20
 #: Bytes of text that ask for their n-grams together where the filter is a table, and in how many turns runs do so: a turn's
 #: shuffle goes before the next one's comes.
 RUN_BYTES, TURNS = 2 << 20, 2
+#: Ranges are dealt to tasks in parts of one range each; from 2 * PARTS ranges on parts widen instead of becoming more, up to WIDEST ranges.
+PARTS, WIDEST = 512, 8
+#: Bytes of text that are hashed, and of packed n-grams that are unpacked, at one go.
+HASHED = SLICE = 1 << 18
 FREQUENT = 200_000
 #: Tokens that a task counts before it passes counts on.
 HELD = 3 << 18
@@ -78,7 +84,7 @@ def sequences(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
 
     A value for each word; a text's first word ends no trigram, and the value there means nothing.
     """
-    for row, end, data, at in goes(column):
+    for row, end, data, at in goes(column, HASHED):
         h, of = word_hashes(data, at)
         ends = of[1:] + np.arange(1, end - row + 1)  # behind each text's words
         inner = np.ones(len(h) + end - row, bool)
@@ -98,31 +104,107 @@ def _counted(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([*values, np.zeros(0, U)]), return_counts=True)
 
 
-def _pack(sorted_: np.ndarray) -> bytes:
-    """Sorted values as the first, and steps of four bytes; the few larger steps come at the end."""
-    step = np.diff(sorted_)
-    large = step >= U(0xFFFFFFFF)
-    return sorted_[:1].tobytes() + np.where(large, U(0xFFFFFFFF), step).astype(np.uint32).tobytes() + step[large].tobytes() + np.array([len(sorted_)], U).tobytes()
+def _many(data: np.ndarray, at: np.ndarray) -> pa.BinaryArray:
+    """The values that begin at `at` in data, with one end more."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.array(at).cast(pa.int32()).buffers()[1], pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _flat(column: pa.BinaryArray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all values of a column, and where each begins, with one end more."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return memoryview(column.buffers()[2] or b"")[at[0] : at[-1]], at - at[0]
 
 
-def _unpack(data: memoryview) -> np.ndarray:
-    n = int(np.frombuffer(data[-8:], U)[0])
-    step = np.frombuffer(data[8 : 4 + 4 * n], np.uint32)
-    out = np.empty(n, U)
-    out[0], out[1:] = np.frombuffer(data[:8], U)[0], step
-    out[1:][step == 0xFFFFFFFF] = np.frombuffer(data[4 + 4 * n : -8], U)
-    return np.cumsum(out, dtype=U)
+def _spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1 and so on, n[0] of them, then those from at[1]."""
+    return np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
 
 
-def _slim(n: np.ndarray) -> bytes:
-    return n.astype(np.uint8 if n.max() < 256 else np.int64).tobytes()
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of sorted h, and the sum of n of each."""
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[at], np.add.reduceat(n, at, dtype=np.int64) if len(h) else np.zeros(0, np.int64)
 
 
-def _cuts(codes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ranges of sorted codes, and where each begins, with one end more."""
-    of = range_of(codes, ranges)
-    at = np.flatnonzero(np.diff(of, prepend=-1))
-    return of[at], np.append(at, len(codes))
+def _pack(sorted_: np.ndarray, at: np.ndarray | None = None) -> bytes | pa.BinaryArray:
+    """Sorted values as the first, steps of four bytes, the few larger steps, and their number; with at, the pieces that begin there, with one end more.
+
+    No piece is empty.  All of them are made in a few array passes, as there is one for each run of texts and part.
+    """
+    many, at = at is not None, np.array([0, len(sorted_)]) if at is None else np.asarray(at)
+    n, head = np.diff(at), at[:-1]
+    step = np.diff(sorted_, prepend=U(0))
+    large = step >= U(0xFFFFFFFF)
+    large[head] = False
+    above = np.add.reduceat(large, head, dtype=np.int64)
+    end = np.cumsum(n + 3 + 2 * above)  # in units of four bytes
+    begin = end - (n + 3 + 2 * above)
+    out = np.empty(end[-1], np.uint32)
+    small = np.where(large, U(0xFFFFFFFF), step).astype(np.uint32)
+    out[np.arange(len(step)) + np.repeat(begin + 1 - head, n)] = small  # the first one's place is taken next
+    out[begin], out[begin + 1] = sorted_[head].astype(np.uint32), (sorted_[head] >> U(32)).astype(np.uint32)
+    out[_spread(begin + 1 + n, 2 * above)] = step[large].view(np.uint32)
+    out[end - 2], out[end - 1] = n, 0
+    return _many(out, 4 * np.append(begin, end[-1])) if many else out.tobytes()
+
+
+def _unpack(data: memoryview | pa.BinaryArray) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """What _pack took; of a column, the values of all pieces one after another, and how many each has."""
+    many = isinstance(data, pa.BinaryArray)
+    data, at = _flat(data) if many else (data, np.array([0, len(data)]))
+    packed, begin, end = np.frombuffer(data, np.uint32), at[:-1] // 4, at[1:] // 4
+    n = packed[end - 2].astype(np.int64)
+    above = (end - begin - 3 - n) // 2
+    head = np.cumsum(n) - n
+    step = packed[np.arange(n.sum()) + np.repeat(begin + 1 - head, n)].astype(U)
+    step[head] = 0
+    if above.any():
+        step[step == 0xFFFFFFFF] = packed[_spread(begin + 1 + n, 2 * above)].view(U)
+    out = np.cumsum(step, dtype=U)
+    out += np.repeat((packed[begin] | packed[begin + 1].astype(U) << U(32)) - out[head], n)
+    return (out, n) if many else out
+
+
+def _upto(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """h with counts of one byte: what occurs more than 255 times stands several times."""
+    times = -(-n // 255)
+    out = np.full(times.sum(), 255, np.uint8)
+    out[np.cumsum(times) - 1] = n - 255 * (times - 1)
+    return np.repeat(h, times), out
+
+
+def _wide(ranges: int) -> int:
+    """How many ranges make a part."""
+    return max(1, min(WIDEST, ranges // PARTS))
+
+
+def _least(ranges: int, of: range) -> np.ndarray:
+    """The least upper 32 bits of the codes of some ranges."""
+    return ((np.arange(of.start, of.stop, of.step, dtype=U) << U(32)) + U(ranges - 1)) // U(ranges)
+
+
+def _cuts(codes: np.ndarray, ranges: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts, of `wide` ranges each, that sorted codes fall in, and where each begins, with one end more."""
+    at = np.append(np.searchsorted(codes, _least(ranges, range(0, ranges, wide)) << U(CODE - 32)), len(codes))
+    held = np.flatnonzero(np.diff(at))
+    return held, np.append(at[held], len(codes))
+
+
+def _groups(*keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of rows with equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.append(np.flatnonzero(new), len(new)).tolist()
+    return zip(at[:-1], at[1:])
+
+
+def _slices(column: pa.BinaryArray, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Rows a to b in slices of about SLICE bytes."""
+    at = _flat(column[a:b])[1]
+    while a < b:
+        end = a + max(1, int(np.searchsorted(at, at[0] + SLICE, "right")) - 1)
+        yield a, end
+        at, a = at[end - a :], end
 
 
 def _tasks(df: DataFrame, ranges: int) -> int:
@@ -132,57 +214,64 @@ def _tasks(df: DataFrame, ranges: int) -> int:
 
 def count_ngrams(docs: DataFrame, ranges: int) -> DataFrame:
     """A row for each range that n-grams of docs (text) fall in: part, bits (its segment), word and n (exact counts of its words)."""
-    kinds = "part long, kind int, h binary, n binary"
+    kinds, wide = "part long, kind int, h binary, n binary", _wide(ranges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[np.ndarray] = []
         grams: list[np.ndarray] = []
 
-        def flush() -> pa.RecordBatch:
-            rows = []
+        def flush() -> Iterator[pa.RecordBatch]:
             for kind, (h, n) in enumerate((_counted(words), _counted(grams))):
-                parts, at = _cuts(h if kind else code(h, 0), ranges)
-                rows += [(p, kind, _pack(h[a:b]), _slim(n[a:b])) for p, a, b in zip(parts.tolist(), at[:-1], at[1:])]
+                if len(h):
+                    h, n = _upto(h, n)
+                    parts, at = _cuts(h if kind else code(h, 0), ranges, wide)
+                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), kind, np.int32)), _pack(h, at), _many(n, at)], ["part", "kind", "h", "n"])
             words.clear(), grams.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["part", "kind", "h", "n"])
 
         for batch in batches:
             for _, _, tokens, pairs, triples, first in sequences(batch["text"]):
                 words.append(tokens)
                 grams += [pairs, np.delete(triples, first)]
                 if sum(map(len, words)) > HELD:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by range."""
+        """Rows come sorted by part and kind."""
         here, held = None, ([], [])
 
         def done() -> Iterator[pa.RecordBatch]:
             if here is None:
                 return
-            told = []
-            for rows in held:
-                h = np.concatenate([x for x, _ in rows] + [np.zeros(0, U)])
-                n = np.concatenate([x for _, x in rows] + [np.zeros(0, np.int64)])
-                order = np.argsort(h)
-                h, n = h[order], n[order]
-                at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-                told.append((h[at], np.add.reduceat(n, at) if len(h) else n))
-            (word, many), (gram, more) = told
-            bits = Filter.segment(np.concatenate([code(word, 0), gram]), np.searchsorted(EDGES, np.concatenate([many, more]), "right"))
-            yield pa.RecordBatch.from_arrays([pa.array([here]), pa.array([bits], pa.binary()), pa.array([word.view(np.int64)], pa.list_(pa.int64())), pa.array([many], pa.list_(pa.int64()))], ["part", "bits", "word", "n"])
+            h, n = (np.concatenate([x[k] for x in held[0]] + [np.zeros(0, t)]) for k, t in enumerate((U, np.uint8)))
+            order = np.argsort(h)
+            words = _summed(h[order], n[order])
+            both = np.concatenate([*held[1], np.zeros(0, U)])
+            held[1].clear()
+            both.sort()
+            of = range(here * wide, min((here + 1) * wide, ranges))
+            cut = [np.append(np.searchsorted(x, _least(ranges, of) << U(up)), len(x)) for x, up in ((words[0], 32), (both, CODE - 32 + 8))]
+            for k, part in enumerate(of):
+                a, b = cut[0][k : k + 2]
+                word, many = words[0][a:b], words[1][a:b]
+                a, b = cut[1][k : k + 2]
+                gram, more = _summed(both[a:b] >> U(8), both[a:b] & U(0xFF))
+                if len(word) + len(gram):
+                    bits = Filter.segment(np.concatenate([code(word, 0), gram]), np.searchsorted(EDGES, np.concatenate([many, more]), "right"))
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([bits], pa.binary()), pa.array([word.view(np.int64)], pa.list_(pa.int64())), pa.array([many], pa.list_(pa.int64()))], ["part", "bits", "word", "n"])
 
         for batch in batches:
-            for part, kind, h, n in zip(batch["part"].to_pylist(), batch["kind"].to_pylist(), batch["h"], batch["n"]):
-                if part != here:
+            part, kind = batch["part"].to_numpy(), batch["kind"].to_numpy()
+            for a, b in _groups(part, kind):
+                if part[a] != here:
                     yield from done()
-                    here, held = part, ([], [])
-                h, n = _unpack(memoryview(h.as_buffer())), n.as_buffer()
-                held[kind].append((h, np.frombuffer(n, np.uint8 if n.size == len(h) else np.int64).astype(np.int64)))
+                    here, held = int(part[a]), ([], [])
+                for a, b in _slices(batch["h"], a, b):
+                    h, n = _unpack(batch["h"][a:b])[0], np.frombuffer(_flat(batch["n"][a:b])[0], np.uint8)
+                    held[kind[a]].append(h << U(8) | n if kind[a] else (h, n.copy()))  # a code and its count are less than 64 bits
         yield from done()
 
-    told = docs.select("text").mapInArrow(count, kinds).repartition(_tasks(docs, ranges), "part").sortWithinPartitions("part")
+    told = docs.select("text").mapInArrow(count, kinds).repartition(_tasks(docs, ranges), "part").sortWithinPartitions("part", "kind")
     return told.mapInArrow(merge, "part long, bits binary, word array<long>, n array<long>")
 
 
@@ -219,11 +308,14 @@ class Filter:
     def level(self, codes: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
         """The level of each n-gram; `most`: levels that it can't exceed, which aren't probed."""
         out = np.zeros(len(codes), np.int64)
-        part = range_of(codes, self.ranges) - self.first
+        one = len(self.at) == 2
+        part = np.zeros(1, np.int64) if one else range_of(codes, self.ranges) - self.first
         base = self.at[part]
         size = self.at[part + 1] - base
-        live = np.flatnonzero(size > 0 if most is None else (size > 0) & (most > 0))
-        codes, base, size, level = codes[live], base[live], size[live], 0
+        live = np.flatnonzero(np.broadcast_to(size > 0, len(codes)) if most is None else (size > 0) & (most > 0))
+        codes, level = codes[live], 0
+        if not one:
+            base, size = base[live], size[live]
         while len(live):
             level += 1
             word, mark = self._place(codes, level, size)
@@ -232,7 +324,9 @@ class Filter:
             out[live[hit]] = level
             if most is not None:
                 hit &= most[live] > level
-            live, codes, base, size = live[hit], codes[hit], base[hit], size[hit]
+            live, codes = live[hit], codes[hit]
+            if not one:
+                base, size = base[hit], size[hit]
         return out
 
 
@@ -360,12 +454,16 @@ def _coded(runs: list[tuple]) -> tuple[np.ndarray, Callable[[np.ndarray], Iterat
     """The distinct codes of all n-grams of runs of texts, sorted, and from their levels to those of each run's words, bigrams and trigrams."""
     parts = [x for _, _, tokens, pairs, triples, _ in runs for x in (code(tokens, 0), pairs, triples)]
     codes = np.concatenate(parts)
-    order = np.argsort(codes)
+    bits = len(codes).bit_length()
+    cut = U(max(0, CODE + bits - 64))  # where a code and its place are more than 64 bits, codes are sorted by their upper bits
+    order = (np.sort(codes >> cut << U(bits) | np.arange(len(codes), dtype=U)) & U((1 << bits) - 1)).astype(np.int64)
+    if (codes[order[1:]] < codes[order[:-1]]).any():  # two differ in the lowest bits alone
+        order = np.argsort(codes)
     codes = codes[order]
     new = np.concatenate([[True], codes[1:] != codes[:-1]])
 
     def back(level: np.ndarray) -> Iterator[tuple]:
-        out = np.empty(len(codes), np.int64)
+        out = np.empty(len(codes), np.uint8)
         out[order] = level[np.cumsum(new) - 1]
         cut = iter(np.split(out, np.cumsum([len(x) for x in parts])[:-1]))
         return zip(cut, cut, cut)
@@ -375,7 +473,7 @@ def _coded(runs: list[tuple]) -> tuple[np.ndarray, Callable[[np.ndarray], Iterat
 
 def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], schema: str) -> DataFrame:
     """As _told for all docs, where the filter is a table."""
-    ranges, names = model.ranges, ["part", "run", "data"]
+    ranges, names, wide = model.ranges, ["part", "run", "data"], _wide(model.ranges)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of each run, in one value; a run's number is the _uid of its first row."""
@@ -392,33 +490,34 @@ def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], sche
             uid += len(batch)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-grams of each run, by range."""
+        """The n-grams of each run, by part."""
         for batch in batches:
             for run, data in zip(batch["run"].to_pylist(), batch["data"]):
                 for texts in pa.ipc.open_stream(data.as_buffer()):
                     codes = _coded(list(sequences(texts["text"])))[0]
-                    parts, at = _cuts(codes, ranges)
-                    data = [_pack(codes[a:b]) for a, b in zip(at[:-1], at[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array([run] * len(data), pa.int64()), pa.array(data, pa.binary())], names)
+                    parts, at = _cuts(codes, ranges, wide)
+                    yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(np.full(len(parts), run)), _pack(codes, at)], names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The levels of the n-grams of each part and run; a range's segment (run < 0) comes before them."""
-        here, held = None, None
+        """The levels of the n-grams of each part and run; the segments of a part (run < 0) come before them."""
+        here, held = None, []
         for batch in batches:
-            out = []
-            for part, run, data in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), batch["data"]):
-                if run < 0:
-                    bits = np.frombuffer(data.as_py(), U)
-                    here, held = part, Filter(ranges, bits, np.array([0, len(bits)]), part)
-                    continue
-                codes = _unpack(memoryview(data.as_buffer()))
-                level = held.level(codes) if part == here else np.zeros(len(codes))  # a range that nothing was learnt in
-                out.append((part, run, level.astype(np.uint8).tobytes()))
-            columns = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names)
+            part, run = batch["part"].to_numpy(), batch["run"].to_numpy()
+            for a, b in _groups(part):
+                if part[a] != here:
+                    here, held = part[a], [np.zeros(0, U)] * wide
+                while a < b and run[a] < 0:
+                    held[run[a]] = np.frombuffer(batch["data"][a].as_buffer(), U).copy()
+                    a += 1
+                if a < b and isinstance(held, list):
+                    held = Filter(ranges, np.concatenate(held), np.cumsum([0, *map(len, held)]), int(here) * wide)
+                for a, b in _slices(batch["data"], a, b):
+                    codes, n = _unpack(batch["data"][a:b])
+                    level = held.level(codes)
+                    yield pa.RecordBatch.from_arrays([batch["part"][a:b], batch["run"][a:b], _many(level.astype(np.uint8), np.append(0, np.cumsum(n)))], names)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A run's texts come first, then its levels by range."""
+        """A run's texts come first, then its levels by part."""
         texts, uid, levels = None, 0, []
 
         def done() -> Iterator[pa.RecordBatch]:
@@ -431,17 +530,18 @@ def _apart(docs: DataFrame, model: Model, sent: Broadcast, keep: list[str], sche
                 yield _told(sent.value, batch, keep, uid, rows, levels)
 
         for batch in batches:
-            for part, run, data in zip(batch["part"].to_pylist(), batch["run"].to_pylist(), batch["data"]):
-                if part < 0:
+            part, run = batch["part"].to_numpy(), batch["run"].to_numpy()
+            for a, b in _groups(run):
+                if part[a] < 0:
                     yield from done()
-                    texts, uid, levels = data.as_py(), run, []
-                else:
-                    levels.append(data.as_py())
+                    texts, uid, levels, a = batch["data"][a].as_py(), int(run[a]), [], a + 1
+                levels.append(bytes(_flat(batch["data"][a:b])[0]))
         yield from done()
 
     kind = "part long, run long, data binary"
     runs = written(docs.mapInArrow(cut, kind), "runs")
-    held = model.apart.select("part", F.lit(-1).cast("long").alias("run"), F.col("bits").alias("data"))
+    # the segments of a part are numbered from -wide to -1
+    held = model.apart.select(F.floor(F.col("part") / wide).alias("part"), (F.col("part") % wide - wide).alias("run"), F.col("bits").alias("data"))
     found = None
     for turn in range(TURNS):
         some = runs.where(F.pmod(F.xxhash64("run"), F.lit(TURNS)) == turn)

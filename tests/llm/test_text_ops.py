@@ -297,6 +297,55 @@ def test_packed_values_come_back():
         assert np.array_equal(scoring._unpack(memoryview(scoring._pack(v))), v)
 
 
+def test_scoring_passes_few_values_for_many_ranges():
+    """Each run of texts passes a value for each part on; at 6 GB there are some 4,200 ranges."""
+    codes = np.unique(np.random.default_rng(7).integers(0, 1 << 48, 50_000).astype(np.uint64))
+    for ranges, most in ((1, 1), (364, 364), (1_023, 1_023), (4_400, 550), (22_000, 2_750)):
+        wide = scoring._wide(ranges)
+        parts, at = scoring._cuts(codes, ranges, wide)
+        assert len(parts) <= most
+        assert np.array_equal(np.repeat(parts, np.diff(at)), scoring.range_of(codes, ranges) // wide)
+        values, n = scoring._unpack(scoring._pack(codes, at))
+        assert np.array_equal(values, codes) and np.array_equal(n, np.diff(at))
+
+
+def test_many_packed_values_come_back():
+    rng = np.random.default_rng(8)
+    for top in (1 << 20, 1 << 40, 1 << 63):
+        v = np.unique(rng.integers(0, top, 300).astype(np.uint64))
+        at = np.array([0, 1, 2, 100, len(v)])
+        column = scoring._pack(v, at)
+        for a, b in ((0, 4), (1, 3), (3, 4)):
+            values, n = scoring._unpack(column[a:b])
+            assert np.array_equal(values, v[at[a] : at[b]]) and np.array_equal(n, np.diff(at)[a:b])
+        assert [scoring._unpack(memoryview(x.as_py())).tolist() for x in column] == [v[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
+def test_scoring_codes_that_differ_in_their_lowest_bits():
+    """With many codes only the upper bits are sorted with their places."""
+    tokens = np.arange(300_000, dtype=np.uint64) % np.uint64(1_000) << np.uint64(16)  # codes 0, 4, 8 and so on
+    pairs, triples = tokens + np.uint64(1), tokens + np.uint64(2)
+    tokens, pairs, triples = tokens, scoring.code(pairs, 1), scoring.code(triples, 2)
+    codes, back = scoring._coded([(0, 1, tokens, pairs, triples, np.zeros(1, np.int64))])
+    want = [scoring.code(tokens, 0), pairs, triples]
+    assert np.array_equal(codes, np.unique(np.concatenate(want)))
+    (got,) = back((codes % np.uint64(251)).astype(np.uint8))
+    assert all(np.array_equal(a, b % np.uint64(251)) for a, b in zip(got, want))
+
+
+def test_scoring_by_parts_of_many_ranges(spark, monkeypatch):
+    docs = table(spark, odd_rows() + [(70 + k, f"only{k} here{k} " + " ".join(f"{k}-{i}" for i in range(150)) + " of it" * 300, "s") for k in range(300)]).select("doc_id", "text")
+    monkeypatch.setattr(scoring, "RANGE_BYTES", 1 << 14)
+    monkeypatch.setattr(scoring, "RUN_BYTES", 1 << 15)
+    got = []
+    for parts, size in ((1 << 30, scoring.FILTER_BYTES), (1 << 30, 1 << 10), (5, scoring.FILTER_BYTES), (5, 1 << 10)):
+        monkeypatch.setattr(scoring, "PARTS", parts)
+        model, rare = scoring.fit(docs.where("doc_id is not null"), filter_bytes=size, frequent=7)
+        assert scoring._wide(model.ranges) == (scoring.WIDEST if parts == 5 else 1) and (model.apart is None) == (size == scoring.FILTER_BYTES)
+        got.append(collections.Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in scoring.score(docs, model, rare).collect()))
+    assert got[0] == got[1] == got[2] == got[3]
+
+
 def test_score_against_plain_dictionaries(spark):
     """The same model with exact sets in place of the filter, whose errors are the only difference."""
     rng = random.Random(12)
